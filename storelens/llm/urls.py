@@ -48,11 +48,11 @@ def own_rule(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column,
 
 
 _TAG = r"""(?is)<(?:link|meta)\b(?:[^>"']|"[^"]*"|'[^']*')*>"""
-_ATTRIBUTE = r"""(?is)\s{0}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+_ATTRIBUTE = r"""(?is)\s{0}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 
 
 def _attribute(tag: Column, name: str) -> Column:
-    return F.concat(*(F.regexp_extract(tag, _ATTRIBUTE.format(name), k) for k in (1, 2, 3)))
+    return F.translate(F.regexp_extract(tag, _ATTRIBUTE.format(name), 1), "\"'", "")
 
 
 def absolute(target: Column, base: Column) -> Column:
@@ -75,7 +75,8 @@ def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     tagged = pages.select(F.col(url).alias("u"), F.explode(F.regexp_extract_all(F.col(html), F.lit(_TAG), F.lit(0))).alias("tag")).where("u is not null")
     canonical = F.when(F.lower(_attribute(F.col("tag"), "rel")).rlike(r"(^|\s)canonical($|\s)"), _attribute(F.col("tag"), "href"))
     refresh = F.when(F.lower(_attribute(F.col("tag"), "http-equiv")) == "refresh", F.regexp_extract(_attribute(F.col("tag"), "content"), r"(?is)url\s*=\s*['\"]?([^'\"\s;]+)", 1))
-    return tagged.select("u", absolute(F.coalesce(canonical, refresh), F.col("u")).alias("v")).where("v is not null")
+    named = tagged.select("u", F.explode(F.array_compact(F.array(canonical, refresh))).alias("target"))
+    return named.select("u", F.explode(F.array_compact(F.array(absolute(F.col("target"), F.col("u"))))).alias("v"))
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule], redirects: DataFrame | None = None, url: str = "url", html: str = "html") -> DataFrame:
@@ -88,8 +89,8 @@ def judge(pages: DataFrame, rules: Sequence[Rule], redirects: DataFrame | None =
     if redirects is not None:
         edges = edges.unionByName(redirects.select("u", "v"))
     members = connected_components(edges)
-    node_rule, node_verdict = own_rule(host_of(F.col("node")), path_of(F.col("node")), rules)
-    blocked = members.where(node_verdict == "block").select("component").distinct()
+    parts = members.select("component", host_of(F.col("node")).alias("host"), path_of(F.col("node")).alias("path"))
+    blocked = parts.where(own_rule(F.col("host"), F.col("path"), rules)[1] == "block").select("component").distinct()
     alias = members.join(blocked.withColumn("blocked", F.lit(True)), "component", "left").select(F.col("node").alias("_node"), F.col("component").alias("_component"), F.coalesce("blocked", F.lit(False)).alias("_blocked"))
     host, path = host_of(F.col(url)), path_of(F.col(url))
     rule, verdict = own_rule(F.col("host"), F.col("path"), rules)
