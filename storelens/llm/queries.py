@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storelens.llm import media, storage, urls, warc
+from storelens.llm import media, neardup, storage, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,7 +44,17 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES: dict[str, Query] = {"op1_media": op1_media, "op5_warc": op5_warc, "op8_urls": op8_urls}
+def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of documents over five-word shingles at a similarity of 0.75."""
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {
+    "op1_media": op1_media,
+    "op5_warc": op5_warc,
+    "op8_urls": op8_urls,
+    "op10_neardup": op10_neardup,
+}
 
 ORACLE_SQL: dict[str, str] = {}
 
