@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from storelens.llm import media, neardup, storage, urls, warc
+from storelens.llm import langid, media, neardup, quality, storage, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +23,14 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(stored, ["doc_id", "n_bytes"])
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every document, learned from labels that are not held out."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.where(~quality.held_out(F.col("doc_id"))))
+    scored = quality.score(docs, model, ["doc_id"])
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A WARC record per page, written content-addressed and read back."""
     path = storage.new_path(spark, "archive")
@@ -44,6 +54,15 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_language(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    """The language of every document, learned from those that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    held_out = quality.held_out(F.col("doc_id"), 4, 2)
+    pieces = langid.read_vocabulary(vocabulary or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), 10)
+    model = langid.fit(docs.where(~held_out), pieces)
+    return langid.predict(docs, model, ["doc_id"]).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of documents over five-word shingles at a similarity of 0.75."""
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -51,8 +70,10 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_media": op1_media,
+    "op2_quality": op2_quality,
     "op5_warc": op5_warc,
     "op8_urls": op8_urls,
+    "op9_language": op9_language,
     "op10_neardup": op10_neardup,
 }
 
