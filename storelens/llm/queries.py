@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storelens.llm import langid, media, neardup, quality, storage, urls, warc
+from storelens.llm import extract, langid, media, neardup, packing, quality, storage, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extract.extract(_table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A WARC record per page, written content-addressed and read back."""
     path = storage.new_path(spark, "archive")
@@ -38,6 +43,16 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.parse_records(warc.read_archive(spark, path)).withColumnRenamed("record_id", "page_id")
 
 
+def vocabulary(json_path: str | None = None, ranks_path: str | None = None) -> packing.Vocabulary:
+    """The public byte-level vocabulary, as a tokenizer and as ranks."""
+    return packing.Vocabulary.read(json_path or public_tokenizers.path("byte_bpe_50k.json"), ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in as few sequences of at most 2048 tokens as vector best fit finds."""
+    return packing.tokenize_and_pack(_table(spark, sf_dir, "documents"), vocabulary())
+
+
 #: Fixed rules.
 URL_RULES = (
     urls.Rule("allow", "org", "/"),
@@ -71,7 +86,9 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_media": op1_media,
     "op2_quality": op2_quality,
+    "op3_main_text": op3_main_text,
     "op5_warc": op5_warc,
+    "op6_packing": op6_packing,
     "op8_urls": op8_urls,
     "op9_language": op9_language,
     "op10_neardup": op10_neardup,
