@@ -100,7 +100,7 @@ def pieces(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: s
                 names=[key, "piece", "start", "length", "ids_crc32"],
             )
 
-    schema = docs.select(key).schema.add("piece", "int").add("start", "long").add("length", "long").add("ids_crc32", "long")
+    schema = docs.select(key).schema.add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long")
     return docs.select(key, text).mapInArrow(run, schema)
 
 
