@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storelens.llm import extract, langid, media, neardup, packing, quality, storage, urls, warc
+from storelens.llm import extract, langid, media, neardup, packing, quality, storage, suffix, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,11 @@ def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(_table(spark, sf_dir, "pages"), ["page_id", "url"])
 
 
+def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of documents outside every 200-byte string that occurs more than once."""
+    return suffix.repeated_strings(_table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A WARC record per page, written content-addressed and read back."""
     path = storage.new_path(spark, "archive")
@@ -87,6 +92,7 @@ QUERIES: dict[str, Query] = {
     "op1_media": op1_media,
     "op2_quality": op2_quality,
     "op3_main_text": op3_main_text,
+    "op4_suffix": op4_suffix,
     "op5_warc": op5_warc,
     "op6_packing": op6_packing,
     "op8_urls": op8_urls,

@@ -6,6 +6,7 @@ executor shares.  Only where a session names none (tests) one is chosen here.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -36,3 +37,13 @@ def drop(spark: SparkSession, path: str) -> None:
     """Deletes a table that nothing reads any more."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of steps whose tables are written.
+
+    The cleaner acts when the driver's heap is collected; on a driver with much
+    free heap that may be long after the files have become useless.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -1,8 +1,62 @@
+"""Exact removal of byte strings that occur more than once, by a logarithmic family of sampled suffix arrays.
+
+A byte is removed if a string of ``length`` bytes that covers it also starts
+anywhere else.  Not every suffix is indexed.  In every window of ``length``
+bytes the string of ``gram`` bytes with the least hash is the window's anchor,
+chosen by content alone, so equal windows have equal anchors at equal offsets.
+Successive windows share an anchor; together they form its *segment*, and one
+entry stands for all of them: (anchor hash, segment hash, count, location).
+
+* A batch's entries sorted by anchor and segment are its suffix array.  A new
+  batch becomes the smallest level; two levels of equal size are merged into one
+  of twice the size, equal entries adding their counts.  So an entry is rewritten
+  a logarithmic number of times.
+* A scan of the family merges its levels.  A segment counted more than once is
+  a long match as a whole.  A segment counted once whose anchor has no other
+  segment holds no match.
+* What is left are anchors with several different segments: the ends of copied
+  passages.  Their windows are compared in aligned groups of ``STEP`` by what
+  the group has in common, and in groups with a match one by one.
+
+Only locations that occur once travel back to their document: all windows that
+are not listed there are matches.  So a string with very many copies is merged
+to one row before each shuffle.
+
+Nulls and empty texts have no bytes.  An id must stand for one text; rows
+repeated as a whole are copies of each other.
+"""
+
 from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+from typing import NamedTuple
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from storelens.llm import storage
 from storelens.llm.blocks import U64, Powers, blocks, mix, text_bytes
 
-def sliding_min(values, width):
+STEP = 8
+_GOLDEN = U64(0x9E3779B97F4A7C15)
+#: Kinds of listed locations.
+SETTLED, OPEN, COPIED = 0, 1, 2
+
+
+class Segments(NamedTuple):
+    begin: np.ndarray  # first window of each segment
+    windows: np.ndarray  # number of windows
+    anchor: np.ndarray  # position of the anchor
+    anchor_hash: np.ndarray
+    prefix: np.ndarray  # for hashes of ranges
+
+
+def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of every ``width`` successive values."""
     have, out = 1, values
     while have * 2 <= width:
         out = np.minimum(out[:-have], out[have:])
@@ -10,22 +64,310 @@ def sliding_min(values, width):
     rest = width - have
     return np.minimum(out[:-rest], out[rest:]) if rest else out
 
-def segments(data, starts, first, second, length, gram):
-    n, width = len(data), length - gram + 1
-    p1 = first.prefix(data)
-    at = np.arange(n - gram + 1)
-    grams = (p1[gram:] - p1[:-gram]) * first.down[: n - gram + 1]
-    grams = mix(grams)
-    bits = U64(max(1, int(n).bit_length()))
-    order = (grams >> bits << bits) | at.astype(np.uint64)
-    low = sliding_min(order, width)
+
+def segments(data: np.ndarray, starts: np.ndarray, powers: Powers, length: int, gram: int) -> Segments:
+    """The segments of all windows that lie within one text each."""
+    n = len(data)
+    prefix = powers.prefix(data)
+    grams = mix((prefix[gram:] - prefix[:-gram]) * powers.down[: n - gram + 1])
+    bits = U64(int(n).bit_length())
+    low = sliding_min((grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64), length - gram + 1)
     anchor = (low & ((U64(1) << bits) - U64(1))).astype(np.int64)
-    owner_end = np.repeat(starts[1:], np.diff(starts))[: len(anchor)]
-    good = np.arange(len(anchor)) + length <= owner_end
+    valid = np.zeros(len(anchor) + 1, dtype=np.int32)
+    last = starts[1:] - length + 1
+    some = last > starts[:-1]
+    np.add.at(valid, starts[:-1][some], 1)
+    np.add.at(valid, last[some], -1)
+    valid = np.cumsum(valid[:-1]).astype(bool)
     change = np.ones(len(anchor), dtype=bool)
-    change[1:] = (anchor[1:] != anchor[:-1]) | (good[1:] != good[:-1])
-    lo = np.flatnonzero(change)
-    hi = np.append(lo[1:], len(anchor))
-    keep = good[lo]
-    lo, hi = lo[keep], hi[keep]
-    return lo, hi - lo, grams[anchor[lo]], p1
+    change[1:] = (anchor[1:] != anchor[:-1]) | (valid[1:] != valid[:-1])
+    change[starts[:-1][some]] = True
+    begin = np.flatnonzero(change)
+    end = np.append(begin[1:], len(anchor))
+    keep = valid[begin]
+    begin, end = begin[keep], end[keep]
+    return Segments(begin, end - begin, anchor[begin], grams[anchor[begin]], prefix)
+
+
+def _range_hash(powers: Powers, prefix: np.ndarray, begin: np.ndarray, end: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    return mix(powers.ranges(prefix, begin, end) * _GOLDEN ^ salt)
+
+
+def _merged(keys: list[np.ndarray], count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one row of each key, its summed count)."""
+    order = np.lexsort(keys[::-1])
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    at = np.flatnonzero(new)
+    return order[at], np.add.reduceat(count[order], at) if len(at) else count[:0]
+
+
+def entries(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """(anchor, segment, n, doc, code): one row for each different segment of a block of texts.
+
+    docs has the columns doc and text.  code holds the first window and the number of windows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers(1)
+        for batch in batches:
+            data, starts = text_bytes(batch.column(1))
+            for lo, hi in blocks(starts):
+                own, begins = data[starts[lo] : starts[hi]], starts[lo : hi + 1] - starts[lo]
+                if len(own) < length:
+                    continue
+                s = segments(own, begins, powers, length, gram)
+                if not len(s.begin):
+                    continue
+                whole = _range_hash(powers, s.prefix, s.begin, s.begin + s.windows + length - 1, s.anchor_hash)
+                at, n = _merged([s.anchor_hash, whole], np.ones(len(whole), dtype=np.int64))
+                owner = np.searchsorted(begins, s.begin[at], side="right") - 1
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(s.anchor_hash[at].view(np.int64)),
+                        pa.array(whole[at].view(np.int64)),
+                        pa.array(n),
+                        batch.column(0).take(pa.array(owner + lo)),
+                        pa.array((s.begin[at] - begins[owner]) << 8 | s.windows[at]),
+                    ],
+                    names=["anchor", "segment", "n", "doc", "code"],
+                )
+
+    if not gram <= length - 2 or length - gram + 1 > 255:
+        raise ValueError("a segment must have 2 to 255 windows: choose gram within 255 of length")
+    return docs.mapInArrow(run, "anchor long, segment long, n long, doc long, code long")
+
+
+class SuffixFamily:
+    """Levels of sampled suffix arrays; level k holds 2**k batches."""
+
+    def __init__(self, spark: SparkSession, length: int = 200, gram: int = 32):
+        self.spark, self.length, self.gram = spark, length, gram
+        self.levels: dict[int, str] = {}
+
+    @staticmethod
+    def _merge(rows: DataFrame) -> DataFrame:
+        """Equal entries become one.  A location stays exact where the count is 1 and is one of the places otherwise."""
+        return rows.groupBy("anchor", "segment").agg(F.sum("n").alias("n"), F.first("doc").alias("doc"), F.first("code").alias("code"))
+
+    def _write(self, rows: DataFrame) -> str:
+        path = storage.new_path(self.spark, "level")
+        self._merge(rows).sortWithinPartitions("anchor", "segment").write.parquet(path)
+        storage.release(self.spark)
+        return path
+
+    def insert(self, docs: DataFrame) -> None:
+        """Adds a batch (columns doc, text) and merges levels of equal size."""
+        level, path = 0, self._write(entries(docs, self.length, self.gram))
+        while level in self.levels:
+            old = self.levels.pop(level)
+            merged = self._write(self.spark.read.parquet(old).unionByName(self.spark.read.parquet(path)))
+            for gone in (old, path):
+                storage.drop(self.spark, gone)
+            level, path = level + 1, merged
+        self.levels[level] = path
+
+    def scan(self) -> DataFrame:
+        """All entries, merged over the levels."""
+        tables = [self.spark.read.parquet(p) for p in self.levels.values()]
+        if len(tables) == 1:
+            return tables[0]
+        out = tables[0]
+        for t in tables[1:]:
+            out = out.unionByName(t)
+        return self._merge(out)
+
+    def drop(self) -> None:
+        for path in self.levels.values():
+            storage.drop(self.spark, path)
+        self.levels.clear()
+
+
+def _lists(rows: DataFrame) -> DataFrame:
+    """(doc, codes): the listed locations of each document; bounded by its length."""
+    return rows.groupBy("doc").agg(F.collect_list("code").alias("codes"))
+
+
+def _joined(docs: DataFrame, lists: DataFrame) -> DataFrame:
+    """docs with their codes; null ids meet too."""
+    named = lists.select(F.col("doc").alias("_doc"), "codes")
+    return docs.join(named, docs["doc"].eqNullSafe(named["_doc"]), "left").drop("_doc")
+
+
+def _spans(n: int, length: int, begin: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Removed byte runs [from, to) of a text of n bytes whose only unmatched windows are those listed."""
+    total = n - length + 1
+    if total <= 0:
+        none = np.zeros(0, dtype=np.int64)
+        return none, none
+    order = np.argsort(begin, kind="stable")
+    begin, end = begin[order], begin[order] + windows[order]
+    reach = np.maximum.accumulate(end) if len(end) else end
+    # Windows between the listed runs are matches; each covers ``length`` bytes.
+    a = np.concatenate(([0], reach))
+    b = np.concatenate((begin, [total]))
+    some = b > a
+    a, b = a[some], b[some] - 1 + length
+    if not len(a):
+        return a, b
+    new = np.ones(len(a), dtype=bool)
+    new[1:] = a[1:] > b[:-1]
+    first = np.flatnonzero(new)
+    return a[first], b[np.append(first[1:] - 1, len(b) - 1)]
+
+
+_RESULT = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+
+
+def _result(own: np.ndarray, length: int, codes: np.ndarray, with_bytes: bool) -> tuple[int, int, int, str, bytes | None]:
+    a, b = _spans(len(own), length, codes >> 8, codes & 255)
+    if not len(a):
+        kept = own.tobytes()
+        return len(own), 0, 0, hashlib.sha256(kept).hexdigest(), kept if with_bytes else None
+    edges = np.zeros(len(own) + 1, dtype=np.int8)
+    edges[a] = 1
+    edges[b] -= 1
+    kept = own[np.cumsum(edges[:-1]) == 0].tobytes()
+    return len(own), int((b - a).sum()), len(a), hashlib.sha256(kept).hexdigest(), kept if with_bytes else None
+
+
+def _settle(texts: DataFrame, length: int, with_bytes: bool) -> DataFrame:
+    """Rows (doc, text, codes) to results; rows with open codes keep text and codes for later instead."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, starts = text_bytes(batch.column(1))
+            lists, texts_column = batch.column(2), batch.column(1)
+            rows, later = [], np.zeros(len(batch), dtype=bool)
+            empty = np.zeros(0, dtype=np.int64)
+            for i in range(len(batch)):
+                codes = lists[i].values.to_numpy() if lists[i].is_valid else empty
+                if (codes & 3).any():
+                    later[i] = True
+                    rows.append((None,) * 5)
+                else:
+                    rows.append(_result(data[starts[i] : starts[i + 1]], length, codes >> 2, with_bytes))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+            gone = pa.array(~later)
+            none = pa.nulls(len(batch), pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *columns, pc.if_else(gone, none, texts_column.cast(pa.string())), pc.if_else(gone, pa.nulls(len(batch), pa.list_(pa.int64())), lists.cast(pa.list_(pa.int64())))],
+                names=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "text", "codes"],
+            )
+
+    return texts.select("doc", F.coalesce("text", F.lit("")).alias("text"), "codes").mapInArrow(run, _RESULT + ", text string, codes array<long>")
+
+
+def _groups(s: Segments, begin: int, codes: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Aligned groups of windows of the listed open or copied segments of one text.
+
+    Returns (segment number, first window, number of windows, aligned group number);
+    windows are aligned by their offset to the anchor.
+    """
+    wanted = codes[(codes & 3) != SETTLED]
+    at = np.searchsorted(s.begin, (wanted >> 10) + begin)
+    high = s.anchor[at] - s.begin[at]  # offset of the first window, the largest
+    low = high - s.windows[at] + 1
+    n = high // step - low // step + 1
+    which = np.repeat(at, n)
+    k = np.repeat(low // step, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+    top = np.minimum(np.repeat(high, n), k * step + step - 1)
+    bottom = np.maximum(np.repeat(low, n), k * step)
+    kinds = np.repeat(wanted & 3, n)
+    return which, s.anchor[which] - top, top - bottom + 1, k << 2 | kinds
+
+
+def _hashed(texts: DataFrame, length: int, gram: int, step: int) -> DataFrame:
+    """(key, c, doc, code) of the window groups (step > 1) or windows (step 1) of open segments.
+
+    A group's key hashes the bytes that all its aligned windows have in common.
+    With step 1, ``done`` lists groups that need no look at single windows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers(1)
+        for batch in batches:
+            data, starts = text_bytes(batch.column(1))
+            for lo, hi in blocks(starts):
+                own, begins = data[starts[lo] : starts[hi]], starts[lo : hi + 1] - starts[lo]
+                if len(own) < length:
+                    continue
+                s = segments(own, begins, powers, length, gram)
+                parts = []
+                for i in range(lo, hi):
+                    codes = batch.column(2)[i].values.to_numpy()
+                    which, first, width, k = _groups(s, int(begins[i - lo]), codes, STEP)
+                    if step == 1:
+                        done = batch.column(3)[i]
+                        if done.is_valid:
+                            keep = ~np.isin((first - begins[i - lo]) << 8 | width, done.values.to_numpy() >> 2)
+                            which, first, width, k = which[keep], first[keep], width[keep], k[keep]
+                        which, k = np.repeat(which, width), np.repeat(k, width)
+                        first = np.repeat(first, width) + (np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width))
+                        width = np.ones(len(first), dtype=np.int64)
+                    parts.append((np.full(len(which), i), which, first, width, k))
+                owner, which, first, width, k = (np.concatenate(x) for x in zip(*parts, strict=True))
+                if not len(owner):
+                    continue
+                if step == 1:
+                    a, b = first, first + length
+                    salt = s.anchor_hash[which] ^ (s.anchor[which] - first).astype(np.uint64) * _GOLDEN
+                else:
+                    group = k >> 2
+                    a, b = s.anchor[which] - group * step, s.anchor[which] - group * step - step + 1 + length
+                    salt = s.anchor_hash[which] ^ group.astype(np.uint64) * _GOLDEN
+                key = _range_hash(powers, s.prefix, a, b, salt)
+                at, c = _merged([key], np.ones(len(key), dtype=np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key[at].view(np.int64)), pa.array(c), batch.column(0).take(pa.array(owner[at])), pa.array(((first[at] - begins[owner[at] - lo]) << 8 | width[at]) << 2 | (k[at] & 3))],
+                    names=["key", "c", "doc", "code"],
+                )
+
+    columns = ["doc", "text", "codes", *(["done"] if step == 1 else [])]
+    return texts.select(*columns).mapInArrow(run, "key long, c long, doc long, code long")
+
+
+def _alone(rows: DataFrame) -> DataFrame:
+    """(doc, code) of keys that occur once."""
+    return rows.groupBy("key").agg(F.sum("c").alias("c"), F.first("doc").alias("doc"), F.first("code").alias("code")).where("c = 1").select("doc", "code")
+
+
+def repeated_strings(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, gram: int = 32, batches: int = 4, with_bytes: bool = False) -> DataFrame:
+    """(key, n_bytes, n_removed, n_spans, kept_sha256) of every row, and ``kept`` (its remaining bytes) if asked for.
+
+    batches: how many parts the documents arrive in; the result does not depend on it.
+    """
+    spark = docs.sparkSession
+    named = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    family = SuffixFamily(spark, length, gram)
+    for b in range(batches):
+        family.insert(named.where(F.pmod(F.xxhash64("doc"), F.lit(batches)) == b))
+    found = family.scan()
+    several = found.groupBy("anchor").agg(F.min("segment").alias("_a"), F.max("segment").alias("_b")).where("_a <> _b").select("anchor", F.lit(True).alias("several"))
+    marked = found.join(several, "anchor", "left").where("n = 1 or several")
+    kind = F.when(F.col("n") > 1, COPIED).when(F.col("several"), OPEN).otherwise(SETTLED)
+    coded = marked.select("doc", F.shiftleft("code", 2).bitwiseOR(kind.cast("long")).alias("code"))
+    lists_path = storage.new_path(spark, "lists")
+    lists = storage.written(_lists(coded), "lists", lists_path)
+    storage.release(spark)
+    family.drop()
+
+    settled = storage.written(_settle(_joined(named, lists), length, with_bytes), "settled")
+    storage.release(spark)
+    storage.drop(spark, lists_path)
+    waiting = settled.where("text is not null").select("doc", "text", "codes")
+    alone_path = storage.new_path(spark, "groups")
+    alone = storage.written(_alone(_hashed(waiting, length, gram, STEP)), "groups", alone_path)
+    storage.release(spark)
+    done = _joined(waiting, _lists(alone)).toDF("doc", "text", "codes", "done")
+    windows = _alone(_hashed(done, length, gram, 1)).unionByName(alone).where(F.col("code").bitwiseAND(F.lit(3)) == OPEN)
+    last = storage.written(_lists(windows.select("doc", F.shiftright("code", 2).alias("code"))), "windows")
+    storage.release(spark)
+    storage.drop(spark, alone_path)
+
+    certain = F.filter("first", lambda x: x.bitwiseAND(F.lit(3)) == SETTLED)
+    found_later = F.transform(F.coalesce("codes", F.array().cast("array<long>")), lambda x: F.shiftleft(x, 2))
+    rest = _joined(waiting.select("doc", "text", F.col("codes").alias("first")), last).select("doc", "text", F.concat(certain, found_later).alias("codes"))
+    out = settled.where("text is null").unionByName(_settle(rest, length, with_bytes)).select(F.col("doc").alias(key), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+    return out if with_bytes else out.drop("kept")
