@@ -22,6 +22,8 @@ _LENGTH_MASKS = np.array([(1 << (8 * n)) - 1 for n in range(8)] + [(1 << 64) - 1
 #: Bytes that separate words: space and 0x09 to 0x0D.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes that are neither letters nor digits nor part of a longer UTF-8 character.
+PUNCTUATED = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 #: Lower-cases A-Z and leaves all other bytes alone.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -65,13 +67,13 @@ def blocks(starts: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int,
         a = b
 
 
-def words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first byte, length, text number) of every word; a word is a run of bytes that are not SPACE."""
+def words(data: np.ndarray, starts: np.ndarray, separators: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, length, text number) of every word; a word is a run of bytes that are not separators."""
     n = len(data)
     if not n:
         empty = np.zeros(0, dtype=np.int64)
         return empty, empty, empty
-    solid = ~SPACE[data]
+    solid = ~separators[data]
     breaks = np.zeros(n + 1, dtype=bool)
     breaks[starts] = True
     opens = solid.copy()

@@ -1,16 +1,19 @@
 """Near-duplicate detection with banded MinHash and odd sketches.
 
 1. One pass over the texts gives each document its shingle-set fingerprint,
-   MinHash band keys and an odd sketch: its MinHash samples folded into a
-   bitmap in which every sample flips one bit, so that the bits in which two
-   bitmaps differ count the samples in which two documents differ.
+   MinHash band keys and two odd sketches: its MinHash samples, and its whole
+   set, folded into bitmaps in which every member flips one bit.  The bits in
+   which two bitmaps differ estimate the samples in which two documents differ,
+   and bound from below the shingles that only one of them has.
 2. Documents with the same shingle set are one class, kept as its smallest id.
-3. Classes that share a band key are compared with the key's smallest class.
-   Pairs whose sketches allow the similarity are confirmed on the full sets.
+3. Classes that share a band key are compared with one of them, first the
+   smallest, then, in keys that are not settled, a random one.  Pairs whose
+   sketches allow the similarity are confirmed on the full sets.
 4. Components of the confirmed links are contracted.  A key whose classes are
    still in several components has all its pairs across components compared by
-   sketch, in blocks of bounded size, and the ones that pass are confirmed.
-   So no pair inside a settled group is ever listed, and no link is lost to a cap.
+   sketch, inside the join or in blocks of bounded size, and only those that
+   pass are listed and confirmed.  So no pair inside a settled group is listed,
+   and no link is lost to a cap.
 
 Only the banding is probabilistic.  With ``rows=6`` and ``bands=64`` a pair at
 the similarity 0.75 shares no band with probability 4e-6, at 0.8 with 3e-9.
@@ -36,7 +39,7 @@ from storelens.llm.components import connected_components
 
 SKETCH_WORDS = 16
 #: Standard errors by which a sketch may stay below the similarity before a pair is given up unconfirmed.
-SLACK = 5.5
+SLACK = 4.5
 #: Members of a band key up to which its open pairs are listed by a join; larger keys go by blocks of this size.
 BLOCK = 64
 
@@ -88,15 +91,20 @@ def _sketch_columns(samples: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndar
     wide = samples.astype(np.uint64)
     weights = random_words(11, rows) | U64(1)
     keys = (wide.reshape(n, k // rows, rows) * weights).sum(axis=2, dtype=np.uint64) + random_words(12, k // rows)
-    bits = mix(wide + random_words(13, k)) & U64(64 * SKETCH_WORDS - 1)
-    flips = np.zeros((n, 64 * SKETCH_WORDS), dtype=np.uint8)
-    np.add.at(flips, (np.arange(n)[:, None], bits.astype(np.int64)), 1)
-    sketch = np.packbits(flips & 1, axis=1).view(np.uint64)
-    return mix(keys).view(np.int64), sketch.view(np.int64)
+    sketch = odd_sketch(mix(wide + random_words(13, k)).reshape(-1), np.repeat(np.arange(n), k), n)
+    return mix(keys).view(np.int64), sketch
+
+
+def odd_sketch(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Bitmaps, one row an owner, in which every value flips the bit that its low bits name."""
+    width = 64 * SKETCH_WORDS
+    at = owner.astype(np.int64) * width + (values & U64(width - 1)).astype(np.int64)
+    flips = np.bincount(at, minlength=n * width).astype(np.uint8) & 1
+    return np.packbits(flips.reshape(n, width), axis=1).view(np.int64)
 
 
 def sketches(docs: DataFrame, key: str, text: str, width: int, rows: int, bands: int) -> DataFrame:
-    """(id, n_shingles, f1, f2, bands, sketch) of every row; bands and sketch are null for an empty set."""
+    """(id, n_shingles, f1, f2, bands, sketch, parity) of every row; the last three are null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parameters = random_words(17, 2 * rows * bands)
@@ -114,24 +122,35 @@ def sketches(docs: DataFrame, key: str, text: str, width: int, rows: int, bands:
                     prints[i] = mix(sets[i]).sum(), mix(sets[i] + U64(0x9E3779B97F4A7C15)).sum()
                     samples[row] = minhashes(sets[i], a, b)
                 keys, sketch = _sketch_columns(samples, rows)
+                every = np.concatenate([sets[i] for i in full]) if len(full) else np.zeros(0, np.uint64)
+                parity = odd_sketch(every, np.repeat(np.arange(len(full)), sizes[full]), len(full))
                 present = sizes > 0
                 offsets = np.concatenate(([0], np.cumsum(present)))
                 lists = [
                     pa.ListArray.from_arrays(pa.array(offsets * m, pa.int32()), pa.array(values.reshape(-1)), mask=pa.array(~present))
-                    for values, m in ((keys, bands), (sketch, SKETCH_WORDS))
+                    for values, m in ((keys, bands), (sketch, SKETCH_WORDS), (parity, SKETCH_WORDS))
                 ]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.array(sizes), pa.array(prints[:, 0].view(np.int64)), pa.array(prints[:, 1].view(np.int64)), *lists],
-                    names=["id", "n_shingles", "f1", "f2", "bands", "sketch"],
+                    names=["id", "n_shingles", "f1", "f2", "bands", "sketch", "parity"],
                 )
 
-    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, n_shingles long, f1 long, f2 long, bands array<long>, sketch array<long>")
+    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, n_shingles long, f1 long, f2 long, bands array<long>, sketch array<long>, parity array<long>")
+
 
+def _differing(x: Column, y: Column) -> Column:
+    return reduce(lambda p, q: p + q, (F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(SKETCH_WORDS)))
 
-def similar_by_sketch(x: Column, y: Column, samples: int, similarity: float) -> Column:
-    """Whether two odd sketches allow the similarity; see ``most_different``."""
-    differing = reduce(lambda p, q: p + q, (F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(SKETCH_WORDS)))
-    return differing <= most_different(samples, similarity)
+
+def sketches_allow(x: str, y: str, samples: int, percent: int) -> Column:
+    """Whether the sketches of the rows x and y allow the similarity.
+
+    At the similarity the sets differ in (100 - percent) / (100 + percent) of
+    their summed sizes, and parity bitmaps never differ in more bits than that.
+    """
+    a, b = F.col(f"{x}.n_shingles"), F.col(f"{y}.n_shingles")
+    sizes = (F.least(a, b) * 100 >= F.greatest(a, b) * percent) & (_differing(F.col(f"{x}.parity"), F.col(f"{y}.parity")) * (100 + percent) <= (a + b) * (100 - percent))
+    return sizes & (_differing(F.col(f"{x}.sketch"), F.col(f"{y}.sketch")) <= most_different(samples, percent / 100))
 
 
 def most_different(samples: int, similarity: float) -> int:
@@ -179,23 +198,24 @@ def confirm(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int,
     return with_text.mapInArrow(run, "u long, v long")
 
 
-def _block_pairs(members: DataFrame, samples: int, similarity: float) -> DataFrame:
+def _block_pairs(members: DataFrame, samples: int, percent: int) -> DataFrame:
     """Pairs across components in keys of more than BLOCK members, block by block, filtered by sketch."""
-    limit = most_different(samples, similarity)
+    limit = most_different(samples, percent / 100)
     n_blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), n_blocks).cast("int")
     dealt = members.withColumns({"n": n_blocks, "own": own}).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "component", "sketch")
+    dealt = dealt.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "component", "n_shingles", "sketch", "parity")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         p, q = int(frame["p"].iloc[0]), int(frame["q"].iloc[0])
-        bits = np.array(frame["sketch"].tolist(), dtype=np.int64).view(np.uint64).reshape(len(frame), SKETCH_WORDS)
-        ids, parts, own_block = frame["id"].to_numpy(), frame["component"].to_numpy(), frame["own"].to_numpy()
+        bits, odd = (np.array(frame[c].tolist(), dtype=np.int64).view(np.uint64).reshape(len(frame), SKETCH_WORDS) for c in ("sketch", "parity"))
+        ids, parts, own_block, sizes = (frame[c].to_numpy() for c in ("id", "component", "own", "n_shingles"))
         rows, columns = np.flatnonzero(own_block == p), np.flatnonzero(own_block == q)
         u, v = [], []
         for i in rows:
-            differing = np.bitwise_count(bits[i] ^ bits[columns]).sum(axis=1)
-            hit = columns[(differing <= limit) & (parts[columns] != parts[i]) & ((p != q) | (columns > i))]
+            hit = columns[(parts[columns] != parts[i]) & ((p != q) | (columns > i))]
+            hit = hit[np.bitwise_count(odd[i] ^ odd[hit]).sum(axis=1, dtype=np.int64) * (100 + percent) <= (sizes[i] + sizes[hit]) * (100 - percent)]
+            hit = hit[np.bitwise_count(bits[i] ^ bits[hit]).sum(axis=1, dtype=np.int64) <= limit]
             u.append(np.maximum(ids[hit], ids[i]))
             v.append(np.minimum(ids[hit], ids[i]))
         none = np.zeros(0, np.int64)
@@ -210,48 +230,50 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     component_id is the smallest id that links reach, the row's own included;
     kept marks the row that carries it.
     """
-    spark, samples, similarity = docs.sparkSession, rows * bands, percent / 100
+    spark, samples = docs.sparkSession, rows * bands
     table = storage.written(sketches(docs, key, text, width, rows, bands), "sketches")
-    classes = table.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("id").alias("rep"))
-    classes = storage.written(classes, "classes")
+    classes = storage.written(table.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("id").alias("rep")), "classes")
     reps = table.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
     keyed = reps.select("id", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("members")).where("members > 1")
-    members_path = storage.new_path(spark, "members")
-    members = storage.written(keyed.join(shared, "key"), "members", members_path)
-
-    lookup = table.select("id", "sketch")
-
-    def passing(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(lookup.select(F.col("id").alias("u"), F.col("sketch").alias("su")), "u").join(lookup.select(F.col("id").alias("v"), F.col("sketch").alias("sv")), "v")
-        return both.where(similar_by_sketch(F.col("su"), F.col("sv"), samples, similarity)).select("u", "v")
+    members = storage.written(keyed.join(shared, "key"), "members")
+    storage.release(spark)
+    lookup = table.where("n_shingles > 0").select("id", "n_shingles", "sketch", "parity")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """The links among pairs (u, v): by sketch inside the join, then on full sets."""
+        with_u = pairs.select("u", "v").distinct().join(lookup, F.col("u") == F.col("id")).drop("id").alias("x")
+        passed = with_u.join(lookup.alias("y"), (F.col("x.v") == F.col("y.id")) & sketches_allow("x", "y", samples, percent)).select("u", "v")
+        links = storage.written(confirm(storage.written(passed, "pairs"), docs, key, text, width, percent), "links")
+        storage.release(spark)
+        return links
+
+    def placed(parts: DataFrame) -> DataFrame:
+        """Members of keys that lie in several components, with their component."""
+        now = members.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        several = now.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b").select("key")
+        return storage.written(now.join(several, "key"), "unsettled")
+
+    links = confirmed(members.where("id <> centre").select(F.col("id").alias("u"), F.col("centre").alias("v")))
+    parts = storage.written(connected_components(links), "parts")
 
-    starred = members.where("id <> centre").select(F.col("id").alias("u"), F.col("centre").alias("v")).distinct()
-    tried = storage.written(passing(starred), "pairs")
-    links = storage.written(confirm(tried, docs, key, text, width, percent), "links")
+    unsettled = placed(parts)
+    centres = unsettled.groupBy("key").agg(F.min_by(F.struct("id", "component"), F.xxhash64("key", "id")).alias("to"))
+    again = unsettled.join(centres, "key").where("component <> to.component").select(F.col("id").alias("u"), F.col("to.id").alias("v"))
+    links = links.unionByName(confirmed(again))
     parts = storage.written(connected_components(links), "parts")
 
-    placed = members.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b").select("key")
-    unsettled = storage.written(placed.join(open_keys, "key"), "unsettled")
-    small = unsettled.where(F.col("members") <= BLOCK)
-    x, y = (small.select("key", F.col("id").alias(i), F.col("component").alias(c)) for i, c in (("u", "cu"), ("v", "cv")))
-    listed = x.join(y, "key").where("u > v and cu <> cv").select("u", "v").distinct()
-    large = _block_pairs(unsettled.where(F.col("members") > BLOCK).join(lookup, "id"), samples, similarity).distinct()
-    more = passing(listed).unionByName(large).distinct().join(tried, ["u", "v"], "left_anti")
-    more_links = confirm(storage.written(more, "pairs"), docs, key, text, width, percent)
-    joined = (
-        more_links.join(parts.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left")
-        .join(parts.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left")
-        .select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
-    )
-    merged = connected_components(joined).select(F.col("node").alias("component"), F.col("component").alias("merged"))
-    of_class = (
-        classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-        .withColumn("component", F.coalesce("component", "rep"))
-        .join(merged, "component", "left")
-        .select("f1", "f2", F.coalesce("merged", "component").alias("component"))
-    )
+    unsettled = placed(parts)
+    small = unsettled.where(F.col("members") <= BLOCK).join(lookup, "id")
+    inside = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & sketches_allow("x", "y", samples, percent)
+    listed = small.alias("x").join(small.alias("y"), inside).select(F.col("x.id").alias("u"), F.col("y.id").alias("v"))
+    large = _block_pairs(unsettled.where(F.col("members") > BLOCK).join(lookup, "id"), samples, percent)
+    open_pairs = storage.written(listed.unionByName(large).distinct(), "pairs")
+    storage.release(spark)
+    links = links.unionByName(confirm(open_pairs, docs, key, text, width, percent))
+    parts = connected_components(links).withColumnRenamed("node", "rep")
+
+    of_class = classes.join(parts, "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
     found = table.select("id", "n_shingles", "f1", "f2").join(of_class, ["f1", "f2"], "left")
     component = F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component")), F.col("id"))
     return found.select(F.col("id").alias(key), "n_shingles", component.alias("component_id")).withColumn("kept", F.col(key) == F.col("component_id"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storelens.llm import extract, langid, media, neardup, packing, quality, storage, suffix, urls, warc
+from storelens.llm import decontam, extract, langid, media, neardup, packing, quality, storage, suffix, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,6 +74,11 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents in which a benchmark item is found, copied or reworded."""
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     """The language of every document, learned from those that are not held out."""
     docs = _table(spark, sf_dir, "documents")
@@ -95,6 +100,7 @@ QUERIES: dict[str, Query] = {
     "op4_suffix": op4_suffix,
     "op5_warc": op5_warc,
     "op6_packing": op6_packing,
+    "op7_decontam": op7_decontam,
     "op8_urls": op8_urls,
     "op9_language": op9_language,
     "op10_neardup": op10_neardup,
