@@ -216,22 +216,22 @@ def _spans(n: int, length: int, begin: np.ndarray, windows: np.ndarray) -> tuple
     return a[first], b[np.append(first[1:] - 1, len(b) - 1)]
 
 
-_RESULT = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+_RESULT = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
 
 
-def _result(own: np.ndarray, length: int, codes: np.ndarray, with_bytes: bool) -> tuple[int, int, int, str, bytes | None]:
+def _result(own: np.ndarray, length: int, codes: np.ndarray, with_text: bool) -> tuple[int, int, int, str, str | None]:
     a, b = _spans(len(own), length, codes >> 8, codes & 255)
     if not len(a):
         kept = own.tobytes()
-        return len(own), 0, 0, hashlib.sha256(kept).hexdigest(), kept if with_bytes else None
+        return len(own), 0, 0, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if with_text else None
     edges = np.zeros(len(own) + 1, dtype=np.int8)
     edges[a] = 1
     edges[b] -= 1
     kept = own[np.cumsum(edges[:-1]) == 0].tobytes()
-    return len(own), int((b - a).sum()), len(a), hashlib.sha256(kept).hexdigest(), kept if with_bytes else None
+    return len(own), int((b - a).sum()), len(a), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if with_text else None
 
 
-def _settle(texts: DataFrame, length: int, with_bytes: bool) -> DataFrame:
+def _settle(texts: DataFrame, length: int, with_text: bool) -> DataFrame:
     """Rows (doc, text, codes) to results; rows with open codes keep text and codes for later instead."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,8 +246,8 @@ def _settle(texts: DataFrame, length: int, with_bytes: bool) -> DataFrame:
                     later[i] = True
                     rows.append((None,) * 5)
                 else:
-                    rows.append(_result(data[starts[i] : starts[i + 1]], length, codes >> 2, with_bytes))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+                    rows.append(_result(data[starts[i] : starts[i + 1]], length, codes >> 2, with_text))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
             gone = pa.array(~later)
             none = pa.nulls(len(batch), pa.string())
@@ -333,8 +333,9 @@ def _alone(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.sum("c").alias("c"), F.first("doc").alias("doc"), F.first("code").alias("code")).where("c = 1").select("doc", "code")
 
 
-def repeated_strings(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, gram: int = 32, batches: int = 4, with_bytes: bool = False) -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept_sha256) of every row, and ``kept`` (its remaining bytes) if asked for.
+def repeated_strings(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, gram: int = 32, batches: int = 4, with_text: bool = False) -> DataFrame:
+    """(key, n_bytes, n_removed, n_spans, kept_sha256) of every row, and ``kept`` if asked for:
+    the characters of which every byte remains.
 
     batches: how many parts the documents arrive in; the result does not depend on it.
     """
@@ -353,7 +354,7 @@ def repeated_strings(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     storage.release(spark)
     family.drop()
 
-    settled = storage.written(_settle(_joined(named, lists), length, with_bytes), "settled")
+    settled = storage.written(_settle(_joined(named, lists), length, with_text), "settled")
     storage.release(spark)
     storage.drop(spark, lists_path)
     waiting = settled.where("text is not null").select("doc", "text", "codes")
@@ -369,5 +370,5 @@ def repeated_strings(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     certain = F.filter("first", lambda x: x.bitwiseAND(F.lit(3)) == SETTLED)
     found_later = F.transform(F.coalesce("codes", F.array().cast("array<long>")), lambda x: F.shiftleft(x, 2))
     rest = _joined(waiting.select("doc", "text", F.col("codes").alias("first")), last).select("doc", "text", F.concat(certain, found_later).alias("codes"))
-    out = settled.where("text is null").unionByName(_settle(rest, length, with_bytes)).select(F.col("doc").alias(key), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
-    return out if with_bytes else out.drop("kept")
+    out = settled.where("text is null").unionByName(_settle(rest, length, with_text)).select(F.col("doc").alias(key), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+    return out if with_text else out.drop("kept")
