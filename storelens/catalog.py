@@ -5,6 +5,163 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from storelens.operators import cdc, clicks, quality, sinks
+from storelens.oracles import ORACLE_SQL
+from storelens.plans import live, marts, serve
+from storelens.sources import adapters
+from storelens.sources.tables import table
+from storelens.streaming import replays
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
+CUSTOMER = PRODUCT = 42
+
+
+def _doubles(df: DataFrame, *columns: str) -> DataFrame:
+    """Money as double, for comparison across engines."""
+    return df.withColumns({c: F.col(c).cast("double") for c in columns})
+
+
+def _texts(df: DataFrame, *columns: str) -> DataFrame:
+    """Sentinel times as text: year 9999 does not fit into nanoseconds."""
+    return df.withColumns({c: F.col(c).cast("string") for c in columns})
+
+
+_CORE = ["order_id", "customer_id", "session_id", "status", "payment_method", "shipping_fee", "order_total", "ship_province", "placed_at"]
+
+
+def _order_messages(s: SparkSession, d: str) -> DataFrame:
+    return cdc.parse_envelopes(cdc.to_envelopes(adapters.order_changes(s, d), "orders"))
+
+
+def _cdc_envelope(s: SparkSession, d: str) -> DataFrame:
+    parsed = _order_messages(s, d)
+    return parsed.select("table_name", "op", "ts_ms", "kafka_offset", F.col("before_json").isNotNull().alias("has_before"), F.col("after_json").isNotNull().alias("has_after"))
+
+
+def _orders_latest(s: SparkSession, d: str) -> DataFrame:
+    log = cdc.changes(adapters.order_changes(s, d))
+    return _doubles(cdc.live(log, "order_id").select(*_CORE, "changed_at"), "shipping_fee", "order_total")
+
+
+def _current_versions(s: SparkSession, d: str) -> DataFrame:
+    sides = [(marts.dim_customers(s, d), "customer"), (marts.dim_products(s, d), "product")]
+    a, b = (df.where("is_current").select(F.lit(name).alias("dim"), F.col(f"{name}_id").alias("id"), "version") for df, name in sides)
+    return a.unionByName(b)
+
+
+def _pit_customer(s: SparkSession, d: str) -> DataFrame:
+    orders = marts.order_core(s, d).select("order_id", "customer_id", "placed_at")
+    return cdc.as_of(orders, marts.dim_customers(s, d), "customer_id", "placed_at", ["version", "province"]).drop("placed_at")
+
+
+def _order_items(s: SparkSession, d: str) -> DataFrame:
+    return _doubles(marts.fct_order_items(s, d), "unit_price", "line_revenue", "unit_cost_at_sale", "line_margin")
+
+
+def _fct_orders(s: SparkSession, d: str) -> DataFrame:
+    return _doubles(marts.fct_orders(s, d), "items_value", "shipping_fee", "order_total")
+
+
+def _standardised(s: SparkSession, d: str) -> DataFrame:
+    return quality.standardise(adapters.deliveries_raw(s, d))
+
+
+def _upserts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    ids = table(s, d, "events").select("event_id")
+    old = ids.where("event_id % 3 = 0").withColumn("origin", F.lit("old"))
+    return old, ids.withColumn("origin", F.lit("new"))
+
+
+def _upsert_ignore(s: SparkSession, d: str) -> DataFrame:
+    old, new = _upserts(s, d)
+    return old.unionByName(sinks.merge_ignore(old, new.unionByName(new), ["event_id"], ["origin"]))
+
+
+def _upsert_update(s: SparkSession, d: str) -> DataFrame:
+    old, new = _upserts(s, d)
+    return sinks.merge_update(old, new.where("event_id % 2 = 0"), ["event_id"], ["origin"])
+
+
+def _pending(s: SparkSession, d: str) -> DataFrame:
+    files = table(s, d, "orders").select(F.concat(F.lit("orders_"), F.date_format("o_orderdate", "yyyyMM"), F.lit(".csv")).alias("file_name")).distinct()
+    ledger = files.where("substr(file_name, 8, 4) < '1999'")
+    return sinks.pending_files(files.unionByName(s.range(1).select(F.lit(".part.csv").alias("file_name"))), ledger)
+
+
+QUERIES: dict[str, Query] = {
+    "clicks_parsed": lambda s, d: clicks.parse_messages(clicks.to_messages(adapters.clicks(s, d))).drop("cart_value", "order_id", "items"),
+    "clicks_dedup": lambda s, d: clicks.dedupe(adapters.clicks(s, d, repeated=True)).select("event_id", "event_time", "session_id", "event_type"),
+    "sessions": marts.sessions,
+    "late_events": lambda s, d: marts.sessions(s, d).groupBy("session_date").agg(F.sum("late_events").alias("late_events"), F.sum("events").alias("events")),
+    "funnel_windows": lambda s, d: clicks.funnel_windows(adapters.clicks(s, d)),
+    "funnel_windows_approx": lambda s, d: clicks.funnel_windows(adapters.clicks(s, d), exact=False),
+    "active_sessions_per_minute": lambda s, d: clicks.funnel_windows(adapters.clicks(s, d)).where("stage = 'any'").select("window_start", "sessions"),
+    "funnel_dense_series": lambda s, d: serve.live_funnel(s, d, "2024-01-15 12:00:00", 360),
+    "carts_abandoned": marts.carts,
+    "carts_value_by_day": lambda s, d: live.alerts_by_day(marts.carts(s, d)),
+    "carts_recovered_24h": marts.carts_recovered,
+    "abandoned_carts_daily": marts.abandoned_carts_daily,
+    "cdc_envelope": _cdc_envelope,
+    "cdc_orders_typed": lambda s, d: _doubles(cdc.typed(_order_messages(s, d), "orders"), "shipping_fee", "order_total"),
+    "orders_latest": _orders_latest,
+    "orders_milestones": lambda s, d: cdc.milestones(cdc.changes(adapters.order_changes(s, d))),
+    "orders_previous_status": lambda s, d: live.order_log(s, d).select("order_id", "ts_ms", "kafka_offset", "status", "previous_status"),
+    "order_items_latest": lambda s, d: _doubles(marts.order_lines(s, d).select("order_id", "product_id", "quantity", "unit_price"), "unit_price"),
+    "order_item_rollup": lambda s, d: _doubles(marts.item_rollup(s, d), "items_value"),
+    "dim_customers_scd2": lambda s, d: _texts(marts.dim_customers(s, d), "valid_from", "valid_to"),
+    "dim_products_scd2": lambda s, d: _texts(_doubles(marts.dim_products(s, d), "price", "cost"), "valid_from", "valid_to"),
+    "dim_current_versions": _current_versions,
+    "dim_date": marts.dim_date,
+    "pit_customer": _pit_customer,
+    "pit_product_margin": lambda s, d: _order_items(s, d).select("order_id", "product_id", "unit_cost_at_sale", "line_margin"),
+    "fct_orders": _fct_orders,
+    "fct_order_items": _order_items,
+    "fct_sessions": lambda s, d: _doubles(marts.fct_sessions(s, d), "order_total"),
+    "sales_daily": marts.sales_daily,
+    "sales_recent_days": lambda s, d: serve.sales_daily(s, d, 365),
+    "funnel_daily": marts.funnel_daily,
+    "funnel_by_day": serve.funnel_by_day,
+    "funnel_by_source": serve.funnel_by_source,
+    "delivery_latest": marts.delivery_latest,
+    "delivery_sla": marts.delivery_sla,
+    "delivery_sla_weighted": serve.delivery_sla_weighted,
+    "rfm_scores": lambda s, d: marts.rfm(s, d).drop("first_name", "province", "segment"),
+    "rfm_segments": marts.rfm,
+    "segment_summary": serve.segments,
+    "dq_rule_results": lambda s, d: quality.rule_results(_standardised(s, d), quality.delivery_rules(), ["waybill", "status"]),
+    "dq_rejected": lambda s, d: quality.checked(_standardised(s, d), quality.delivery_rules()).where("failed_rules <> ''").select("waybill", "courier", "status", "attempts", "failed_rules"),
+    "dq_duplicates": lambda s, d: quality.not_unique(quality.checked(_standardised(s, d), quality.delivery_rules()).where("failed_rules = ''"), "waybill", "status"),
+    "dq_scorecard": marts.dq_scorecard,
+    "live_status_board": live.status_board,
+    "live_day_kpis": live.day_kpis,
+    "live_recent_orders": live.recent_orders,
+    "live_top_products": live.top_products,
+    "live_low_stock": live.low_stock,
+    "live_display_names": live.display_names,
+    "live_overview": lambda s, d: serve.overview(s, d, "1998-10-03"),
+    "price_history": lambda s, d: serve.price_history(s, d, PRODUCT),
+    "customer_profile": lambda s, d: serve.customer_profile(s, d, CUSTOMER),
+    "customer_history": lambda s, d: serve.customer_history(s, d, CUSTOMER),
+    "customer_recent_orders": lambda s, d: serve.customer_recent_orders(s, d, CUSTOMER),
+    "pii_masked": lambda s, d: marts.dim_customers(s, d).select("customer_sk", "email_masked", "phone_masked"),
+    "upsert_ignore": _upsert_ignore,
+    "upsert_update": _upsert_update,
+    "ledger_pending_files": _pending,
+    "assert_unique": lambda s, d: quality.not_unique(table(s, d, "lineitem"), "l_orderkey", "l_linenumber"),
+    "assert_not_null": lambda s, d: quality.is_null(marts.dim_customers(s, d), "phone_masked").select("customer_sk"),
+    "assert_accepted": lambda s, d: quality.not_accepted(marts.order_core(s, d), "status", ("PLACED", "PAID", "SHIPPED")).select("order_id", "status"),
+    "assert_between": lambda s, d: quality.outside(marts.dim_products(s, d), "margin_pct", 0.4, 1.0).select("product_sk", "margin_pct"),
+    "assert_one_current": lambda s, d: quality.several_current(customer=(marts.dim_customers(s, d), "customer_id"), product=(marts.dim_products(s, d), "product_id")),
+    "assert_totals_match": lambda s, d: _fct_orders(s, d).where("lines > 0 and abs(order_total - (items_value + shipping_fee)) > 0.01").select("order_id", "order_total", "items_value", "shipping_fee"),
+    "assert_no_pii": lambda s, d: marts.dim_customers(s, d).where("email_masked not like '%***@%' or not phone_masked rlike '[*]{5}'").select("customer_sk"),
+    "assert_funnel_monotonic": lambda s, d: marts.funnel_daily(s, d).where("not (added_to_cart >= reached_checkout and reached_checkout >= purchased)"),
+    "stream_bronze": replays.bronze,
+    "stream_funnel": replays.funnel,
+    "stream_carts": replays.carts,
+    "stream_cdc": replays.cdc,
+}
