@@ -26,8 +26,8 @@ LEAST_SCORE = 0.3
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the compression classifier rejects; learned from labels that are not held out."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~quality.held_out(F.col("doc_id")))
-    scored = quality.score(docs, quality.fit(docs, labels), docs.columns)
-    return scored.where(F.col("score") >= LEAST_SCORE).select(*docs.columns)
+    scored = quality.score(docs, quality.fit(docs, labels), docs.columns, name="_quality_score")
+    return scored.where(F.col("_quality_score") >= LEAST_SCORE).select(*docs.columns)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,10 +39,10 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 def remove_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes every byte inside a 200-byte string that occurs more than once; halves of characters go with it."""
     cut = suffix.repeated_strings(docs, with_text=True).where("n_removed > 0")
-    new = cut.select(F.col("doc_id").alias("_id"), F.col("kept").alias("_text"))
-    joined = docs.join(new, docs["doc_id"] == new["_id"], "left")
-    kept = F.when(F.col("_id").isNotNull(), F.col("_text")).otherwise(F.col("text"))
-    return joined.withColumn("text", kept).withColumn("n_chars", F.when(F.col("_id").isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    new = cut.select(F.col("doc_id").alias("_cut_id"), F.col("kept").alias("_cut_text"))
+    joined = docs.join(new, docs["doc_id"] == new["_cut_id"], "left")
+    kept = F.when(F.col("_cut_id").isNotNull(), F.col("_cut_text")).otherwise(F.col("text"))
+    return joined.withColumn("text", kept).withColumn("n_chars", F.when(F.col("_cut_id").isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,11 +1 @@
-"""Operators of a training-data pipeline; nothing outside this subpackage imports it.
-
-Functions that run inside Python workers are sent by value, so executors need
-only the public libraries, not this package on their path.
-"""
-
-import sys
-
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+"""Operators of a training-data pipeline; nothing outside this subpackage imports it."""

@@ -180,10 +180,10 @@ def fit(docs: DataFrame, vocabulary: list[bytes], text: str = "text", lang: str
     alphabet = sorted({0x20} | {int(r["b"], 16) for r in seen})
     model = _empty_model(languages, vocabulary, alphabet)
     for _ in range(rounds):
-        shared = spark.sparkContext.broadcast(model)  # vocabulary x languages: bounded by the vocabulary
+        shared = spark.sparkContext.broadcast(tuple(model))  # vocabulary x languages: bounded by the vocabulary
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            now = shared.value
+            now = Model(*shared.value)
             total = np.zeros_like(now.probability)
             for batch in batches:
                 data, starts = text_bytes(batch.column(1))
@@ -217,12 +217,12 @@ def _has_letter(raw: bytes) -> bool:
 
 def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """The columns in keep, ``lang_pred`` and ``score``; every word of every text counts."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(model))  # pieces x languages
     letters = np.zeros(256, dtype=bool)
     letters[[*range(65, 91), *range(97, 123)]] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = shared.value
+        now = Model(*shared.value)
         names = np.array([*now.languages, "und"], dtype=object)
         for batch in batches:
             data, starts = text_bytes(batch.column(len(keep)))

@@ -82,10 +82,10 @@ class Encoder:
 
 def pieces(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text", size: int = 2048) -> DataFrame:
     """(key, piece, start, length, ids_crc32): every document in pieces of at most ``size`` ids; only the first may be shorter."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # two files of fixed size
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(vocabulary))  # two files of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(shared.value)
+        encode = Encoder(Vocabulary(*shared.value))
         for batch in batches:
             rows: list[tuple[int, int, int, int, int]] = []
             for i, value in enumerate(batch.column(1)):

@@ -110,19 +110,19 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return model._replace(slope=slope, offset=offset)
 
 
-def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns in keep and ``score``, the higher the likelier label 1; every whole text is compressed."""
+def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", name: str = "score") -> DataFrame:
+    """The columns in keep and a score, named so, the higher the likelier label 1; every whole text is compressed."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # two dictionaries of a fixed size
+    shared = spark.sparkContext.broadcast(tuple(model))  # two dictionaries of a fixed size
     at = keep.index(text) if text in keep else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = shared.value
+        fitted = Model(*shared.value)
         for batch in batches:
             data, starts = text_bytes(batch.column(at))
             x = _savings([data[starts[i] : starts[i + 1]].tobytes() for i in range(len(batch))], fitted)
             values = 1 / (1 + np.exp(-np.clip(fitted.slope * x + fitted.offset, -700, 700)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(values)], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(values)], names=[*keep, name])
 
-    schema = docs.select(*keep).schema.add("score", "double")
+    schema = docs.select(*keep).schema.add(name, "double")
     return docs.select(*keep, *([] if text in keep else [text])).mapInArrow(run, schema)

@@ -13,12 +13,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_chosen: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's shared folder for intermediate tables."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        session = spark.sparkContext.applicationId
+        named = _chosen.setdefault(session, "") or "file://" + tempfile.mkdtemp(prefix="checkpoints-")
+        _chosen[session] = named
     return named.rstrip("/")
 
 
