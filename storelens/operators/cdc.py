@@ -36,13 +36,14 @@ def to_envelopes(changes: DataFrame, table: str) -> DataFrame:
 
 
 def parse_envelopes(stream: DataFrame) -> DataFrame:
-    """(table_name, op, ts_ms, kafka_offset, before_json, after_json) of change messages; junk is dropped."""
-    read = stream.where(F.col("value").isNotNull()).select(
-        F.get_json_object("value", "$.source.table").alias("table_name"),
-        F.get_json_object("value", "$.op").alias("op"),
-        F.get_json_object("value", "$.source.ts_ms").try_cast("long").alias("ts_ms"),
+    """(table_name, op, ts_ms, kafka_offset, before_json, after_json) of change messages, each read once; junk is dropped."""
+    message = F.from_json("value", "before string, after string, op string, source struct<table: string, ts_ms: string>").alias("m")
+    read = stream.where(F.col("value").isNotNull()).select(message, "kafka_offset").select(
+        F.col("m.source.table").alias("table_name"),
+        F.col("m.op").alias("op"),
+        F.col("m.source.ts_ms").try_cast("long").alias("ts_ms"),
         "kafka_offset",
-        *(F.when(F.get_json_object("value", f"$.{side}") != "null", F.get_json_object("value", f"$.{side}")).alias(f"{side}_json") for side in ("before", "after")),
+        *(F.when(F.col(f"m.{side}") != "null", F.col(f"m.{side}")).alias(f"{side}_json") for side in ("before", "after")),
     )
     return read.where("table_name is not null and op is not null")
 
@@ -63,7 +64,7 @@ def changes(log: DataFrame) -> DataFrame:
 
 
 def latest(log: DataFrame, *keys: str) -> DataFrame:
-    """The last change of every key, merged before the shuffle instead of sorted."""
+    """The last change of every key, merged before the shuffle."""
     rest = [c for c in log.columns if c not in keys]
     last = log.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("ts_ms", "kafka_offset")).alias("_row"))
     return last.select(*keys, *(F.col(f"_row.{c}") for c in rest))

@@ -33,15 +33,20 @@ def with_tiles(df: DataFrame, tiles: int, key: str, **metrics: str) -> DataFrame
     doubles = df.select(*(F.col(c).cast("double").alias(c) for c in columns))
     found = doubles.approxQuantile(columns, [i / BOUNDARIES for i in range(1, BOUNDARIES)], 1 / (4 * BOUNDARIES))
     cuts = {c: sorted(set(q)) or [0.0] for c, q in zip(columns, found, strict=True)}
+    at = df.withColumns({f"_bucket_{name}": _bucket(metric, key, cuts) for name, metric in metrics.items()})
+    pairs = F.array(*(F.struct(F.lit(name).alias("name"), F.col(f"_bucket_{name}").alias("bucket")) for name in metrics))
+    counted = at.select(F.explode(pairs).alias("p")).groupBy("p.name", "p.bucket").count().collect()  # some thousands of buckets at most
     for name, metric in metrics.items():
-        at = df.withColumn("_bucket", _bucket(metric, key, cuts))
-        counts = at.groupBy("_bucket").agg(F.count("*").alias("_n"))
-        everything = Window.orderBy("_bucket")  # a few thousand buckets at most
-        offsets = counts.select("_bucket", (F.sum("_n").over(everything) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
-        numbered = at.withColumn("_row", F.row_number().over(Window.partitionBy("_bucket").orderBy(metric, key)))
-        ranked = numbered.join(F.broadcast(offsets), "_bucket").withColumn("_rank", F.col("_before") + F.col("_row") - 1)
-        small = F.floor(F.col("_all") / tiles)
-        longer = F.col("_all") % tiles  # that many tiles have one row more
-        tile = F.when(F.col("_rank") < longer * (small + 1), F.floor(F.col("_rank") / (small + 1))).otherwise(longer + F.floor((F.col("_rank") - longer * (small + 1)) / F.greatest(small, F.lit(1))))
-        df = ranked.withColumn(name, (tile + 1).cast("int")).drop("_bucket", "_row", "_before", "_all", "_rank")
-    return df
+        before, rows = 0, []
+        for bucket, n in sorted((r["bucket"], r["count"]) for r in counted if r["name"] == name):
+            rows.append((bucket, before))
+            before += n
+        offsets = df.sparkSession.createDataFrame(rows, f"_bucket_{name} int, _before long")
+        numbered = at.withColumn("_row", F.row_number().over(Window.partitionBy(f"_bucket_{name}").orderBy(metric, key)))
+        rank = F.col("_before") + F.col("_row") - 1
+        small, longer = before // tiles, before % tiles  # that many tiles have one row more
+        first = F.floor(rank / (small + 1))
+        later = longer + F.floor((rank - longer * (small + 1)) / max(small, 1))
+        tile = F.when(rank < longer * (small + 1), first).otherwise(later) + 1
+        at = numbered.join(F.broadcast(offsets), f"_bucket_{name}").withColumn(name, tile.cast("int")).drop("_row", "_before", f"_bucket_{name}")
+    return at
