@@ -10,7 +10,7 @@ The fit uses a bounded sample: at most ``sample`` labelled texts of each class,
 those with the smallest hash, half for the dictionaries and half for the curve.
 Only texts enter a score.
 
-Nulls and empty texts save nothing and take the curve's value there.  Labels
+Nulls and empty texts take the usual text's score.  Labels
 other than 0 and 1 are ignored; of repeated labels of one id each counts.  With
 no usable labels of one class every score is the share of good labels, or 0.5.
 """
@@ -36,6 +36,8 @@ class Model(NamedTuple):
     offset: float
     piece: int
     level: int
+    usual: float = 0.0  # bytes saved per byte of text, over the labelled texts
+    prior: int = 0  # bytes of such usual text that are added to every text
 
 
 def held_out(doc_id: Column, modulus: int = 5, remainder: int = 0) -> Column:
@@ -53,12 +55,15 @@ def _compressor(dictionary: bytes, level: int) -> zstandard.ZstdCompressor:
 
 
 def _savings(texts: list[bytes], model: Model) -> np.ndarray:
-    """Bytes that the good dictionary saves over the bad one, per byte of text."""
+    """Bytes that the good dictionary saves over the bad one, per byte of text and of the usual text added.
+
+    The addition keeps texts of a few words, which say little, near the usual.
+    """
     good, bad = _compressor(model.good, model.level), _compressor(model.bad, model.level)
     out = np.zeros(len(texts))
     for i, raw in enumerate(texts):
-        if raw:
-            out[i] = sum(len(bad.compress(p)) - len(good.compress(p)) for p in _pieces(raw, model.piece)) / len(raw)
+        saved = sum(len(bad.compress(p)) - len(good.compress(p)) for p in _pieces(raw, model.piece))
+        out[i] = (saved + model.usual * model.prior) / max(1, len(raw) + model.prior)
     return out
 
 
@@ -86,7 +91,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return max(float(beta[0]), 1e-6) / scale, float(beta[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = 3000, dictionary_bytes: int = 256 << 10, piece: int = 512, level: int = 3) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = 3000, dictionary_bytes: int = 256 << 10, piece: int = 512, level: int = 3, prior: int = 192) -> Model:
     """Fits the model on at most ``sample`` texts of each class; callers drop held-out labels beforehand."""
     marked = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).where("label in (0, 1) and key is not null")
     counts = {r["label"]: r["n"] for r in marked.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -103,10 +108,12 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     sets = {c: [r["text"].encode() for r in rows if r["label"] == c] for c in (0, 1)}
     model = Model(_dictionary(sets[1][::2], dictionary_bytes, piece), _dictionary(sets[0][::2], dictionary_bytes, piece), 1.0, 0.0, piece, level)
     rest = {c: sets[c][1::2] for c in (0, 1)}
-    x = _savings(rest[0] + rest[1], model)
+    sizes = np.array([len(raw) for raw in rest[0] + rest[1]], dtype=float)
     y = np.repeat([0.0, 1.0], [len(rest[0]), len(rest[1])])
-    weight = np.repeat([counts[0] / total / max(1, len(rest[0])), counts[1] / total / max(1, len(rest[1]))], [len(rest[0]), len(rest[1])]) * len(x)
-    slope, offset = _logistic(x, y, weight)
+    weight = np.repeat([counts[0] / total / max(1, len(rest[0])), counts[1] / total / max(1, len(rest[1]))], [len(rest[0]), len(rest[1])]) * len(sizes)
+    raw_savings = _savings(rest[0] + rest[1], model) * sizes
+    model = model._replace(usual=float((weight * raw_savings).sum() / max(1.0, (weight * sizes).sum())), prior=prior)
+    slope, offset = _logistic((raw_savings + model.usual * prior) / np.maximum(1, sizes + prior), y, weight)
     return model._replace(slope=slope, offset=offset)
 
 
