@@ -44,6 +44,10 @@ BOILERPLATE = frozenset(
 )
 
 
+#: Words that make a header part of the text it heads.
+CONTENT = frozenset("article post entry content story".split())
+
+
 class Node:
     __slots__ = ("tag", "parent", "children", "text", "linked", "points", "dropped")
 
@@ -63,7 +67,7 @@ def _is_boilerplate(tag: str, attributes: str, inside: bool) -> bool:
         return True
     for m in _NAMES.finditer(attributes):
         found = set(_WORD.findall((m[1] or m[2] or m[3] or "").lower()))
-        if found & BOILERPLATE or ("header" in found and not inside) or ("side" in found and "bar" in found):
+        if found & BOILERPLATE or ("header" in found and not inside and not found & CONTENT) or ("side" in found and "bar" in found):
             return tag not in ("body", "html", "main", "article")
     return False
 
@@ -201,6 +205,16 @@ def main_text(page: str) -> str:
         return " ".join(_blocks(root))
     while best.parent is not None and best.tag in PARAGRAPHS | {"tr", "tbody", "ul", "ol"}:
         best = best.parent
+    holders = []
+    node: Node | None = best
+    while node is not None:
+        holders.append(node)
+        node = node.parent
+    for tag in ("article", "main"):  # the page's own mark of the text around the best container
+        marked = next((h for h in holders if h.tag == tag), None)
+        if marked is not None:
+            best = marked
+            break
     if best.parent is None:
         return " ".join(_blocks(best))
     least = max(5.0, _value(best) * 0.2)

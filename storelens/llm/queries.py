@@ -70,7 +70,7 @@ URL_RULES = (
 
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's URL judged by rules, then by its redirect and canonical aliases."""
-    judged = urls.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+    judged = urls.judge(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
