@@ -40,8 +40,8 @@ from storelens.llm.components import connected_components
 SKETCH_WORDS = 16
 #: Standard errors by which a sketch may stay below the similarity before a pair is given up unconfirmed.
 SLACK = 4.5
-#: Members of a band key up to which its open pairs are listed by a join; larger keys go by blocks of this size.
-BLOCK = 64
+#: Members of a band key up to which its open pairs are found by a join; larger keys go by blocks of BLOCK.
+LISTED, BLOCK = 64, 512
 
 
 def shingle_sets(data: np.ndarray, starts: np.ndarray, width: int) -> list[np.ndarray]:
@@ -199,7 +199,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int,
 
 
 def _block_pairs(members: DataFrame, samples: int, percent: int) -> DataFrame:
-    """Pairs across components in keys of more than BLOCK members, block by block, filtered by sketch."""
+    """Pairs across components in keys of more than LISTED members, block by block, filtered by sketch."""
     limit = most_different(samples, percent / 100)
     n_blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), n_blocks).cast("int")
@@ -264,10 +264,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     parts = storage.written(connected_components(links), "parts")
 
     unsettled = placed(parts)
-    small = unsettled.where(F.col("members") <= BLOCK).join(lookup, "id")
+    small = unsettled.where(F.col("members") <= LISTED).join(lookup, "id")
     inside = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & sketches_allow("x", "y", samples, percent)
     listed = small.alias("x").join(small.alias("y"), inside).select(F.col("x.id").alias("u"), F.col("y.id").alias("v"))
-    large = _block_pairs(unsettled.where(F.col("members") > BLOCK).join(lookup, "id"), samples, percent)
+    large = _block_pairs(unsettled.where(F.col("members") > LISTED).join(lookup, "id"), samples, percent)
     open_pairs = storage.written(listed.unionByName(large).distinct(), "pairs")
     storage.release(spark)
     links = links.unionByName(confirm(open_pairs, docs, key, text, width, percent))
