@@ -7,8 +7,6 @@ neighbours is never gathered into one task.
 
 from __future__ import annotations
 
-import contextlib
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,26 +27,26 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, rounds: int = 60, scratch: storage.Scratch | None = None) -> DataFrame:
     """(node, component) of every node that has an edge; component is its smallest reachable node.
 
     edges: columns u and v of one orderable type, in either direction; loops,
     repeated rows and rows with a null end count for nothing.  An empty edge
-    list gives an empty table.
+    list gives an empty table.  The result reads a table in scratch, if given.
     """
     spark = edges.sparkSession
+    scratch = scratch or storage.Scratch(spark, "components")
     now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u is not null and v is not null and u <> v").distinct()
-    path = storage.new_path(spark, "edges")
+    path = scratch.path("edges")
     now, before = storage.written(now, "edges", path), None
     for _ in range(rounds):
         n, check = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if not n or (n, check) == before:
             break
         before = (n, check)
-        new_path = storage.new_path(spark, "edges")
+        new_path = scratch.path("edges")
         new = storage.written(_small_star(_large_star(now)).distinct(), "edges", new_path)
-        with contextlib.suppress(Exception):
-            storage.drop(spark, path)
+        storage.drop(spark, path)
         now, path = new, new_path
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -231,12 +231,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     kept marks the row that carries it.
     """
     spark, samples = docs.sparkSession, rows * bands
-    table = storage.written(sketches(docs, key, text, width, rows, bands), "sketches")
-    classes = storage.written(table.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("id").alias("rep")), "classes")
+    scratch = storage.Scratch(spark, "neardup")
+    table = scratch.written(sketches(docs, key, text, width, rows, bands), "sketches")
+    classes = scratch.written(table.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("id").alias("rep")), "classes")
     reps = table.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
     keyed = reps.select("id", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("members")).where("members > 1")
-    members = storage.written(keyed.join(shared, "key"), "members")
+    members = scratch.written(keyed.join(shared, "key"), "members")
     storage.release(spark)
     lookup = table.where("n_shingles > 0").select("id", "n_shingles", "sketch", "parity")
 
@@ -244,7 +245,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         """The links among pairs (u, v): by sketch inside the join, then on full sets."""
         with_u = pairs.select("u", "v").distinct().join(lookup, F.col("u") == F.col("id")).drop("id").alias("x")
         passed = with_u.join(lookup.alias("y"), (F.col("x.v") == F.col("y.id")) & sketches_allow("x", "y", samples, percent)).select("u", "v")
-        links = storage.written(confirm(storage.written(passed, "pairs"), docs, key, text, width, percent), "links")
+        links = scratch.written(confirm(scratch.written(passed, "pairs"), docs, key, text, width, percent), "links")
         storage.release(spark)
         return links
 
@@ -252,28 +253,32 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         """Members of keys that lie in several components, with their component."""
         now = members.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         several = now.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b").select("key")
-        return storage.written(now.join(several, "key"), "unsettled")
+        return scratch.written(now.join(several, "key"), "unsettled")
 
     links = confirmed(members.where("id <> centre").select(F.col("id").alias("u"), F.col("centre").alias("v")))
-    parts = storage.written(connected_components(links), "parts")
+    parts = scratch.written(connected_components(links, scratch=scratch), "parts")
 
     unsettled = placed(parts)
     centres = unsettled.groupBy("key").agg(F.min_by(F.struct("id", "component"), F.xxhash64("key", "id")).alias("to"))
     again = unsettled.join(centres, "key").where("component <> to.component").select(F.col("id").alias("u"), F.col("to.id").alias("v"))
     links = links.unionByName(confirmed(again))
-    parts = storage.written(connected_components(links), "parts")
+    parts = scratch.written(connected_components(links, scratch=scratch), "parts")
 
     unsettled = placed(parts)
     small = unsettled.where(F.col("members") <= LISTED).join(lookup, "id")
     inside = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & sketches_allow("x", "y", samples, percent)
     listed = small.alias("x").join(small.alias("y"), inside).select(F.col("x.id").alias("u"), F.col("y.id").alias("v"))
     large = _block_pairs(unsettled.where(F.col("members") > LISTED).join(lookup, "id"), samples, percent)
-    open_pairs = storage.written(listed.unionByName(large).distinct(), "pairs")
+    open_pairs = scratch.written(listed.unionByName(large).distinct(), "pairs")
     storage.release(spark)
     links = links.unionByName(confirm(open_pairs, docs, key, text, width, percent))
-    parts = connected_components(links).withColumnRenamed("node", "rep")
+    parts = connected_components(links, scratch=scratch).withColumnRenamed("node", "rep")
 
     of_class = classes.join(parts, "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
     found = table.select("id", "n_shingles", "f1", "f2").join(of_class, ["f1", "f2"], "left")
     component = F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component")), F.col("id"))
-    return found.select(F.col("id").alias(key), "n_shingles", component.alias("component_id")).withColumn("kept", F.col(key) == F.col("component_id"))
+    result = found.select(F.col("id").alias(key), "n_shingles", component.alias("component_id")).withColumn("kept", F.col(key) == F.col("component_id"))
+    result = storage.written(result, "near-duplicates")
+    scratch.drop()
+    storage.release(spark)
+    return result

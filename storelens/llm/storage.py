@@ -43,6 +43,23 @@ def drop(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+class Scratch:
+    """Tables of one computation below one folder, deleted together when its result is written."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.n = spark, new_path(spark, name), 0
+
+    def path(self, name: str) -> str:
+        self.n += 1
+        return f"{self.root}/{self.n}-{name}"
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        return written(df, name, self.path(name))
+
+    def drop(self) -> None:
+        drop(self.spark, self.root)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete the shuffle files of steps whose tables are written.
 
