@@ -143,6 +143,9 @@ QUERIES: dict[str, Query] = {
     "live_top_products": live.top_products,
     "live_low_stock": live.low_stock,
     "live_display_names": live.display_names,
+    "live_recent_alerts": serve.recent_alerts,
+    "live_best_sellers": lambda s, d: serve.best_sellers(s, d, "1998-10-03", "units"),
+    "live_lowest_stock": serve.lowest_stock,
     "live_overview": lambda s, d: serve.overview(s, d, "1998-10-03"),
     "price_history": lambda s, d: serve.price_history(s, d, PRODUCT),
     "customer_profile": lambda s, d: serve.customer_profile(s, d, CUSTOMER),

@@ -223,6 +223,9 @@ _SELECT: dict[str, str] = {
     "live_top_products": "SELECT *, row_number() OVER (PARTITION BY day ORDER BY revenue DESC, CAST(product_id AS VARCHAR) DESC) AS place FROM product_days QUALIFY place <= 3",
     "live_low_stock": "SELECT product_id, stock_on_hand FROM stock WHERE stock_on_hand <= 10",
     "live_display_names": "SELECT DISTINCT 'product' AS kind, product_id AS id, product_name AS name FROM product_log UNION ALL SELECT 'customer', customer_id, first_name FROM customer_log WHERE op <> 'd' QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY seq DESC) = 1",
+    "live_recent_alerts": "SELECT session_id, coalesce(first_name, 'Guest') AS name, cart_value, items, last_activity_at FROM (SELECT * FROM carts ORDER BY last_activity_at DESC, session_id LIMIT 20) c LEFT JOIN (SELECT customer_id, first_name FROM customer_log WHERE op = 'c') n USING (customer_id)",
+    "live_best_sellers": "SELECT product_id, p_name AS name, units, revenue FROM (SELECT * FROM product_days WHERE day = DATE '1998-10-03' ORDER BY units DESC, CAST(product_id AS VARCHAR) DESC LIMIT 10) JOIN part ON p_partkey = product_id",
+    "live_lowest_stock": "SELECT product_id, CASE WHEN EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = product_id) THEN p_name END AS name, stock_on_hand FROM (SELECT * FROM stock WHERE stock_on_hand <= 10 ORDER BY stock_on_hand, CAST(product_id AS VARCHAR) LIMIT 20) JOIN part ON p_partkey = product_id",
     "live_overview": "SELECT k.*, (SELECT count(*) FROM order_core WHERE status IN ('PLACED','PAID','SHIPPED')) AS open_orders, coalesce(floor(revenue / CAST(nullif(orders, 0) AS DOUBLE) * 100.0 + 0.5) / 100.0, 0.0) AS avg_order_value FROM (SELECT count(*) FILTER (op = 'c') AS orders, CAST(coalesce(sum(order_total) FILTER (op = 'c'), 0) AS DOUBLE) AS revenue, count(*) FILTER (op = 'u' AND status = 'CANCELLED') AS cancelled FROM order_log WHERE CAST(changed_at + INTERVAL 2 HOUR AS DATE) = DATE '1998-10-03') k",
     "price_history": f"SELECT version, product_name, CAST(price AS DOUBLE) AS price, CAST(cost AS DOUBLE) AS cost, margin_pct, is_current, {_OPEN} FROM dim_products WHERE product_id = 42",
     "customer_profile": "SELECT c.customer_id, c.first_name, last_initial, email_masked, c.province, city, marketing_opt_in, version, segment, recency_days, frequency, monetary FROM dim_customers c LEFT JOIN rfm USING (customer_id) WHERE customer_id = 42 AND is_current",

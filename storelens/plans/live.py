@@ -69,6 +69,11 @@ def display_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return products.unionByName(customers)
 
 
+def retained(view: DataFrame, column: str, now: str, kind: str) -> DataFrame:
+    """The rows of a live view that have not expired: day views after 3 days, guards after 7."""
+    return view.where(F.col(column) >= F.lit(now).cast("timestamp_ntz") - F.make_dt_interval(days=F.lit(RETENTION_DAYS[kind])))
+
+
 def alerts_by_day(carts: DataFrame) -> DataFrame:
     """Abandoned carts by the day of their last activity; a session counts once, ever."""
     once = carts.groupBy("session_id").agg(F.min_by(F.struct("last_activity_at", "cart_value"), "last_activity_at").alias("a"))

@@ -85,6 +85,33 @@ def data_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marts.dq_scorecard(spark, sf_dir).orderBy("pass_rate", "dataset", "rule_name")
 
 
+def _named(df: DataFrame, spark: SparkSession, sf_dir: str, kind: str, key: str) -> DataFrame:
+    names = live.display_names(spark, sf_dir).where(F.col("kind") == kind).select(F.col("id").alias("_id"), "name")
+    return df.join(names, F.col(key) == F.col("_id"), "left").drop("_id")
+
+
+def recent_alerts(spark: SparkSession, sf_dir: str, limit: int = 20) -> DataFrame:
+    """The abandoned carts of last activity, latest first; unknown customers are guests."""
+    last = marts.carts(spark, sf_dir).orderBy(F.desc("last_activity_at"), "session_id").limit(bounded(limit, 1, 100))
+    named = _named(last, spark, sf_dir, "customer", "customer_id")
+    return named.withColumn("name", F.coalesce("name", F.lit("Guest"))).select("session_id", "name", "cart_value", "items", "last_activity_at")
+
+
+def best_sellers(spark: SparkSession, sf_dir: str, day: str, by: str = "revenue", limit: int = 10) -> DataFrame:
+    """A day's products by revenue or units with their names; ties go to the larger id as text."""
+    if by not in ("revenue", "units"):
+        raise ValueError(f"products are ranked by revenue or units, not {by}")
+    today = live.product_days(spark, sf_dir).where(F.col("day") == F.lit(day).cast("date"))
+    top = today.orderBy(F.desc(by), F.col("product_id").cast("string").desc()).limit(bounded(limit, 1, 50))
+    return _named(top, spark, sf_dir, "product", "product_id").select("product_id", "name", "units", "revenue")
+
+
+def lowest_stock(spark: SparkSession, sf_dir: str, limit: int = 20) -> DataFrame:
+    """Products under the threshold, least stock first; ties go to the smaller id as text."""
+    low = live.low_stock(spark, sf_dir).orderBy("stock_on_hand", F.col("product_id").cast("string")).limit(bounded(limit, 1, 100))
+    return _named(low, spark, sf_dir, "product", "product_id").select("product_id", "name", "stock_on_hand")
+
+
 def overview(spark: SparkSession, sf_dir: str, day: str) -> DataFrame:
     """One row: a day's orders, revenue and average, and the orders open now."""
     today = live.day_kpis(spark, sf_dir).where(F.col("day") == F.lit(day).cast("date"))

@@ -142,3 +142,12 @@ def test_stale_source(spark):
     loaded = spark.sql("select timestamp_ntz'2024-01-01 20:00:00' t")
     assert quality.stale(loaded, "t", now, "1 hour", "6 hours").first().state == "warn"
     assert quality.stale(loaded.limit(0), "t", now, "1 hour", "6 hours").first().state == "error"
+
+
+def test_live_rows_expire(spark):
+    from storelens.plans import live
+
+    view = spark.sql("select timestamp_ntz'2024-01-01 00:00:00' t union all select timestamp_ntz'2024-01-09 00:00:00'")
+    assert live.retained(view, "t", "2024-01-10 00:00:00", "day").count() == 1
+    with pytest.raises(ValueError):
+        serve.best_sellers(spark, "", "2024-01-01", by="name")
