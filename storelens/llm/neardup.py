@@ -6,9 +6,10 @@
    which two bitmaps differ estimate the samples in which two documents differ,
    and bound from below the shingles that only one of them has.
 2. Documents with the same shingle set are one class, kept as its smallest id.
-3. Classes that share a band key are compared with one of them, first the
-   smallest, then, in keys that are not settled, a random one.  Pairs whose
-   sketches allow the similarity are confirmed on the full sets.
+3. Classes that share a band key are compared with one of them, the first in
+   one of a few random orders, so that a class meets several such centres of
+   its group.  Pairs whose sketches allow the similarity are confirmed on the
+   full sets.
 4. Components of the confirmed links are contracted.  A key whose classes are
    still in several components has all its pairs across components compared by
    sketch, inside the join or in blocks of bounded size, and only those that
@@ -42,6 +43,8 @@ SKETCH_WORDS = 16
 SLACK = 4.5
 #: Members of a band key up to which its open pairs are found by a join; larger keys go by blocks of BLOCK.
 LISTED, BLOCK = 64, 512
+#: Random orders among which a key's centre is the first.
+CENTRES = 4
 
 
 def shingle_sets(data: np.ndarray, starts: np.ndarray, width: int) -> list[np.ndarray]:
@@ -236,7 +239,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     classes = scratch.written(table.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("id").alias("rep")), "classes")
     reps = table.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
     keyed = reps.select("id", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("members")).where("members > 1")
+    order = F.xxhash64("id", F.pmod("key", F.lit(CENTRES)))
+    shared = keyed.groupBy("key").agg(F.min_by("id", order).alias("centre"), F.count("*").alias("members")).where("members > 1")
     members = scratch.written(keyed.join(shared, "key"), "members")
     storage.release(spark)
     lookup = table.where("n_shingles > 0").select("id", "n_shingles", "sketch", "parity")
@@ -249,22 +253,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         storage.release(spark)
         return links
 
-    def placed(parts: DataFrame) -> DataFrame:
-        """Members of keys that lie in several components, with their component."""
-        now = members.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        several = now.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b").select("key")
-        return scratch.written(now.join(several, "key"), "unsettled")
-
-    links = confirmed(members.where("id <> centre").select(F.col("id").alias("u"), F.col("centre").alias("v")))
-    parts = scratch.written(connected_components(links, scratch=scratch), "parts")
-
-    unsettled = placed(parts)
-    centres = unsettled.groupBy("key").agg(F.min_by(F.struct("id", "component"), F.xxhash64("key", "id")).alias("to"))
-    again = unsettled.join(centres, "key").where("component <> to.component").select(F.col("id").alias("u"), F.col("to.id").alias("v"))
-    links = links.unionByName(confirmed(again))
+    links = confirmed(members.where("id <> centre").select(F.greatest("id", "centre").alias("u"), F.least("id", "centre").alias("v")))
     parts = scratch.written(connected_components(links, scratch=scratch), "parts")
 
-    unsettled = placed(parts)
+    now = members.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    several = now.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b").select("key")
+    unsettled = scratch.written(now.join(several, "key"), "unsettled")
     small = unsettled.where(F.col("members") <= LISTED).join(lookup, "id")
     inside = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & sketches_allow("x", "y", samples, percent)
     listed = small.alias("x").join(small.alias("y"), inside).select(F.col("x.id").alias("u"), F.col("y.id").alias("v"))
