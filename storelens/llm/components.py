@@ -27,28 +27,35 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
 
-def connected_components(edges: DataFrame, rounds: int = 60, scratch: storage.Scratch | None = None) -> DataFrame:
-    """(node, component) of every node that has an edge; component is its smallest reachable node.
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one edge, to a node that has none: then the edges are the components."""
+    ends = edges.select(F.col("v").alias("end")).distinct()
+    per_node = edges.groupBy("u").agg(F.count("*").alias("n"))
+    return per_node.join(ends, F.col("u") == F.col("end"), "left").where("n > 1 or end is not null").isEmpty()
 
-    edges: columns u and v of one orderable type, in either direction; loops,
-    repeated rows and rows with a null end count for nothing.  An empty edge
-    list gives an empty table.  The result reads a table in scratch, if given.
-    """
+
+def component_leaves(edges: DataFrame, scratch: storage.Scratch, rounds: int = 60) -> DataFrame:
+    """(node, component) of every node but the smallest of each component; reads a table in scratch."""
     spark = edges.sparkSession
-    scratch = scratch or storage.Scratch(spark, "components")
-    now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u is not null and v is not null and u <> v").distinct()
     path = scratch.path("edges")
-    now, before = storage.written(now, "edges", path), None
+    now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u is not null and v is not null and u <> v")
+    now = storage.written(now, "edges", path)
     for _ in range(rounds):
-        n, check = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if not n or (n, check) == before:
-            break
-        before = (n, check)
+        if _settled(now):
+            return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         new_path = scratch.path("edges")
-        new = storage.written(_small_star(_large_star(now)).distinct(), "edges", new_path)
+        new = storage.written(_small_star(_large_star(now)), "edges", new_path)
         storage.drop(spark, path)
         now, path = new, new_path
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    leaves = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return leaves.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(node, component) of every node that has an edge; component is its smallest reachable node.
+
+    edges: columns u and v of one orderable type, in either direction; loops,
+    repeated rows and rows with a null end count for nothing.  An empty edge
+    list gives an empty table.
+    """
+    leaves = component_leaves(edges, storage.Scratch(edges.sparkSession, "components"), rounds)
+    return leaves.unionByName(leaves.select(F.col("component").alias("node"), "component").distinct())

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from storelens.llm import storage
 from storelens.llm.blocks import U64, blocks, mix, random_words, text_bytes, word_hashes, words
-from storelens.llm.components import connected_components
+from storelens.llm.components import component_leaves
 
 SKETCH_WORDS = 16
 #: Standard errors by which a sketch may stay below the similarity before a pair is given up unconfirmed.
@@ -254,7 +254,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         return links
 
     links = confirmed(members.where("id <> centre").select(F.greatest("id", "centre").alias("u"), F.least("id", "centre").alias("v")))
-    parts = scratch.written(connected_components(links, scratch=scratch), "parts")
+    parts = component_leaves(links, scratch)
 
     now = members.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     several = now.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b").select("key")
@@ -266,7 +266,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     open_pairs = scratch.written(listed.unionByName(large).distinct(), "pairs")
     storage.release(spark)
     links = links.unionByName(confirm(open_pairs, docs, key, text, width, percent))
-    parts = connected_components(links, scratch=scratch).withColumnRenamed("node", "rep")
+    parts = component_leaves(links, scratch).withColumnRenamed("node", "rep")
 
     of_class = classes.join(parts, "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
     found = table.select("id", "n_shingles", "f1", "f2").join(of_class, ["f1", "f2"], "left")
