@@ -310,6 +310,30 @@ def test_decontamination_in_several_blocks(spark, sf_dir, docs):
     assert whole == cut
 
 
+def test_altered_copies_of_full_blocks_are_found(spark):
+    rng = random.Random(5)
+    kinds = [f"w{i}" for i in range(5000)]
+    items = [rng.choices(kinds, k=rng.randint(30, 60)) for _ in range(560)]
+    rows = [(n, rng.choices(kinds, k=200)) for n in range(150)]
+    for n, own in enumerate(items[::2]):
+        altered = [w if rng.random() < 0.65 else rng.choice(kinds) for w in own]
+        rows.append((1000 + n, [*rng.choices(kinds, k=rng.randint(0, 80)), *altered, *rng.choices(kinds, k=40)]))
+    docs = spark.createDataFrame([(n, " ".join(t)) for n, t in rows], "doc_id long, text string").coalesce(4).localCheckpoint()
+    benchmark = spark.createDataFrame([(n, " ".join(t), " ".join(t[::5])) for n, t in enumerate(items)], "item_id long, text string, answer string")
+    assert max(len(b.passages) for b in decontam.item_blocks(benchmark, decontam.Settings())) > 500
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, benchmark, answer="answer").collect()}
+    coded = lambda t: np.array([int(w[1:]) for w in t], np.uint64)
+    brute = set()
+    for doc, text in rows:
+        for n, own in enumerate(items):
+            if len(set(own).intersection(text)) > 10:  # fewer cannot be half of an item
+                lcs = decontam.common_subsequence(coded(own), coded(text)) / len(own)
+                if lcs >= 0.8 or (lcs >= 0.5 and len(set(own[::5]).intersection(text)) >= 0.6 * len(set(own[::5]))):
+                    brute.add((doc, n))
+    recall = len(brute & got) / len(brute)
+    assert len(brute) > 100 and recall >= 0.97, (recall, len(brute))
+
+
 @given(st.lists(st.integers(0, 5), max_size=30), st.lists(st.integers(0, 5), max_size=30))
 def test_common_subsequence(a, b):
     table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
