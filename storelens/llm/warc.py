@@ -66,7 +66,7 @@ def write_archive(pages: DataFrame, path: str, key: str = "page_id", url: str =
     )
     typed.select("record_id", "sha256", block.alias("header")).write.parquet(f"{path}/records")
     # The copies of a payload are merged before the shuffle; only one of each is sent from a task.
-    digested.groupBy("sha256").agg(F.max_by("payload", "record_id").alias("payload")).write.parquet(f"{path}/payloads")
+    digested.groupBy("sha256").agg(F.first("payload").alias("payload")).write.parquet(f"{path}/payloads")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:

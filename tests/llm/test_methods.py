@@ -391,6 +391,13 @@ def test_records_are_rebuilt_byte_for_byte(spark, tmp_path):
     assert {r.record_id: r.record_type for r in warc.parse_records(warc.read_archive(spark, str(tmp_path / "w"))).collect()} == {1: "revisit", 2: "response", 3: "response"}
 
 
+def test_a_page_without_a_key_keeps_its_payload(spark, tmp_path):
+    pages = spark.createDataFrame([(None, "http://a/", "<p>alone</p>"), (1, "http://b/", "<p>x</p>")], "page_id long, url string, html string")
+    warc.write_archive(pages, str(tmp_path / "w"))
+    rows = warc.parse_records(warc.read_archive(spark, str(tmp_path / "w"))).collect()
+    assert {(r.record_id, r.record_type, r.payload_bytes) for r in rows} == {(None, "response", 12), (1, "response", 8)}
+
+
 def test_damaged_payload_is_noticed(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a/", "<p>x</p>")], "page_id long, url string, html string")
     warc.write_archive(pages, str(tmp_path / "w"))
