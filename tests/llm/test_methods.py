@@ -334,6 +334,18 @@ def test_altered_copies_of_full_blocks_are_found(spark):
     assert len(brute) > 100 and recall >= 0.97, (recall, len(brute))
 
 
+def test_words_scattered_over_a_long_text_are_no_copy(spark):
+    rng = random.Random(3)
+    own = [f"q{i}" for i in range(30)]
+    clean = []
+    for w in own:  # each word in order, thirty words apart, between other words of the item out of order
+        clean += [w, *(rng.choice(own) if rng.random() < 0.3 else f"x{rng.randint(0, 400)}" for _ in range(29))]
+    rows = [(1, " ".join(clean)), (2, " ".join([*clean[:300], *own[:10], "a", "b", *own[10:], *clean[300:600]])), (3, "something else " * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(0, " ".join(own))], "item_id long, text string")
+    assert {r.doc_id for r in decontam.contaminated(docs, benchmark).collect()} == {2}
+
+
 @given(st.lists(st.integers(0, 5), max_size=30), st.lists(st.integers(0, 5), max_size=30))
 def test_common_subsequence(a, b):
     table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
