@@ -334,6 +334,19 @@ def test_altered_copies_of_full_blocks_are_found(spark):
     assert len(brute) > 100 and recall >= 0.97, (recall, len(brute))
 
 
+def test_short_items_of_a_template_are_found_in_topical_text(spark):
+    rng = random.Random(9)
+    template = [f"tpl{i}" for i in range(10)]
+    asked = [[f"left{n}", *template, f"right{n}"] for n in range(60)]
+    topical = [[f"top{n}x{i}" for i in range(50)] for n in range(60)]
+    kinds = [w for own in topical for w in own]
+    rows = [(n, " ".join([*rng.sample(kinds, 31 + n), *asked[n], *rng.sample(kinds, 60)])) for n in range(5)]
+    rows += [(100 + n, f"plain{n} text of its own " * 10) for n in range(400)]
+    benchmark = spark.createDataFrame([(n, " ".join(own)) for n, own in enumerate(asked + topical)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()}
+    assert {(n, n) for n in range(5)} <= got and not {d for d, _ in got if d >= 100}
+
+
 def test_words_scattered_over_a_long_text_are_no_copy(spark):
     rng = random.Random(3)
     own = [f"q{i}" for i in range(30)]
