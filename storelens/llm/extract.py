@@ -7,25 +7,32 @@ is link text.  The best container is kept with those siblings that score well
 or read as prose.  Menus, headers, footers, sidebars, notices, adverts, forms
 and reader comments are left out by element and by class, id and role.
 
+The page is read in one pass (``markup``), so unclosed, nested and damaged markup
+of any length costs time in proportion to its length.  A tag that the page's end
+cuts off is markup and not text.
+
 Nulls and empty pages have no text.  A page without a paragraph that scores is
-taken whole, without the parts named above.
+taken whole, without the parts named above.  Of containers with equal points the
+first in page order is the best.  Repeated rows are each read.  Further columns
+are passed on where ``keep`` names them; the names ``text`` and ``n_chars`` are
+the output's, so ``keep`` must not hold them.
 """
 
 from __future__ import annotations
 
-import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.DOTALL)
+from storelens.llm.markup import RAW, Page, decoded
+
 _NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+")
 
-RAW = frozenset("script style noscript template textarea iframe svg math object".split())
 DROPPED = frozenset("head title nav footer aside form button select option menu dialog".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter output q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -72,87 +79,112 @@ def _is_boilerplate(tag: str, attributes: str, inside: bool) -> bool:
     return False
 
 
-def parse(page: str) -> Node:
+class _Tree:
+    """The tree under construction; counts of open elements make every step constant or paid for by what it closes."""
+
+    def __init__(self) -> None:
+        self.root = self.top = Node("body", None, False)
+        self.opened: Counter[str] = Counter()
+        self.scopes: list[Counter[str]] = [Counter()]  # open elements inside each open scope, the scope itself left out
+        self.scope_tags = ["body"]
+
+    @property
+    def inside(self) -> bool:
+        """Whether an article or main element is open."""
+        return self.opened["article"] + self.opened["main"] > 0
+
+    def push(self, tag: str, dropped: bool) -> None:
+        child = Node(tag, self.top, self.top.dropped or dropped)
+        self.top.children.append(child)
+        self.top = child
+        self.opened[tag] += 1
+        if tag in SCOPES:
+            self.scopes.append(Counter())
+            self.scope_tags.append(tag)
+        else:
+            self.scopes[-1][tag] += 1
+
+    def pop(self) -> str:
+        tag = self.top.tag
+        self.opened[tag] -= 1
+        if tag in SCOPES:
+            self.scopes.pop()
+            self.scope_tags.pop()
+        else:
+            self.scopes[-1][tag] -= 1
+        self.top = self.top.parent
+        return tag
+
+    def close(self, tag: str) -> None:
+        """Closes the nearest open element of the name and all inside it; without one nothing happens."""
+        if self.opened[tag]:
+            while self.pop() != tag:
+                pass
+
+    def close_implied(self, ends: set[str]) -> None:
+        """Closes the nearest of the named elements in the innermost scope, or that scope if it is one."""
+        if any(self.scopes[-1][tag] for tag in ends):
+            while self.pop() not in ends:
+                pass
+        elif len(self.scopes) > 1 and self.scope_tags[-1] in ends:
+            self.close(self.scope_tags[-1])
+
+
+def parse(text: str) -> Node:
     """The tree of block elements; its leaves are blocks of text with single spaces."""
-    root = top = Node("body", None, False)
+    tree, page = _Tree(), Page(text)
     pieces: list[str] = []
-    linked = anchors = 0
-    inside = 0  # open article and main elements
+    linked = 0
+    in_link = False
 
     def flush() -> None:
         nonlocal linked
         if pieces:
-            block = " ".join(entities.unescape("".join(pieces)).split())
+            block = " ".join(decoded("".join(pieces)).split())
             pieces.clear()
+            top = tree.top
             if block and not top.dropped:
                 top.children.append(block)
                 top.text += len(block)
                 top.linked += min(linked, len(block))
         linked = 0
 
-    at, skip = 0, ""
-    for m in _MARKUP.finditer(page):
-        if m.start() < at:
-            continue
-        if m.start() > at:
-            pieces.append(page[at : m.start()])
-            if anchors:
-                linked += m.start() - at
-        at = m.end()
-        if m[2] is None:
+    at = 0
+    for tag in page.tags():
+        if tag.begin > at:
+            pieces.append(text[at : tag.begin])
+            if in_link:
+                linked += tag.begin - at
+        at = tag.end
+        name = tag.name
+        if not name or (name in RAW and not tag.closing):
             continue
-        closing, tag, attributes = m[1], m[2].lower(), m[3]
-        if tag in RAW and not closing:
-            if not attributes.endswith("/"):
-                end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
-                at = end.end() if end else len(page)
+        if name == "a":
+            in_link = not tag.closing
+        if name in INLINE:
+            if name != "a" and not tag.closing and tag.attributes and _is_boilerplate(name, tag.attributes, tree.inside):
+                ends = page.close_of(name, at)
+                if ends:
+                    at = page.skip_to = ends[1]
             continue
-        if tag == "a":
-            anchors = 0 if closing else 1
-        if tag in INLINE:
-            if closing or not attributes or not _is_boilerplate(tag, attributes, inside > 0) or tag == "a":
-                continue
-            end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
-            at = end.end() if end else at
-            continue
-        if tag == "br":
+        if name == "br":
             pieces.append(" ")
             continue
-        if tag in VOID:
-            if tag == "hr":
+        if name in VOID:
+            if name == "hr":
                 flush()
             continue
         flush()
-        anchors = 0
-        if closing:
-            node: Node | None = top
-            while node is not None and node.tag != tag:
-                node = node.parent
-            if node is not None and node.parent is not None:
-                while top is not node.parent:
-                    inside -= top.tag in ("article", "main")
-                    top = top.parent
-            continue
-        if tag in ("html", "body"):
-            continue
-        node = top
-        ends = CLOSES.get(tag, ())
-        while node is not None and ends:
-            if node.tag in ends:
-                while top is not node.parent:
-                    inside -= top.tag in ("article", "main")
-                    top = top.parent
-                break
-            if node.tag in SCOPES:
-                break
-            node = node.parent
-        child = Node(tag, top, top.dropped or _is_boilerplate(tag, attributes, inside > 0))
-        top.children.append(child)
-        inside += tag in ("article", "main")
-        top = child
-    pieces.append(page[at:])
+        in_link = False
+        if tag.closing:
+            tree.close(name)
+        elif name not in ("html", "body"):
+            if name in CLOSES:
+                tree.close_implied(CLOSES[name])
+            tree.push(name, _is_boilerplate(name, tag.attributes, tree.inside))
+    pieces.append(text[at:])
     flush()
-    return root
+    return tree.root
 
 
 def _walk(node: Node) -> Iterator[Node]:
