@@ -5,20 +5,27 @@ resource.  Rules decide single URLs; a block then spreads over the connected
 component to every alias that no rule of its own fits.  A URL's own rule always
 comes first, so an explicit allow is never overridden by a blocked alias.
 
+Links are read by the tag scanner of ``markup``, in one pass over the page:
+comments and scripts hold none, character references are decoded.
+
 Nulls: a null URL has an empty host and path, fits no rule and has no alias.  A
-null or empty html has no links.  Repeated URLs are one node.  Extra columns
-are kept; they must not carry the output names.
+null or empty html has no links.  Repeated URLs are one node, repeated rows are
+each judged.  Of rules of one length the first listed wins.  Extra columns are
+kept; they must not carry the output names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelens.llm.components import connected_components
+from storelens.llm.markup import Page, attributes
 
 
 class Rule(NamedTuple):
@@ -47,14 +54,6 @@ def own_rule(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column,
     return rule, verdict
 
 
-_TAG = r"""(?is)<(?:link|meta)\b(?:[^>"']|"[^"]*"|'[^']*')*>"""
-_ATTRIBUTE = r"""(?is)\s{0}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
-
-
-def _attribute(tag: Column, name: str) -> Column:
-    return F.translate(F.regexp_extract(tag, _ATTRIBUTE.format(name), 1), "\"'", "")
-
-
 def absolute(target: Column, base: Column) -> Column:
     """Resolves a link against the page's URL: absolute, scheme-relative, root-relative or sibling."""
     target = F.trim(target)
@@ -70,12 +69,36 @@ def absolute(target: Column, base: Column) -> Column:
     )
 
 
+_REFRESH = re.compile(r"""\s*+[0-9.]*+\s*+[;,]?\s*+url\s*+=\s*+["']?([^"'\s;]++)""", re.IGNORECASE)
+
+
+def named_links(html: str) -> list[str]:
+    """Targets of the page's canonical links and refresh marks, in page order; those in comments and scripts are none."""
+    out = []
+    for tag in Page(html).tags():
+        if tag.closing or tag.name not in ("link", "meta"):
+            continue
+        has = attributes(tag.attributes)
+        if tag.name == "link" and "canonical" in has.get("rel", "").lower().split():
+            out.append(has.get("href", ""))
+        elif tag.name == "meta" and has.get("http-equiv", "").strip().lower() == "refresh":
+            found = _REFRESH.match(has.get("content", ""))
+            out.append(found[1] if found else "")
+    return [target for target in out if target.strip()]
+
+
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(u, v): the page's URL and each canonical or refresh target its html names."""
-    tagged = pages.select(F.col(url).alias("u"), F.explode(F.regexp_extract_all(F.col(html), F.lit(_TAG), F.lit(0))).alias("tag")).where("u is not null")
-    canonical = F.when(F.lower(_attribute(F.col("tag"), "rel")).rlike(r"(^|\s)canonical($|\s)"), _attribute(F.col("tag"), "href"))
-    refresh = F.when(F.lower(_attribute(F.col("tag"), "http-equiv")) == "refresh", F.regexp_extract(_attribute(F.col("tag"), "content"), r"(?is)url\s*=\s*['\"]?([^'\"\s;]+)", 1))
-    named = tagged.select("u", F.explode(F.array_compact(F.array(canonical, refresh))).alias("target"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [named_links(value.as_py()) for value in batch.column(1)]
+            owner = pa.array([i for i, targets in enumerate(found) for _ in targets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), pa.array([t for targets in found for t in targets], pa.string())], names=["u", "target"])
+
+    # Only pages that can name a link go to Python; the names of elements have no other spelling.
+    some = pages.select(F.col(url).alias("u"), F.col(html).alias("html")).where("u is not null and html is not null").where(F.col("html").rlike(r"(?i)<(?:link|meta)[\s/]"))
+    named = some.mapInArrow(run, "u string, target string")
     return named.select("u", F.explode(F.array_compact(F.array(absolute(F.col("target"), F.col("u"))))).alias("v"))
 
 
