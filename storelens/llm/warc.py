@@ -13,8 +13,11 @@ it.  Digests are verified when payloads are read back.
 Only digests and keys are shuffled to find equal payloads, combined before the
 shuffle, so a payload with very many copies is no hot group.
 
-Nulls: a null payload is empty; a null URL is written as an empty target.  Keys
-must be unique; a null key is kept as a record of its own text ``null``.
+Nulls: a null payload is empty; a null URL is written as an empty target, and
+control characters of a URL are percent-encoded.  Keys should be unique: of
+repeated rows of the largest key each is a response.  A null key is kept as a
+record of its own text ``null``.  Columns other than the three named are not
+archived, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,6 +38,14 @@ def base32_sha1(payload: Column) -> Column:
     return F.concat(*(F.translate(F.lpad(F.conv(F.substring(digits, at, 10), 16, 32), 8, "0"), _BASE_32_DIGITS, _BASE_32) for at in (1, 11, 21, 31)))
 
 
+def one_line(url: Column) -> Column:
+    """The URL with its control characters percent-encoded, so that it cannot end its header line."""
+    safe = url
+    for code in (*range(0x20), 0x7F):
+        safe = F.replace(safe, F.lit(chr(code)), F.lit(f"%{code:02X}"))
+    return F.when(url.rlike(r"[\x00-\x1F\x7F]"), safe).otherwise(url)
+
+
 def _headers(fields: list[tuple[str, Column]]) -> Column:
     """The exact header block; fields that are null are left out."""
     return F.concat(F.lit("WARC/1.1\r\n"), *(F.coalesce(F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n")), F.lit("")) for name, value in fields), F.lit("\r\n"))
@@ -43,7 +54,7 @@ def _headers(fields: list[tuple[str, Column]]) -> Column:
 def write_archive(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", date: str = "2024-01-01T00:00:00Z", revisit_from: int = 0) -> None:
     """Writes ``payloads`` and ``records`` below path."""
     body = F.encode(F.coalesce(F.col(payload), F.lit("")), "UTF-8")
-    raw = pages.select(F.col(key).alias("record_id"), F.coalesce(F.col(url), F.lit("")).alias("target"), body.alias("payload"))
+    raw = pages.select(F.col(key).alias("record_id"), one_line(F.coalesce(F.col(url), F.lit(""))).alias("target"), body.alias("payload"))
     digested = raw.withColumns({"sha256": F.sha2("payload", 256), "payload_bytes": F.octet_length("payload").cast("long"), "sha1": base32_sha1(F.col("payload"))})
     slim = digested.drop("payload")
     heads = storage.written(slim, "digests", f"{path}/digests")
@@ -67,6 +78,7 @@ def write_archive(pages: DataFrame, path: str, key: str = "page_id", url: str =
     typed.select("record_id", "sha256", block.alias("header")).write.parquet(f"{path}/records")
     # The copies of a payload are merged before the shuffle; only one of each is sent from a task.
     digested.groupBy("sha256").agg(F.first("payload").alias("payload")).write.parquet(f"{path}/payloads")
+    storage.drop(pages.sparkSession, f"{path}/digests")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
