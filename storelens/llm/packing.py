@@ -45,6 +45,8 @@ END_ID = 0
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters whose class all libraries agree on; texts with others, or with a special token, take the slow library.
 _PLAIN = r"\t\n\r\x20-\x7e\xa1-ɏ‐-―‘-‟…€"
+#: On longer runs of white space the fast library is slow, and beyond some 100,000 characters it gives up.
+_LONGEST_BLANK = 256
 
 
 class Vocabulary(NamedTuple):
@@ -68,11 +70,14 @@ class Encoder:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.ranks.splitlines())}
         self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.json, self.slow = vocabulary.tokenizer_json, None
-        self.unusual = re.compile(rf"[^{_PLAIN}]|<\|")
+        self.unusual = re.compile(rf"[^{_PLAIN}]|<\||\s{{{_LONGEST_BLANK}}}")
 
     def __call__(self, text: str) -> np.ndarray:
         if self.unusual.search(text) is None:
-            return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), dtype="<u4")
+            try:
+                return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), dtype="<u4")
+            except ValueError:  # its pattern gave up: the tokenizer's own does not
+                pass
         if self.slow is None:
             from tokenizers import Tokenizer
 
@@ -143,7 +148,9 @@ def best_fit(lengths: np.ndarray, capacity: Capacity, weights: tuple[float, floa
 def pack(cut: DataFrame, key: str = "doc_id", capacity: Capacity = Capacity(), weights: tuple[float, float, float] = WEIGHTS, rule: str = "norm", group: int = GROUP) -> DataFrame:
     """Adds sequence_id and offset to the pieces."""
     n_groups = max(1, -(-cut.count() // group))
-    dealt = cut.withColumn("_group", F.pmod(F.xxhash64(key, "piece", "ids_crc32", "length"), F.lit(n_groups)))
+    # The row's place counts, so that repeated rows do not meet in one group; cut is a table, whose rows keep their places.
+    place = F.xxhash64(key, "piece", "ids_crc32", "length", F.monotonically_increasing_id())
+    dealt = cut.withColumn("_group", F.pmod(place, F.lit(n_groups)))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["length", key, "piece"], ascending=[False, True, True], kind="stable")
