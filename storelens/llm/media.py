@@ -1,19 +1,25 @@
 """Media columns: baseline JPEG written, parsed, Huffman-decoded and hashed in numpy.
 
-``store_payloads`` turns any bytes into a grey baseline JPEG without loss.  Each
+``store_payload`` turns any bytes into one grey baseline JPEG without loss.  Each
 byte is the DC coefficient of one flat 8 x 8 block (quantiser 8, so a block's
-pixels equal the byte), 24 blocks to a row, one restart interval to a row.  The
-DC table gives category s a code of 9 - s bits, so that every difference takes
-9 bits; with the one-bit end-of-block a row is exactly 30 bytes before stuffing.
-Payloads of more than 341 x 576 bytes continue in further frames, because a
-frame has at most 65,535 lines.
+pixels equal the byte), 24 blocks to a restart interval.  The DC table gives
+category s a code of 9 - s bits, so that every difference takes 9 bits; with the
+one-bit end-of-block an interval is exactly 30 bytes before stuffing.  A row is
+one interval, or as many as keep the frame within 8,191 rows; the last row is
+filled up with 255.  A comment segment states the payload's length.  A frame
+holds 64 MB; only a longer payload, for which the format has no room, goes on in
+a further frame.
 
 ``decode_dc`` reads any baseline JPEG: it walks the markers, builds the Huffman
 tables from the file, and decodes the restart intervals of the scan side by
 side, one symbol of every interval at a time.  Only DC values are kept; they
 give the luminance thumbnail with one sample to a block.
 
-Nulls and empty texts are empty payloads.  A payload is never cut.
+Nulls and empty texts are empty payloads.  A payload is never cut.  Repeated rows
+are each stored, and equal payloads give equal media.  ``media_features`` gives a
+medium that is no sound baseline JPEG (progressive, truncated, damaged) null
+features and says why in ``error``; a null medium has nulls in all of them.  Only
+the named columns are read, so further columns may have any name.
 """
 
 from __future__ import annotations
@@ -31,8 +37,10 @@ from pyspark.sql import types as T
 
 from storelens.llm.blocks import text_bytes
 
-UNIT, ROW, ROW_BYTES = 576, 24, 30
-FRAME_UNITS = 341
+UNIT, INTERVAL, INTERVAL_BYTES = 576, 24, 30
+#: Blocks along either side of a frame, whose sides have at most 65,535 pixels.
+SIDE = 8191
+FRAME_BYTES = SIDE // INTERVAL * INTERVAL * SIDE
 _DC_CATEGORIES = list(range(8, -1, -1))
 
 
@@ -44,12 +52,13 @@ def _dht(kind: int, lengths: list[int], symbols: list[int]) -> bytes:
 #: Codes of 1 to 9 bits, one for each of the categories 8 to 0; AC has the end-of-block alone.
 _TABLES = _dht(0x00, [1] * 9 + [0] * 7, _DC_CATEGORIES) + _dht(0x10, [1] + [0] * 15, [0])
 _QUANTISER = b"\xff\xdb" + struct.pack(">HB", 67, 0) + bytes([8] * 64)
-_SCAN = b"\xff\xdd" + struct.pack(">HH", 4, ROW) + b"\xff\xda" + bytes([0, 8, 1, 1, 0, 0, 63, 0])
+_SCAN = b"\xff\xdd" + struct.pack(">HH", 4, INTERVAL) + b"\xff\xda" + bytes([0, 8, 1, 1, 0, 0, 63, 0])
 
 
-def _frame_header(rows: int) -> bytes:
-    size = b"\xff\xc0" + struct.pack(">HBHHB", 11, 8, rows * 8, ROW * 8, 1) + bytes([1, 0x11, 0])
-    return b"\xff\xd8" + _QUANTISER + size + _TABLES + _SCAN
+def _frame_header(rows: int, across: int, payload: int) -> bytes:
+    size = b"\xff\xc0" + struct.pack(">HBHHB", 11, 8, rows * 8, across * INTERVAL * 8, 1) + bytes([1, 0x11, 0])
+    note = b"payload bytes %d" % payload
+    return b"\xff\xd8\xff\xfe" + struct.pack(">H", 2 + len(note)) + note + _QUANTISER + size + _TABLES + _SCAN
 
 
 def _difference_codes() -> np.ndarray:
@@ -66,32 +75,37 @@ def _difference_codes() -> np.ndarray:
 _CODES = _difference_codes()
 
 
-def encode_rows(payload: np.ndarray) -> np.ndarray:
-    """Entropy-coded rows (n, 32): 30 bytes of code, then a restart marker; unstuffed."""
-    rows = payload.reshape(-1, ROW).astype(np.int16) - 128
-    steps = np.diff(rows, axis=1, prepend=np.int16(0))
+def encode_intervals(payload: np.ndarray) -> np.ndarray:
+    """Entropy-coded intervals (n, 32): 30 bytes of code, then a restart marker; unstuffed."""
+    samples = payload.reshape(-1, INTERVAL).astype(np.int16) - 128
+    steps = np.diff(samples, axis=1, prepend=np.int16(0))
     codes = _CODES[steps + 255].reshape(-1, 6, 4)
     forty = codes[:, :, 0] << np.uint64(30) | codes[:, :, 1] << np.uint64(20) | codes[:, :, 2] << np.uint64(10) | codes[:, :, 3]
-    out = np.empty((len(rows), 32), dtype=np.uint8)
-    out[:, :ROW_BYTES] = forty.astype(">u8").view(np.uint8).reshape(-1, 6, 8)[:, :, 3:].reshape(-1, ROW_BYTES)
+    out = np.empty((len(samples), 32), dtype=np.uint8)
+    out[:, :INTERVAL_BYTES] = forty.astype(">u8").view(np.uint8).reshape(-1, 6, 8)[:, :, 3:].reshape(-1, INTERVAL_BYTES)
     out[:, 30] = 0xFF
     return out
 
 
+def _store_frame(payload: np.ndarray) -> bytes:
+    intervals = len(payload) // INTERVAL
+    across = -(-intervals // SIDE)
+    rows = -(-intervals // across)
+    filled = np.full(rows * across * INTERVAL, 255, dtype=np.uint8)
+    filled[: len(payload)] = payload
+    coded = encode_intervals(filled)
+    coded[:, 31] = 0xD0 + (np.arange(len(coded)) & 7)
+    coded[-1, 31] = 0xD9
+    flat = coded.reshape(-1)
+    stuffed = flat == 0xFF
+    stuffed.reshape(-1, 32)[:, 30] = False
+    scan = np.insert(flat, np.flatnonzero(stuffed) + 1, 0) if stuffed.any() else flat
+    return _frame_header(rows, across, len(payload)) + scan.tobytes()
+
+
 def store_payload(payload: np.ndarray) -> bytes:
-    """The JPEG frames of one padded payload."""
-    coded = encode_rows(payload)
-    frames = []
-    for a in range(0, len(coded), FRAME_UNITS * ROW):
-        rows = coded[a : a + FRAME_UNITS * ROW]
-        rows[:, 31] = 0xD0 + (np.arange(len(rows)) & 7)
-        rows[-1, 31] = 0xD9
-        flat = rows.reshape(-1)
-        stuffed = flat == 0xFF
-        stuffed.reshape(-1, 32)[:, 30] = False
-        scan = np.insert(flat, np.flatnonzero(stuffed) + 1, 0) if stuffed.any() else flat
-        frames.append(_frame_header(len(rows)) + scan.tobytes())
-    return b"".join(frames)
+    """The JPEG of one padded payload."""
+    return b"".join(_store_frame(payload[a : a + FRAME_BYTES]) for a in range(0, len(payload), FRAME_BYTES))
 
 
 def pad(text: bytes) -> np.ndarray:
@@ -107,14 +121,16 @@ class Frame:
     def __init__(self) -> None:
         self.width = self.height = self.restart = 0
         self.components: list[tuple[int, int, int]] = []  # horizontal and vertical sampling, quantiser
-        self.tables: dict[int, np.ndarray] = {}
+        self.tables: dict[int, bytes] = {}  # number -> the table's own definition: code counts and symbols
         self.dc_quantisers: dict[int, int] = {}
         self.selected: list[tuple[int, int]] = []
         self.scan = (0, 0)
+        self.payload: int | None = None  # how many samples the comment counts
 
 
-def _huffman(lengths: bytes, symbols: bytes) -> np.ndarray:
+def _huffman(definition: bytes) -> np.ndarray:
     """For every 16 bits ahead: symbol * 32 + code length; 0 where no code fits."""
+    lengths, symbols = definition[:16], definition[16:]
     out = np.zeros(1 << 16, dtype=np.int32)
     code, k = 0, 0
     for bits, n in enumerate(lengths, 1):
@@ -126,10 +142,31 @@ def _huffman(lengths: bytes, symbols: bytes) -> np.ndarray:
     return out
 
 
-_table_cache: dict[bytes, np.ndarray] = {}
+_SCAN_END = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]", re.DOTALL)
+_NOTE = re.compile(rb"payload bytes (\d{1,18})")
 
 
-_SCAN_END = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]", re.DOTALL)
+class Tables:
+    """Decoding tables of the Huffman definitions met last, at most ``most`` of each kind."""
+
+    def __init__(self, most: int = 16):
+        self.most = most
+        self.single: dict[bytes, np.ndarray] = {}
+        self.pairs: dict[tuple[bytes, bytes], np.ndarray] = {}
+
+    def huffman(self, definition: bytes) -> np.ndarray:
+        if definition not in self.single:
+            if len(self.single) >= self.most:
+                self.single.clear()
+            self.single[definition] = _huffman(definition)
+        return self.single[definition]
+
+    def fused(self, dc: bytes, ac: bytes) -> np.ndarray:
+        if (dc, ac) not in self.pairs:
+            if len(self.pairs) >= self.most:
+                self.pairs.clear()
+            self.pairs[dc, ac] = _fused(self.huffman(dc), self.huffman(ac))
+        return self.pairs[dc, ac]
 
 
 def parse_frames(media: bytes) -> Iterator[Frame]:
@@ -163,11 +200,11 @@ def parse_frames(media: bytes) -> Iterator[Frame]:
             k = 0
             while k < len(body):
                 n = sum(body[k + 1 : k + 17])
-                key = body[k : k + 17 + n]
-                if key not in _table_cache:
-                    _table_cache[key] = _huffman(key[1:17], key[17:])
-                frame.tables[key[0]] = _table_cache[key]
+                frame.tables[body[k]] = body[k + 1 : k + 17 + n]
                 k += 17 + n
+        elif kind == 0xFE:
+            note = _NOTE.fullmatch(body)
+            frame.payload = int(note[1]) if note else None
         elif kind == 0xDD:
             frame.restart = struct.unpack(">H", body[:2])[0]
         elif kind == 0xDA:
@@ -192,9 +229,6 @@ def _fused(dc: np.ndarray, ac: np.ndarray) -> np.ndarray:
     return np.where(fits, value * 64 + taken + (after & 31), 0)
 
 
-_fused_cache: dict[tuple[int, int], np.ndarray] = {}
-
-
 def _layout(frame: Frame) -> tuple[list[int], int]:
     """(component of each block of an MCU, number of MCUs)."""
     if len(frame.components) == 1:
@@ -216,27 +250,38 @@ def _unstuffed(frame: Frame, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return raw[keep], begins - np.searchsorted(gone, begins)
 
 
-def decode_dc(frames: list[Frame], datas: list[np.ndarray]) -> list[list[np.ndarray]]:
+def decode_dc(frames: list[Frame], datas: list[np.ndarray], known: Tables | None = None) -> list[list[np.ndarray]]:
     """For each frame, the DC samples (dequantised, level-shifted) of every component in order of decoding.
 
     Intervals of all frames with the same tables and layout are decoded together.
     """
+    known = known or Tables()
     out: list[list[np.ndarray]] = [[] for _ in frames]
     groups: dict[tuple, list[int]] = {}
     for i, f in enumerate(frames):
         layout, mcus = _layout(f)
-        tables = tuple((id(f.tables[d]), id(f.tables[a])) for d, a in f.selected)
+        if mcus * len(layout) > 4 * (f.scan[1] - f.scan[0]):  # a block takes two bits at least
+            raise ValueError("the scan is too short for the frame")
+        tables = tuple((f.tables[d], f.tables[a]) for d, a in f.selected)
         groups.setdefault((tuple(layout), tables, f.restart or mcus), []).append(i)
-    for (layout, _, per), members in groups.items():
+    for (layout, tables, per), members in groups.items():
         scans = [_unstuffed(frames[i], datas[i]) for i in members]
         counts = [_layout(frames[i])[1] for i in members]
         lanes = [-(-n // per) for n in counts]
         clean = np.concatenate([*(s for s, _ in scans), np.full(16, 0xFF, dtype=np.uint8)])
         base = np.concatenate(([0], np.cumsum([len(s) for s, _ in scans])))
-        bit = np.concatenate([at[:n] + o for (_, at), n, o in zip(scans, lanes, base, strict=False)]).astype(np.int64) * 8
+        if any(len(at) < n for (_, at), n in zip(scans, lanes, strict=True)):
+            raise ValueError("restart intervals are missing")
+        begin = np.concatenate([at[:n] + o for (_, at), n, o in zip(scans, lanes, base, strict=False)]).astype(np.int64)
+        limit = np.concatenate([np.append(at[1:n], len(s)) + o for (s, at), n, o in zip(scans, lanes, base, strict=False)]).astype(np.int64)
         left = np.concatenate([np.minimum(per, n - per * np.arange(k)) for n, k in zip(counts, lanes, strict=True)])
-        first = frames[members[0]]
-        values = _decode_lanes(clean, bit, left, per, layout, [(first.tables[d], first.tables[a]) for d, a in first.selected])
+        values = np.empty((len(begin), per, len(layout)), dtype=np.int16)
+        for a in range(0, len(begin), LANES):
+            b = min(a + LANES, len(begin))
+            own = clean[begin[a] : limit[b - 1] + 16]  # the bytes of these intervals, and some to look ahead into
+            ends = _decode_lanes(own, (begin[a:b] - begin[a]) * 8, left[a:b], layout, tables, values[a:b], known)
+            if (ends > (limit[a:b] - begin[a]) * 8).any():
+                raise ValueError("an interval ends too early")
         ends = np.cumsum(lanes)
         for i, n, k, end in zip(members, counts, lanes, ends, strict=True):
             own = values[end - k : end]
@@ -247,29 +292,28 @@ def decode_dc(frames: list[Frame], datas: list[np.ndarray]) -> list[list[np.ndar
     return out
 
 
-def _decode_lanes(clean: np.ndarray, bit: np.ndarray, left: np.ndarray, per: int, layout: tuple[int, ...], tables: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """DC values (lanes, MCUs, blocks); every step takes one block of each lane."""
+#: Intervals that are decoded side by side.
+LANES = 1 << 16
+
+
+def _decode_lanes(clean: np.ndarray, bit: np.ndarray, left: np.ndarray, layout: tuple[int, ...], tables: tuple[tuple[bytes, bytes], ...], values: np.ndarray, known: Tables) -> np.ndarray:
+    """Fills values (lanes, MCUs, blocks) with DC values, one block of each lane a step; returns the bits where lanes end."""
     words = np.ndarray(shape=(len(clean) - 3,), dtype=">u4", buffer=clean.data, strides=(1,)).astype(np.int64)
-    values = np.zeros((len(bit), per, len(layout)), dtype=np.int32)
     predictor = np.zeros((len(tables), len(bit)), dtype=np.int64)
     short = int(left.min())
-    for m in range(per):
+    for m in range(values.shape[1]):
         live = np.flatnonzero(left > m) if m >= short else slice(None)
         for b, c in enumerate(layout):
-            dc, ac = tables[c]
-            key = (id(dc), id(ac))
-            if key not in _fused_cache:
-                _fused_cache[key] = _fused(dc, ac)
             at = bit[live]
-            entry = _fused_cache[key][words[at >> 3] >> (16 - (at & 7)) & 0xFFFF]
+            entry = known.fused(*tables[c])[words[at >> 3] >> (16 - (at & 7)) & 0xFFFF]
             step, moved = entry >> 6, at + (entry & 63)
             if not entry.all():
                 odd = np.flatnonzero(entry == 0)
-                step[odd], moved[odd] = _slow_block(clean, at[odd], dc, ac)
+                step[odd], moved[odd] = _slow_block(clean, at[odd], known.huffman(tables[c][0]), known.huffman(tables[c][1]))
             predictor[c, live] += step
             values[live, m, b] = predictor[c, live]
             bit[live] = moved
-    return values
+    return bit
 
 
 def _peek(clean: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -325,24 +369,45 @@ def average_hash(grid: np.ndarray) -> str:
     return np.packbits(means > means.mean()).tobytes().hex()
 
 
-def read_media(media: list[bytes]) -> list[tuple[bytes, int, int, str]]:
-    """(luminance DC samples, width, total height, thumbnail hashes) of each medium, frames joined."""
+def read_media(media: list[bytes], known: Tables | None = None) -> list[tuple[bytes, int, int, str]]:
+    """(payload, width, total height, thumbnail hashes) of each medium; frames, where there are several, joined.
+
+    The payload is the luminance DC samples, as many as the comment counts, or all.
+    """
     frames, datas, owner = [], [], []
     for i, stored in enumerate(media):
         data = np.frombuffer(stored, dtype=np.uint8)
-        for frame in parse_frames(stored):
+        found = list(parse_frames(stored))
+        if not found:
+            raise ValueError("no scan")
+        for frame in found:
             frames.append(frame)
             datas.append(data)
             owner.append(i)
     out: list[list] = [[[], 0, 0, []] for _ in media]
-    for i, frame, components in zip(owner, frames, decode_dc(frames, datas), strict=True):
+    for i, frame, components in zip(owner, frames, decode_dc(frames, datas, known), strict=True):
         grid = thumbnail(frame, components[0])
-        out[i][0].append(grid.tobytes())
+        out[i][0].append(grid.tobytes()[: frame.payload])
         out[i][1], out[i][2] = max(out[i][1], frame.width), out[i][2] + frame.height
         out[i][3].append(average_hash(grid))
     return [(b"".join(s), w, h, "-".join(x)) for s, w, h, x in out]
 
 
+#: What damaged bytes raise.
+DAMAGE = (ValueError, IndexError, KeyError, TypeError, OverflowError, ZeroDivisionError, struct.error)
+
+
+def _read_each(media: list[bytes], known: Tables) -> list[tuple[bytes, int, int, str] | str]:
+    """As ``read_media``, with a message in place of a medium that is damaged; sound ones are read together."""
+    try:
+        return list(read_media(media, known))
+    except DAMAGE as problem:
+        if len(media) == 1:
+            return [f"{type(problem).__name__}: {problem}"]
+        half = len(media) // 2
+        return _read_each(media[:half], known) + _read_each(media[half:], known)
+
+
 MEDIA_SCHEMA = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
 FEATURE_SCHEMA = T.StructType(
     [
@@ -354,6 +419,7 @@ FEATURE_SCHEMA = T.StructType(
         T.StructField("width", T.IntegerType()),
         T.StructField("height", T.IntegerType()),
         T.StructField("feature", T.StringType()),
+        T.StructField("error", T.StringType()),
     ]
 )
 
@@ -376,25 +442,31 @@ def with_media(df: DataFrame, key: str, column: str) -> DataFrame:
 
 
 def media_features(df: DataFrame, keep: list[str], media: str = "media") -> DataFrame:
-    """keep plus FEATURE_SCHEMA from a column of baseline JPEGs; a null medium has null features."""
+    """keep plus FEATURE_SCHEMA from a column of baseline JPEGs; a null medium has null features, a damaged one an error too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Tables()
         for batch in batches:
             column, out, a = batch.column(len(keep)), [], 0
             _, starts = text_bytes(column)
             while a < len(column):  # about a MB of media is decoded at a time
                 b = max(a + 1, int(np.searchsorted(starts, starts[a] + (1 << 20), side="right")) - 1)
                 stored = column.slice(a, b - a).to_pylist()
-                read = iter(read_media([x for x in stored if x is not None]))
+                read = iter(_read_each([x for x in stored if x is not None], known))
                 for x in stored:
                     if x is None:
                         out.append((None,) * len(FEATURE_SCHEMA))
                         continue
-                    payload, width, height, hashes = next(read)
-                    out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(x), hashlib.sha256(x).hexdigest(), width, height, f"{width}x{height}:{hashes}"))
+                    found = next(read)
+                    own = (len(x), hashlib.sha256(x).hexdigest())
+                    if isinstance(found, str):
+                        out.append((None, None, None, *own, None, None, None, found))
+                        continue
+                    payload, width, height, hashes = found
+                    out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), *own, width, height, f"{width}x{height}:{hashes}", None))
                 a = b
             columns = list(zip(*out, strict=True)) if out else [[]] * len(FEATURE_SCHEMA)
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string()]
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[*keep, *FEATURE_SCHEMA.names])
 
     return df.select(*keep, media).mapInArrow(run, T.StructType([*(df.schema[k] for k in keep), *FEATURE_SCHEMA]))

@@ -47,10 +47,27 @@ def test_media_round_trip(raw):
     assert media.read_media([stored])[0][0] == media.pad(raw).tobytes()
 
 
-def test_media_continues_in_further_frames():
-    raw = np.random.default_rng(0).integers(0, 256, 3 * 341 * 576 + 100, dtype=np.uint8).tobytes()
-    samples, width, height, _ = media.read_media([media.store_payload(media.pad(raw))])[0]
-    assert samples == media.pad(raw).tobytes() and width == 192 and height == len(media.pad(raw)) // 24 * 8
+@pytest.mark.parametrize("n", [196_416, 196_417, 5_000_001])
+def test_media_keeps_long_payloads_in_one_frame(n):
+    raw = np.random.default_rng(0).integers(0, 256, n, dtype=np.uint8).tobytes()
+    stored = media.store_payload(media.pad(raw))
+    assert len(list(media.parse_frames(stored))) == 1
+    samples, width, height, _ = media.read_media([stored])[0]
+    assert samples == media.pad(raw).tobytes() and max(width, height) <= 65_528
+
+
+def test_damaged_media_have_an_error_and_spoil_no_others(spark):
+    good = media.store_payload(media.pad(b"text " * 500))
+    bad = [good[:-100], good[:300], b"", b"junk", good.replace(b"\xff\xc0", b"\xff\xc2")]
+    rng = random.Random(2)
+    for _ in range(40):
+        scratched = bytearray(good)
+        scratched[rng.randrange(len(good))] ^= 1 << rng.randrange(8)
+        bad.append(bytes(scratched))
+    df = spark.createDataFrame([(0, good), *((i, m) for i, m in enumerate(bad, 1)), (99, good)], "id long, media binary")
+    rows = {r.id: r for r in media.media_features(df, ["id"]).collect()}
+    assert len(rows) == len(bad) + 2 and rows[0].error is None and rows[99].payload_sha256 == rows[0].payload_sha256
+    assert all(rows[i].error and rows[i].payload_sha256 is None and rows[i].media_bytes == len(bad[i - 1]) for i in range(1, 6))
 
 
 def _bits(*pairs):
