@@ -7,12 +7,18 @@ exactly.  A text's probability is the product over its words; the language with
 the largest one wins, and its posterior under equal priors is the score.
 
 Probabilities are fitted by expectation maximisation on word counts of a bounded
-sample: at most ``sample`` texts of each language, those with the smallest hash.
-Words are runs of bytes other than white space, lower-cased, with a space before
-them as in the vocabulary.  Every distinct word of a block is scored once.
-
-A null text, or one without a letter, is ``und`` with score 0.  Rows whose
-language is null are not learned from.
+sample: at most ``sample`` different texts of each language, those with the
+smallest hash, so that a text with very many copies counts once.  Words are runs
+of bytes other than white space, lower-cased, with a space before them as in the
+vocabulary.  In the fit a longer word, as languages without spaces have them, is
+cut into parts of ``TRAINING_PART`` characters, all of which count.  In scoring
+nothing is cut.  Every distinct word of a block is scored once.
+
+A null or empty text, or one without a letter, is ``und`` with score 0.  Rows
+whose language is null are not learned from; without any other every text is
+``und``.  Of equally likely languages the first by name wins.  Repeated rows are
+each predicted, and equal texts alike.  The columns in ``keep`` may have any name
+but ``lang_pred`` and ``score``.
 """
 
 from __future__ import annotations
@@ -29,8 +35,10 @@ from pyspark.sql import functions as F
 from storelens.llm import storage
 from storelens.llm.blocks import blocks, text_bytes, word_hashes, words
 
-#: Longer words take part in scoring but not in the fit.
-LONGEST_TRAINING_WORD = 40
+#: Characters of a word that the fit takes in one part.
+TRAINING_PART = 64
+#: Longer words are scored one by one, shorter ones side by side.
+LONG_WORD = 512
 #: Expected count added to every piece of the vocabulary.
 SMOOTHING = 0.05
 RESCALE_EVERY = 12
@@ -50,11 +58,11 @@ class Model(NamedTuple):
     pieces: list[bytes]
 
 
-def read_vocabulary(path: str, longest: int) -> list[bytes]:
-    """Lower-case pieces of a ranks file, up to ``longest`` bytes."""
+def read_vocabulary(path: str) -> list[bytes]:
+    """The pieces of a ranks file that lower-cased words can hold."""
     with open(path, "rb") as lines:
         found = {base64.b64decode(line.split()[0]) for line in lines if line.strip()}
-    return sorted(p for p in found if len(p) <= longest and p == p.lower() and not any(c in p[1:] for c in b" \t\n\r"))
+    return sorted(p for p in found if p == p.lower() and not any(c in p[1:] for c in b" \t\n\r"))
 
 
 def _empty_model(languages: list[str], pieces: list[bytes], alphabet: list[int]) -> Model:
@@ -135,25 +143,80 @@ def _forward(columns: np.ndarray, model: Model) -> np.ndarray:
     return np.log(np.maximum(alphas[width], 1e-300)) + scale
 
 
+def _forward_long(word: bytes, model: Model, steps: dict[tuple[int, int], int]) -> np.ndarray:
+    """The sum of ``_forward`` for one word of any length, position by position; steps as ``_steps`` gives them."""
+    columns = [int(model.codes[0x20]), *model.codes[np.frombuffer(word, np.uint8)].tolist()]
+    window: list[np.ndarray | None] = [None] * (model.longest + 1)  # what reached the positions ahead
+    window[0] = np.ones(len(model.languages))
+    scale = np.zeros(len(model.languages))
+    for begin in range(len(columns)):
+        here = window.pop(0)
+        window.append(None)
+        if here is None:
+            here = np.zeros(len(model.languages))
+        if begin % RESCALE_EVERY == 0:
+            top = np.maximum(here, 1e-280)
+            scale += np.log(top)
+            here = here / top
+            window = [None if ahead is None else ahead / top for ahead in window]
+        node = 0
+        for k in range(min(model.longest, len(columns) - begin)):
+            column = columns[begin + k]
+            node = steps.get((node, column), 0)
+            reached = here * model.probability[model.piece_of[node]] if node else None
+            if k == 0 and column == 0:
+                reached = here * model.unknown
+            if reached is not None:
+                window[k] = reached if window[k] is None else window[k] + reached
+            if not node:
+                break
+    last = window[0]
+    return np.log(np.maximum(last if last is not None else np.zeros(len(model.languages)), 1e-300)) + scale
+
+
+def _steps(model: Model) -> dict[tuple[int, int], int]:
+    """The trie as a dictionary (node, column) -> node."""
+    nodes, columns = np.nonzero(model.trie)
+    return dict(zip(zip(nodes.tolist(), columns.tolist(), strict=True), model.trie[nodes, columns].tolist(), strict=True))
+
+
 def _expected(columns: np.ndarray, weight: np.ndarray, language: np.ndarray, model: Model) -> np.ndarray:
-    """Expected number of uses of every piece, (pieces + 1, languages), from weighted words of known languages."""
+    """Expected number of uses of every piece, (pieces + 1, languages), from weighted words of known languages.
+
+    Sums are kept as logarithms, so that words of any length keep their place.
+    """
     n, width = columns.shape
     spans = _walk(columns, model)
-    own = {span: model.probability[piece, language] for span, piece in spans.items()}
-    unknown = model.unknown[language]
-    alpha = np.zeros((width + 1, n))
-    beta = np.zeros((width + 1, n))
-    alpha[0] = beta[width] = 1
-    for (begin, end), p in sorted(own.items(), key=lambda x: x[0][1]):
-        alpha[end] += alpha[begin] * p
-        if end - begin == 1:
-            alpha[end] += np.where(columns[:, begin] == 0, alpha[begin] * unknown, 0)
-    for (begin, end), p in sorted(own.items(), key=lambda x: -x[0][0]):
-        beta[begin] += beta[end] * p
+    with np.errstate(divide="ignore"):
+        own = {span: np.log(model.probability[piece, language]) for span, piece in spans.items()}
+        unknown = np.log(model.unknown[language])
+    alone = {at: np.where(columns[:, at] == 0, unknown, -np.inf) for at in range(width) if (columns[:, at] == 0).any()}
+    alpha = np.full((width + 1, n), -np.inf)
+    beta = np.full((width + 1, n), -np.inf)
+    alpha[0] = beta[width] = 0
+    by_end = sorted(own.items(), key=lambda x: x[0][1])
+    by_begin = sorted(own.items(), key=lambda x: -x[0][0])
+    k = 0
+    for end in range(1, width + 1):
+        if end - 1 in alone:
+            alpha[end] = alpha[end - 1] + alone[end - 1]
+        while k < len(by_end) and by_end[k][0][1] == end:
+            (begin, _), p = by_end[k]
+            alpha[end] = np.logaddexp(alpha[end], alpha[begin] + p)
+            k += 1
+    k = 0
+    for begin in range(width - 1, -1, -1):
+        if begin in alone:
+            beta[begin] = beta[begin + 1] + alone[begin]
+        while k < len(by_begin) and by_begin[k][0][0] == begin:
+            (_, end), p = by_begin[k]
+            beta[begin] = np.logaddexp(beta[begin], beta[end] + p)
+            k += 1
+    whole = np.maximum(alpha[width], -1e300)
     out = np.zeros((len(model.pieces) + 1, len(model.languages)))
-    whole = np.maximum(alpha[width], 1e-300)
     for (begin, end), piece in spans.items():
-        np.add.at(out, (piece, language), weight * alpha[begin] * own[begin, end] * beta[end] / whole)
+        np.add.at(out, (piece, language), weight * np.exp(np.minimum(alpha[begin] + own[begin, end] + beta[end] - whole, 0)))
+    out[0] = 0
     return out
 
 
@@ -161,20 +224,22 @@ def fit(docs: DataFrame, vocabulary: list[bytes], text: str = "text", lang: str
     """Fits on at most ``sample`` texts of each language; callers drop held-out rows beforehand."""
     spark = docs.sparkSession
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    cut = known.select("lang", F.xxhash64("text").alias("h")).groupBy("lang").agg(F.count("*").alias("n"))
+    cut = known.select("lang", F.xxhash64("text").alias("h")).groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
     sizes = {r["lang"]: r["n"] for r in cut.collect()}
     languages = sorted(sizes)
     if not languages:
         return _empty_model(["und"], [], [0x20])
-    # Texts below a hash that leaves about twice the sample, then exactly the smallest ones.
+    # Different texts below a hash that leaves about twice the sample, then exactly the smallest ones; only hashes are ranked.
     limit = F.lit(1.0)
     for name, n in sizes.items():
         limit = F.when(F.col("lang") == name, F.lit(min(1.0, 2.0 * sample / n + 50.0 / n))).otherwise(limit)
-    near = known.withColumn("h", F.xxhash64("text")).where((F.col("h") / F.lit(2.0**64) + 0.5) < limit)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    chosen = near.withColumn("_rank", rank).where(F.col("_rank") <= sample)
+    hashed = known.withColumn("h", F.xxhash64("text")).where((F.col("h") / F.lit(2.0**64) + 0.5) < limit)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    ranked = hashed.select("lang", "h").distinct().withColumn("_rank", rank).where(F.col("_rank") <= sample).select("lang", "h")
+    chosen = hashed.join(F.broadcast(ranked), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"])  # sample hashes a language
     spaced = F.explode(F.split(F.lower("text"), r"[ \t\n\u000B\f\r]+")).alias("word")
-    counted = chosen.select("lang", spaced).where((F.col("word") != "") & (F.octet_length("word") <= LONGEST_TRAINING_WORD)).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    parts = F.explode(F.regexp_extract_all("word", F.lit(f"(?s).{{1,{TRAINING_PART}}}"), F.lit(0))).alias("word")
+    counted = chosen.select("lang", spaced).where("word <> ''").select("lang", parts).groupBy("lang", "word").agg(F.count("*").alias("n"))
     table = storage.written(counted.select(F.array_position(F.array(*map(F.lit, languages)), F.col("lang")).alias("language"), "word", "n"), "words")
     seen = table.select(F.explode(F.array_distinct(F.split(F.hex("word"), "(?<=\\G..)"))).alias("b")).where("b <> ''").distinct().collect()
     alphabet = sorted({0x20} | {int(r["b"], 16) for r in seen})
@@ -207,7 +272,8 @@ def fit(docs: DataFrame, vocabulary: list[bytes], text: str = "text", lang: str
     used = (model.probability[1:] > 2 * SMOOTHING / counts.sum(axis=0)).any(axis=1)
     kept = [p for p, u in zip(model.pieces, used, strict=True) if u or len(p) == 1]
     small = _empty_model(languages, kept, alphabet)
-    rows = np.array([0, *(model.pieces.index(p) + 1 for p in small.pieces)])
+    place = {p: i for i, p in enumerate(model.pieces, 1)}
+    rows = np.array([0, *(place[p] for p in small.pieces)])
     return small._replace(probability=model.probability[rows], unknown=model.unknown)
 
 
@@ -222,7 +288,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
     letters[[*range(65, 91), *range(97, 123)]] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = Model(*shared.value)
+        now, steps = Model(*shared.value), {}
         names = np.array([*now.languages, "und"], dtype=object)
         for batch in batches:
             data, starts = text_bytes(batch.column(len(keep)))
@@ -234,6 +300,12 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
                 log_p = np.zeros((len(kind), len(now.languages)))
                 for n in np.unique(length[kind]):
                     at = np.flatnonzero(length[kind] == n)
+                    if n > LONG_WORD:
+                        steps = steps or _steps(now)
+                        for i in at:
+                            begin = first[kind[i]]
+                            log_p[i] = _forward_long(own[begin : begin + n].tobytes(), now, steps)
+                        continue
                     for k in range(0, len(at), 8_000):
                         some = at[k : k + 8_000]
                         log_p[some] = _forward(_matrix(own, first[kind[some]], length[kind[some]], now), now)

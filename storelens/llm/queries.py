@@ -83,7 +83,7 @@ def op9_language(spark: SparkSession, sf_dir: str, vocabulary: str | None = None
     """The language of every document, learned from those that are not held out."""
     docs = _table(spark, sf_dir, "documents")
     held_out = quality.held_out(F.col("doc_id"), 4, 2)
-    pieces = langid.read_vocabulary(vocabulary or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), 10)
+    pieces = langid.read_vocabulary(vocabulary or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     model = langid.fit(docs.where(~held_out), pieces)
     return langid.predict(docs, model, ["doc_id"]).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
