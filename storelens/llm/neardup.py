@@ -242,7 +242,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     order = F.xxhash64("id", F.pmod("key", F.lit(CENTRES)))
     shared = keyed.groupBy("key").agg(F.min_by("id", order).alias("centre"), F.count("*").alias("members")).where("members > 1")
     members = scratch.written(keyed.join(shared, "key"), "members")
-    storage.release(spark)
     lookup = table.where("n_shingles > 0").select("id", "n_shingles", "sketch", "parity")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -250,7 +249,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         with_u = pairs.select("u", "v").distinct().join(lookup, F.col("u") == F.col("id")).drop("id").alias("x")
         passed = with_u.join(lookup.alias("y"), (F.col("x.v") == F.col("y.id")) & sketches_allow("x", "y", samples, percent)).select("u", "v")
         links = scratch.written(confirm(scratch.written(passed, "pairs"), docs, key, text, width, percent), "links")
-        storage.release(spark)
         return links
 
     links = confirmed(members.where("id <> centre").select(F.greatest("id", "centre").alias("u"), F.least("id", "centre").alias("v")))
@@ -264,7 +262,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     listed = small.alias("x").join(small.alias("y"), inside).select(F.col("x.id").alias("u"), F.col("y.id").alias("v"))
     large = _block_pairs(unsettled.where(F.col("members") > LISTED).join(lookup, "id"), samples, percent)
     open_pairs = scratch.written(listed.unionByName(large).distinct(), "pairs")
-    storage.release(spark)
     links = links.unionByName(confirm(open_pairs, docs, key, text, width, percent))
     parts = component_leaves(links, scratch).withColumnRenamed("node", "rep")
 
@@ -274,5 +271,4 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     result = found.select(F.col("id").alias(key), "n_shingles", component.alias("component_id")).withColumn("kept", F.col(key) == F.col("component_id"))
     result = storage.written(result, "near-duplicates")
     scratch.drop()
-    storage.release(spark)
     return result

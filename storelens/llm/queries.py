@@ -45,6 +45,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A WARC record per page, written content-addressed and read back."""
     path = storage.new_path(spark, "archive")
     warc.write_archive(_table(spark, sf_dir, "pages"), path)
+    storage.drop_at_end(spark, path)
     return warc.parse_records(warc.read_archive(spark, path)).withColumnRenamed("record_id", "page_id")
 
 

@@ -1,28 +1,27 @@
 """Where operators keep the tables that cut their lineage.
 
-Tables go to the folder that ``spark.checkpoint.dir`` names, which every
-executor shares.  Only where a session names none (tests) one is chosen here.
+Tables go to the folder that ``spark.checkpoint.dir`` names, which every executor
+shares; a session without that setting is an error.  A table lives until it is
+dropped, at the latest until the application ends.  The shuffle files of a write
+go when the table is written, as nothing reads them any more.
 """
 
 from __future__ import annotations
 
-import gc
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-_chosen: dict[str, str] = {}
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The session's shared folder for intermediate tables."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
-        session = spark.sparkContext.applicationId
-        named = _chosen.setdefault(session, "") or "file://" + tempfile.mkdtemp(prefix="checkpoints-")
-        _chosen[session] = named
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return named.rstrip("/")
 
 
@@ -30,17 +29,42 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_end_with_writes(spark: SparkSession) -> Iterator[None]:
+    """Within it, a write's shuffle files are deleted when the write is done."""
+    before = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
+
+
 def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Writes df as Parquet into the shared folder and returns the table read back."""
-    path = path or new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = path or new_path(spark, name)
+    with shuffles_end_with_writes(spark):
+        df.write.parquet(path)
+    drop_at_end(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
 def drop(spark: SparkSession, path: str) -> None:
     """Deletes a table that nothing reads any more."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    files, target = _file_system(spark, path)
+    files.delete(target, True)
+
+
+def drop_at_end(spark: SparkSession, path: str) -> None:
+    """Has a table deleted when the application ends."""
+    files, target = _file_system(spark, path)
+    files.deleteOnExit(target)
 
 
 class Scratch:
@@ -58,13 +82,3 @@ class Scratch:
 
     def drop(self) -> None:
         drop(self.spark, self.root)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of steps whose tables are written.
-
-    The cleaner acts when the driver's heap is collected; on a driver with much
-    free heap that may be long after the files have become useless.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

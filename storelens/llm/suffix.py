@@ -1,34 +1,46 @@
 """Exact removal of byte strings that occur more than once, by a logarithmic family of sampled suffix arrays.
 
 A byte is removed if a string of ``length`` bytes that covers it also starts
-anywhere else.  Not every suffix is indexed.  In every window of ``length``
-bytes the string of ``gram`` bytes with the least hash is the window's anchor,
-chosen by content alone, so equal windows have equal anchors at equal offsets.
-Successive windows share an anchor; together they form its *segment*, and one
-entry stands for all of them: (anchor hash, segment hash, count, location).
-
-* A batch's entries sorted by anchor and segment are its suffix array.  A new
-  batch becomes the smallest level; two levels of equal size are merged into one
-  of twice the size, equal entries adding their counts.  So an entry is rewritten
-  a logarithmic number of times.
-* A scan of the family merges its levels.  A segment counted more than once is
-  a long match as a whole.  A segment counted once whose anchor has no other
-  segment holds no match.
+anywhere else.  Not every suffix is indexed: an entry for each byte would fill
+many times the space of the text.  In every window of ``length`` bytes the string
+of ``gram`` bytes with the least hash is the window's anchor, chosen by content
+alone, so equal windows have equal anchors at equal offsets.  Only suffixes that
+begin at anchors are indexed, about one in 70 bytes.  Successive windows share an
+anchor; together they form its *segment*, and one entry stands for all of them:
+(first bytes of the suffix, 128-bit fingerprint of the segment, count, location).
+
+* A batch's entries in the order of their suffixes are its suffix array.  The
+  order is that of the first ``gram`` bytes, then of the fingerprint, as beyond
+  these bytes only equality matters.  An array is a table dealt to buckets by
+  its entries' hash and sorted in each, so that equal entries of any two arrays
+  stand in the same bucket and arrays meet without a shuffle.
+* A new batch is merge-scanned against every level of the family: a sort-merge
+  join of the two sorted tables finds the segments that both hold, long matches
+  as a whole.  Where a level is as large as the newcomer, scan and merge are one
+  pass, in which equal entries add their counts; so an entry is rewritten a
+  logarithmic number of times.
+* In the end a segment counted more than once or met by a scan is a match as a
+  whole.  A segment counted once whose anchor has no other segment holds none.
 * What is left are anchors with several different segments: the ends of copied
   passages.  Their windows are compared in aligned groups of ``STEP`` by what
-  the group has in common, and in groups with a match one by one.
+  the group has in common, and in groups with a match one by one, again by
+  128-bit fingerprints.
 
 Only locations that occur once travel back to their document: all windows that
 are not listed there are matches.  So a string with very many copies is merged
 to one row before each shuffle.
 
-Nulls and empty texts have no bytes.  An id must stand for one text; rows
-repeated as a whole are copies of each other.
+Null and empty texts have no bytes and lose none; a null id is an id like any
+other.  Ids may be of any type and must each stand for one text; rows repeated as
+a whole are copies of each other, and each is returned.  Of the copies of a
+string all are removed, so there are no ties to settle.  Only the two named
+columns are read, so further columns may have any name.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -37,6 +49,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from storelens.llm import storage
 from storelens.llm.blocks import U64, Powers, blocks, mix, text_bytes
@@ -52,7 +65,7 @@ class Segments(NamedTuple):
     windows: np.ndarray  # number of windows
     anchor: np.ndarray  # position of the anchor
     anchor_hash: np.ndarray
-    prefix: np.ndarray  # for hashes of ranges
+    prefixes: tuple[np.ndarray, np.ndarray]  # for two independent hashes of ranges
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -65,11 +78,16 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[:-rest], out[rest:]) if rest else out
 
 
-def segments(data: np.ndarray, starts: np.ndarray, powers: Powers, length: int, gram: int) -> Segments:
+def two_powers() -> tuple[Powers, Powers]:
+    """Independent bases, which together give fingerprints of 128 bits."""
+    return Powers(1), Powers(2)
+
+
+def segments(data: np.ndarray, starts: np.ndarray, powers: tuple[Powers, Powers], length: int, gram: int) -> Segments:
     """The segments of all windows that lie within one text each."""
     n = len(data)
-    prefix = powers.prefix(data)
-    grams = mix((prefix[gram:] - prefix[:-gram]) * powers.down[: n - gram + 1])
+    prefixes = (powers[0].prefix(data), powers[1].prefix(data))
+    grams = mix((prefixes[0][gram:] - prefixes[0][:-gram]) * powers[0].down[: n - gram + 1])
     bits = U64(int(n).bit_length())
     low = sliding_min((grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64), length - gram + 1)
     anchor = (low & ((U64(1) << bits) - U64(1))).astype(np.int64)
@@ -86,11 +104,12 @@ def segments(data: np.ndarray, starts: np.ndarray, powers: Powers, length: int,
     end = np.append(begin[1:], len(anchor))
     keep = valid[begin]
     begin, end = begin[keep], end[keep]
-    return Segments(begin, end - begin, anchor[begin], grams[anchor[begin]], prefix)
+    return Segments(begin, end - begin, anchor[begin], grams[anchor[begin]], prefixes)
 
 
-def _range_hash(powers: Powers, prefix: np.ndarray, begin: np.ndarray, end: np.ndarray, salt: np.ndarray) -> np.ndarray:
-    return mix(powers.ranges(prefix, begin, end) * _GOLDEN ^ salt)
+def _fingerprints(powers: tuple[Powers, Powers], s: Segments, begin: np.ndarray, end: np.ndarray, salt: np.ndarray) -> list[np.ndarray]:
+    """Two independent hashes of each byte range and its salt."""
+    return [mix(p.ranges(prefix, begin, end) * _GOLDEN ^ salt) for p, prefix in zip(powers, s.prefixes, strict=True)]
 
 
 def _merged(keys: list[np.ndarray], count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,14 +121,20 @@ def _merged(keys: list[np.ndarray], count: np.ndarray) -> tuple[np.ndarray, np.n
     return order[at], np.add.reduceat(count[order], at) if len(at) else count[:0]
 
 
+def _with_doc(docs: DataFrame, before: str, after: str) -> T.StructType:
+    """A schema around the column doc, whose type is that of the documents' ids."""
+    return T.StructType([*(T.StructType.fromDDL(before) if before else ()), docs.schema["doc"], *T.StructType.fromDDL(after)])
+
+
 def entries(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(anchor, segment, n, doc, code): one row for each different segment of a block of texts.
+    """(suffix, s1, s2, n, doc, code): one row for each different segment of a block of texts.
 
-    docs has the columns doc and text.  code holds the first window and the number of windows.
+    docs has the columns doc and text.  suffix holds the first gram bytes, s1 and s2 the segment's
+    fingerprint, code the first window and the number of windows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers(1)
+        powers = two_powers()
         for batch in batches:
             data, starts = text_bytes(batch.column(1))
             for lo, hi in blocks(starts):
@@ -119,23 +144,46 @@ def entries(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 s = segments(own, begins, powers, length, gram)
                 if not len(s.begin):
                     continue
-                whole = _range_hash(powers, s.prefix, s.begin, s.begin + s.windows + length - 1, s.anchor_hash)
-                at, n = _merged([s.anchor_hash, whole], np.ones(len(whole), dtype=np.int64))
+                whole = _fingerprints(powers, s, s.begin, s.begin + s.windows + length - 1, s.anchor_hash)
+                at, n = _merged(whole, np.ones(len(s.begin), dtype=np.int64))
                 owner = np.searchsorted(begins, s.begin[at], side="right") - 1
+                suffix = own[s.anchor[at][:, None] + np.arange(gram)]
+                places = np.arange(len(at) + 1, dtype=np.int32) * gram
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(s.anchor_hash[at].view(np.int64)),
-                        pa.array(whole[at].view(np.int64)),
+                        pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(places), pa.py_buffer(suffix)]),
+                        *(pa.array(h[at].view(np.int64)) for h in whole),
                         pa.array(n),
                         batch.column(0).take(pa.array(owner + lo)),
                         pa.array((s.begin[at] - begins[owner]) << 8 | s.windows[at]),
                     ],
-                    names=["anchor", "segment", "n", "doc", "code"],
+                    names=["suffix", "s1", "s2", "n", "doc", "code"],
                 )
 
     if not gram <= length - 2 or length - gram + 1 > 255:
         raise ValueError("a segment must have 2 to 255 windows: choose gram within 255 of length")
-    return docs.mapInArrow(run, "anchor long, segment long, n long, doc long, code long")
+    return docs.mapInArrow(run, _with_doc(docs, "suffix binary, s1 long, s2 long, n long", "code long"))
+
+
+class SortedTable:
+    """A table in the shared folder, dealt to buckets by its key's hash and sorted by the key in each."""
+
+    KEY = ("suffix", "s1", "s2")
+
+    def __init__(self, rows: DataFrame, name: str):
+        self.spark = rows.sparkSession
+        self.path, self.name = storage.new_path(self.spark, name), f"{name}_{uuid.uuid4().hex}"
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        with storage.shuffles_end_with_writes(self.spark):
+            rows.write.bucketBy(buckets, *self.KEY).sortBy(*self.KEY).format("parquet").option("path", self.path).saveAsTable(self.name)
+        storage.drop_at_end(self.spark, self.path)
+
+    def rows(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        storage.drop(self.spark, self.path)
 
 
 class SuffixFamily:
@@ -143,44 +191,64 @@ class SuffixFamily:
 
     def __init__(self, spark: SparkSession, length: int = 200, gram: int = 32):
         self.spark, self.length, self.gram = spark, length, gram
-        self.levels: dict[int, str] = {}
+        self.levels: dict[int, SortedTable] = {}
+        self.matches: list[SortedTable] = []
+
+    def suffix_array(self, docs: DataFrame) -> SortedTable:
+        """A batch's entries; equal ones are one, whose location is one of theirs."""
+        rows = entries(docs, self.length, self.gram).groupBy(*SortedTable.KEY).agg(F.sum("n").alias("n"), F.first("doc").alias("doc"), F.first("code").alias("code"))
+        return SortedTable(rows, "suffixes")
 
     @staticmethod
-    def _merge(rows: DataFrame) -> DataFrame:
-        """Equal entries become one.  A location stays exact where the count is 1 and is one of the places otherwise."""
-        return rows.groupBy("anchor", "segment").agg(F.sum("n").alias("n"), F.first("doc").alias("doc"), F.first("code").alias("code"))
+    def merged(a: DataFrame, b: DataFrame) -> DataFrame:
+        """Two sorted arrays as one, in one pass over both."""
+        key = list(SortedTable.KEY)
+        both = a.withColumnsRenamed({c: f"_{c}" for c in ("n", "doc", "code")}).join(b, key, "full")
+        old = F.col("_n").isNotNull()
+        place = (F.when(old, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in ("doc", "code"))
+        return both.select(*key, (F.coalesce("_n", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("n"), *place)
 
-    def _write(self, rows: DataFrame) -> str:
-        path = storage.new_path(self.spark, "level")
-        self._merge(rows).sortWithinPartitions("anchor", "segment").write.parquet(path)
-        storage.release(self.spark)
-        return path
+    @staticmethod
+    def met(a: DataFrame, b: DataFrame) -> DataFrame:
+        """The segments that both sorted arrays hold."""
+        key = list(SortedTable.KEY)
+        return a.select(*key).join(b.select(*key), key)
 
     def insert(self, docs: DataFrame) -> None:
-        """Adds a batch (columns doc, text) and merges levels of equal size."""
-        level, path = 0, self._write(entries(docs, self.length, self.gram))
-        while level in self.levels:
-            old = self.levels.pop(level)
-            merged = self._write(self.spark.read.parquet(old).unionByName(self.spark.read.parquet(path)))
-            for gone in (old, path):
-                storage.drop(self.spark, gone)
-            level, path = level + 1, merged
-        self.levels[level] = path
+        """Adds a batch (columns doc, text): scans it against every level and merges levels of equal size."""
+        new, level = self.suffix_array(docs), 0
+        while level in self.levels:  # those that merge with the newcomer; the merge is their scan
+            level += 1
+        for kept in sorted(k for k in self.levels if k > level):
+            self.matches.append(SortedTable(self.met(new.rows(), self.levels[kept].rows()), "matches"))
+        for k in range(level):
+            old = self.levels.pop(k)
+            both = SortedTable(self.merged(old.rows(), new.rows()), "suffixes")
+            old.drop()
+            new.drop()
+            new = both
+        self.levels[level] = new
 
     def scan(self) -> DataFrame:
-        """All entries, merged over the levels."""
-        tables = [self.spark.read.parquet(p) for p in self.levels.values()]
-        if len(tables) == 1:
-            return tables[0]
-        out = tables[0]
-        for t in tables[1:]:
-            out = out.unionByName(t)
-        return self._merge(out)
+        """All entries of all levels, with ``copied``: whether the segment occurs more than once in the family."""
+        key, out = list(SortedTable.KEY), None
+        found = None
+        for m in self.matches:
+            found = m.rows() if found is None else found.unionByName(m.rows())
+        for level in self.levels.values():
+            rows = level.rows()
+            if found is None:
+                rows = rows.withColumn("copied", F.col("n") > 1)
+            else:
+                rows = rows.join(found.distinct().withColumn("_met", F.lit(True)), key, "left").withColumn("copied", (F.col("n") > 1) | F.col("_met").isNotNull()).drop("_met")
+            out = rows if out is None else out.unionByName(rows)
+        return out
 
     def drop(self) -> None:
-        for path in self.levels.values():
-            storage.drop(self.spark, path)
+        for t in (*self.levels.values(), *self.matches):
+            t.drop()
         self.levels.clear()
+        self.matches.clear()
 
 
 def _lists(rows: DataFrame) -> DataFrame:
@@ -216,7 +284,7 @@ def _spans(n: int, length: int, begin: np.ndarray, windows: np.ndarray) -> tuple
     return a[first], b[np.append(first[1:] - 1, len(b) - 1)]
 
 
-_RESULT = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
+_RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
 
 
 def _result(own: np.ndarray, length: int, codes: np.ndarray, with_text: bool) -> tuple[int, int, int, str, str | None]:
@@ -256,7 +324,7 @@ def _settle(texts: DataFrame, length: int, with_text: bool) -> DataFrame:
                 names=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "text", "codes"],
             )
 
-    return texts.select("doc", F.coalesce("text", F.lit("")).alias("text"), "codes").mapInArrow(run, _RESULT + ", text string, codes array<long>")
+    return texts.select("doc", F.coalesce("text", F.lit("")).alias("text"), "codes").mapInArrow(run, _with_doc(texts, "", _RESULT + ", text string, codes array<long>"))
 
 
 def _groups(s: Segments, begin: int, codes: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -279,14 +347,14 @@ def _groups(s: Segments, begin: int, codes: np.ndarray, step: int) -> tuple[np.n
 
 
 def _hashed(texts: DataFrame, length: int, gram: int, step: int) -> DataFrame:
-    """(key, c, doc, code) of the window groups (step > 1) or windows (step 1) of open segments.
+    """(k1, k2, c, doc, code) of the window groups (step > 1) or windows (step 1) of open segments.
 
-    A group's key hashes the bytes that all its aligned windows have in common.
+    A group's key is the fingerprint of the bytes that all its aligned windows have in common.
     With step 1, ``done`` lists groups that need no look at single windows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers(1)
+        powers = two_powers()
         for batch in batches:
             data, starts = text_bytes(batch.column(1))
             for lo, hi in blocks(starts):
@@ -317,55 +385,51 @@ def _hashed(texts: DataFrame, length: int, gram: int, step: int) -> DataFrame:
                     group = k >> 2
                     a, b = s.anchor[which] - group * step, s.anchor[which] - group * step - step + 1 + length
                     salt = s.anchor_hash[which] ^ group.astype(np.uint64) * _GOLDEN
-                key = _range_hash(powers, s.prefix, a, b, salt)
-                at, c = _merged([key], np.ones(len(key), dtype=np.int64))
+                keys = _fingerprints(powers, s, a, b, salt)
+                at, c = _merged(keys, np.ones(len(a), dtype=np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[at].view(np.int64)), pa.array(c), batch.column(0).take(pa.array(owner[at])), pa.array(((first[at] - begins[owner[at] - lo]) << 8 | width[at]) << 2 | (k[at] & 3))],
-                    names=["key", "c", "doc", "code"],
+                    [*(pa.array(k[at].view(np.int64)) for k in keys), pa.array(c), batch.column(0).take(pa.array(owner[at])), pa.array(((first[at] - begins[owner[at] - lo]) << 8 | width[at]) << 2 | (k[at] & 3))],
+                    names=["k1", "k2", "c", "doc", "code"],
                 )
 
     columns = ["doc", "text", "codes", *(["done"] if step == 1 else [])]
-    return texts.select(*columns).mapInArrow(run, "key long, c long, doc long, code long")
+    return texts.select(*columns).mapInArrow(run, _with_doc(texts, "k1 long, k2 long, c long", "code long"))
 
 
 def _alone(rows: DataFrame) -> DataFrame:
     """(doc, code) of keys that occur once."""
-    return rows.groupBy("key").agg(F.sum("c").alias("c"), F.first("doc").alias("doc"), F.first("code").alias("code")).where("c = 1").select("doc", "code")
+    return rows.groupBy("k1", "k2").agg(F.sum("c").alias("c"), F.first("doc").alias("doc"), F.first("code").alias("code")).where("c = 1").select("doc", "code")
 
 
-def repeated_strings(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, gram: int = 32, batches: int = 4, with_text: bool = False) -> DataFrame:
+def repeated_strings(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, gram: int = 32, batches: int = 3, with_text: bool = False) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256) of every row, and ``kept`` if asked for:
     the characters of which every byte remains.
 
     batches: how many parts the documents arrive in; the result does not depend on it.
     """
     spark = docs.sparkSession
-    named = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    scratch = storage.Scratch(spark, "repeated")
+    named = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
     family = SuffixFamily(spark, length, gram)
     for b in range(batches):
         family.insert(named.where(F.pmod(F.xxhash64("doc"), F.lit(batches)) == b))
-    found = family.scan()
-    several = found.groupBy("anchor").agg(F.min("segment").alias("_a"), F.max("segment").alias("_b")).where("_a <> _b").select("anchor", F.lit(True).alias("several"))
-    marked = found.join(several, "anchor", "left").where("n = 1 or several")
-    kind = F.when(F.col("n") > 1, COPIED).when(F.col("several"), OPEN).otherwise(SETTLED)
+    # The first bytes are hashed here: two suffixes that only share the hash are compared in vain, no more.
+    found = family.scan().select(F.xxhash64("suffix").alias("anchor"), "s1", "s2", "n", "copied", "doc", "code")
+    differ = (F.min("s1") != F.max("s1")) | (F.min("s2") != F.max("s2"))
+    several = found.groupBy("anchor").agg(differ.alias("several")).where("several")
+    marked = found.join(several, "anchor", "left").where("not copied or several")
+    kind = F.when(F.col("copied"), COPIED).when(F.col("several"), OPEN).otherwise(SETTLED)
     coded = marked.select("doc", F.shiftleft("code", 2).bitwiseOR(kind.cast("long")).alias("code"))
-    lists_path = storage.new_path(spark, "lists")
-    lists = storage.written(_lists(coded), "lists", lists_path)
-    storage.release(spark)
+    lists = scratch.written(_lists(coded), "lists")
     family.drop()
 
     settled = storage.written(_settle(_joined(named, lists), length, with_text), "settled")
-    storage.release(spark)
-    storage.drop(spark, lists_path)
     waiting = settled.where("text is not null").select("doc", "text", "codes")
-    alone_path = storage.new_path(spark, "groups")
-    alone = storage.written(_alone(_hashed(waiting, length, gram, STEP)), "groups", alone_path)
-    storage.release(spark)
+    alone = scratch.written(_alone(_hashed(waiting, length, gram, STEP)), "groups")
     done = _joined(waiting, _lists(alone)).toDF("doc", "text", "codes", "done")
     windows = _alone(_hashed(done, length, gram, 1)).unionByName(alone).where(F.col("code").bitwiseAND(F.lit(3)) == OPEN)
     last = storage.written(_lists(windows.select("doc", F.shiftright("code", 2).alias("code"))), "windows")
-    storage.release(spark)
-    storage.drop(spark, alone_path)
+    scratch.drop()
 
     certain = F.filter("first", lambda x: x.bitwiseAND(F.lit(3)) == SETTLED)
     found_later = F.transform(F.coalesce("codes", F.array().cast("array<long>")), lambda x: F.shiftleft(x, 2))

@@ -188,7 +188,7 @@ def brute_suffix(texts, length):
     return out
 
 
-@pytest.mark.parametrize("batches", [1, 3, 4])
+@pytest.mark.parametrize("batches", [1, 3, 4, 7])
 def test_suffix_equals_brute_force(docs, texts, batches):
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.repeated_strings(docs, batches=batches).collect()}
     assert got == brute_suffix({k: t.encode() for k, t in texts.items()}, 200)
