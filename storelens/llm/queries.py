@@ -77,7 +77,8 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents in which a benchmark item is found, copied or reworded."""
-    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    benchmark = _table(spark, sf_dir, "benchmark")
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), benchmark, answer="answer" if "answer" in benchmark.columns else None)
 
 
 def op9_language(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
