@@ -9,8 +9,11 @@ is chosen, or the one with the largest weighted dot product of the piece's
 demand and the bin's residual.  A group leaves a few bins partly filled, which
 is a waste of a fraction that falls with the group size.
 
-Nulls and empty texts are a document of the id 0 alone.  Repeated ids are
-packed as often as they occur.
+Nulls and empty texts are a document of the id 0 alone; a text of any length is
+encoded whole.  Repeated rows are packed as often as they occur.  Of bins that
+fit equally well the first in the group's list is taken.  Without documents there
+are no pieces.  ``pack`` keeps further columns of the pieces; ``sequence_id``,
+``offset`` and ``_group`` must not be among them.
 """
 
 from __future__ import annotations

@@ -59,6 +59,17 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.tokenize_and_pack(_table(spark, sf_dir, "documents"), vocabulary())
 
 
+#: Of ``packing_capacities``: pieces of at most 1,024 tokens, and capacities of which each decides for some sequences.
+BOUNDED = packing.Capacity(tokens=1536, documents=3, attention=1_150_000)
+BOUNDED_PIECE = 1024
+
+
+def packing_capacities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences that are bounded in tokens, pieces and attention cost, by the weighted dot product."""
+    cut = storage.written(packing.pieces(_table(spark, sf_dir, "documents"), vocabulary(), size=BOUNDED_PIECE), "pieces")
+    return packing.pack(cut, capacity=BOUNDED, weights=(1.0, 1.0, 1.0), rule="dot")
+
+
 #: Fixed rules.
 URL_RULES = (
     urls.Rule("allow", "org", "/"),
@@ -102,6 +113,7 @@ QUERIES: dict[str, Query] = {
     "op4_suffix": op4_suffix,
     "op5_warc": op5_warc,
     "op6_packing": op6_packing,
+    "packing_capacities": packing_capacities,
     "op7_decontam": op7_decontam,
     "op8_urls": op8_urls,
     "op9_language": op9_language,
@@ -147,3 +159,36 @@ SELECT p.page_id, coalesce(j.host, '') AS host, coalesce(j.path, '') AS path, j.
   coalesce(j.verdict, CASE WHEN p.url IN (SELECT url FROM reached) THEN 'block' ELSE 'allow' END) AS verdict
 FROM pages p LEFT JOIN judged j ON p.url = j.url
 """
+
+#: Every window of 200 bytes, as 400 hexadecimal digits.
+ORACLE_SQL["op4_suffix"] = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS k FROM (SELECT doc_id, h, unnest(range(length(h) // 2 - 199)) AS i FROM t WHERE length(h) >= 400)),
+c AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY k) AS n FROM w) WHERE n > 1),
+m AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200, true) AS fresh FROM c),
+s AS (SELECT doc_id, i, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM m),
+spans AS (SELECT doc_id, run, min(i) AS a, max(i) + 200 AS b FROM s GROUP BY ALL),
+gaps AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS begin_at, a AS end_at FROM spans
+  UNION ALL SELECT t.doc_id, coalesce(max(b), 0), any_value(length(h) // 2) FROM t LEFT JOIN spans USING (doc_id) GROUP BY t.doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * begin_at + 1, 2 * (end_at - begin_at)), '' ORDER BY begin_at) AS k FROM gaps JOIN t USING (doc_id) GROUP BY doc_id),
+gone AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT t.doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM t JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)
+"""
+
+#: Shingles as texts; components by walking all links.
+ORACLE_SQL["op10_neardup"] = r"""
+WITH RECURSIVE
+t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS k
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM t WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS u, y.doc_id AS v, count(*) AS c FROM s x JOIN s y ON x.k = y.k AND x.doc_id < y.doc_id GROUP BY ALL),
+e AS (SELECT u, v FROM p JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * c >= 75 * (a.n + b.n - c)),
+b AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+r(doc_id, goal) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, b.v FROM r JOIN b ON b.u = r.goal),
+m AS (SELECT doc_id, min(goal) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept FROM documents d JOIN m USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
