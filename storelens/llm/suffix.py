@@ -32,9 +32,11 @@ to one row before each shuffle.
 
 Null and empty texts have no bytes and lose none; a null id is an id like any
 other.  Ids may be of any type and must each stand for one text; rows repeated as
-a whole are copies of each other, and each is returned.  Of the copies of a
-string all are removed, so there are no ties to settle.  Only the two named
-columns are read, so further columns may have any name.
+a whole are copies of each other, and each is returned.  Texts of one id that
+differ are not told apart, and what is removed from them is not defined; nothing
+fails.  Of the copies of a string all are removed, so there are no ties to
+settle.  Only the two named columns are read, so further columns may have any
+name.
 """
 
 from __future__ import annotations
@@ -269,7 +271,7 @@ def _spans(n: int, length: int, begin: np.ndarray, windows: np.ndarray) -> tuple
         none = np.zeros(0, dtype=np.int64)
         return none, none
     order = np.argsort(begin, kind="stable")
-    begin, end = begin[order], begin[order] + windows[order]
+    begin, end = np.minimum(begin[order], total), np.minimum(begin[order] + windows[order], total)
     reach = np.maximum.accumulate(end) if len(end) else end
     # Windows between the listed runs are matches; each covers ``length`` bytes.
     a = np.concatenate(([0], reach))
@@ -333,8 +335,8 @@ def _groups(s: Segments, begin: int, codes: np.ndarray, step: int) -> tuple[np.n
     Returns (segment number, first window, number of windows, aligned group number);
     windows are aligned by their offset to the anchor.
     """
-    wanted = codes[(codes & 3) != SETTLED]
-    at = np.searchsorted(s.begin, (wanted >> 10) + begin)
+    wanted = codes[(codes & 3) != SETTLED] if len(s.begin) else codes[:0]
+    at = np.minimum(np.searchsorted(s.begin, (wanted >> 10) + begin), max(0, len(s.begin) - 1))
     high = s.anchor[at] - s.begin[at]  # offset of the first window, the largest
     low = high - s.windows[at] + 1
     n = high // step - low // step + 1

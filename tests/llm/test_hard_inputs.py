@@ -310,3 +310,12 @@ def test_repeated_strings_with_text_keys_and_a_hot_string(spark):
     for batches in (1, 3, 7):
         got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.repeated_strings(df, batches=batches).collect()}
         assert got == want
+
+
+def test_repeated_strings_with_ids_that_stand_for_several_texts(spark):
+    rng = random.Random(1)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = text(400)
+    rows = [(None, shared + text(900)), (None, text(30)), (None, shared[:250]), (5, text(10) + shared[:300]), (5, shared), (6, None), (6, "")]
+    got = suffix.repeated_strings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.n_bytes for r in got) == sorted(len(t or "") for _, t in rows)
