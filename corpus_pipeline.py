@@ -3,8 +3,16 @@
 quality -> near duplicates -> repeated strings -> benchmark passages -> packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor
-kept.  The first four return the columns of documents; n_chars follows the text.
-Ids must be unique and not null, as in the table.
+kept.  The first four return the columns of docs, whatever further ones there
+are; n_chars follows the text.  Ids should be unique, as in the table.
+
+Null and empty texts pass the first four stages unchanged (their quality is the
+usual one) and are packed as an end mark.  A row repeated as a whole stays as
+often as it is there: its copies share one id, and stages decide by id.  Rows
+without an id pass near duplicates and decontamination, which name documents by
+id, and keep their text uncut.  A text that the removal leaves empty stays as an
+empty text.  Of near duplicates with equal ids none is dropped.  Empty tables
+give empty results.
 """
 
 from __future__ import annotations
@@ -39,7 +47,7 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 def remove_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes every byte inside a 200-byte string that occurs more than once; halves of characters go with it."""
     cut = suffix.repeated_strings(docs, with_text=True).where("n_removed > 0")
-    new = cut.select(F.col("doc_id").alias("_cut_id"), F.col("kept").alias("_cut_text"))
+    new = cut.groupBy(F.col("doc_id").alias("_cut_id")).agg(F.first("kept").alias("_cut_text"))  # repeated rows have equal results
     joined = docs.join(new, docs["doc_id"] == new["_cut_id"], "left")
     kept = F.when(F.col("_cut_id").isNotNull(), F.col("_cut_text")).otherwise(F.col("text"))
     return joined.withColumn("text", kept).withColumn("n_chars", F.when(F.col("_cut_id").isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
