@@ -11,7 +11,8 @@ from storelens.operators import cdc, clicks, quality, sinks
 from storelens.oracles import ORACLE_SQL
 from storelens.plans import live, marts, serve
 from storelens.sources import adapters
-from storelens.sources.tables import table
+from storelens.sources.files import inbox
+from storelens.sources.tables import csv_strings, parquet_or_empty, partitioned_since, table
 from storelens.streaming import replays
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +94,110 @@ def _pending(s: SparkSession, d: str) -> DataFrame:
     return sinks.pending_files(files.unionByName(s.range(1).select(F.lit(".part.csv").alias("file_name"))), ledger)
 
 
+def _typed(s: SparkSession, log: DataFrame, name: str) -> DataFrame:
+    """Changes through messages and back, the same for each table."""
+    return cdc.typed(cdc.parse_envelopes(cdc.to_envelopes(log, name)), name)
+
+
+def _approx_errors(s: SparkSession, d: str) -> DataFrame:
+    """Cells whose approximate sessions are off by more than three standard errors of the sketch, and one."""
+    keys = ["window_start", "stage"]
+    exact, close = (clicks.funnel_windows(adapters.clicks(s, d), exact=e).select(*keys, F.col("sessions").alias(n)) for e, n in ((True, "sessions"), (False, "approx")))
+    return exact.join(close, keys).where("abs(approx - sessions) > greatest(1, 0.15 * sessions)")
+
+
+def _freshness(s: SparkSession, d: str) -> DataFrame:
+    """The age of the click source by its last arrival, at three moments after it."""
+    loaded = adapters.clicks(s, d)
+    last = loaded.agg(F.date_trunc("day", F.max("ingested_at")).cast("timestamp_ntz").alias("day"))
+    rows = None
+    for name, hours in (("soon", 25), ("later", 30), ("days", 72)):
+        one = quality.stale(loaded, "ingested_at", last.select(F.col("day") + F.expr(f"interval {hours} hours")).scalar(), "2 hours", "24 hours").select(F.lit(name).alias("moment"), "state")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+def _csv_orders(s: SparkSession, d: str) -> DataFrame:
+    """Orders as CSV files, read back as strings."""
+    root = replays.folder(s, "csv")
+    table(s, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderpriority")).alias("o_orderpriority"), F.format_string("say \"%s\", ok", F.col("o_orderstatus")).alias("note")).write.option("escape", '"').option("header", True).csv(root)
+    rows = csv_strings(s, root, ["o_orderkey", "o_orderpriority", "note"])
+    return rows.withColumn("from_csv", F.col("source_file").endswith(".csv")).drop("source_file")
+
+
+def _events_since(s: SparkSession, d: str) -> DataFrame:
+    """Events by day in folders, from a day on."""
+    root = replays.folder(s, "hive")
+    table(s, d, "events").select("event_id", F.col("ts").cast("date").alias("day")).write.partitionBy("day").parquet(root)
+    return partitioned_since(s, root, "day", "2024-01-20").groupBy("day").agg(F.count("*").alias("events"))
+
+
+def _overwritten_days(s: SparkSession, d: str) -> DataFrame:
+    """Sessions by day; ten days are then replaced by those of customers with even ids, on even days only."""
+    root = replays.folder(s, "days")
+    rolled = marts.sessions(s, d).select("session_id", "customer_id", "session_date")
+    sinks.overwrite_partitions(rolled, root, "session_date", "2023-01-01", "2025-01-01")
+    within = F.col("session_date").between(F.lit("2024-01-10").cast("date"), F.lit("2024-01-19").cast("date"))
+    sinks.overwrite_partitions(rolled.where(within & (F.col("customer_id") % 2 == 0) & (F.dayofmonth("session_date") % 2 == 0)), root, "session_date", "2024-01-10", "2024-01-19")
+    return s.read.parquet(root).groupBy("session_date").agg(F.count("*").alias("sessions"))
+
+
+def _upserted_table(s: SparkSession, d: str) -> DataFrame:
+    """Orders placed before 1998 stored, all orders ignored where stored, then late ones updated: what each step reports and leaves."""
+    root = replays.folder(s, "upsert")
+    orders = table(s, d, "orders").select("o_orderkey", "o_orderdate")
+    step = lambda name, rows: rows.select("o_orderkey", F.lit(name).alias("origin"))
+    early, late = orders.where("o_orderdate < '1998-01-01'"), orders.where("o_orderdate >= '2000-01-01'")
+    n = [sinks.upsert(step("first", early), root, ["o_orderkey"], ["origin"]), sinks.upsert(step("second", orders.unionByName(orders)), root, ["o_orderkey"], ["origin"]), sinks.upsert(step("third", late), root, ["o_orderkey"], ["origin"], update=True)]
+    reported = s.createDataFrame(list(zip(("first", "second", "third"), n, strict=True)), "origin string, reported long")
+    return sinks.keyed(s, root).groupBy("origin").agg(F.count("*").alias("orders")).join(F.broadcast(reported), "origin")
+
+
+def _published(s: SparkSession, d: str) -> DataFrame:
+    """A mart rebuilt twice; readers get the last whole one."""
+    root = replays.folder(s, "mart")
+    board = live.status_board(s, d)
+    versions = [sinks.publish(board.where("status = 'PLACED'"), root), sinks.publish(board, root)]
+    return sinks.current(s, root).withColumn("version", F.lit(versions[-1]))
+
+
+def _appended_results(s: SparkSession, d: str) -> DataFrame:
+    """Rule results of two runs appended, the second one twice, and their scorecard."""
+    root = replays.folder(s, "dq")
+    results = quality.rule_results(_standardised(s, d), quality.delivery_rules(), ["waybill", "status"])
+    now = F.lit(marts.AS_OF).cast("timestamp_ntz")
+    for run in ("a", "b", "b"):
+        sinks.append_results(results, root, run, "deliveries", now)
+    return quality.scorecard(s.read.parquet(root), now - F.expr("interval 7 days")).drop("last_run_at")
+
+
+def _inbox(s: SparkSession, d: str) -> tuple[str, DataFrame]:
+    """A partner's files in an inbox, loaded twice over; the tables' folder and what each file loaded."""
+    root = replays.folder(s, "inbox")
+    rows = adapters.deliveries_raw(s, d).select(*quality.DELIVERY_COLUMNS)
+    rows.repartition(2, "waybill").sortWithinPartitions("waybill").write.option("header", True).csv(f"{root}/in")
+    now = F.lit(marts.AS_OF).cast("timestamp_ntz")
+    first = sinks.ingest_inbox(s, f"{root}/in", f"{root}/archive", f"{root}/tables", now)
+    again = sinks.ingest_inbox(s, f"{root}/in", f"{root}/archive", f"{root}/tables", now)
+    left = len(inbox(s, f"{root}/in"))
+    return f"{root}/tables", s.createDataFrame([(sum(first.values()), sum(again.values()), left, len(inbox(s, f"{root}/archive")) - len(first))], "loaded long, loaded_again long, files_left long, files_lost long")
+
+
+def _ingested(s: SparkSession, d: str) -> DataFrame:
+    """Deliveries, rejected rows and rule failures after an inbox was loaded, and loaded again."""
+    tables, counts = _inbox(s, d)
+    kept = sinks.keyed(s, f"{tables}/deliveries").agg(F.count("*").alias("deliveries"))
+    ledger = s.read.parquet(f"{tables}/ledger").agg(F.sum("rows_rejected").alias("rejected"))
+    failures = s.read.parquet(f"{tables}/dq_results").agg(F.sum("failed_rows").alias("failures"))
+    return counts.crossJoin(kept).crossJoin(ledger).crossJoin(failures)
+
+
+def _quarantined(s: SparkSession, d: str) -> DataFrame:
+    """Rejected rows as they lie in quarantine."""
+    tables, _ = _inbox(s, d)
+    return s.read.option("header", True).csv(f"{tables}/quarantine/*").select("waybill", "courier", "status", "failed_rules")
+
+
 QUERIES: dict[str, Query] = {
     "clicks_parsed": lambda s, d: clicks.parse_messages(clicks.to_messages(adapters.clicks(s, d))).drop("cart_value", "order_id", "items"),
     "clicks_dedup": lambda s, d: clicks.dedupe(adapters.clicks(s, d, repeated=True)).select("event_id", "event_time", "session_id", "event_type"),
@@ -163,7 +268,28 @@ QUERIES: dict[str, Query] = {
     "assert_totals_match": lambda s, d: _fct_orders(s, d).where("lines > 0 and abs(order_total - (items_value + shipping_fee)) > 0.01").select("order_id", "order_total", "items_value", "shipping_fee"),
     "assert_no_pii": lambda s, d: marts.dim_customers(s, d).where("email_masked not like '%***@%' or not phone_masked rlike '[*]{5}'").select("customer_sk"),
     "assert_funnel_monotonic": lambda s, d: marts.funnel_daily(s, d).where("not (added_to_cart >= reached_checkout and reached_checkout >= purchased)"),
+    "cdc_order_items_typed": lambda s, d: _doubles(_typed(s, adapters.order_item_changes(s, d), "order_items"), "unit_price"),
+    "cdc_customers_typed": lambda s, d: _typed(s, adapters.customer_changes(s, d), "customers"),
+    "cdc_products_typed": lambda s, d: _doubles(_typed(s, adapters.product_changes(s, d), "products"), "price", "cost"),
+    "cdc_inventory_typed": lambda s, d: _typed(s, adapters.inventory_changes(s, d), "inventory"),
+    "abandoned_recent_days": serve.abandoned_daily,
+    "data_quality": serve.data_quality,
+    "live_overview_clicks": lambda s, d: serve.overview(s, d, "2024-01-15", "2024-01-15 12:00:00"),
+    "live_retained_cells": lambda s, d: live.retained(clicks.funnel_windows(adapters.clicks(s, d)), "window_start", "2024-01-15 12:00:00", "funnel").where("window_start < '2024-01-15 12:00:00'"),
+    "assert_approx_close": _approx_errors,
+    "source_freshness": _freshness,
+    "source_csv_strings": _csv_orders,
+    "source_partitions_since": _events_since,
+    "source_missing_folder": lambda s, d: parquet_or_empty(s, f"{d}/no_such_table.parquet", table(s, d, "region").schema),
+    "sink_overwrite_days": _overwritten_days,
+    "sink_upsert_table": _upserted_table,
+    "sink_published_mart": _published,
+    "sink_dq_results": _appended_results,
+    "sink_ingest_inbox": _ingested,
+    "sink_rejected_rows": _quarantined,
     "stream_bronze": replays.bronze,
+    "stream_funnel_late": lambda s, d: replays.funnel(s, d, late=True),
+    "stream_change_counts": replays.change_counts,
     "stream_funnel": replays.funnel,
     "stream_carts": replays.carts,
     "stream_cdc": replays.cdc,

@@ -100,16 +100,28 @@ def as_of(facts: DataFrame, dimension: DataFrame, key: str, at: str, columns: li
     return facts.join(right, (F.col(key) == F.col("_key")) & (F.col(at) >= F.col("valid_from")) & (F.col(at) < F.col("valid_to")), "left").drop("_key", "valid_from", "valid_to")
 
 
-def milestones(log: DataFrame) -> DataFrame:
-    """First time of each state of an order, and how often it changed."""
+def _milestones() -> list[Column]:
     first = lambda status: F.min(F.when(F.col("status") == status, F.col("changed_at")))
-    return log.groupBy("order_id").agg(
+    return [
         first("PAID").alias("paid_at"),
         first("SHIPPED").alias("shipped_at"),
         first("DELIVERED").alias("delivered_at_shop"),
         first("CANCELLED").alias("cancelled_at"),
         F.count_if(F.col("op") == "u").alias("status_changes"),
-    )
+    ]
+
+
+def milestones(log: DataFrame) -> DataFrame:
+    """First time of each state of an order, and how often it changed."""
+    return log.groupBy("order_id").agg(*_milestones())
+
+
+def order_states(log: DataFrame) -> DataFrame:
+    """The last change of every order that is not deleted, with its milestones, in one pass over the log."""
+    rest = [c for c in log.columns if c != "order_id"]
+    last = log.groupBy("order_id").agg(F.max_by(F.struct(*rest), F.struct("ts_ms", "kafka_offset")).alias("_row"), *_milestones())
+    kept = [c for c in last.columns if c not in ("order_id", "_row")]
+    return last.select("order_id", *(F.col(f"_row.{c}") for c in rest), *kept).where("not is_deleted")
 
 
 def with_key(df: DataFrame, name: str, *parts: str) -> DataFrame:

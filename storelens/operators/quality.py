@@ -35,19 +35,17 @@ def delivery_rules() -> list[Rule]:
     ]
 
 
+def _typed_delivery() -> dict[str, Column]:
+    """Each column of a delivery from its trimmed string; delivered_raw keeps the string that the rules need."""
+    text = {c: F.trim(F.when(F.isnan(F.col(c).try_cast("double")), F.lit("")).otherwise(F.coalesce(F.col(c), F.lit("")))) for c in DELIVERY_COLUMNS}
+    numbers = {c: text[c].try_cast("long") for c in ("order_id", "attempts")}
+    times = {c: partner_time(text[c]) for c in ("collected_at", "delivered_at")}
+    return text | numbers | times | {"status": F.upper(text["status"]), "delivered_raw": text["delivered_at"]}
+
+
 def standardise(raw: DataFrame) -> DataFrame:
-    """Trims, cases and types a partner's strings; what does not parse becomes null."""
-    text = raw.select(*(F.trim(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in DELIVERY_COLUMNS), *(c for c in raw.columns if c not in DELIVERY_COLUMNS))
-    return text.withColumns(
-        {
-            "status": F.upper("status"),
-            "order_id": F.col("order_id").try_cast("long"),
-            "attempts": F.col("attempts").try_cast("long"),
-            "delivered_raw": F.col("delivered_at"),
-            "collected_at": partner_time(F.col("collected_at")),
-            "delivered_at": partner_time(F.col("delivered_at")),
-        }
-    )
+    """Trims, cases and types a partner's strings; what does not parse becomes null, and NaN is a blank."""
+    return raw.select(*(value.alias(name) for name, value in _typed_delivery().items()), *(c for c in raw.columns if c not in DELIVERY_COLUMNS))
 
 
 def checked(rows: DataFrame, rules: list[Rule]) -> DataFrame:

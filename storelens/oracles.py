@@ -101,10 +101,19 @@ rule_results AS (
   FROM (SELECT courier, count(*) AS n, count(*) FILTER (order_id IS NULL) AS f1, count(*) FILTER (collected_at IS NULL) AS f2,
     count(*) FILTER (delivered_at IS NOT NULL AND coalesce(delivered_at < collected_at, true)) AS f3, count(*) FILTER (attempts NOT BETWEEN 0 AND 5) AS f4,
     count(*) FILTER (failed_rules = '') AS g, count(DISTINCT waybill || status) FILTER (failed_rules = '') AS u FROM ruled GROUP BY courier)),
-holidays AS (
-  SELECT make_date(y, m, d) AS holiday_date, name FROM range(1995, 2003) t(y),
+easter_parts AS (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM range(1995, 2003) t(y)),
+easter_moon AS (SELECT *, (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30 AS h FROM easter_parts),
+easter_week AS (SELECT *, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 AS l FROM easter_moon),
+easter_last AS (SELECT *, h + l - 7 * ((a + 11 * h + 22 * l) // 451) + 114 AS x FROM easter_week),
+easter AS (SELECT y, make_date(y, x // 31, x % 31 + 1) AS sunday FROM easter_last),
+named_days AS (
+  SELECT make_date(y, m, d) AS holiday_date, name, 1 AS place FROM range(1995, 2003) t(y),
     (VALUES (1, 1, 'New Year''s Day'), (3, 21, 'Human Rights Day'), (4, 27, 'Freedom Day'), (5, 1, 'Workers'' Day'), (6, 16, 'Youth Day'), (8, 9, 'National Women''s Day'),
-      (9, 24, 'Heritage Day'), (12, 16, 'Day of Reconciliation'), (12, 25, 'Christmas Day'), (12, 26, 'Day of Goodwill')) v(m, d, name)),
+      (9, 24, 'Heritage Day'), (12, 16, 'Day of Reconciliation'), (12, 25, 'Christmas Day'), (12, 26, 'Day of Goodwill')) v(m, d, name)
+  UNION ALL SELECT sunday - 2, 'Good Friday', 2 FROM easter UNION ALL SELECT sunday + 1, 'Family Day', 2 FROM easter),
+holidays AS (
+  SELECT * FROM (SELECT * FROM named_days UNION ALL SELECT holiday_date + 1, name || ' (observed)', 3 FROM named_days WHERE isodow(holiday_date) = 7)
+  QUALIFY row_number() OVER (PARTITION BY holiday_date ORDER BY place) = 1),
 dim_date AS (
   SELECT date_day, CAST(isodow(date_day) AS INTEGER) AS day_of_week, strftime(date_day, '%a') AS day_name, CAST(date_trunc('week', date_day) AS DATE) AS week_start, CAST(date_trunc('month', date_day) AS DATE) AS month_start,
     isodow(date_day) IN (6, 7) AS is_weekend, name IS NOT NULL AS is_public_holiday, name AS holiday_name, day(date_day) >= 25 OR day(date_day) = 1 AS is_payday_period
@@ -174,6 +183,19 @@ _CORE = "order_id, customer_id, session_id, status, payment_method, CAST(shippin
 _VERSIONS = "product_sk, product_id, version, sku, product_name, category, CAST(price AS DOUBLE) AS price, CAST(cost AS DOUBLE) AS cost, margin_pct, CAST(valid_from AS VARCHAR) AS valid_from, CAST(valid_to AS VARCHAR) AS valid_to, is_current, stock_on_hand, needs_reorder"
 _OPEN = "nullif(valid_from, TIMESTAMP '1900-01-01') AS valid_from, nullif(valid_to, TIMESTAMP '9999-12-31') AS valid_to"
 
+
+def _overview(day: str, until: str) -> str:
+    return f"""SELECT k.*, (SELECT coalesce(sum(units), 0)::BIGINT FROM product_days WHERE day = DATE '{day}') AS items_sold,
+      (SELECT count(*) FROM carts WHERE CAST(last_activity_at + INTERVAL 2 HOUR AS DATE) = DATE '{day}') AS abandoned_carts,
+      (SELECT CAST(coalesce(sum(CAST(cart_value AS DECIMAL(18,2))), 0) AS DOUBLE) FROM carts WHERE CAST(last_activity_at + INTERVAL 2 HOUR AS DATE) = DATE '{day}') AS abandoned_value,
+      (SELECT coalesce(sum(sessions), 0)::BIGINT FROM funnel_windows WHERE stage = 'any' AND window_start = TIMESTAMP '{until}') AS active_sessions_last_min,
+      (SELECT count(*) FROM order_core WHERE status IN ('PLACED','PAID','SHIPPED')) AS open_orders,
+      (SELECT string_agg(status || '=' || n, ',' ORDER BY status) FROM (SELECT status, count(*) AS n FROM order_core GROUP BY 1)) AS order_status,
+      coalesce(floor(revenue / CAST(nullif(orders, 0) AS DOUBLE) * 100.0 + 0.5) / 100.0, 0.0) AS avg_order_value
+    FROM (SELECT count(*) FILTER (op = 'c') AS orders, CAST(coalesce(sum(order_total) FILTER (op = 'c'), 0) AS DOUBLE) AS revenue, count(*) FILTER (op = 'u' AND status = 'CANCELLED') AS cancelled
+      FROM order_log WHERE CAST(changed_at + INTERVAL 2 HOUR AS DATE) = DATE '{day}') k"""
+
+
 _SELECT: dict[str, str] = {
     "clicks_parsed": "SELECT CAST(event_id AS VARCHAR) AS event_id, event_type, session_id, customer_id, device, traffic_source, event_time, page, product_id, quantity, CAST(price AS DOUBLE) AS price, CAST(event_time AS DATE) AS event_date FROM clicks",
     "clicks_dedup": "SELECT event_id, event_time, session_id, event_type FROM clicks",
@@ -217,6 +239,7 @@ _SELECT: dict[str, str] = {
     "dq_rejected": "SELECT waybill, courier, status, attempts, failed_rules FROM ruled WHERE failed_rules <> ''",
     "dq_duplicates": "SELECT waybill, status, count(*) AS n FROM ruled WHERE failed_rules = '' GROUP BY ALL HAVING count(*) > 1",
     "dq_scorecard": "SELECT dataset, rule_name, dimension, count(DISTINCT run_id) AS runs, CAST(sum(checked_rows) AS BIGINT) AS checked_rows, CAST(sum(failed_rows) AS BIGINT) AS failed_rows, max(run_at) AS last_run_at, floor(CAST(sum(checked_rows) - sum(failed_rows) AS DOUBLE) / CAST(nullif(sum(checked_rows), 0) AS DOUBLE) * 10000.0 + 0.5) / 10000.0 AS pass_rate FROM dq_results WHERE run_at >= TIMESTAMP '2001-12-31' - INTERVAL 7 DAY GROUP BY ALL",
+    "data_quality": "SELECT dataset, rule_name, dimension, count(DISTINCT run_id) AS runs, CAST(sum(checked_rows) AS BIGINT) AS checked_rows, CAST(sum(failed_rows) AS BIGINT) AS failed_rows, max(run_at) AS last_run_at, floor(CAST(sum(checked_rows) - sum(failed_rows) AS DOUBLE) / CAST(nullif(sum(checked_rows), 0) AS DOUBLE) * 10000.0 + 0.5) / 10000.0 AS pass_rate FROM dq_results WHERE run_at >= TIMESTAMP '2001-12-31' - INTERVAL 7 DAY GROUP BY ALL",
     "live_status_board": "SELECT status, count(*) AS orders FROM order_last WHERE NOT is_deleted GROUP BY 1",
     "live_day_kpis": "SELECT CAST(changed_at + INTERVAL 2 HOUR AS DATE) AS day, count(*) FILTER (op = 'c') AS orders, CAST(coalesce(sum(order_total) FILTER (op = 'c'), 0) AS DOUBLE) AS revenue, count(*) FILTER (op = 'u') AS cancelled FROM order_log WHERE op = 'c' OR (op = 'u' AND status = 'CANCELLED') GROUP BY 1",
     "live_recent_orders": "SELECT order_id, customer_id, CAST(order_total AS DOUBLE) AS order_total, ts_ms FROM order_log WHERE op = 'c' ORDER BY ts_ms DESC, kafka_offset DESC LIMIT 20",
@@ -226,7 +249,30 @@ _SELECT: dict[str, str] = {
     "live_recent_alerts": "SELECT session_id, coalesce(first_name, 'Guest') AS name, cart_value, items, last_activity_at FROM (SELECT * FROM carts ORDER BY last_activity_at DESC, session_id LIMIT 20) c LEFT JOIN (SELECT customer_id, first_name FROM customer_log WHERE op = 'c') n USING (customer_id)",
     "live_best_sellers": "SELECT product_id, p_name AS name, units, revenue FROM (SELECT * FROM product_days WHERE day = DATE '1998-10-03' ORDER BY units DESC, CAST(product_id AS VARCHAR) DESC LIMIT 10) JOIN part ON p_partkey = product_id",
     "live_lowest_stock": "SELECT product_id, CASE WHEN EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = product_id) THEN p_name END AS name, stock_on_hand FROM (SELECT * FROM stock WHERE stock_on_hand <= 10 ORDER BY stock_on_hand, CAST(product_id AS VARCHAR) LIMIT 20) JOIN part ON p_partkey = product_id",
-    "live_overview": "SELECT k.*, (SELECT count(*) FROM order_core WHERE status IN ('PLACED','PAID','SHIPPED')) AS open_orders, coalesce(floor(revenue / CAST(nullif(orders, 0) AS DOUBLE) * 100.0 + 0.5) / 100.0, 0.0) AS avg_order_value FROM (SELECT count(*) FILTER (op = 'c') AS orders, CAST(coalesce(sum(order_total) FILTER (op = 'c'), 0) AS DOUBLE) AS revenue, count(*) FILTER (op = 'u' AND status = 'CANCELLED') AS cancelled FROM order_log WHERE CAST(changed_at + INTERVAL 2 HOUR AS DATE) = DATE '1998-10-03') k",
+    "live_overview": _overview("1998-10-03", "1998-10-03 23:59:00"),
+    "live_overview_clicks": _overview("2024-01-15", "2024-01-15 12:00:00"),
+    "live_retained_cells": "SELECT * FROM funnel_windows WHERE window_start >= TIMESTAMP '2024-01-15 06:00:00' AND window_start < TIMESTAMP '2024-01-15 12:00:00'",
+    "cdc_order_items_typed": "SELECT op, op = 'd' AS is_deleted, epoch_ms(changed_at) AS ts_ms, changed_at, kafka_offset, order_id, product_id, quantity, CAST(unit_price AS DOUBLE) AS unit_price FROM item_log",
+    "cdc_customers_typed": "SELECT op, op = 'd' AS is_deleted, epoch_ms(changed_at) AS ts_ms, changed_at, customer_id * 4 + seq AS kafka_offset, customer_id, first_name, last_name, email, phone, province, city, marketing_opt_in, created_at FROM customer_log",
+    "cdc_products_typed": "SELECT 'u' AS op, false AS is_deleted, epoch_ms(changed_at) AS ts_ms, changed_at, kafka_offset, product_id, sku, product_name, category, CAST(price AS DOUBLE) AS price, CAST(cost AS DOUBLE) AS cost FROM product_log",
+    "cdc_inventory_typed": "SELECT CASE seq WHEN 0 THEN 'r' ELSE 'u' END AS op, false AS is_deleted, 1000000000000 + seq * 1000 AS ts_ms, make_timestamp_ms(1000000000000 + seq * 1000) AS changed_at, product_id * 2 + seq AS kafka_offset, product_id, stock_on_hand, reorder_level FROM inventory_log",
+    "abandoned_recent_days": "SELECT * FROM abandoned_daily WHERE cart_date > DATE '2024-01-31' - 30",
+    "assert_approx_close": "SELECT window_start, stage, sessions, sessions AS approx FROM funnel_windows WHERE false",
+    "source_freshness": "SELECT moment, CASE WHEN age > INTERVAL 24 HOUR THEN 'error' WHEN age > INTERVAL 2 HOUR THEN 'warn' ELSE 'pass' END AS state FROM (SELECT moment, date_trunc('day', last) + to_hours(h) - last AS age FROM (SELECT max(ingested_at) AS last FROM clicks), (VALUES ('soon', 25), ('later', 30), ('days', 72)) v(moment, h))",
+    "source_csv_strings": "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority ELSE '' END AS o_orderpriority, 'say \"' || o_orderstatus || '\", ok' AS note, true AS from_csv FROM orders",
+    "source_partitions_since": "SELECT CAST(ts AS DATE) AS day, count(*) AS events FROM events WHERE ts >= TIMESTAMP '2024-01-20' GROUP BY 1",
+    "source_missing_folder": "SELECT * FROM region WHERE false",
+    "sink_overwrite_days": "SELECT session_date, count(*) AS sessions FROM sessions WHERE session_date NOT BETWEEN DATE '2024-01-10' AND DATE '2024-01-19' OR (customer_id % 2 = 0 AND day(session_date) % 2 = 0) GROUP BY 1",
+    "sink_upsert_table": "SELECT origin, orders, CASE origin WHEN 'second' THEN (SELECT count(*) FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01') ELSE orders END AS reported FROM (SELECT CASE WHEN o_orderdate < TIMESTAMP '1998-01-01' THEN 'first' WHEN o_orderdate < TIMESTAMP '2000-01-01' THEN 'second' ELSE 'third' END AS origin, count(*) AS orders FROM orders GROUP BY 1)",
+    "sink_published_mart": "SELECT status, count(*) AS orders, 2 AS version FROM order_core GROUP BY 1",
+    "sink_ingest_inbox": "SELECT g AS loaded, CAST(0 AS BIGINT) AS loaded_again, CAST(0 AS BIGINT) AS files_left, CAST(0 AS BIGINT) AS files_lost, g AS deliveries, b AS rejected, f AS failures FROM (SELECT (SELECT count(*) FROM good) AS g, (SELECT count(*) FROM ruled WHERE failed_rules <> '') AS b, (SELECT CAST(sum(failed) AS BIGINT) FROM (RULES)) AS f)",
+    "sink_rejected_rows": "SELECT waybill, courier, status, failed_rules FROM ruled WHERE failed_rules <> ''",
+    "stream_change_counts": "SELECT 'orders' AS table_name, op, CAST(count(*) + count(*) FILTER (kafka_offset % 10 = 0) AS BIGINT) AS changes FROM order_log GROUP BY op",
+    "stream_funnel_late": """SELECT date_trunc('minute', event_time) AS window_start, stage, count(*) AS events FROM (
+      SELECT *, unnest([event_type, 'any']) AS stage FROM (
+        SELECT *, CASE WHEN event_id % 25 = 0 THEN least(due + 1, 2) ELSE due END AS delivery FROM (SELECT *, CAST(event_time >= TIMESTAMP '2024-01-11' AS INTEGER) + CAST(event_time >= TIMESTAMP '2024-01-21' AS INTEGER) AS due FROM clicks)) c
+      WHERE delivery = due OR date_trunc('minute', event_time) + INTERVAL 1 MINUTE > (SELECT max(event_time) - INTERVAL 2 MINUTE FROM clicks w WHERE w.event_id % 25 <> 0 AND w.event_time < CASE c.due WHEN 0 THEN TIMESTAMP '2024-01-11' ELSE TIMESTAMP '2024-01-21' END))
+      GROUP BY ALL""",
     "price_history": f"SELECT version, product_name, CAST(price AS DOUBLE) AS price, CAST(cost AS DOUBLE) AS cost, margin_pct, is_current, {_OPEN} FROM dim_products WHERE product_id = 42",
     "customer_profile": "SELECT c.customer_id, c.first_name, last_initial, email_masked, c.province, city, marketing_opt_in, version, segment, recency_days, frequency, monetary FROM dim_customers c LEFT JOIN rfm USING (customer_id) WHERE customer_id = 42 AND is_current",
     "customer_history": f"SELECT version, province, city, marketing_opt_in, {_OPEN} FROM dim_customers WHERE customer_id = 42",
@@ -249,4 +295,12 @@ _SELECT: dict[str, str] = {
     "stream_cdc": "SELECT op, count(*) AS changes FROM order_log GROUP BY 1",
 }
 
+#: Two runs of equal results.
+_SELECT["sink_dq_results"] = (
+    "SELECT 'deliveries' AS dataset, rule AS rule_name, dimension, CAST(2 AS BIGINT) AS runs, CAST(2 * checked AS BIGINT) AS checked_rows, CAST(2 * failed AS BIGINT) AS failed_rows, "
+    f"floor(CAST(checked - failed AS DOUBLE) / CAST(nullif(checked, 0) AS DOUBLE) * 10000.0 + 0.5) / 10000.0 AS pass_rate FROM ({_SELECT['dq_rule_results']})"
+)
+
+_SELECT["sink_ingest_inbox"] = _SELECT["sink_ingest_inbox"].replace("RULES", _SELECT["dq_rule_results"])
+
 ORACLE_SQL: dict[str, str] = {name: PRELUDE + sql for name, sql in _SELECT.items()}

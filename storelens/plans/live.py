@@ -14,7 +14,8 @@ from storelens.operators import cdc
 from storelens.sources import adapters
 
 LOW_STOCK = 10
-RETENTION_DAYS = {"day": 3, "seen": 7}
+#: Hours that a live view's rows are kept.
+RETENTION_HOURS = {"funnel": 6, "day": 3 * 24, "seen": 7 * 24}
 
 
 def order_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +41,9 @@ def day_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recent_orders(spark: SparkSession, sf_dir: str, limit: int = 20) -> DataFrame:
-    """The orders created last."""
+    """The orders created last, 1 to 20 of them."""
+    if not 1 <= limit <= 20:
+        raise ValueError(f"{limit} is not within 1 to 20")
     new = order_log(spark, sf_dir).where("op = 'c'")
     return new.orderBy(F.desc("ts_ms"), F.desc("kafka_offset")).limit(limit).select("order_id", "customer_id", F.col("order_total").cast("double").alias("order_total"), "ts_ms")
 
@@ -70,8 +73,8 @@ def display_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retained(view: DataFrame, column: str, now: str, kind: str) -> DataFrame:
-    """The rows of a live view that have not expired: day views after 3 days, guards after 7."""
-    return view.where(F.col(column) >= F.lit(now).cast("timestamp_ntz") - F.make_dt_interval(days=F.lit(RETENTION_DAYS[kind])))
+    """The rows of a live view that have not expired: funnel cells after 6 hours, day views after 3 days, guards after 7."""
+    return view.where(F.col(column) >= F.lit(now).cast("timestamp_ntz") - F.make_dt_interval(hours=F.lit(RETENTION_HOURS[kind])))
 
 
 def alerts_by_day(carts: DataFrame) -> DataFrame:

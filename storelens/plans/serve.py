@@ -112,19 +112,27 @@ def lowest_stock(spark: SparkSession, sf_dir: str, limit: int = 20) -> DataFrame
     return _named(low, spark, sf_dir, "product", "product_id").select("product_id", "name", "stock_on_hand")
 
 
-def overview(spark: SparkSession, sf_dir: str, day: str) -> DataFrame:
-    """One row: a day's orders, revenue and average, and the orders open now."""
-    today = live.day_kpis(spark, sf_dir).where(F.col("day") == F.lit(day).cast("date"))
-    summed = today.agg(F.coalesce(F.sum("orders"), F.lit(0)).alias("orders"), F.coalesce(F.sum("revenue"), F.lit(0.0)).alias("revenue"), F.coalesce(F.sum("cancelled"), F.lit(0)).alias("cancelled"))
+def overview(spark: SparkSession, sf_dir: str, day: str, until: str | None = None) -> DataFrame:
+    """One row: a day's orders, revenue, average, items, cancellations and abandoned carts; sessions of the minute ``until``, and orders by status now."""
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    that = F.lit(day).cast("date")
+    today = live.day_kpis(spark, sf_dir).where(F.col("day") == that)
+    summed = today.agg(zero(F.sum("orders")).alias("orders"), F.coalesce(F.sum("revenue"), F.lit(0.0)).alias("revenue"), zero(F.sum("cancelled")).alias("cancelled"))
+    items = live.product_days(spark, sf_dir).where(F.col("day") == that).agg(zero(F.sum("units")).alias("items_sold"))
+    alerts = live.alerts_by_day(marts.carts(spark, sf_dir)).where(F.col("day") == that).agg(zero(F.sum("alerts")).alias("abandoned_carts"), F.coalesce(F.sum("value"), F.lit(0.0)).alias("abandoned_value"))
+    minute = F.date_trunc("minute", timestamp_ntz(until or f"{day} 23:59:00")).cast("timestamp_ntz")
+    active = clicks.funnel_windows(adapters.clicks(spark, sf_dir).where((F.col("event_time") >= minute) & (F.col("event_time") < minute + F.expr("interval 1 minute")))).where("stage = 'any'")
+    sessions = active.agg(zero(F.sum("sessions")).alias("active_sessions_last_min"))
     is_open = F.col("status").isin("PLACED", "PAID", "SHIPPED")
-    board = live.status_board(spark, sf_dir).agg(F.coalesce(F.sum(F.when(is_open, F.col("orders"))), F.lit(0)).alias("open_orders"))
-    return summed.crossJoin(F.broadcast(board)).withColumn("avg_order_value", F.coalesce(ratio(F.col("revenue"), F.col("orders"), 2), F.lit(0.0)))
+    states = F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "status", "orders"))), ",")  # of six states at most
+    board = live.status_board(spark, sf_dir).agg(zero(F.sum(F.when(is_open, F.col("orders")))).alias("open_orders"), states.alias("order_status"))
+    out = summed
+    for row in (items, alerts, sessions, board):  # one row each
+        out = out.crossJoin(F.broadcast(row))
+    return out.withColumn("avg_order_value", F.coalesce(ratio(F.col("revenue"), F.col("orders"), 2), F.lit(0.0)))
 
 
 def live_funnel(spark: SparkSession, sf_dir: str, until: str, minutes: int = 15) -> DataFrame:
     cells = clicks.funnel_windows(adapters.clicks(spark, sf_dir))
     return clicks.dense_series(cells, timestamp_ntz(until), bounded(minutes, 1, 360))
 
-
-def health(spark: SparkSession) -> DataFrame:
-    return spark.sql("select 1 as ok")

@@ -1,7 +1,8 @@
-"""Public holidays: parsed from a service's JSON, or from a fixed calendar when it cannot be reached."""
+"""Public holidays: parsed from a service's JSON, or from the calendar's rules when it cannot be reached."""
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 import time
 from collections.abc import Callable, Iterable
@@ -32,12 +33,30 @@ def parse(payload: str, country: str = "ZA") -> list[tuple[str, str, str]]:
     return [(d["date"], d.get("name") or d.get("localName"), "api") for d in days]
 
 
+def easter(year: int) -> dt.date:
+    """Easter Sunday of the Gregorian calendar, by the full moon's age and the week's day."""
+    golden, (century, of_century) = year % 19, divmod(year, 100)
+    corrected = century - century // 4 - (8 * century + 13) // 25
+    moon = (19 * golden + corrected + 15) % 30
+    moon -= moon // 28 * (1 - 29 // (moon + 1) * ((21 - golden) // 11))
+    weekday = (year + year // 4 + moon + 2 - century + century // 4) % 7
+    return dt.date(year, 3, 28) + dt.timedelta(days=moon - weekday)
+
+
 def fallback(year: int) -> list[tuple[str, str, str]]:
-    return [(f"{year:04d}-{m:02d}-{d:02d}", name, "fallback") for m, d, name in FIXED_DATES]
+    """Fixed and movable days, and the Monday after a day that falls on a Sunday; a date has one name."""
+    sunday = easter(year)
+    days = {dt.date(year, m, d): name for m, d, name in FIXED_DATES}
+    days.setdefault(sunday - dt.timedelta(days=2), "Good Friday")
+    days.setdefault(sunday + dt.timedelta(days=1), "Family Day")
+    for day, name in sorted(days.items()):
+        if day.weekday() == 6:
+            days.setdefault(day + dt.timedelta(days=1), f"{name} (observed)")
+    return [(day.isoformat(), name, "fallback") for day, name in sorted(days.items())]
 
 
 def collect(years: Iterable[int], fetch: Callable[[int], str] | None = None, tries: int = 3, pause: Callable[[float], None] = time.sleep) -> list[tuple[str, str, str]]:
-    """Each year from the service, tried a few times with growing pauses, else from the fixed calendar."""
+    """Each year from the service, tried a few times with growing pauses, else from the rules."""
     rows: list[tuple[str, str, str]] = []
     for year in years:
         found = None

@@ -26,7 +26,7 @@ def partitioned_since(spark: SparkSession, path: str, column: str, since: str) -
 
 
 def csv_strings(spark: SparkSession, path: str | list[str], columns: list[str]) -> DataFrame:
-    """CSV files with every column a string and blanks as empty strings, with the file's name."""
+    """CSV files with every column a string and blanks as empty strings, with the file's name; a quote inside quotes is doubled."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    rows = spark.read.schema(schema).csv(path, header=True, nullValue="\u0000")
+    rows = spark.read.schema(schema).csv(path, header=True, nullValue="\u0000", escape='"')
     return rows.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in columns), F.col("_metadata.file_name").alias("source_file"))

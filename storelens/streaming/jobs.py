@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
@@ -10,6 +12,7 @@ from pyspark.sql.streaming.readwriter import DataStreamWriter
 from storelens.operators import cdc, clicks, sinks
 from storelens.session import ROCKSDB
 from storelens.streaming import cart_state
+from storelens.streaming.folders import FOLD_EVERY, BatchFolders
 
 WATERMARK = "2 minutes"
 
@@ -26,56 +29,111 @@ def bronze_query(messages: DataFrame, path: str, checkpoint: str, every: str | N
     return _start(rows.writeStream.format("parquet").option("path", path).partitionBy("event_date").outputMode("append"), checkpoint, every)
 
 
-def funnel_query(messages: DataFrame, path: str, checkpoint: str, every: str | None = "5 seconds") -> StreamingQuery:
-    """One-minute cells in update mode; a cell that late events revise is overwritten by key."""
-    parsed = clicks.parse_messages(messages).withColumn("event_time", F.col("event_time").cast("timestamp")).withWatermark("event_time", WATERMARK)
-    cells = clicks.funnel_windows(parsed, exact=False)
+#: Cells older than this, by the newest one, are dropped when batches are folded.
+FUNNEL_HOURS = 6
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return _start(cells.writeStream.outputMode("update").foreachBatch(write), checkpoint, every)
+def _last_cells(rows: DataFrame) -> DataFrame:
+    rest = ["sessions", "events"]
+    last = rows.groupBy("window_start", "stage").agg(F.max("batch").alias("batch"), F.max_by(F.struct(*rest), "batch").alias("r"))
+    return last.select("window_start", "stage", *(F.col(f"r.{c}").alias(c) for c in rest), "batch")
+
+
+def _recent_cells(hours: int | None) -> Callable[[DataFrame], DataFrame]:
+    def keep(rows: DataFrame) -> DataFrame:
+        cells = _last_cells(rows)
+        if hours is None:
+            return cells
+        newest = rows.agg(F.max("window_start").alias("_newest"))
+        return cells.crossJoin(F.broadcast(newest)).where(F.col("window_start") >= F.col("_newest") - F.make_dt_interval(hours=F.lit(hours))).drop("_newest")
+
+    return keep
+
+
+def funnel_folders(spark: SparkSession, path: str, hours: int | None = FUNNEL_HOURS, fold_every: int = FOLD_EVERY) -> BatchFolders:
+    return BatchFolders(spark, path, fold_every, _recent_cells(hours))
+
+
+def funnel_query(messages: DataFrame, path: str, checkpoint: str, every: str | None = "5 seconds", hours: int | None = FUNNEL_HOURS, fold_every: int = FOLD_EVERY) -> StreamingQuery:
+    """One-minute cells in update mode; a cell that late events revise is overwritten by key.
+
+    hours: how long a cell is kept; None keeps all.
+    """
+    parsed = clicks.parse_messages(messages).withColumn("event_time", F.col("event_time").cast("timestamp")).withWatermark("event_time", WATERMARK)
+    cells = clicks.funnel_windows(parsed, exact=False)
+    folders = funnel_folders(messages.sparkSession, path, hours, fold_every)
+    return _start(cells.writeStream.outputMode("update").foreachBatch(folders.write), checkpoint, every)
 
 
 def funnel_cells(spark: SparkSession, path: str) -> DataFrame:
     """The last version of every cell."""
-    rest = ["sessions", "events"]
-    last = spark.read.parquet(f"{path}/batch=*").groupBy("window_start", "stage").agg(F.max_by(F.struct(*rest), "batch_id").alias("r"))
-    return last.select("window_start", "stage", *(F.col(f"r.{c}").alias(c) for c in rest))
+    rows = funnel_folders(spark, path).read()
+    if rows is None:
+        raise FileNotFoundError(f"no batch has been written to {path}")
+    return _last_cells(rows).drop("batch")
 
 
-def carts_query(messages: DataFrame, path: str, checkpoint: str, every: str | None = "10 seconds") -> StreamingQuery:
+def carts_query(messages: DataFrame, path: str, checkpoint: str, every: str | None = "10 seconds", fold_every: int = FOLD_EVERY) -> StreamingQuery:
     """Alerts of abandoned carts; a batch that is repeated overwrites its own folder."""
-    messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark = messages.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     alerts = cart_state.abandoned(clicks.parse_messages(messages))
+    folders = BatchFolders(spark, path, fold_every)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         if not batch.isEmpty():
-            batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+            folders.write(batch, batch_id)
         batch.unpersist()
 
     return _start(alerts.writeStream.outputMode("append").foreachBatch(write), checkpoint, every)
 
 
-def cdc_query(messages: DataFrame, path: str, checkpoint: str, every: str | None = "5 seconds") -> StreamingQuery:
+def cart_alerts(spark: SparkSession, path: str) -> DataFrame:
+    rows = BatchFolders(spark, path).read()
+    return spark.createDataFrame([], cart_state.ALERT) if rows is None else rows.drop("batch")
+
+
+def _change_folders(spark: SparkSession, path: str, fold_every: int = FOLD_EVERY) -> BatchFolders:
+    return BatchFolders(spark, f"{path}/bronze", fold_every, partition_by=("table_name", "ingest_date"))
+
+
+def cdc_query(messages: DataFrame, path: str, checkpoint: str, every: str | None = "5 seconds", fold_every: int = FOLD_EVERY) -> StreamingQuery:
     """Changes to Parquet by table and day, and counts by table and operation."""
     parsed = cdc.parse_envelopes(messages)
+    spark = messages.sparkSession
+    bronze, counts = _change_folders(spark, path, fold_every), BatchFolders(spark, f"{path}/counts", fold_every)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
-        dated = batch.withColumn("ingest_date", F.current_date())
-        dated.write.mode("overwrite").partitionBy("table_name", "ingest_date").parquet(f"{path}/bronze/batch={batch_id}")
-        batch.groupBy("table_name", "op").count().write.mode("overwrite").parquet(f"{path}/counts/batch={batch_id}")
+        bronze.write(batch.withColumn("ingest_date", F.current_date()), batch_id)
+        counts.write(batch.groupBy("table_name", "op").count(), batch_id)
         batch.unpersist()
 
     return _start(parsed.writeStream.foreachBatch(write), checkpoint, every)
 
 
-def new_changes(spark: SparkSession, path: str, seen: DataFrame | None = None) -> DataFrame:
-    """Landed changes once each, without those seen before."""
-    landed = spark.read.option("basePath", f"{path}/bronze").parquet(f"{path}/bronze/batch=*").drop("batch").dropDuplicates(["table_name", "ts_ms", "kafka_offset", "op", "after_json", "before_json"])
-    return landed if seen is None else sinks.merge_ignore(seen, landed, ["table_name", "ts_ms", "kafka_offset"], ["op"])
+def new_changes(spark: SparkSession, path: str, seen: DataFrame | None = None, since: Column | None = None) -> DataFrame:
+    """Landed changes once each, without those seen before.
+
+    since: guards seen earlier (their column ``seen_at``) have expired and guard no more.
+    """
+    landed = _change_folders(spark, path).read()
+    if landed is None:
+        raise FileNotFoundError(f"no batch has been written to {path}")
+    once = landed.drop("batch").dropDuplicates(["table_name", "ts_ms", "kafka_offset", "op", "after_json", "before_json"])
+    if seen is None:
+        return once
+    guards = seen if since is None else seen.where(F.col("seen_at") >= since)
+    return sinks.merge_ignore(guards, once, ["table_name", "ts_ms", "kafka_offset"], ["op"])
+
+
+def change_counts(spark: SparkSession, path: str) -> DataFrame:
+    """Changes by table and operation over all batches."""
+    rows = BatchFolders(spark, f"{path}/counts").read()
+    if rows is None:
+        raise FileNotFoundError(f"no batch has been written to {path}")
+    return rows.groupBy("table_name", "op").agg(F.sum("count").alias("changes"))
 
 
 def run_until_any_fails(spark: SparkSession) -> None:

@@ -1,64 +1,97 @@
-"""Streaming twins of batch queries: the tables' events are laid down as message files and streamed once."""
+"""Streaming twins of batch queries: the tables' events arrive in deliveries, one micro-batch and more each.
+
+Every delivery is laid down as message files and the streaming query is started
+on them again from its checkpoint, so state, watermark and sinks go on over
+restarts.
+"""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from storelens.operators import cdc as changes
 from storelens.operators import clicks
 from storelens.sources import adapters
 from storelens.streaming import jobs, sources
 
+DELIVERIES = 3
+#: First days of the second and third delivery of clicks.
+CUTS = ("2024-01-11", "2024-01-21")
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that all executors share."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
 
-def _folder(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="checkpoints-")
-    return f"{shared.rstrip('/')}/replay-{uuid.uuid4().hex}"
+def _replay(messages: DataFrame, root: str, start: Callable[[DataFrame], StreamingQuery]) -> None:
+    """messages: value, and delivery from 0 on."""
+    spark = messages.sparkSession
+    for n in range(DELIVERIES):
+        messages.where(F.col("delivery") == n).select("value").write.mode("append").text(f"{root}/messages")
+        start(sources.folder(spark, f"{root}/messages", files_per_trigger=10_000)).awaitTermination()
 
 
-def _messages(spark: SparkSession, rows: DataFrame, root: str) -> DataFrame:
-    """The messages of rows as a stream: files in the shared folder, all in one trigger."""
-    rows.select("value").write.text(f"{root}/messages")
-    return sources.folder(spark, f"{root}/messages", files_per_trigger=10_000)
+def _by_time(at: str) -> Column:
+    return sum((F.col(at) >= F.lit(day).cast("timestamp_ntz")).cast("int") for day in CUTS)
 
 
-def _clicks(spark: SparkSession, sf_dir: str, root: str, flush: bool = False) -> DataFrame:
-    rows = adapters.clicks(spark, sf_dir)
+def _clicks(spark: SparkSession, sf_dir: str, flush: bool = False, late: bool = False) -> DataFrame:
+    """late: every 25th event comes one delivery after its time."""
+    rows = adapters.clicks(spark, sf_dir).withColumn("delivery", _by_time("event_time"))
+    if late:
+        rows = rows.withColumn("delivery", F.when(F.col("event_id") % 25 == 0, F.least(F.col("delivery") + 1, F.lit(DELIVERIES - 1))).otherwise(F.col("delivery")))
     if flush:  # one event far ahead moves the watermark past all timers
         end = rows.orderBy(F.desc("event_time")).limit(1)
         rows = rows.unionByName(end.withColumns({"event_id": F.lit(-1).cast("long"), "session_id": F.lit("flush"), "event_type": F.lit("page_view"), "event_time": F.col("event_time") + F.expr("interval 1 day")}))
-    return _messages(spark, clicks.to_messages(rows), root)
+    return clicks.to_messages(rows, "delivery")
 
 
 def bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events and distinct ids of each landed day."""
-    root = _folder(spark)
-    jobs.bronze_query(_clicks(spark, sf_dir, root), f"{root}/bronze", f"{root}/state", every=None).awaitTermination()
+    root = folder(spark, "replay")
+    _replay(_clicks(spark, sf_dir), root, lambda m: jobs.bronze_query(m, f"{root}/bronze", f"{root}/state", every=None))
     landed = spark.read.parquet(f"{root}/bronze")
     return landed.groupBy("event_date").agg(F.count("*").alias("events"), F.countDistinct("event_id").alias("ids"))
 
 
-def funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of each minute and stage, from update-mode cells."""
-    root = _folder(spark)
-    jobs.funnel_query(_clicks(spark, sf_dir, root), f"{root}/cells", f"{root}/state", every=None).awaitTermination()
+def funnel(spark: SparkSession, sf_dir: str, late: bool = False) -> DataFrame:
+    """Events of each minute and stage, from update-mode cells; events behind the watermark count for nothing."""
+    root = folder(spark, "replay")
+    _replay(_clicks(spark, sf_dir, late=late), root, lambda m: jobs.funnel_query(m, f"{root}/cells", f"{root}/state", every=None, hours=None, fold_every=3))
     return jobs.funnel_cells(spark, f"{root}/cells").select("window_start", "stage", "events")
 
 
 def carts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Abandoned carts from keyed state."""
-    root = _folder(spark)
-    jobs.carts_query(_clicks(spark, sf_dir, root, flush=True), f"{root}/alerts", f"{root}/state", every=None).awaitTermination()
-    alerts = spark.read.parquet(f"{root}/alerts/batch=*")
+    root = folder(spark, "replay")
+    _replay(_clicks(spark, sf_dir, flush=True), root, lambda m: jobs.carts_query(m, f"{root}/alerts", f"{root}/state", every=None, fold_every=2))
+    alerts = jobs.cart_alerts(spark, f"{root}/alerts")
     return alerts.select("session_id", "customer_id", "cart_value", "items", F.date_trunc("second", "last_activity_at").cast("timestamp_ntz").alias("last_activity_second"))
 
 
+def _landed(spark: SparkSession, sf_dir: str) -> str:
+    """Order changes landed from a stream in which every tenth change is delivered twice."""
+    root = folder(spark, "replay")
+    first = changes.to_envelopes(adapters.order_changes(spark, sf_dir), "orders").withColumn("delivery", F.pmod("kafka_offset", F.lit(DELIVERIES - 1)).cast("int"))
+    again = first.where("kafka_offset % 10 = 0").withColumn("delivery", F.col("delivery") + 1)
+    _replay(first.unionByName(again), root, lambda m: jobs.cdc_query(m, f"{root}/cdc", f"{root}/state", every=None, fold_every=2))
+    return f"{root}/cdc"
+
+
 def cdc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Landed order changes by operation."""
-    root = _folder(spark)
-    stream = _messages(spark, changes.to_envelopes(adapters.order_changes(spark, sf_dir), "orders"), root)
-    jobs.cdc_query(stream, f"{root}/cdc", f"{root}/state", every=None).awaitTermination()
-    return jobs.new_changes(spark, f"{root}/cdc").groupBy("op").agg(F.count("*").alias("changes"))
+    """Landed order changes by operation, each once."""
+    return jobs.new_changes(spark, _landed(spark, sf_dir)).groupBy("op").agg(F.count("*").alias("changes"))
+
+
+def change_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages by table and operation, as the stream counted them batch by batch."""
+    return jobs.change_counts(spark, _landed(spark, sf_dir))

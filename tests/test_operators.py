@@ -48,10 +48,76 @@ def test_upserts_and_ledger(spark, tmp_path):
     assert sinks.upsert(rows, path, ["k"], ["v"]) == 2
     assert sinks.upsert(rows, path, ["k"], ["v"]) == 0
     assert sinks.upsert(spark.createDataFrame([(2, "z"), (3, "y")], "k long, v string"), path, ["k"], ["v"], update=True) == 2
-    assert {r.k: r.v for r in spark.read.parquet(path).collect()} == {1: "a", 2: "z", 3: "y"}
+    assert {r.k: r.v for r in sinks.keyed(spark, path).collect()} == {1: "a", 2: "z", 3: "y"}
     good, bad = rows.limit(2), rows.limit(1)
-    assert sinks.ingest_file(rows, good, bad, "f.csv", str(tmp_path / "w"), ["k"], ["v"]) == 2
-    assert sinks.ingest_file(rows, good, bad, "f.csv", str(tmp_path / "w"), ["k"], ["v"]) == 0
+    assert sinks.ingest_file(good, bad, "f.csv", str(tmp_path / "w"), ["k"], ["v"]) == 2
+    assert sinks.ingest_file(good, bad, "f.csv", str(tmp_path / "w"), ["k"], ["v"]) == 0
+
+
+def data_files(path):
+    return {str(f.relative_to(path)): f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+
+
+def test_an_update_rewrites_only_the_partitions_it_touches(spark, tmp_path):
+    path = tmp_path / "t"
+    sinks.upsert(spark.range(1000).selectExpr("id as k", "'old' as v"), str(path), ["k"], ["v"])
+    before = data_files(path)
+    assert sinks.upsert(spark.sql("select 7L as k, 'new' as v"), str(path), ["k"], ["v"], update=True) == 1
+    after = data_files(path)
+    gone, new = set(before) - set(after), set(after) - set(before)
+    assert len(before) >= 60 and len({f.split("/")[0] for f in gone | new}) == 1 and len(gone) == 1
+    assert all(after[f] == before[f] for f in set(before) & set(after))
+    rows = sinks.keyed(spark, str(path))
+    assert rows.count() == 1000 and rows.where("v = 'new'").count() == 1
+
+
+def test_a_replaced_day_leaves_the_others_alone(spark, tmp_path):
+    path = tmp_path / "days"
+    rows = lambda *d: spark.createDataFrame([(i, dt.date(2024, 3, x)) for i, x in enumerate(d)], "i int, day date")
+    sinks.overwrite_partitions(rows(*range(1, 21)), str(path), "day", "2024-03-01", "2024-03-31")
+    before = data_files(path)
+    sinks.overwrite_partitions(rows(5, 5), str(path), "day", "2024-03-05", "2024-03-06")
+    after = data_files(path)
+    assert {f for f in before if f not in after} == {f for f in before if "03-05" in f or "03-06" in f}
+    assert spark.read.parquet(str(path)).count() == 20
+    with pytest.raises(Exception, match="outside"):
+        sinks.overwrite_partitions(rows(9), str(path), "day", "2024-03-05", "2024-03-06")
+
+
+def test_readers_of_a_published_table_see_whole_versions(spark, tmp_path):
+    path = tmp_path / "mart"
+    with pytest.raises(FileNotFoundError):
+        sinks.current(spark, str(path))
+    for n in (1, 2, 3):
+        assert sinks.publish(spark.range(n), str(path)) == n
+    assert sinks.current(spark, str(path)).count() == 3 and sorted(d.name for d in path.iterdir()) == ["v=2", "v=3"]
+    (path / "v=4").mkdir()  # a crash before the success mark
+    assert sinks.current(spark, str(path)).count() == 3 and sinks.publish(spark.range(9), str(path)) == 4
+
+
+def test_an_inbox_is_loaded_once_and_emptied(spark, tmp_path):
+    for folder in ("in", "archive"):
+        (tmp_path / folder).mkdir()
+    head, row = ",".join(quality.DELIVERY_COLUMNS), "W1,1,A,Gauteng,2024-01-01 10:00:00,2024-01-02 10:00:00,delivered,1"
+    (tmp_path / "in" / "a.csv").write_text(f"{head}\n{row}\n{row.replace('W1', 'W2').replace(',1,A', ',,A')}\n")
+    (tmp_path / "in" / "b.csv").write_text(f"{head}\n{row}\n{row.replace('W1', 'W3')}\n")
+    (tmp_path / "in" / ".c.csv").write_text("being written")
+    paths = [str(tmp_path / p) for p in ("in", "archive", "tables")]
+    now = F.lit("2024-01-03 00:00:00").cast("timestamp_ntz")
+    assert sinks.ingest_inbox(spark, *paths, now) == {"a.csv": 1, "b.csv": 1}
+    assert sorted(f.name for f in (tmp_path / "in").iterdir() if f.suffix == ".csv" and not f.name.endswith(".crc")) == [".c.csv"]
+    (tmp_path / "archive" / "b.csv").rename(tmp_path / "in" / "b.csv")  # crashed before the move
+    assert sinks.ingest_inbox(spark, *paths, now) == {} and (tmp_path / "archive" / "b.csv").exists()
+    assert {r.waybill for r in sinks.keyed(spark, f"{paths[2]}/deliveries").collect()} == {"W1", "W3"}
+    [bad] = spark.read.option("header", True).csv(f"{paths[2]}/quarantine/a.rejected").collect()
+    assert (bad.waybill, bad.failed_rules, bad.source_file) == ("W2", "order_id_present", "a.csv")
+    runs = spark.read.parquet(f"{paths[2]}/dq_results")
+    assert runs.groupBy("run_id").count().count() == 2 and runs.where("failed_rows > 0").count() == 1
+
+
+def test_not_a_number_is_a_blank(spark):
+    r = quality.standardise(deliveries(spark, ("W1", "NaN", "A", "nan", "", "NaN", "delivered", "NaN", "1"))).first()
+    assert (r.order_id, r.province, r.delivered_raw, r.attempts) == (None, "", "", None)
 
 
 def test_overwrite_empties_days_that_lost_their_rows(spark, tmp_path):
@@ -108,7 +174,14 @@ def test_holidays_fall_back_and_refuse_other_countries():
         raise OSError("no network")
 
     pauses = []
-    assert len(holidays.collect([2024], broken, pause=pauses.append)) == 10 and pauses == [1.0, 2.0, 4.0]
+    assert len(holidays.collect([2024], broken, pause=pauses.append)) == 13 and pauses == [1.0, 2.0, 4.0]
+
+
+def test_movable_and_observed_holidays():
+    assert [holidays.easter(y).isoformat() for y in (1954, 1981, 2000, 2008, 2011, 2024, 2038)] == ["1954-04-18", "1981-04-19", "2000-04-23", "2008-03-23", "2011-04-24", "2024-03-31", "2038-04-25"]
+    days = {d: n for d, n, _ in holidays.fallback(2026)}
+    assert len(days) == 13 and (days["2026-04-03"], days["2026-04-06"], days["2026-08-10"]) == ("Good Friday", "Family Day", "National Women's Day (observed)")
+    assert len({d for d, _, _ in holidays.fallback(2008)}) == len(holidays.fallback(2008)) == 12  # Good Friday was a fixed day, another one a Sunday
 
 
 def test_missing_folder_is_empty(spark, tmp_path):
@@ -134,7 +207,6 @@ def test_bounds_are_checked():
 
 def test_unknown_customer_has_no_profile(spark, sf_dir):
     assert serve.customer_profile(spark, sf_dir, -1).count() == 0
-    assert serve.health(spark).first().ok == 1
 
 
 def test_stale_source(spark):

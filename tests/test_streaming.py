@@ -1,19 +1,21 @@
-"""Cart folding, and the streaming queries end to end over ordered micro-batches."""
+"""Cart folding, and the streaming queries over generated clicks, delivered bit by bit, against their batch twins."""
 
 from __future__ import annotations
 
 import datetime as dt
 import json
-import os
-from pathlib import Path
+import random
+from collections import Counter
 
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.errors.exceptions.base import StreamingQueryException
+from pyspark.sql import functions as F
 
+from storelens.operators import clicks
 from storelens.streaming import cart_state, jobs, sources
-
-T0 = dt.datetime(2024, 5, 1, 10, 0)
+from storelens.streaming.folders import BatchFolders
 
 
 def add(ms, product=1, quantity=1, price=10.0, **more):
@@ -49,63 +51,159 @@ def test_order_of_arrival_does_not_matter(events):
     assert cart_state.fold(events).value() == (50.0, 5)
 
 
-def event(n, session, kind, minutes, **more):
-    at = (T0 + dt.timedelta(minutes=minutes)).strftime("%Y-%m-%dT%H:%M:%S.000Z")
-    return {"event_id": f"e{n}", "event_type": kind, "session_id": session, "event_time": at, "device": "mobile", "traffic_source": "ads"} | more
-
-
-#: A leaves a cart, B buys, C removes all, D and G move the watermark, E and F come later.
-BATCHES = [
-    [
-        event(1, "A", "add_to_cart", 0, product_id=1, quantity=1, price=50.0, customer_id=7),
-        event(2, "A", "add_to_cart", 0.5, product_id=2, quantity=1, price=150.0),
-        event(3, "B", "add_to_cart", 0.2, product_id=1, quantity=1, price=50.0),
-        event(4, "B", "purchase", 0.8, order_id=1, items=1, cart_value=50.0),
-    ],
-    [event(5, "C", "add_to_cart", 1, product_id=3, quantity=1, price=20.0), event(6, "C", "remove_from_cart", 1.2, product_id=3)],
-    [event(7, "D", "page_view", 12)],
-    [event(8, "E", "page_view", 13), event(9, "F", "add_to_cart", 13.5, product_id=1, quantity=1, price=5.0)],
-    [event(10, "G", "page_view", 14)],
-]
-
-
-def lay_down(folder: Path, batches: list[list[dict]], junk: str = "") -> None:
-    folder.mkdir()
-    for i, rows in enumerate(batches):
-        path = folder / f"{i:03d}.json"
-        path.write_text("".join(json.dumps(r) + "\n" for r in rows) + junk)
-        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
-
-
-@pytest.fixture()
-def messages(spark, tmp_path):
-    lay_down(tmp_path / "in", BATCHES, junk='not json\n{"event_id": "x"}\n')
-    return sources.folder(spark, str(tmp_path / "in"))
+SHOP_OPENS = dt.datetime(2023, 11, 3, 6, 0)
+SLOT_MINUTES = 15
+KINDS = ("page_view", "product_view", "add_to_cart", "add_to_cart", "add_to_cart", "remove_from_cart", "begin_checkout", "purchase")
 
 
-def test_carts_end_to_end(spark, messages, tmp_path):
-    jobs.carts_query(messages, str(tmp_path / "out"), str(tmp_path / "state"), every=None).awaitTermination()
-    found = spark.read.parquet(str(tmp_path / "out" / "batch=*")).collect()
-    assert [(r.session_id, r.customer_id, r.cart_value, r["items"], r.last_activity_at) for r in found] == [("A", 7, 200.0, 2, T0 + dt.timedelta(seconds=30))]
+def random_clicks(seed: int, sessions: int = 60) -> list[dict]:
+    """Sessions of some minutes over an hour, no two events of one in one instant; prices are multiples of a quarter."""
+    rng, rows = random.Random(seed), []
+    for number in range(sessions):
+        second = rng.uniform(0, 3600)
+        visitor = rng.choice((None, 500 + number))
+        for _ in range(rng.randint(1, 9)):
+            second += rng.uniform(1, 200)
+            kind = rng.choice(KINDS)
+            row = {"event_id": f"{number}-{second:.3f}", "event_type": kind, "session_id": f"visit-{number}", "customer_id": visitor, "device": "tablet", "traffic_source": "referral", "event_time": at(second)}
+            if kind in ("add_to_cart", "remove_from_cart"):
+                row |= {"product_id": rng.randint(1, 4), "quantity": rng.choice((None, 1, 2, 5)), "price": rng.randint(4, 400) / 4}
+            rows.append(row)
+    return rows
 
 
-def test_funnel_end_to_end(spark, messages, tmp_path):
-    jobs.funnel_query(messages, str(tmp_path / "out"), str(tmp_path / "state"), every=None).awaitTermination()
-    cells = {(r.window_start, r.stage): (r.sessions, r.events) for r in jobs.funnel_cells(spark, str(tmp_path / "out")).collect()}
-    assert cells[T0, "any"] == (2, 4) and cells[T0, "add_to_cart"] == (2, 3) and cells[T0, "purchase"] == (1, 1)
+def at(second: float) -> str:
+    return (SHOP_OPENS + dt.timedelta(seconds=second)).isoformat(timespec="milliseconds") + "Z"
 
 
-def test_bronze_drops_junk_and_replays_nothing(spark, messages, tmp_path):
-    for _ in range(2):
-        jobs.bronze_query(messages, str(tmp_path / "out"), str(tmp_path / "state"), every=None).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == sum(map(len, BATCHES))
+def slots(rows: list[dict], held_back: float = 0.0, seed: int = 0) -> list[list[dict]]:
+    """Deliveries of SLOT_MINUTES each, unordered inside; a share of the rows comes one delivery after its own."""
+    rng = random.Random(seed)
+    out: list[list[dict]] = [[] for _ in range(8)]
+    for row in rows:
+        slot = int((dt.datetime.fromisoformat(row["event_time"].removesuffix("Z")) - SHOP_OPENS).total_seconds() // (60 * SLOT_MINUTES))
+        out[slot + (rng.random() < held_back)].append(row)
+    for delivery in out:
+        rng.shuffle(delivery)
+    return [delivery for delivery in out if delivery]
 
 
-def test_cdc_lands_by_table_and_repeats_nothing(spark, tmp_path):
-    change = {"before": None, "after": {"order_id": 1}, "op": "c", "source": {"table": "orders", "ts_ms": 5}}
-    lay_down(tmp_path / "in", [[change], [change | {"op": "d", "after": None, "before": {"order_id": 1}}]])
-    stream = sources.folder(spark, str(tmp_path / "in"))
-    for _ in range(2):
-        jobs.cdc_query(stream, str(tmp_path / "out"), str(tmp_path / "state"), every=None).awaitTermination()
-    landed = jobs.new_changes(spark, str(tmp_path / "out"))
-    assert sorted((r.table_name, r.op) for r in landed.collect()) == [("orders", "c"), ("orders", "d")]
+#: Far ahead of everything, so that all timers fire.
+CLOSING = {"event_id": "closing", "event_type": "page_view", "session_id": "closing", "event_time": at(200_000)}
+
+
+class Deliveries:
+    """A folder of message files on which a streaming query is started again after every delivery."""
+
+    def __init__(self, spark, root, query, **options):
+        self.spark, self.root, self.query, self.options, self.n = spark, root, query, options, 0
+        (root / "messages").mkdir()
+
+    def __call__(self, *deliveries: list[dict], junk: str = "") -> str:
+        for rows in deliveries:
+            (self.root / "messages" / f"{self.n}.txt").write_text("".join(json.dumps(r) + "\n" for r in rows) + junk)
+            self.n += 1
+            stream = sources.folder(self.spark, str(self.root / "messages"))
+            self.query(stream, str(self.root / "out"), str(self.root / "state"), every=None, **self.options).awaitTermination()
+        return str(self.root / "out")
+
+
+def parsed(spark, rows):
+    return clicks.parse_messages(spark.createDataFrame([(json.dumps(r),) for r in rows], "value string"))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_streamed_carts_equal_the_batch_twin(spark, tmp_path, seed):
+    rows = random_clicks(seed)
+    out = Deliveries(spark, tmp_path, jobs.carts_query, fold_every=2)(*slots(rows), [CLOSING])
+    columns = ["session_id", "customer_id", "cart_value", "items", F.col("last_activity_at").cast("timestamp_ntz")]
+    streamed = {tuple(r) for r in jobs.cart_alerts(spark, out).select(*columns).collect()}
+    batch = {tuple(r) for r in clicks.abandoned_carts(parsed(spark, rows)).select(*columns).collect()}
+    assert streamed == batch and len(batch) > 10
+
+
+def test_a_session_that_returns_after_its_timer_has_a_new_cart(spark, tmp_path):
+    add = lambda second, product: {"event_id": f"r{second}", "event_type": "add_to_cart", "session_id": "returning", "event_time": at(second), "product_id": product, "quantity": 2, "price": 8.5}
+    wake = {"event_id": "w", "event_type": "page_view", "session_id": "other", "event_time": at(1200)}
+    out = Deliveries(spark, tmp_path, jobs.carts_query)([add(0, 1)], [wake], [add(1230, 3), add(1231, 4)], [CLOSING])
+    assert sorted((r.session_id, r.cart_value, r["items"]) for r in jobs.cart_alerts(spark, out).collect()) == [("returning", 17.0, 2), ("returning", 34.0, 4)]
+
+
+def test_a_bought_cart_stays_bought_over_deliveries(spark, tmp_path):
+    event = lambda second, kind, **more: {"event_id": f"b{second}", "event_type": kind, "session_id": "buyer", "event_time": at(second)} | more
+    out = Deliveries(spark, tmp_path, jobs.carts_query)([event(0, "add_to_cart", product_id=9, quantity=1, price=3.0), event(30, "purchase", order_id=4)], [event(20, "add_to_cart", product_id=8, quantity=1, price=3.0)], [CLOSING])
+    assert jobs.cart_alerts(spark, out).count() == 0
+
+
+def test_cells_count_what_the_watermark_lets_in(spark, tmp_path):
+    """Some rows come a delivery late: those behind the watermark count for nothing."""
+    rows = random_clicks(3)
+    deliveries = slots(rows, held_back=0.2, seed=5)
+    out = Deliveries(spark, tmp_path, jobs.funnel_query, hours=None, fold_every=3)(*deliveries)
+    want, newest, dropped = Counter(), None, 0
+    for delivery in deliveries:
+        times = [dt.datetime.fromisoformat(r["event_time"].removesuffix("Z")) for r in delivery]
+        for row, time in zip(delivery, times, strict=True):
+            minute = time.replace(second=0, microsecond=0)
+            if newest is None or minute + dt.timedelta(minutes=1) > newest - dt.timedelta(minutes=2):
+                want.update([(minute, row["event_type"]), (minute, "any")])
+            else:
+                dropped += 1
+        newest = max([*times, newest] if newest else times)
+    got = {(r.window_start, r.stage): r.events for r in jobs.funnel_cells(spark, out).collect()}
+    assert got == dict(want) and dropped > 5
+
+
+def test_old_cells_go_when_batches_are_folded(spark, tmp_path):
+    rows = [[{"event_id": f"h{hour}", "event_type": "purchase", "session_id": f"s{hour}", "event_time": at(3600 * hour)}] for hour in range(10)]
+    out = Deliveries(spark, tmp_path, jobs.funnel_query, hours=6, fold_every=4)(*rows)
+    cells = {r.window_start for r in jobs.funnel_cells(spark, out).collect()}
+    assert SHOP_OPENS + dt.timedelta(hours=9) in cells and SHOP_OPENS not in cells
+    assert len(list((tmp_path / "out").iterdir())) <= 4
+
+
+def test_bronze_lands_every_sound_row_once(spark, tmp_path):
+    rows = random_clicks(4, 20)
+    deliver = Deliveries(spark, tmp_path, jobs.bronze_query)
+    out = deliver(*slots(rows, held_back=0.3), junk='[1, 2]\n{"session_id": "no id"}\n\n')
+    deliver([])  # nothing new
+    assert sorted(r.event_id for r in spark.read.parquet(out).collect()) == sorted(r["event_id"] for r in rows)
+
+
+def change(n: int, table: str, op: str) -> dict:
+    image = {"order_id": n}
+    return {"before": None if op == "c" else image, "after": None if op == "d" else image, "op": op, "source": {"table": table, "ts_ms": 1000 + n}}
+
+
+def test_changes_land_once_and_are_counted(spark, tmp_path):
+    first = [change(n, "orders" if n % 3 else "customers", "cud"[n % 3]) for n in range(12)]
+    out = Deliveries(spark, tmp_path, jobs.cdc_query, fold_every=2)(first[:5], first[3:9], first[9:])
+    landed = jobs.new_changes(spark, out)
+    assert Counter((r.table_name, r.op) for r in landed.collect()) == Counter(("orders" if n % 3 else "customers", "cud"[n % 3]) for n in range(12))
+    assert sum(r.changes for r in jobs.change_counts(spark, out).collect()) == 14  # two came twice
+    guards = landed.where("ts_ms < 1006").withColumn("seen_at", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    assert jobs.new_changes(spark, out, guards).count() == 6
+    assert jobs.new_changes(spark, out, guards, since=F.lit("2024-01-08 00:00:00").cast("timestamp_ntz")).count() == 12
+
+
+def test_folders_are_whole_at_every_moment(spark, tmp_path):
+    folders = BatchFolders(spark, str(tmp_path / "t"), fold_every=3)
+    total = 0
+    for batch in range(8):
+        folders.write(spark.range(batch + 1), batch)
+        folders.write(spark.range(batch + 1), batch)  # a repetition
+        total += batch + 1
+        assert folders.read().count() == total
+    assert len(list((tmp_path / "t").iterdir())) <= 3
+    (tmp_path / "t" / "upto=99").mkdir()  # a fold that a crash left unfinished
+    assert folders.read().count() == total
+
+
+def test_a_failing_query_ends_the_job(spark, tmp_path):
+    def fail(batch, batch_id):
+        raise RuntimeError("no disk")
+
+    spark.streams.resetTerminated()
+    spark.readStream.format("rate").load().writeStream.foreachBatch(fail).option("checkpointLocation", str(tmp_path / "c")).start()
+    with pytest.raises(StreamingQueryException, match="no disk"):
+        jobs.run_until_any_fails(spark)
