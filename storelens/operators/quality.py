@@ -37,7 +37,7 @@ def delivery_rules() -> list[Rule]:
 
 def _typed_delivery() -> dict[str, Column]:
     """Each column of a delivery from its trimmed string; delivered_raw keeps the string that the rules need."""
-    text = {c: F.trim(F.when(F.isnan(F.col(c).try_cast("double")), F.lit("")).otherwise(F.coalesce(F.col(c), F.lit("")))) for c in DELIVERY_COLUMNS}
+    text = {c: F.trim(F.when(F.lower(c) == "nan", F.lit("")).otherwise(F.coalesce(F.col(c), F.lit("")))) for c in DELIVERY_COLUMNS}
     numbers = {c: text[c].try_cast("long") for c in ("order_id", "attempts")}
     times = {c: partner_time(text[c]) for c in ("collected_at", "delivered_at")}
     return text | numbers | times | {"status": F.upper(text["status"]), "delivered_raw": text["delivered_at"]}
@@ -57,8 +57,10 @@ def checked(rows: DataFrame, rules: list[Rule]) -> DataFrame:
 def split(rows: DataFrame, rules: list[Rule], key: list[str], place: list[str]) -> tuple[DataFrame, DataFrame]:
     """(good rows without repeats of the key, the first by place; rejected rows with reasons)."""
     marked = checked(rows, rules)
-    w = Window.partitionBy(*key).orderBy(*place)
-    good = marked.where("failed_rules = ''").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "failed_rules")
+    # Good rows come first in a group and bad ones go after the numbering: a filter before it would be pushed
+    # down to the source, and every rule and every parsed value in it be computed once more for each use.
+    w = Window.partitionBy(*key).orderBy(F.col("failed_rules") != "", *place)
+    good = marked.withColumn("_n", F.row_number().over(w)).where("_n = 1 and failed_rules = ''").drop("_n", "failed_rules")
     return good, marked.where("failed_rules <> ''")
 
 

@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from storelens.operators import cdc as changes
 from storelens.operators import clicks
+from storelens.session import shared_folder
 from storelens.sources import adapters
 from storelens.streaming import jobs, sources
 
@@ -26,10 +27,7 @@ CUTS = ("2024-01-11", "2024-01-21")
 
 def folder(spark: SparkSession, name: str) -> str:
     """A new folder below the one that all executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _replay(messages: DataFrame, root: str, start: Callable[[DataFrame], StreamingQuery]) -> None:
