@@ -1,9 +1,9 @@
 """Where operators keep the tables that cut their lineage.
 
 Tables go to the folder that ``spark.checkpoint.dir`` names, which every executor
-shares; a session without that setting is an error.  A table lives until it is
-dropped, at the latest until the application ends.  The shuffle files of a write
-go when the table is written, as nothing reads them any more.
+shares.  A table lives until it is dropped, at the latest until the application
+ends.  The shuffle files of a write go when the table is written, as nothing
+reads them any more.
 """
 
 from __future__ import annotations
@@ -14,15 +14,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
+from storelens.session import shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's shared folder for intermediate tables."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return named.rstrip("/")
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
