@@ -20,7 +20,12 @@ Only the banding is probabilistic.  With ``rows=6`` and ``bands=64`` a pair at
 the similarity 0.75 shares no band with probability 4e-6, at 0.8 with 3e-9.
 
 Nulls, empty texts and texts without words have an empty set and are linked to
-nothing.  Documents must have unique ids that are not null.
+nothing; texts of any length count whole.  Documents should have unique ids:
+repeated rows are each returned, as copies of one another that share an id, and
+a row without an id is in the component of its text but never kept.  Of equal
+documents the smallest id is the component's.  An empty table gives an empty
+result.  Only the two named columns are read, so further columns may have any
+name.
 """
 
 from __future__ import annotations

@@ -132,7 +132,7 @@ def _measured(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np
     return found["label"].to_numpy(float), found["size"].to_numpy(float), found["saved"].to_numpy(float)
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = 3000, pieces: int = 10_000, dictionary_bytes: int = 256 << 10, piece: int = 512, level: int = 3, prior: int = 192) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = 6000, pieces: int = 20_000, dictionary_bytes: int = 256 << 10, piece: int = 1024, level: int = 3, prior: int = 192) -> Model:
     """Fits the model on at most ``sample`` texts of each class; callers drop held-out labels beforehand."""
     texts, counts = _chosen_texts(docs, labels, key, text, label, sample)
     total = sum(counts.values())

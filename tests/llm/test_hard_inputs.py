@@ -225,7 +225,7 @@ def test_quality_scores_equal_compression_by_hand(graded):
         size[name] = lambda raw, c=with_dictionary: len(c.compress(raw))
     for i, (text, _) in enumerate(texts[:240]):
         raw = text.encode()
-        cut = [raw[k : k + 512] for k in range(0, len(raw), 512)]
+        cut = [raw[k : k + model.piece] for k in range(0, len(raw), model.piece)]
         saved = sum(size["bad"](p) - size["good"](p) for p in cut)
         x = (saved + model.usual * model.prior) / (len(raw) + model.prior)
         assert abs(got[i] - 1 / (1 + np.exp(-(model.slope * x + model.offset)))) < 1e-9
