@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from storelens.operators import cdc, clicks, quality, sinks
 from storelens.oracles import ORACLE_SQL
-from storelens.plans import live, marts, serve
+from storelens.plans import build, live, marts, serve
 from storelens.sources import adapters
 from storelens.sources.files import inbox
 from storelens.sources.tables import csv_strings, parquet_or_empty, partitioned_since, table
@@ -73,19 +73,21 @@ def _standardised(s: SparkSession, d: str) -> DataFrame:
 
 
 def _upserts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    ids = table(s, d, "events").select("event_id")
-    old = ids.where("event_id % 3 = 0").withColumn("origin", F.lit("old"))
-    return old, ids.withColumn("origin", F.lit("new"))
+    """The events stored so far, and all events, which arrive again."""
+    events = table(s, d, "events").select("event_id", "ts")
+    return events.where("ts < '2024-01-16'").select("event_id", F.lit("old").alias("origin")), events.withColumn("origin", F.lit("new"))
 
 
 def _upsert_ignore(s: SparkSession, d: str) -> DataFrame:
     old, new = _upserts(s, d)
+    new = new.drop("ts")
     return old.unionByName(sinks.merge_ignore(old, new.unionByName(new), ["event_id"], ["origin"]))
 
 
 def _upsert_update(s: SparkSession, d: str) -> DataFrame:
+    """Events from the tenth on arrive; those stored before stay."""
     old, new = _upserts(s, d)
-    return sinks.merge_update(old, new.where("event_id % 2 = 0"), ["event_id"], ["origin"])
+    return sinks.merge_update(old, new.where("ts >= '2024-01-10'").drop("ts"), ["event_id"], ["origin"])
 
 
 def _pending(s: SparkSession, d: str) -> DataFrame:
@@ -133,12 +135,12 @@ def _events_since(s: SparkSession, d: str) -> DataFrame:
 
 
 def _overwritten_days(s: SparkSession, d: str) -> DataFrame:
-    """Sessions by day; ten days are then replaced by those of customers with even ids, on even days only."""
+    """Sessions by day; ten days are then replaced by those of their sessions that bought, on working days only."""
     root = replays.folder(s, "days")
-    rolled = marts.sessions(s, d).select("session_id", "customer_id", "session_date")
+    rolled = marts.sessions(s, d).select("session_id", "purchases", "session_date")
     sinks.overwrite_partitions(rolled, root, "session_date", "2023-01-01", "2025-01-01")
     within = F.col("session_date").between(F.lit("2024-01-10").cast("date"), F.lit("2024-01-19").cast("date"))
-    sinks.overwrite_partitions(rolled.where(within & (F.col("customer_id") % 2 == 0) & (F.dayofmonth("session_date") % 2 == 0)), root, "session_date", "2024-01-10", "2024-01-19")
+    sinks.overwrite_partitions(rolled.where(within & (F.col("purchases") > 0) & (F.weekday("session_date") < 5)), root, "session_date", "2024-01-10", "2024-01-19")
     return s.read.parquet(root).groupBy("session_date").agg(F.count("*").alias("sessions"))
 
 
@@ -161,6 +163,17 @@ def _published(s: SparkSession, d: str) -> DataFrame:
     return sinks.current(s, root).withColumn("version", F.lit(versions[-1]))
 
 
+def _rebuilt(s: SparkSession, d: str) -> DataFrame:
+    """Rows of every table of the warehouse after a rebuild, as its readers see them."""
+    root = replays.folder(s, "warehouse")
+    versions = build.rebuild(s, d, root)
+    rows = None
+    for name, version in versions.items():
+        one = build.read(s, root, name).agg(F.lit(name).alias("name"), F.count("*").alias("n_rows"), F.lit(version).alias("version"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
 def _appended_results(s: SparkSession, d: str) -> DataFrame:
     """Rule results of two runs appended, the second one twice, and their scorecard."""
     root = replays.folder(s, "dq")
@@ -284,6 +297,7 @@ QUERIES: dict[str, Query] = {
     "sink_overwrite_days": _overwritten_days,
     "sink_upsert_table": _upserted_table,
     "sink_published_mart": _published,
+    "sink_rebuilt_warehouse": _rebuilt,
     "sink_dq_results": _appended_results,
     "sink_ingest_inbox": _ingested,
     "sink_rejected_rows": _quarantined,

@@ -262,9 +262,10 @@ _SELECT: dict[str, str] = {
     "source_csv_strings": "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority ELSE '' END AS o_orderpriority, 'say \"' || o_orderstatus || '\", ok' AS note, true AS from_csv FROM orders",
     "source_partitions_since": "SELECT CAST(ts AS DATE) AS day, count(*) AS events FROM events WHERE ts >= TIMESTAMP '2024-01-20' GROUP BY 1",
     "source_missing_folder": "SELECT * FROM region WHERE false",
-    "sink_overwrite_days": "SELECT session_date, count(*) AS sessions FROM sessions WHERE session_date NOT BETWEEN DATE '2024-01-10' AND DATE '2024-01-19' OR (customer_id % 2 = 0 AND day(session_date) % 2 = 0) GROUP BY 1",
+    "sink_overwrite_days": "SELECT session_date, count(*) AS sessions FROM sessions WHERE session_date NOT BETWEEN DATE '2024-01-10' AND DATE '2024-01-19' OR (purchases > 0 AND isodow(session_date) < 6) GROUP BY 1",
     "sink_upsert_table": "SELECT origin, orders, CASE origin WHEN 'second' THEN (SELECT count(*) FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01') ELSE orders END AS reported FROM (SELECT CASE WHEN o_orderdate < TIMESTAMP '1998-01-01' THEN 'first' WHEN o_orderdate < TIMESTAMP '2000-01-01' THEN 'second' ELSE 'third' END AS origin, count(*) AS orders FROM orders GROUP BY 1)",
     "sink_published_mart": "SELECT status, count(*) AS orders, 2 AS version FROM order_core GROUP BY 1",
+    "sink_rebuilt_warehouse": "SELECT 'dim_customers' AS name, count(*) AS n_rows, 1 AS version FROM dim_customers UNION ALL SELECT 'dim_products' AS name, count(*) AS n_rows, 1 AS version FROM dim_products UNION ALL SELECT 'dim_date' AS name, count(*) AS n_rows, 1 AS version FROM dim_date UNION ALL SELECT 'fct_orders' AS name, count(*) AS n_rows, 1 AS version FROM fct_orders UNION ALL SELECT 'fct_order_items' AS name, count(*) AS n_rows, 1 AS version FROM fct_order_items UNION ALL SELECT 'fct_sessions' AS name, count(*) AS n_rows, 1 AS version FROM fct_sessions UNION ALL SELECT 'sales_daily' AS name, count(*) AS n_rows, 1 AS version FROM sales_daily UNION ALL SELECT 'funnel_daily' AS name, count(*) AS n_rows, 1 AS version FROM funnel_daily UNION ALL SELECT 'delivery_sla' AS name, count(*) AS n_rows, 1 AS version FROM delivery_sla UNION ALL SELECT 'abandoned_carts_daily' AS name, count(*) AS n_rows, 1 AS version FROM abandoned_daily UNION ALL SELECT 'customer_rfm', count(*), 1 FROM rfm UNION ALL SELECT 'dq_scorecard', count(*), 1 FROM (SELECT DISTINCT dataset, rule_name, dimension FROM dq_results WHERE run_at >= TIMESTAMP '2001-12-31' - INTERVAL 7 DAY)",
     "sink_ingest_inbox": "SELECT g AS loaded, CAST(0 AS BIGINT) AS loaded_again, CAST(0 AS BIGINT) AS files_left, CAST(0 AS BIGINT) AS files_lost, g AS deliveries, b AS rejected, f AS failures FROM (SELECT (SELECT count(*) FROM good) AS g, (SELECT count(*) FROM ruled WHERE failed_rules <> '') AS b, (SELECT CAST(sum(failed) AS BIGINT) FROM (RULES)) AS f)",
     "sink_rejected_rows": "SELECT waybill, courier, status, failed_rules FROM ruled WHERE failed_rules <> ''",
     "stream_change_counts": "SELECT 'orders' AS table_name, op, CAST(count(*) + count(*) FILTER (kafka_offset % 10 = 0) AS BIGINT) AS changes FROM order_log GROUP BY op",
@@ -278,8 +279,8 @@ _SELECT: dict[str, str] = {
     "customer_history": f"SELECT version, province, city, marketing_opt_in, {_OPEN} FROM dim_customers WHERE customer_id = 42",
     "customer_recent_orders": "SELECT order_id, placed_at, status, order_total, courier, delivery_hours FROM fct_orders WHERE customer_id = 42 ORDER BY placed_at DESC, order_id DESC LIMIT 10",
     "pii_masked": "SELECT customer_sk, email_masked, phone_masked FROM dim_customers",
-    "upsert_ignore": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'old' ELSE 'new' END AS origin FROM events",
-    "upsert_update": "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'new' ELSE 'old' END AS origin FROM events WHERE event_id % 2 = 0 OR event_id % 3 = 0",
+    "upsert_ignore": "SELECT event_id, CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 'old' ELSE 'new' END AS origin FROM events",
+    "upsert_update": "SELECT event_id, CASE WHEN ts < TIMESTAMP '2024-01-10' THEN 'old' ELSE 'new' END AS origin FROM events",
     "ledger_pending_files": "SELECT DISTINCT 'orders_' || strftime(o_orderdate, '%Y%m') || '.csv' AS file_name FROM orders WHERE year(o_orderdate) >= 1999",
     "assert_unique": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1",
     "assert_not_null": "SELECT customer_sk FROM dim_customers WHERE phone_masked IS NULL",
