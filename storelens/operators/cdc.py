@@ -6,6 +6,8 @@ within one partition, as a key has.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,16 +65,17 @@ def changes(log: DataFrame) -> DataFrame:
     return log.withColumns({"is_deleted": F.col("op") == "d", "changed_at": from_millis(F.col("ts_ms"))})
 
 
-def latest(log: DataFrame, *keys: str) -> DataFrame:
-    """The last change of every key, merged before the shuffle."""
-    rest = [c for c in log.columns if c not in keys]
+def latest(log: DataFrame, *keys: str, keep: Iterable[str] | None = None) -> DataFrame:
+    """The last change of every key, merged before the shuffle; of its columns those in keep, or all."""
+    rest = [c for c in (log.columns if keep is None else dict.fromkeys(keep)) if c not in keys]
     last = log.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("ts_ms", "kafka_offset")).alias("_row"))
     return last.select(*keys, *(F.col(f"_row.{c}") for c in rest))
 
 
-def live(log: DataFrame, *keys: str) -> DataFrame:
+def live(log: DataFrame, *keys: str, keep: Iterable[str] | None = None) -> DataFrame:
     """The last change of every key whose last change is no delete."""
-    return latest(log, *keys).where("not is_deleted")
+    found = latest(log, *keys, keep=None if keep is None else [*keep, "is_deleted"])
+    return found.where("not is_deleted") if keep is None else found.where("not is_deleted").drop("is_deleted")
 
 
 def versions(log: DataFrame, key: str, *tie_break: str) -> DataFrame:

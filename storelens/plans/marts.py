@@ -56,7 +56,7 @@ def dim_date(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) -> DataFrame:
 
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cdc.live(cdc.changes(adapters.order_item_changes(spark, sf_dir)), "order_id", "product_id")
+    return cdc.live(cdc.changes(adapters.order_item_changes(spark, sf_dir)), "order_id", "product_id", keep=["quantity", "unit_price"])
 
 
 def item_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,14 +90,15 @@ def fct_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def order_core(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The part of fct_orders that needs the order log alone."""
-    latest = cdc.live(cdc.changes(adapters.order_changes(spark, sf_dir)), "order_id")
-    return latest.withColumns({"is_revenue": ~F.col("status").isin("CANCELLED", "RETURNED"), "order_date": business_date(F.col("placed_at"))})
+def order_core(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The part of fct_orders that needs the order log alone; of the log's columns those named, the status and the time, or all."""
+    log = cdc.changes(adapters.order_changes(spark, sf_dir))
+    states = cdc.live(log, "order_id", keep=[*columns, "status", "placed_at"] if columns else None)
+    return states.withColumns({"is_revenue": ~F.col("status").isin("CANCELLED", "RETURNED"), "order_date": business_date(F.col("placed_at"))})
 
 
 def fct_order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = order_core(spark, sf_dir).select("order_id", "placed_at", "order_date", "is_revenue")
+    orders = order_core(spark, sf_dir, "placed_at").select("order_id", "placed_at", "order_date", "is_revenue")
     lines = order_lines(spark, sf_dir).join(orders, "order_id")
     priced = cdc.as_of(lines, dim_products(spark, sf_dir), "product_id", "placed_at", ["product_sk", "product_name", "category", "cost"])
     return priced.select(
@@ -116,7 +117,7 @@ def carts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fct_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = carts(spark, sf_dir).select("session_id", F.col("cart_value").alias("abandoned_value"), F.lit(True).alias("_cart"))
-    orders = order_core(spark, sf_dir).where("session_id is not null").select("session_id", "order_id", "order_total")
+    orders = order_core(spark, sf_dir, "session_id", "order_total").where("session_id is not null").select("session_id", "order_id", "order_total")
     joined = sessions(spark, sf_dir).join(left, "session_id", "left").join(orders, "session_id", "left")
     return joined.withColumns({"converted": F.col("purchases") > 0, "added_to_cart": F.col("add_to_carts") > 0, "cart_abandoned": F.col("_cart").isNotNull()}).drop("_cart")
 
@@ -124,7 +125,7 @@ def fct_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sales_daily(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) -> DataFrame:
     """Orders are summed by day before they meet the calendar, which keeps days without any."""
     units = item_rollup(spark, sf_dir).select("order_id", "units")
-    orders = order_core(spark, sf_dir).select("order_id", "order_date", "is_revenue", "status", "order_total", "customer_id").join(units, "order_id", "left")
+    orders = order_core(spark, sf_dir, "order_total", "customer_id").select("order_id", "order_date", "is_revenue", "status", "order_total", "customer_id").join(units, "order_id", "left")
     revenue = F.col("is_revenue")
     # By day and customer first, so that counting customers needs no copies of the rows.
     by_customer = orders.groupBy("order_date", "customer_id").agg(
@@ -153,7 +154,7 @@ def funnel_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def delivery_sla(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = cdc.live(cdc.changes(adapters.order_changes(spark, sf_dir)), "order_id").select("order_id", "ship_province")
+    log = cdc.live(cdc.changes(adapters.order_changes(spark, sf_dir)), "order_id", keep=["ship_province"])
     found = delivery_latest(spark, sf_dir).where("delivery_status = 'DELIVERED' and delivered_at is not null").join(log, "order_id")
     hours = rounded(F.timestamp_diff("SECOND", F.col("collected_at"), F.col("delivered_at")) / 3600, 1)
     timed = found.withColumn("hours", hours).withColumn("within", F.col("hours") <= F.when(F.col("ship_province").isin(*REMOTE), REMOTE_HOURS).otherwise(USUAL_HOURS))
@@ -165,7 +166,7 @@ def delivery_sla(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rfm(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) -> DataFrame:
-    base = order_core(spark, sf_dir).where("is_revenue").groupBy("customer_id").agg(F.datediff(F.lit(as_of).cast("date"), F.max("order_date")).alias("recency_days"), F.count("*").alias("frequency"), F.sum("order_total").alias("monetary"))
+    base = order_core(spark, sf_dir, "order_total", "customer_id").where("is_revenue").groupBy("customer_id").agg(F.datediff(F.lit(as_of).cast("date"), F.max("order_date")).alias("recency_days"), F.count("*").alias("frequency"), F.sum("order_total").alias("monetary"))
     tiled = with_tiles(base, 5, "customer_id", _r="recency_days", f_score="frequency", m_score="monetary").withColumn("r_score", 6 - F.col("_r"))
     r, f = F.col("r_score"), F.col("f_score")
     segment = (
