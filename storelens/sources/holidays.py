@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import time
+import urllib.request
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,13 +27,23 @@ SCHEMA = "holiday_date date, name string, source string"
 
 
 def parse(payload: str, country: str = "ZA") -> list[tuple[str, str, str]]:
-    """(date, name, source) of a service's JSON array; another country's days are refused."""
+    """(date, name, source) of a service's JSON array; another country's days are refused, unmarked ones are taken."""
     days = json.loads(payload)
-    if any(d.get("countryCode") != country for d in days):
+    if any(d.get("countryCode") not in (None, country) for d in days):
         raise ValueError(f"holidays of another country than {country}")
     return [(d["date"], d.get("name") or d.get("localName"), "api") for d in days]
 
 
+def over_http(template: str, timeout: float = 10.0) -> Callable[[int], str]:
+    """Fetches a year's JSON from a service; ``{year}`` in the template stands for the year."""
+
+    def fetch(year: int) -> str:
+        with urllib.request.urlopen(template.format(year=year), timeout=timeout) as answer:  # an OSError where it cannot
+            return answer.read().decode()
+
+    return fetch
+
+
 def easter(year: int) -> dt.date:
     """Easter Sunday of the Gregorian calendar, by the full moon's age and the week's day."""
     golden, (century, of_century) = year % 19, divmod(year, 100)

@@ -7,6 +7,10 @@ marks the session as converted until its timer fires, and no late add revives
 the cart.  When a session has been idle for the timeout, its cart is reported if
 it is not converted and not empty, and the state goes; a session that returns
 later starts a new cart.
+
+The state keeps times in milliseconds and no event ids: an add in the instant of
+a removal counts as removed, and of two prices of one instant the larger is the
+last.
 """
 
 from __future__ import annotations

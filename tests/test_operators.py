@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import http.server
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -177,6 +179,28 @@ def test_holidays_fall_back_and_refuse_other_countries():
     assert len(holidays.collect([2024], broken, pause=pauses.append)) == 13 and pauses == [1.0, 2.0, 4.0]
 
 
+def test_holidays_from_a_service():
+    class Service(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            known = self.path == "/2024"
+            self.send_response(200 if known else 503)
+            self.end_headers()
+            if known:
+                self.wfile.write(b'[{"date": "2024-05-29", "localName": "Election Day"}]')
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        fetch = holidays.over_http(f"http://127.0.0.1:{server.server_port}/{{year}}")
+        rows = holidays.collect([2024, 2025], fetch, pause=lambda seconds: None)
+    finally:
+        server.shutdown()
+    assert rows[0] == ("2024-05-29", "Election Day", "api") and {r[2] for r in rows[1:]} == {"fallback"} and len(rows) > 10
+
+
 def test_movable_and_observed_holidays():
     assert [holidays.easter(y).isoformat() for y in (1954, 1981, 2000, 2008, 2011, 2024, 2038)] == ["1954-04-18", "1981-04-19", "2000-04-23", "2008-03-23", "2011-04-24", "2024-03-31", "2038-04-25"]
     days = {d: n for d, n, _ in holidays.fallback(2026)}
