@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import http.server
 import threading
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from storelens.functions import scalars
 from storelens.operators import cdc, clicks, quality, ranking, sinks
 from storelens.plans import serve
+from storelens.session import shared_folder
 from storelens.sources import holidays, tables
 
 
@@ -247,3 +249,14 @@ def test_live_rows_expire(spark):
     assert live.retained(view, "t", "2024-01-10 00:00:00", "day").count() == 1
     with pytest.raises(ValueError):
         serve.best_sellers(spark, "", "2024-01-01", by="name")
+
+
+def test_only_a_local_session_may_leave_the_shared_folder_unset():
+    def named(master, folder):
+        settings = SimpleNamespace(get=lambda *_: folder)
+        return SimpleNamespace(conf=settings, sparkContext=SimpleNamespace(master=master, applicationId=master, getConf=lambda: settings))
+
+    assert shared_folder(named("spark://host:7077", "hdfs://shared/x/")) == "hdfs://shared/x"
+    assert shared_folder(named("local[2]", None)).startswith("file:///")
+    with pytest.raises(ValueError):
+        shared_folder(named("spark://host:7077", None))
