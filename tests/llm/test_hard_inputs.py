@@ -141,7 +141,7 @@ def test_ids_of_very_long_texts_equal_the_tokenizer(text):
     encode = packing.Encoder(vocabulary())
     begin = time.perf_counter()
     got = encode(text)
-    assert time.perf_counter() - begin < 10
+    assert time.perf_counter() - begin < 40  # a second or two a million characters
     assert got.tolist() == Tokenizer.from_str(vocabulary().tokenizer_json).encode(text, add_special_tokens=False).ids
 
 
