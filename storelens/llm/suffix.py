@@ -44,6 +44,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -188,13 +189,27 @@ class SortedTable:
         storage.drop(self.spark, self.path)
 
 
+class Level(NamedTuple):
+    batches: range  # of which it holds the entries
+    table: SortedTable
+
+
+class Meeting(NamedTuple):
+    """Segments that a batch shared with a level when it came."""
+
+    batch: int
+    with_batch: int  # the first of that level
+    table: SortedTable
+
+
 class SuffixFamily:
     """Levels of sampled suffix arrays; level k holds 2**k batches."""
 
     def __init__(self, spark: SparkSession, length: int = 200, gram: int = 32):
         self.spark, self.length, self.gram = spark, length, gram
-        self.levels: dict[int, SortedTable] = {}
-        self.matches: list[SortedTable] = []
+        self.levels: dict[int, Level] = {}
+        self.meetings: list[Meeting] = []
+        self.inserted = 0
 
     def suffix_array(self, docs: DataFrame) -> SortedTable:
         """A batch's entries; equal ones are one, whose location is one of theirs."""
@@ -218,39 +233,49 @@ class SuffixFamily:
 
     def insert(self, docs: DataFrame) -> None:
         """Adds a batch (columns doc, text): scans it against every level and merges levels of equal size."""
-        new, level = self.suffix_array(docs), 0
+        number, new, level = self.inserted, self.suffix_array(docs), 0
         while level in self.levels:  # those that merge with the newcomer; the merge is their scan
             level += 1
-        for kept in sorted(k for k in self.levels if k > level):
-            self.matches.append(SortedTable(self.met(new.rows(), self.levels[kept].rows()), "matches"))
+        for k in sorted(k for k in self.levels if k > level):
+            kept = self.levels[k]
+            self.meetings.append(Meeting(number, kept.batches.start, SortedTable(self.met(new.rows(), kept.table.rows()), "meetings")))
+        first = number
         for k in range(level):
             old = self.levels.pop(k)
-            both = SortedTable(self.merged(old.rows(), new.rows()), "suffixes")
-            old.drop()
+            both = SortedTable(self.merged(old.table.rows(), new.rows()), "suffixes")
+            old.table.drop()
             new.drop()
-            new = both
-        self.levels[level] = new
+            new, first = both, old.batches.start
+        self.levels[level] = Level(range(first, number + 1), new)
+        self.inserted += 1
 
     def scan(self) -> DataFrame:
-        """All entries of all levels, with ``copied``: whether the segment occurs more than once in the family."""
+        """One entry of every segment in the family, with ``copied``: whether it occurs more than once.
+
+        Of a segment that a newer level shares with an older one, the older entry stands for both.
+        """
         key, out = list(SortedTable.KEY), None
-        found = None
-        for m in self.matches:
-            found = m.rows() if found is None else found.unionByName(m.rows())
-        for level in self.levels.values():
-            rows = level.rows()
-            if found is None:
-                rows = rows.withColumn("copied", F.col("n") > 1)
-            else:
-                rows = rows.join(found.distinct().withColumn("_met", F.lit(True)), key, "left").withColumn("copied", (F.col("n") > 1) | F.col("_met").isNotNull()).drop("_met")
+        for batches, table in self.levels.values():
+            rows = table.rows()
+            apart = [m for m in self.meetings if (m.batch in batches) != (m.with_batch in batches)]  # others have merged
+            newer = [m.table.rows() for m in apart if m.batch in batches]
+            older = [m.table.rows() for m in apart if m.with_batch in batches]
+            for met in newer:
+                rows = rows.join(met, key, "left_anti")
+            copied = F.col("n") > 1
+            if older:
+                met = reduce(DataFrame.unionByName, older)
+                rows = rows.join((met if len(older) == 1 else met.distinct()).withColumn("_met", F.lit(True)), key, "left")
+                copied = copied | F.col("_met").isNotNull()
+            rows = rows.select(*key, "n", "doc", "code", copied.alias("copied"))
             out = rows if out is None else out.unionByName(rows)
         return out
 
     def drop(self) -> None:
-        for t in (*self.levels.values(), *self.matches):
+        for t in (*(level.table for level in self.levels.values()), *(m.table for m in self.meetings)):
             t.drop()
         self.levels.clear()
-        self.matches.clear()
+        self.meetings.clear()
 
 
 def _lists(rows: DataFrame) -> DataFrame:
