@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storelens.llm import decontam, extract, langid, lexical, media, neardup, packing, quality, storage, suffix, urls, warc
+from storelens.llm import decontam, extract, langid, lexical, media, neardup, packing, phrases, quality, storage, suffix, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -111,6 +111,11 @@ def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2,000 strongest phrases among those that occur 100 times."""
+    return phrases.collocations(_table(spark, sf_dir, "documents"), support=100, top=2000)
+
+
 QUERIES: dict[str, Query] = {
     "op1_media": op1_media,
     "op2_quality": op2_quality,
@@ -124,6 +129,7 @@ QUERIES: dict[str, Query] = {
     "op9_language": op9_language,
     "op10_neardup": op10_neardup,
     "op11_search": op11_search,
+    "op12_phrases": op12_phrases,
 }
 
 ORACLE_SQL: dict[str, str] = {}
@@ -212,3 +218,21 @@ s AS (
   FROM q JOIN w USING (term) JOIN f USING (term), k GROUP BY item_id, r)
 SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 50
 """
+
+#: Every phrase of up to five words counted.
+ORACLE_SQL["op12_phrases"] = r"""
+WITH p AS (SELECT row_number() OVER () AS p, lang, w FROM (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)) WHERE len(w) > 0),
+t AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM t, range(1, 6) x(k) WHERE i + k - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+c AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f AS a FROM g WHERE k > 1),
+longer AS (SELECT lang, unnest([array_to_string(w[1:k - 1], ' '), array_to_string(w[2:k], ' ')]) AS phrase, a FROM c WHERE k > 2),
+kept AS (SELECT * FROM c ANTI JOIN longer USING (lang, phrase, a)),
+cuts AS (SELECT lang, phrase, a, w, k, unnest(range(1, k)) AS j FROM kept),
+s AS (SELECT cuts.lang, cuts.phrase, cuts.a, j, x.f AS l, y.f AS r, n.n, CAST((1000::HUGEINT * a * n.n) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM cuts JOIN n ON n.lang = cuts.lang JOIN g x ON x.lang = cuts.lang JOIN g y ON y.lang = cuts.lang WHERE x.k = j AND x.phrase = array_to_string(w[1:j], ' ') AND y.k = cuts.k - j AND y.phrase = array_to_string(w[j + 1:cuts.k], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM b QUALIFY rank <= 2000
+"""
