@@ -9,13 +9,13 @@ exactly.
 2. Postings are written by term, each list sorted by score.  A list of more than
    ``LIST_BLOCK`` postings is dealt over several sub-lists by document, so no
    task holds a long list.
-3. *Heads.*  The first k entries of every list give partial sums, and the k-th
-   best of a query is its lower bound.
+3. *Heads.*  The first k entries of every list give partial sums.  The least
+   exact score of a query's k best by these sums is its lower bound.
 4. *Uniform threshold.*  With m lists, an unseen document whose every entry is
    under bound / m cannot reach the bound, so entries from that score on are
-   fetched from every list.  The k-th best sum now raises the bound; documents
-   whose sum, with the most that their missing lists may hold, stays under it
-   are given up.
+   fetched from every list.  Documents whose sum, with the most that their
+   missing lists may hold, stays under the bound are given up, and once more
+   when the k-th best sum has raised it.
 5. *Lookup.*  The candidates left get their missing entries by (term, document).
 
 Terms are runs of ASCII letters, digits and characters beyond ASCII; only A-Z are
@@ -45,6 +45,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BITMAP_BITS = 1 << 24
 #: Postings of a list from which it is dealt over several sub-lists.
 LIST_BLOCK = 20_000
+#: Query terms up to which their thresholds are broadcast.
+BROADCAST_ROWS = 200_000
 #: Texts that a worker counts before it hands over a batch, in bytes.
 BATCH_BYTES = 4 << 20
 
@@ -55,10 +57,11 @@ def terms_of(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).split()
 
 
-def query_terms(queries: DataFrame, item: str, text: str) -> DataFrame:
-    """(query, term), once each; the query is a struct, so that a null id equals a null id."""
+def query_terms(queries: DataFrame, names: DataFrame, item: str, text: str) -> DataFrame:
+    """(query, term), once each; names has a number ``query`` for every ``item``, null too."""
     words = F.split(F.translate(F.col(text), UPPER, LOWER), GAPS)
-    return queries.select(F.struct(F.col(item).alias("id")).alias("query"), F.explode(words).alias("term")).where("term <> ''").distinct()
+    asked = queries.select(F.col(item).alias("_item"), F.explode(words).alias("term")).where("term <> ''")
+    return asked.join(names, F.col("_item").eqNullSafe(F.col("item"))).select("query", "term").distinct()
 
 
 def _bit(term: Column) -> Column:
@@ -132,8 +135,13 @@ def _kth(sums: DataFrame, k: int) -> DataFrame:
     return _best(sums.select("query", "s"), "query", k, F.desc("s")).where(F.col("rank") == k).select("query", F.col("s").alias("low"))
 
 
+def _near(df: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if its rows are few enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def postings(docs: DataFrame, wanted: DataFrame, scratch: storage.Scratch, doc_id: str = "doc_id", text: str = "text", block: int = LIST_BLOCK) -> DataFrame:
-    """(term, doc, doc_id, c) with c > 0: what a term adds to a document's score, by term and descending score."""
+    """(term, doc, c) with c > 0: what a term adds to a document's score, by term and descending score."""
     forward = scratch.written(counted(docs, _bitmap(wanted), doc_id, text), "forward")
     n_docs, n_terms = forward.agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0))).first()
     frequencies = forward.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
@@ -141,9 +149,9 @@ def postings(docs: DataFrame, wanted: DataFrame, scratch: storage.Scratch, doc_i
     weighed = frequencies.join(wanted.select("term").distinct(), "term").select("term", weight.alias("w"), F.ceil(F.col("df") / F.lit(block)).alias("blocks")).where("w > 0")
     weights = scratch.written(weighed, "weights")
     measure = F.lit(50) + F.call_function("div", F.lit(50) * F.col("n") * F.lit(n_docs), F.lit(max(1, n_terms)))
-    entries = forward.select("doc", "doc_id", measure.alias("m"), F.explode(F.arrays_zip("terms", "tfs")).alias("t")).select("doc", "doc_id", "m", F.col("t.terms").alias("term"), F.col("t.tfs").alias("tf"))
+    entries = forward.select("doc", measure.alias("m"), F.explode(F.arrays_zip("terms", "tfs")).alias("t")).select("doc", "m", F.col("t.terms").alias("term"), F.col("t.tfs").alias("tf"))
     share = F.call_function("div", F.lit(1_000_000_000) * F.col("tf"), 1000 * F.col("tf") + 20 * F.col("m"))
-    scored = entries.join(weights, "term").select("term", "doc", "doc_id", (F.col("w") * share).alias("c"), F.pmod(F.xxhash64("doc"), F.col("blocks")).alias("_part")).where("c > 0")
+    scored = entries.join(weights, "term").select("term", "doc", (F.col("w") * share).alias("c"), F.pmod(F.xxhash64("doc"), F.col("blocks")).alias("_part")).where("c > 0")
     lists = scored.repartition("term", "_part").drop("_part").sortWithinPartitions("term", F.desc("c"))
     return scratch.written(lists, "postings")
 
@@ -154,31 +162,38 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 50, doc_id: str = "doc_
     block: postings of a list from which it is dealt over several tasks.
     """
     scratch = storage.Scratch(docs.sparkSession, "lexical")
+    zero = F.lit(0).cast("long")
     try:
-        wanted = scratch.written(query_terms(queries, item, query_text), "terms")
+        names = scratch.written(queries.select(F.col(item).alias("item")).distinct().withColumn("query", F.monotonically_increasing_id()), "names")
+        wanted = scratch.written(query_terms(queries, names, item, query_text), "terms")
         lists = postings(docs, wanted, scratch, doc_id, text, block)
 
         heads = scratch.written(_best(lists, "term", k, F.desc("c"), F.col("doc")), "heads")
-        tops = heads.where("rank = 1").select("term", F.col("c").alias("top"))
-        asked = scratch.written(wanted.join(tops, "term"), "asked")  # terms that some document has
+        asked = scratch.written(wanted.join(heads.where("rank = 1").select("term", F.col("c").alias("top")), "term"), "asked")  # terms that some document has
         sums = heads.join(asked, "term").groupBy("query", "doc").agg(F.sum("c").alias("s"))
+        first = scratch.written(_best(sums, "query", k, F.desc("s"), F.col("doc")).select("query", "doc"), "first")
+        exact = lists.select("term", "doc", "c").join(first, "doc").join(asked.select("query", "term"), ["query", "term"]).groupBy("query", "doc").agg(F.sum("c").alias("s"))
         sizes = asked.groupBy("query").agg(F.count("*").alias("m"))
-        bounds = sizes.join(_kth(sums, k), "query", "left").select("query", F.call_function("div", F.coalesce("low", F.lit(0)) + F.col("m") - 1, F.col("m")).alias("need"))
+        low = F.coalesce("low", zero)
+        bounds = sizes.join(_kth(exact, k), "query", "left").select("query", low.alias("low"), F.call_function("div", low + F.col("m") - 1, F.col("m")).alias("need"))
         # An entry that is not fetched holds less than need, and no more than its list's first.
-        thresholds = scratch.written(asked.join(bounds, "query").select("query", "term", "need", F.least("top", F.greatest(F.col("need") - 1, F.lit(0))).alias("gap")), "thresholds")
+        thresholds = scratch.written(asked.join(bounds, "query").select("query", "term", "low", "need", F.least("top", F.greatest(F.col("need") - 1, zero)).alias("gap")), "thresholds")
 
+        # All entries of a document meet in one task first, so sums for many queries are not shuffled.
         least = thresholds.groupBy("term").agg(F.min("need").alias("least"))
-        fetched = lists.join(least, "term").where("c >= least").join(thresholds, "term").where("c >= need")
-        seen = scratch.written(fetched.groupBy("query", "doc", "doc_id").agg(F.sum("c").alias("s"), F.sum("gap").alias("known")), "seen")
-        gaps = thresholds.groupBy("query").agg(F.sum("gap").alias("gaps"))
-        raised = gaps.join(_kth(seen, k), "query", "left").select("query", "gaps", F.coalesce("low", F.lit(0)).alias("low"))
-        open_ = seen.join(raised, "query").where(F.col("s") + F.col("gaps") - F.col("known") >= F.col("low"))
-        candidates = scratch.written(open_.select("query", "doc", "doc_id", "s", (F.col("gaps") - F.col("known")).alias("missing")), "candidates")
+        fetched = lists.select("term", "doc", "c").join(least, "term").where("c >= least").select("term", "doc", "c").repartition("doc")
+        summed = fetched.join(_near(thresholds.select("query", "term", "need", "gap")), "term").where("c >= need").groupBy("doc", "query").agg(F.sum("c").alias("s"), F.sum("gap").alias("known"))
+        gaps = thresholds.groupBy("query").agg(F.sum("gap").alias("gaps"), F.first("low").alias("low"))
+        within = F.col("s") + F.col("gaps") - F.col("known") >= F.col("low")
+        seen = scratch.written(summed.join(gaps, "query").where(within).select("query", "doc", "s", (F.col("gaps") - F.col("known")).alias("missing")), "seen")
+        raised = seen.join(_kth(seen, k), "query", "left").where(F.col("s") + F.col("missing") >= F.coalesce("low", zero))
+        candidates = scratch.written(raised.select("query", "doc", "s", "missing"), "candidates")
 
         asks = candidates.where("missing > 0").select("query", "doc").join(thresholds.where("gap > 0").select("query", "term", "need"), "query")
         looked_up = asks.join(lists.select("term", "doc", "c"), ["term", "doc"]).where("c < need").groupBy("query", "doc").agg(F.sum("c").alias("more"))
-        scores = candidates.join(looked_up, ["query", "doc"], "left").select("query", "doc", "doc_id", (F.col("s") + F.coalesce("more", F.lit(0))).alias("score"))
-        ranked = _best(scores, "query", k, F.desc("score"), F.asc_nulls_last("doc_id"), F.col("doc"))
-        return storage.written(ranked.select(F.col("query.id").alias(item), "rank", F.col("doc_id").alias(doc_id), "score"), "ranked")
+        scores = candidates.join(looked_up, ["query", "doc"], "left").select("query", "doc", (F.col("s") + F.coalesce("more", zero)).alias("score"))
+        forward = scratch.read("forward").select("doc", "doc_id")
+        ranked = _best(scores.join(forward, "doc"), "query", k, F.desc("score"), F.asc_nulls_last("doc_id"), F.col("doc"))
+        return storage.written(ranked.join(names, "query").select(F.col("item").alias(item), "rank", F.col("doc_id").alias(doc_id), "score"), "ranked")
     finally:
         scratch.drop()

@@ -65,14 +65,19 @@ class Scratch:
     """Tables of one computation below one folder, deleted together when its result is written."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.n = spark, new_path(spark, name), 0
+        self.spark, self.root, self.n, self.tables = spark, new_path(spark, name), 0, {}
 
     def path(self, name: str) -> str:
         self.n += 1
         return f"{self.root}/{self.n}-{name}"
 
     def written(self, df: DataFrame, name: str) -> DataFrame:
-        return written(df, name, self.path(name))
+        self.tables[name] = written(df, name, self.path(name))
+        return self.tables[name]
+
+    def read(self, name: str) -> DataFrame:
+        """The table written last under a name."""
+        return self.tables[name]
 
     def drop(self) -> None:
         drop(self.spark, self.root)
