@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storelens.llm import decontam, extract, langid, lexical, media, neardup, packing, phrases, quality, storage, suffix, urls, warc
+from storelens.llm import decontam, extract, langid, lexical, media, neardup, packing, phrases, quality, secrets, storage, suffix, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -116,6 +116,11 @@ def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf_dir, "documents"), support=100, top=2000)
 
 
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of every document, by patterns and by tests of randomness."""
+    return secrets.scan(_table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 QUERIES: dict[str, Query] = {
     "op1_media": op1_media,
     "op2_quality": op2_quality,
@@ -130,6 +135,7 @@ QUERIES: dict[str, Query] = {
     "op10_neardup": op10_neardup,
     "op11_search": op11_search,
     "op12_phrases": op12_phrases,
+    "op13_secrets": op13_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {}
@@ -236,3 +242,49 @@ s AS (SELECT cuts.lang, cuts.phrase, cuts.a, j, x.f AS l, y.f AS r, n.n, CAST((1
 b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM b QUALIFY rank <= 2000
 """
+
+
+def _either_case(pattern: str) -> str:
+    """Letters of the keywords in either case, of ASCII only."""
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in pattern)
+
+
+def _secrets_sql() -> str:
+    """All matches placed by window sums, all tokens tested, and the step-up rule over sorted steps."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    assign = _either_case("(password|passwd|secret|token|api_?key)") + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    listed = lambda values: "[" + ", ".join(map(quoted, values)) + "]"
+    encoding = "CASE " + " ".join(f"WHEN regexp_matches(v, {quoted(e[1])}) THEN {i}" for i, e in enumerate(secrets.ENCODINGS)) + " END"
+    patterns = map(quoted, (assign, "AKIA[A-Z0-9]+", "[0-9a-f]+", "[A-Za-z0-9+/_-]{20,}"))
+    found = " UNION ALL ".join(f"SELECT r, {kind} AS kind, regexp_extract_all(x, {p}) AS v, string_split_regex(x, {p}) AS g FROM t" for kind, p in enumerate(patterns))
+    return f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x FROM documents),
+found AS ({found}),
+single AS (SELECT r, kind, unnest(v) AS v, unnest(g[1:len(v)]) AS g, unnest(range(len(v))) AS i FROM found),
+placed AS (SELECT r, kind, v, CAST(sum(length(g) + length(v)) OVER (PARTITION BY r, kind ORDER BY i) AS BIGINT) AS e FROM single),
+spans AS (SELECT *, e - length(v) AS s FROM placed WHERE CASE kind WHEN 0 THEN length(regexp_extract(v, {quoted(assign)}, 2)) >= 6 WHEN 1 THEN length(v) >= 20 WHEN 2 THEN length(v) >= 24 ELSE regexp_matches(v, '[A-Za-z]') AND regexp_matches(v, '[0-9]') END),
+base AS (SELECT * FROM spans WHERE kind < 3),
+tokens AS (SELECT *, {encoding} AS code, length(v)::DOUBLE AS n FROM spans t WHERE kind = 3 AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = t.r AND b.s < t.e AND t.s < b.e)),
+coded AS (SELECT *, {listed(e[2] for e in secrets.ENCODINGS)}[code + 1] AS alphabet, {listed("L" * (len(e[2]) // 2) + "H" * (len(e[2]) // 2) for e in secrets.ENCODINGS)}[code + 1] AS sides FROM tokens),
+sized AS (SELECT *, length(alphabet)::DOUBLE AS k, translate(v, alphabet, sides) AS half, list_transform(string_split(v, ''), lambda c: instr(alphabet, c) - (length(alphabet) + 1) / 2.0) AS p FROM coded),
+tested AS (
+  SELECT *, (k / n * list_sum(list_transform(string_split(alphabet, ''), lambda c: pow(n - length(replace(v, c, '')), 2))) - n - (k - 1)) / sqrt(2 * (k - 1) * (n - 1) / n) AS chi,
+    (n - (length(replace(half, 'LH', '')) + length(replace(half, 'HL', ''))) / 2.0 - (n - 1) / 2) / sqrt((n - 1) / 4) AS runs,
+    list_sum(list_transform(range(1, length(v)), lambda i: CASE WHEN i % 4096 = 0 THEN 0 ELSE p[i] * p[i + 1] END)) / (sqrt(n - 1 - (length(v) - 1) // 4096) * (k * k - 1) / 12) AS serial FROM sized),
+z AS (SELECT *, greatest(abs(chi), abs(runs), abs(serial)) AS z FROM tested),
+stepped AS (
+  SELECT r, s, e, code * 100 + CAST(floor(log2(n)) AS INTEGER) AS class,
+    least(greatest(floor(((z * z / 2 + ln(sqrt(2 * pi()) / 2) + ln(z + 1 / (z + 2 / (z + 3 / (z + 4 / (z + 0.65)))))) / ln(10) - log10(3)) * 100), 0), 4000) AS step FROM z),
+counts AS (SELECT class, step, count(*) AS n FROM stepped GROUP BY ALL),
+rule AS (SELECT class, step, pow(10.0, -step / 100.0) * sum(n) OVER (PARTITION BY class) AS expected, sum(n) OVER (PARTITION BY class ORDER BY step DESC) AS rank FROM counts),
+bounds AS (SELECT class, min(step) AS least FROM rule WHERE expected <= 0.05 * rank GROUP BY class),
+every AS (SELECT r, kind, s, e FROM base UNION ALL SELECT r, 3, s, e FROM stepped LEFT JOIN bounds USING (class) WHERE least IS NULL OR step < least),
+named AS (SELECT r, kind, s, {listed(secrets.KINDS)}[kind + 1] || ':' || s || ':' || e AS said FROM every),
+summed AS (
+  SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+    string_agg(said, ',' ORDER BY s, kind) FILTER (kind < 3) AS base, string_agg(said, ',' ORDER BY s, kind) AS spans FROM named GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN summed USING (r)
+"""
+
+
+ORACLE_SQL["op13_secrets"] = _secrets_sql()

@@ -89,12 +89,29 @@ def test_neardup(spark, edge_dir):
     assert [rows[i]["n_shingles"] for i in (0, 1, 2, 3, 5)] == [0, 0, 0, 1, 1] and rows[0]["component_id"] == 0
 
 
+def test_search(spark, edge_dir):
+    rows = result(spark, edge_dir, "op11_search")
+    assert {r["doc_id"] for r in rows if r["item_id"] == 0} == {6, 7, 8, 14} and all(r["item_id"] in (0, 3) for r in rows)
+    assert [r["doc_id"] for r in sorted(rows, key=lambda r: r["rank"]) if r["item_id"] == 0][:2] == [6, 7]
+
+
+def test_phrases(spark, edge_dir):
+    rows = result(spark, edge_dir, "op12_phrases")
+    assert [(r["lang"], r["phrase"], r["a"], r["n"]) for r in rows if "wort" in r["phrase"]] == [("und", " ".join(["wort"] * 5), 39_996, 40_000 + 120)]
+
+
+def test_secrets(spark, edge_dir):
+    rows = {r["doc_id"]: r for r in result(spark, edge_dir, "op13_secrets")}
+    assert len(rows) == len(TEXTS) and all((r["n_assign"], r["n_access"], r["n_hex"], r["spans"]) == (0, 0, 0, "") for r in rows.values())
+    assert rows[0]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
 def test_repeated_rows_do_not_break(spark, edge_dir, tmp_path):
     for name in ("documents", "pages", "labels", "benchmark"):
         t = spark.read.parquet(f"{edge_dir}/{name}.parquet")
         t.unionByName(t).write.parquet(f"{tmp_path}/{name}.parquet")
     for name, query in QUERIES.items():
-        assert query(spark, str(tmp_path)).count() >= (0 if name == "op7_decontam" else 10), name
+        assert query(spark, str(tmp_path)).count() >= (0 if name in ("op7_decontam", "op12_phrases") else 10), name
 
 
 def test_pipeline_over_edges(spark, edge_dir, empty_dir):
