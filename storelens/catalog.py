@@ -307,4 +307,13 @@ QUERIES: dict[str, Query] = {
     "stream_funnel": replays.funnel,
     "stream_carts": replays.carts,
     "stream_cdc": replays.cdc,
+    "stream_status_board": replays.status_board,
+    "stream_day_kpis": replays.day_kpis,
+    "stream_recent_orders": replays.recent_orders,
+    "stream_top_products": replays.top_products,
+    "stream_low_stock": replays.low_stock,
+    "stream_product_cards": replays.product_cards,
+    "stream_customer_cards": replays.customer_cards,
+    "live_product_cards": lambda s, d: _doubles(live.product_cards(s, d), "price"),
+    "live_customer_cards": live.customer_cards,
 }

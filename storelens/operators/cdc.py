@@ -25,8 +25,8 @@ CASTS = {"shipping_fee": "decimal(10,2)", "order_total": "decimal(12,2)", "unit_
 KEYS = {"orders": ["order_id"], "order_items": ["order_id", "product_id"], "customers": ["customer_id"], "products": ["product_id"], "inventory": ["product_id"]}
 
 
-def to_envelopes(changes: DataFrame, table: str) -> DataFrame:
-    """(value, kafka_offset): changes as the JSON a change stream carries, images before and after."""
+def to_envelopes(changes: DataFrame, table: str, *keep: str) -> DataFrame:
+    """(value, kafka_offset) and the columns in keep: changes as the JSON a change stream carries, images before and after."""
     names = [x.strip().split(" ")[0] for x in IMAGES[table].split(",")]
     texts = [F.col(c).cast("string").alias(c) if c in CASTS else F.col(c) for c in names]
     image = F.struct(*texts)
@@ -34,7 +34,7 @@ def to_envelopes(changes: DataFrame, table: str) -> DataFrame:
     staged = changes.withColumn("_image", image).withColumn("_before", F.lag("_image").over(w))
     source = F.struct(F.lit(table).alias("table"), F.col("ts_ms").alias("ts_ms"))
     envelope = F.struct(F.col("_before").alias("before"), F.when(F.col("op") != "d", F.col("_image")).alias("after"), F.col("op"), source.alias("source"))
-    return staged.select(F.to_json(envelope, {"ignoreNullFields": "false"}).alias("value"), "kafka_offset")
+    return staged.select(F.to_json(envelope, {"ignoreNullFields": "false"}).alias("value"), "kafka_offset", *keep)
 
 
 def parse_envelopes(stream: DataFrame) -> DataFrame:

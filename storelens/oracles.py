@@ -242,7 +242,7 @@ _SELECT: dict[str, str] = {
     "data_quality": "SELECT dataset, rule_name, dimension, count(DISTINCT run_id) AS runs, CAST(sum(checked_rows) AS BIGINT) AS checked_rows, CAST(sum(failed_rows) AS BIGINT) AS failed_rows, max(run_at) AS last_run_at, floor(CAST(sum(checked_rows) - sum(failed_rows) AS DOUBLE) / CAST(nullif(sum(checked_rows), 0) AS DOUBLE) * 10000.0 + 0.5) / 10000.0 AS pass_rate FROM dq_results WHERE run_at >= TIMESTAMP '2001-12-31' - INTERVAL 7 DAY GROUP BY ALL",
     "live_status_board": "SELECT status, count(*) AS orders FROM order_last WHERE NOT is_deleted GROUP BY 1",
     "live_day_kpis": "SELECT CAST(changed_at + INTERVAL 2 HOUR AS DATE) AS day, count(*) FILTER (op = 'c') AS orders, CAST(coalesce(sum(order_total) FILTER (op = 'c'), 0) AS DOUBLE) AS revenue, count(*) FILTER (op = 'u') AS cancelled FROM order_log WHERE op = 'c' OR (op = 'u' AND status = 'CANCELLED') GROUP BY 1",
-    "live_recent_orders": "SELECT order_id, customer_id, CAST(order_total AS DOUBLE) AS order_total, ts_ms FROM order_log WHERE op = 'c' ORDER BY ts_ms DESC, kafka_offset DESC LIMIT 20",
+    "live_recent_orders": "SELECT order_id, customer_id, CAST(order_total AS DOUBLE) AS order_total, ship_province, payment_method, placed_at, ts_ms FROM order_log WHERE op = 'c' ORDER BY ts_ms DESC, kafka_offset DESC LIMIT 20",
     "live_top_products": "SELECT *, row_number() OVER (PARTITION BY day ORDER BY revenue DESC, CAST(product_id AS VARCHAR) DESC) AS place FROM product_days QUALIFY place <= 3",
     "live_low_stock": "SELECT product_id, stock_on_hand FROM stock WHERE stock_on_hand <= 10",
     "live_display_names": "SELECT DISTINCT 'product' AS kind, product_id AS id, product_name AS name FROM product_log UNION ALL SELECT 'customer', customer_id, first_name FROM customer_log WHERE op <> 'd' QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY seq DESC) = 1",
@@ -296,6 +296,13 @@ _SELECT: dict[str, str] = {
     "stream_cdc": "SELECT op, count(*) AS changes FROM order_log GROUP BY 1",
 }
 
+_SELECT["live_product_cards"] = "SELECT product_id, product_name, category, CAST(price AS DOUBLE) AS price, epoch_ms(changed_at) AS ts_ms FROM product_log QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY changed_at DESC, kafka_offset DESC, price DESC) = 1"
+_SELECT["live_customer_cards"] = "SELECT customer_id, first_name, province, city FROM customer_log WHERE op <> 'd' QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY seq DESC) = 1"
+
+#: Views that the stream keeps hold what the same views over the whole log hold.
+for _kept in ("status_board", "day_kpis", "recent_orders", "top_products", "low_stock", "product_cards", "customer_cards"):
+    _SELECT[f"stream_{_kept}"] = _SELECT[f"live_{_kept}"]
+
 #: Two runs of equal results.
 _SELECT["sink_dq_results"] = (
     "SELECT 'deliveries' AS dataset, rule AS rule_name, dimension, CAST(2 AS BIGINT) AS runs, CAST(2 * checked AS BIGINT) AS checked_rows, CAST(2 * failed AS BIGINT) AS failed_rows, "

@@ -45,7 +45,7 @@ def recent_orders(spark: SparkSession, sf_dir: str, limit: int = 20) -> DataFram
     if not 1 <= limit <= 20:
         raise ValueError(f"{limit} is not within 1 to 20")
     new = order_log(spark, sf_dir).where("op = 'c'")
-    return new.orderBy(F.desc("ts_ms"), F.desc("kafka_offset")).limit(limit).select("order_id", "customer_id", F.col("order_total").cast("double").alias("order_total"), "ts_ms")
+    return new.orderBy(F.desc("ts_ms"), F.desc("kafka_offset")).limit(limit).select("order_id", "customer_id", F.col("order_total").cast("double").alias("order_total"), "ship_province", "payment_method", "placed_at", "ts_ms")
 
 
 def product_days(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,8 +56,12 @@ def product_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def top_products(spark: SparkSession, sf_dir: str, by: str = "revenue", limit: int = 3) -> DataFrame:
     """The best sellers of each day; ties go to the larger id as text, as a sorted set read backwards does."""
+    return ranked_products(product_days(spark, sf_dir), by, limit)
+
+
+def ranked_products(days: DataFrame, by: str = "revenue", limit: int = 3) -> DataFrame:
     w = Window.partitionBy("day").orderBy(F.desc(by), F.col("product_id").cast("string").desc())
-    return product_days(spark, sf_dir).withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
+    return days.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
 
 
 def low_stock(spark: SparkSession, sf_dir: str, threshold: int = LOW_STOCK) -> DataFrame:
@@ -67,11 +71,23 @@ def low_stock(spark: SparkSession, sf_dir: str, threshold: int = LOW_STOCK) -> D
 
 def display_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last image of products and customers that is no deletion; a deleted one keeps its name."""
-    products = cdc.latest(adapters.product_changes(spark, sf_dir).where("op <> 'd'"), "product_id").select(F.lit("product").alias("kind"), F.col("product_id").alias("id"), F.col("product_name").alias("name"))
-    customers = cdc.latest(adapters.customer_changes(spark, sf_dir).where("op <> 'd'"), "customer_id").select(F.lit("customer").alias("kind"), F.col("customer_id").alias("id"), F.col("first_name").alias("name"))
+    products = product_cards(spark, sf_dir).select(F.lit("product").alias("kind"), F.col("product_id").alias("id"), F.col("product_name").alias("name"))
+    customers = customer_cards(spark, sf_dir).select(F.lit("customer").alias("kind"), F.col("customer_id").alias("id"), F.col("first_name").alias("name"))
     return products.unionByName(customers)
 
 
+def product_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Name, category and price of every product; of changes in one instant with one offset, the dearest."""
+    log = adapters.product_changes(spark, sf_dir).where("op <> 'd'")
+    last = log.groupBy("product_id").agg(F.max_by(F.struct("product_name", "category", "price", "ts_ms"), F.struct("ts_ms", "kafka_offset", "price")).alias("r"))
+    return last.select("product_id", "r.*")
+
+
+def customer_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Name, province and city of every customer."""
+    return cdc.latest(adapters.customer_changes(spark, sf_dir).where("op <> 'd'"), "customer_id", keep=["first_name", "province", "city"])
+
+
 def retained(view: DataFrame, column: str, now: str, kind: str) -> DataFrame:
     """The rows of a live view that have not expired: funnel cells after 6 hours, day views after 3 days, guards after 7."""
     return view.where(F.col(column) >= F.lit(now).cast("timestamp_ntz") - F.make_dt_interval(hours=F.lit(RETENTION_HOURS[kind])))

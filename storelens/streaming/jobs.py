@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +11,7 @@ from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from storelens.operators import cdc, clicks, sinks
 from storelens.session import ROCKSDB
-from storelens.streaming import cart_state
+from storelens.streaming import cart_state, views
 from storelens.streaming.folders import FOLD_EVERY, BatchFolders
 
 WATERMARK = "2 minutes"
@@ -113,6 +113,39 @@ def cdc_query(messages: DataFrame, path: str, checkpoint: str, every: str | None
     return _start(parsed.writeStream.foreachBatch(write), checkpoint, every)
 
 
+#: How long a message's place is remembered.
+GUARD = "7 days"
+PLACE = ("topic", "kafka_partition", "kafka_offset")
+
+
+def guarded(messages: DataFrame, keys: tuple[str, ...] = PLACE, keep: str = GUARD, at: str | None = None) -> DataFrame:
+    """Messages once each: a place that was seen within ``keep`` is dropped in flight.
+
+    The state forgets a place when the latest arrival is twice ``keep`` after it,
+    so it is bounded by what arrives in that time.  at: a column of arrival times; the clock's, if not
+    given, by which no message is late.  A message without a place is refused, as
+    nothing tells it from another.
+    """
+    placed = [F.when(F.col(c).isNull(), F.raise_error(F.lit(f"a message without {c}"))).otherwise(F.col(c)).alias(c) if c in keys else F.col(c) for c in messages.columns]
+    timed = messages.select(*placed, (F.current_timestamp() if at is None else F.col(at)).alias("_arrived"))
+    return timed.withWatermark("_arrived", keep).dropDuplicatesWithinWatermark(list(keys)).drop("_arrived")
+
+
+def live_query(messages: DataFrame, path: str, checkpoint: str, every: str | None = "5 seconds", names: Iterable[str] = tuple(views.VIEWS), buckets: int = views.BUCKETS, keep_days: int | None = None, at: str | None = None) -> StreamingQuery:
+    """Live views from the change stream; messages carry their topic, partition and offset."""
+    messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    parsed = cdc.parse_envelopes(guarded(messages, at=at))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            views.apply_all(batch, batch_id, path, names, buckets, keep_days)
+        finally:
+            batch.unpersist()
+
+    return _start(parsed.writeStream.foreachBatch(write), checkpoint, every)
+
+
 def new_changes(spark: SparkSession, path: str, seen: DataFrame | None = None, since: Column | None = None) -> DataFrame:
     """Landed changes once each, without those seen before.
 

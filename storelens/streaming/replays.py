@@ -16,9 +16,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from storelens.operators import cdc as changes
 from storelens.operators import clicks
+from storelens.plans import live
 from storelens.session import shared_folder
 from storelens.sources import adapters
-from storelens.streaming import jobs, sources
+from storelens.streaming import jobs, sources, views
 
 DELIVERIES = 3
 #: First days of the second and third delivery of clicks.
@@ -30,6 +31,68 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+LOGS = {"orders": adapters.order_changes, "order_items": adapters.order_item_changes, "products": adapters.product_changes, "customers": adapters.customer_changes, "inventory": adapters.inventory_changes}
+
+
+def log(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table's change messages with their places; keys lie in one partition each, and no two messages of one share an offset."""
+    key = changes.KEYS[table][0]
+    finer = {"order_items": F.col("product_id"), "products": (F.col("price") * 100).cast("long")}.get(table)  # where the log's offsets repeat
+    logged = LOGS[table](spark, sf_dir).withColumn("_offset", F.col("kafka_offset") if finer is None else F.col("kafka_offset") * F.lit(1 << 32) + finer)
+    made = changes.to_envelopes(logged, table, key, "_offset")
+    return made.select(F.lit(f"shop.{table}").alias("topic"), F.pmod(F.col(key), F.lit(4)).cast("int").alias("kafka_partition"), F.col("_offset").alias("kafka_offset"), F.lit("2024-01-01").cast("timestamp").alias("timestamp"), "value")
+
+
+def live_view(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
+    """Views kept over three deliveries in which changes come out of order and every tenth one twice."""
+    root = folder(spark, "live")
+    tables = {t for n in names for t in views.VIEWS[n].tables}
+    for table in sorted(tables):
+        first = log(spark, sf_dir, table).withColumn("delivery", F.pmod(F.xxhash64("kafka_offset"), F.lit(DELIVERIES - 1)).cast("int"))
+        again = first.where(F.pmod(F.hash("kafka_offset"), F.lit(10)) == 0).withColumn("delivery", F.col("delivery") + 1)
+        first.unionByName(again).write.partitionBy("delivery").parquet(f"{root}/{table}")
+    for n in range(DELIVERIES):
+        for table in sorted(tables):
+            spark.read.parquet(f"{root}/{table}").where(F.col("delivery") == n).drop("delivery").write.mode("append").parquet(f"{root}/log")
+        jobs.live_query(sources.log_folder(spark, f"{root}/log", 10_000), f"{root}/views", f"{root}/state", every=None, names=names).awaitTermination()
+    return [views.read(spark, f"{root}/views", n) for n in names]
+
+
+def status_board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (board,) = live_view(spark, sf_dir, "status_board")
+    return board.where("orders <> 0")
+
+
+def day_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (days,) = live_view(spark, sf_dir, "day_kpis")
+    return days.withColumn("revenue", F.col("revenue").cast("double"))
+
+
+def top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (days,) = live_view(spark, sf_dir, "product_days")
+    return live.ranked_products(days.withColumn("revenue", F.col("revenue").cast("double")))
+
+
+def low_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (stock,) = live_view(spark, sf_dir, "stock")
+    return stock.where(F.col("stock_on_hand") <= live.LOW_STOCK).select("product_id", "stock_on_hand")
+
+
+def recent_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (recent,) = live_view(spark, sf_dir, "recent_orders")
+    return recent.withColumn("order_total", F.col("order_total").cast("double")).drop("kafka_offset")
+
+
+def customer_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (cards,) = live_view(spark, sf_dir, "customer_cards")
+    return cards.drop(*views.ORDER)
+
+
+def product_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (cards,) = live_view(spark, sf_dir, "product_cards")
+    return cards.drop("kafka_offset").withColumn("price", F.col("price").cast("double"))
+
+
 def _replay(messages: DataFrame, root: str, start: Callable[[DataFrame], StreamingQuery]) -> None:
     """messages: value, and delivery from 0 on."""
     spark = messages.sparkSession

@@ -13,8 +13,8 @@ from hypothesis import strategies as st
 from pyspark.errors.exceptions.base import StreamingQueryException
 from pyspark.sql import functions as F
 
-from storelens.operators import clicks
-from storelens.streaming import cart_state, jobs, sources
+from storelens.operators import cdc, clicks
+from storelens.streaming import cart_state, jobs, sources, views
 from storelens.streaming.folders import BatchFolders
 
 
@@ -207,3 +207,89 @@ def test_a_failing_query_ends_the_job(spark, tmp_path):
     spark.readStream.format("rate").load().writeStream.foreachBatch(fail).option("checkpointLocation", str(tmp_path / "c")).start()
     with pytest.raises(StreamingQueryException, match="no disk"):
         jobs.run_until_any_fails(spark)
+
+
+# Live views
+
+
+def order_message(offset, order, status, before=None, op="u", ts=0, total="10.00", partition=0, at=0):
+    image = lambda s: {"order_id": order, "customer_id": 1, "status": s, "order_total": total, "ship_province": "Limpopo", "payment_method": "EFT", "placed_at": "2024-01-01 00:00:00"}
+    value = {"before": image(before) if before else None, "after": image(status) if op != "d" else None, "op": op, "source": {"table": "orders", "ts_ms": ts}}
+    return ("shop.orders", partition, offset, dt.datetime(2024, 1, 1, tzinfo=dt.UTC) + dt.timedelta(days=at), json.dumps(value))
+
+
+def land(spark, root, messages):
+    spark.createDataFrame(messages, sources.LOG).coalesce(1).write.mode("append").parquet(f"{root}/log")
+
+
+def live(spark, root, **more):
+    jobs.live_query(sources.log_folder(spark, f"{root}/log"), f"{root}/views", f"{root}/state", every=None, **more).awaitTermination()
+
+
+def board(spark, root):
+    return {r["status"]: r["orders"] for r in views.read(spark, f"{root}/views", "status_board").collect() if r["orders"]}
+
+
+def test_views_follow_the_stream_and_drop_what_comes_again(spark, tmp_path):
+    root, names = f"file://{tmp_path}", ("status_board", "day_kpis", "recent_orders")
+    first = [order_message(0, 1, "PLACED", op="c", ts=1000), order_message(1, 2, "PLACED", op="c", ts=2000), order_message(0, 3, "PLACED", op="r", ts=0, partition=1)]
+    land(spark, root, first)
+    live(spark, root, names=names)
+    assert board(spark, root) == {"PLACED": 3}
+    land(spark, root, [first[0], first[1], order_message(2, 1, "CANCELLED", "PLACED", ts=3000), order_message(2, 1, "CANCELLED", "PLACED", ts=3000), order_message(3, 2, "PAID", "PLACED", ts=4000), order_message(4, 2, "PAID", "PAID", ts=4500)])
+    live(spark, root, names=names)
+    land(spark, root, [first[2], order_message(5, 2, "PAID", "PAID", op="d", ts=5000)])
+    live(spark, root, names=names)
+    assert board(spark, root) == {"PLACED": 1, "CANCELLED": 1}
+    (day,) = views.read(spark, f"{root}/views", "day_kpis").collect()
+    assert (day["orders"], float(day["revenue"]), day["cancelled"]) == (2, 20.0, 1)
+    assert [r["order_id"] for r in views.read(spark, f"{root}/views", "recent_orders").orderBy(F.desc("ts_ms")).collect()] == [2, 1]
+
+
+def test_a_batch_that_is_repeated_adds_nothing(spark, tmp_path):
+    view = views.KeyedView(spark, f"file://{tmp_path}", views.VIEWS["status_board"], buckets=4)
+    batch = lambda *m: cdc.typed(cdc.parse_envelopes(spark.createDataFrame(list(m), sources.LOG)), "orders")
+    found = lambda: {r["status"]: r["orders"] for r in view.read().collect()}
+    view.apply(batch(order_message(0, 1, "PLACED", op="c"), order_message(1, 2, "PLACED", op="c")), 0)
+    view.apply(batch(order_message(0, 1, "PLACED", op="c")), 0)
+    assert found() == {"PLACED": 2}
+    second = batch(order_message(2, 1, "PAID", "PLACED"))
+    view.apply(second, 1)
+    assert found() == {"PLACED": 1, "PAID": 1}
+    (tmp_path / "batch=1" / "_SUCCESS").unlink()  # as a crash before the end leaves it
+    assert found() == {"PLACED": 2}
+    view.apply(second, 1)
+    assert found() == {"PLACED": 1, "PAID": 1}
+    for n in range(2, 9):
+        view.apply(batch(order_message(n, n, "PLACED", op="c")), n)
+    assert found() == {"PLACED": 8, "PAID": 1}
+    folders = [p for p in tmp_path.glob("batch=*/bucket=*")]
+    assert len(folders) <= 2 * len({p.name for p in folders}) and len(list(tmp_path.glob("batch=*"))) <= 4
+
+
+def test_days_expire_when_their_bucket_is_written(spark, tmp_path):
+    view = views.KeyedView(spark, f"file://{tmp_path}", views.VIEWS["day_kpis"], buckets=1, keep_days=3)
+    batch = lambda *m: cdc.typed(cdc.parse_envelopes(spark.createDataFrame(list(m), sources.LOG)), "orders")
+    day = 24 * 3600 * 1000
+    view.apply(batch(*(order_message(n, n, "PLACED", op="c", ts=n * day) for n in range(3))), 0)
+    view.apply(batch(order_message(3, 3, "PLACED", op="c", ts=4 * day)), 1)
+    assert sorted(str(r["day"]) for r in view.read().collect()) == ["1970-01-03", "1970-01-05"]
+
+
+def test_remembered_places_are_bounded_by_time(spark, tmp_path):
+    """A repeat within seven days is dropped, and places older than twice that are forgotten."""
+    root = f"file://{tmp_path}"
+    rows = []
+    for n in range(8):  # a message every fourth day, and the one before again
+        land(spark, root, [order_message(n, n, "PLACED", op="c", at=4 * n), order_message(max(n - 1, 0), max(n - 1, 0), "PLACED", op="c", at=4 * n)])
+        query = jobs.live_query(sources.log_folder(spark, f"{root}/log"), f"{root}/views", f"{root}/state", every=None, names=["status_board"], at="timestamp")
+        query.awaitTermination()
+        rows.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    assert board(spark, root) == {"PLACED": 8} and max(rows) <= 5
+
+
+def test_messages_without_a_place_are_refused(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    land(spark, root, [(*order_message(0, 1, "PLACED", op="c")[:2], None, *order_message(0, 1, "PLACED", op="c")[3:])])
+    with pytest.raises(StreamingQueryException, match="without kafka_offset"):
+        live(spark, root, names=["status_board"])
