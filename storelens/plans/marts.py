@@ -12,6 +12,8 @@ from storelens.sources import adapters
 from storelens.sources.holidays import holidays
 
 AS_OF = "2001-12-31"
+#: Time ranges by which a best-selling product's versions and sales are divided.
+RANGE = "year"
 #: Provinces with the longer delivery promise, in hours.
 REMOTE, REMOTE_HOURS, USUAL_HOURS = ("Northern Cape", "Limpopo", "North West", "Eastern Cape"), 96, 72
 
@@ -27,7 +29,7 @@ def dim_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dim_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = cdc.versions(cdc.changes(adapters.product_changes(spark, sf_dir)), "product_id", "price", "_quantity", "_supplier")
+    v = cdc.versions(cdc.changes(adapters.product_changes(spark, sf_dir)), "product_id", "price", "_quantity", "_supplier", span=RANGE)
     stock = cdc.latest(cdc.changes(adapters.inventory_changes(spark, sf_dir)), "product_id").select("product_id", "stock_on_hand", "reorder_level")
     joined = cdc.with_key(v, "product_sk", "product_id", "version").join(stock, "product_id", "left")
     return joined.select(
@@ -100,7 +102,7 @@ def order_core(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 def fct_order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = order_core(spark, sf_dir, "placed_at").select("order_id", "placed_at", "order_date", "is_revenue")
     lines = order_lines(spark, sf_dir).join(orders, "order_id")
-    priced = cdc.as_of(lines, dim_products(spark, sf_dir), "product_id", "placed_at", ["product_sk", "product_name", "category", "cost"])
+    priced = cdc.as_of(lines, dim_products(spark, sf_dir), "product_id", "placed_at", ["product_sk", "product_name", "category", "cost"], span=RANGE)
     return priced.select(
         "order_id", "product_id", "product_sk", "product_name", "category", "order_date", "is_revenue", "quantity", "unit_price",
         (F.col("quantity") * F.col("unit_price")).alias("line_revenue"), F.col("cost").alias("unit_cost_at_sale"), (F.col("quantity") * (F.col("unit_price") - F.col("cost"))).alias("line_margin"),

@@ -260,3 +260,60 @@ def test_only_a_local_session_may_leave_the_shared_folder_unset():
     assert shared_folder(named("local[2]", None)).startswith("file:///")
     with pytest.raises(ValueError):
         shared_folder(named("spark://host:7077", None))
+
+
+# Versions and points in time of a key with very many rows
+
+
+def _price_log(spark, n, hot=0.5, seed=3):
+    """n changes over four years, a share of them of one product, some in one instant and some deletions."""
+    rows = spark.range(n).select(
+        F.when(F.rand(seed) < hot, 1).otherwise(F.floor(F.rand(seed + 1) * 50) + 2).cast("long").alias("product_id"),
+        (F.floor(F.rand(seed + 2) * 4 * 365 * 24) * 3_600_000 + 978_307_200_000).cast("long").alias("ts_ms"), F.col("id").alias("kafka_offset"),
+        F.when(F.rand(seed + 3) < 0.05, "d").otherwise("u").alias("op"), F.col("id").alias("price"),
+    )
+    return cdc.changes(rows)
+
+
+@pytest.fixture(scope="module")
+def price_log(spark, tmp_path_factory):
+    path = f"file://{tmp_path_factory.mktemp('log')}/prices"
+    _price_log(spark, 4000).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@pytest.mark.parametrize("span", ["year", "month"])
+def test_versions_by_ranges_equal_versions_by_key(spark, price_log, span):
+    plain = cdc.versions(price_log, "product_id")
+    divided = cdc.versions(price_log, "product_id", span=span)
+    assert divided.columns == plain.columns
+    assert sorted(map(tuple, divided.collect())) == sorted(map(tuple, plain.collect()))
+
+
+@pytest.mark.parametrize("span", [None, "year", "month"])
+def test_as_of_equals_the_range_join(spark, price_log, span):
+    versions = cdc.versions(price_log, "product_id")
+    facts = spark.range(3000).select("id", F.when(F.col("id") % 50 == 0, None).when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 60).cast("long").alias("product_id"), F.when(F.col("id") % 41 == 0, None).otherwise((F.lit(946_684_800_000) + (F.col("id") * 7919 % 2300) * 86_400_000)).alias("ms"))
+    facts = facts.select("id", "product_id", cdc.from_millis(F.col("ms")).alias("at")).unionByName(price_log.select((F.col("kafka_offset") + 10_000).alias("id"), "product_id", F.col("changed_at").alias("at")))
+    right = versions.select(F.col("product_id").alias("k"), "valid_from", "valid_to", "version", "price")
+    plain = facts.join(right, (F.col("product_id") == F.col("k")) & (F.col("at") >= F.col("valid_from")) & (F.col("at") < F.col("valid_to")), "left").select("id", "product_id", "at", "version", "price")
+    found = cdc.as_of(facts, versions, "product_id", "at", ["version", "price"], span=span)
+    assert found.columns == plain.columns and sorted(map(str, found.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_one_product_with_very_many_rows_is_several_tasks(spark, tmp_path):
+    """200,000 versions and as many facts of one product: rows grow with neither side's square, and no task has most of them."""
+    path = f"file://{tmp_path}/log"
+    _price_log(spark, 200_000, hot=1.0).write.parquet(path)
+    log = spark.read.parquet(path)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        versions = cdc.versions(log, "product_id", span="month")
+        facts = log.select("product_id", F.col("changed_at").alias("at"))
+        found = cdc.as_of(facts, versions, "product_id", "at", ["version"], span="month").select("version", F.spark_partition_id().alias("task"))
+        by_task = [r["count(version)"] for r in found.groupBy("task").agg(F.count("version"), F.sum("version")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sum(by_task) == 200_000 and len(by_task) >= 20 and max(by_task) < 30_000
