@@ -12,6 +12,7 @@ from storelens.oracles import ORACLE_SQL
 from storelens.plans import build, live, marts, serve
 from storelens.sources import adapters
 from storelens.sources.files import inbox
+from storelens.sources.inputs import Source
 from storelens.sources.tables import csv_strings, parquet_or_empty, partitioned_since, table
 from storelens.streaming import replays
 
@@ -64,7 +65,7 @@ def _order_items(s: SparkSession, d: str) -> DataFrame:
     return _doubles(marts.fct_order_items(s, d), "unit_price", "line_revenue", "unit_cost_at_sale", "line_margin")
 
 
-def _fct_orders(s: SparkSession, d: str) -> DataFrame:
+def _fct_orders(s: SparkSession, d: Source) -> DataFrame:
     return _doubles(marts.fct_orders(s, d), "items_value", "shipping_fee", "order_total")
 
 
@@ -307,6 +308,7 @@ QUERIES: dict[str, Query] = {
     "stream_funnel": replays.funnel,
     "stream_carts": replays.carts,
     "stream_cdc": replays.cdc,
+    "stream_fct_orders": lambda s, d: _fct_orders(s, replays.landed(s, d, "orders", "order_items", "customers")),
     "stream_status_board": replays.status_board,
     "stream_day_kpis": replays.day_kpis,
     "stream_recent_orders": replays.recent_orders,

@@ -299,6 +299,8 @@ _SELECT: dict[str, str] = {
 _SELECT["live_product_cards"] = "SELECT product_id, product_name, category, CAST(price AS DOUBLE) AS price, epoch_ms(changed_at) AS ts_ms FROM product_log QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY changed_at DESC, kafka_offset DESC, price DESC) = 1"
 _SELECT["live_customer_cards"] = "SELECT customer_id, first_name, province, city FROM customer_log WHERE op <> 'd' QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY seq DESC) = 1"
 
+_SELECT["stream_fct_orders"] = _SELECT["fct_orders"]
+
 #: Views that the stream keeps hold what the same views over the whole log hold.
 for _kept in ("status_board", "day_kpis", "recent_orders", "top_products", "low_stock", "product_cards", "customer_cards"):
     _SELECT[f"stream_{_kept}"] = _SELECT[f"live_{_kept}"]

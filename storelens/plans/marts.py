@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from storelens.functions.scalars import business_date, mask_email, mask_phone, ratio, rounded
 from storelens.operators import cdc, clicks, quality
 from storelens.operators.ranking import with_tiles
-from storelens.sources import adapters
+from storelens.sources import inputs
+from storelens.sources.inputs import Source
 from storelens.sources.holidays import holidays
 
 AS_OF = "2001-12-31"
@@ -18,8 +19,8 @@ RANGE = "year"
 REMOTE, REMOTE_HOURS, USUAL_HOURS = ("Northern Cape", "Limpopo", "North West", "Eastern Cape"), 96, 72
 
 
-def dim_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = cdc.versions(cdc.changes(adapters.customer_changes(spark, sf_dir)), "customer_id")
+def dim_customers(spark: SparkSession, sf_dir: Source) -> DataFrame:
+    v = cdc.versions(cdc.changes(inputs.of(sf_dir).customer_changes(spark)), "customer_id")
     return cdc.with_key(v, "customer_sk", "customer_id", "version").select(
         "customer_sk", "customer_id", "version", "first_name",
         F.concat(F.left("last_name", F.lit(1)), F.lit(".")).alias("last_initial"),
@@ -28,9 +29,9 @@ def dim_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def dim_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = cdc.versions(cdc.changes(adapters.product_changes(spark, sf_dir)), "product_id", "price", "_quantity", "_supplier", span=RANGE)
-    stock = cdc.latest(cdc.changes(adapters.inventory_changes(spark, sf_dir)), "product_id").select("product_id", "stock_on_hand", "reorder_level")
+def dim_products(spark: SparkSession, sf_dir: Source) -> DataFrame:
+    v = cdc.versions(cdc.changes(inputs.of(sf_dir).product_changes(spark)), "product_id", "price", "_quantity", "_supplier", span=RANGE)
+    stock = cdc.latest(cdc.changes(inputs.of(sf_dir).inventory_changes(spark)), "product_id").select("product_id", "stock_on_hand", "reorder_level")
     joined = cdc.with_key(v, "product_sk", "product_id", "version").join(stock, "product_id", "left")
     return joined.select(
         "product_sk", "product_id", "version", "sku", "product_name", "category", "price", "cost",
@@ -41,10 +42,10 @@ def dim_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def dim_date(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) -> DataFrame:
+def dim_date(spark: SparkSession, sf_dir: Source, as_of: str = AS_OF) -> DataFrame:
     """Every day from the first order, or 90 days back, to 30 days ahead."""
     now = F.lit(as_of).cast("date")
-    first = adapters.table(spark, sf_dir, "orders").agg(F.least(F.coalesce(F.min("o_orderdate").cast("date"), now), F.date_sub(now, 90)).alias("first"))
+    first = inputs.of(sf_dir).first_order(spark).select(F.least(F.coalesce("first", now), F.date_sub(now, 90)).alias("first"))
     days = first.select(F.explode(F.sequence("first", F.date_add(now, 30))).alias("date_day"))
     weekday = F.weekday("date_day") + 1
     month_day = F.dayofmonth("date_day")
@@ -57,21 +58,21 @@ def dim_date(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) -> DataFrame:
     )
 
 
-def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cdc.live(cdc.changes(adapters.order_item_changes(spark, sf_dir)), "order_id", "product_id", keep=["quantity", "unit_price"])
+def order_lines(spark: SparkSession, sf_dir: Source) -> DataFrame:
+    return cdc.live(cdc.changes(inputs.of(sf_dir).order_item_changes(spark)), "order_id", "product_id", keep=["quantity", "unit_price"])
 
 
-def item_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+def item_rollup(spark: SparkSession, sf_dir: Source) -> DataFrame:
     return order_lines(spark, sf_dir).groupBy("order_id").agg(F.count("*").alias("lines"), F.sum("quantity").alias("units"), F.sum(F.col("quantity") * F.col("unit_price")).alias("items_value"))
 
 
-def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+def deliveries(spark: SparkSession, sf_dir: Source) -> DataFrame:
     """Sound delivery rows, the first of each waybill and status."""
-    rows = quality.standardise(adapters.deliveries_raw(spark, sf_dir))
+    rows = quality.standardise(inputs.of(sf_dir).deliveries_raw(spark))
     return quality.split(rows, quality.delivery_rules(), ["waybill", "status"], ["_place", "_copy"])[0]
 
 
-def delivery_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+def delivery_latest(spark: SparkSession, sf_dir: Source) -> DataFrame:
     """The most recent report of each order."""
     order = F.struct(F.coalesce("delivered_at", "collected_at"), "attempts", "waybill")
     columns = ["waybill", "courier", "province", "collected_at", "delivered_at", "status", "attempts"]
@@ -79,8 +80,8 @@ def delivery_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("order_id", *(F.col(f"r.{c}").alias("delivery_status" if c == "status" else c) for c in columns))
 
 
-def fct_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    states = cdc.order_states(cdc.changes(adapters.order_changes(spark, sf_dir)))
+def fct_orders(spark: SparkSession, sf_dir: Source) -> DataFrame:
+    states = cdc.order_states(cdc.changes(inputs.of(sf_dir).order_changes(spark)))
     found = states.join(item_rollup(spark, sf_dir), "order_id", "left").join(delivery_latest(spark, sf_dir), "order_id", "left")
     dated = cdc.as_of(found, dim_customers(spark, sf_dir), "customer_id", "placed_at", ["customer_sk"])
     seconds = F.timestamp_diff("SECOND", F.col("collected_at"), F.col("delivered_at"))
@@ -92,14 +93,14 @@ def fct_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def order_core(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+def order_core(spark: SparkSession, sf_dir: Source, *columns: str) -> DataFrame:
     """The part of fct_orders that needs the order log alone; of the log's columns those named, the status and the time, or all."""
-    log = cdc.changes(adapters.order_changes(spark, sf_dir))
+    log = cdc.changes(inputs.of(sf_dir).order_changes(spark))
     states = cdc.live(log, "order_id", keep=[*columns, "status", "placed_at"] if columns else None)
     return states.withColumns({"is_revenue": ~F.col("status").isin("CANCELLED", "RETURNED"), "order_date": business_date(F.col("placed_at"))})
 
 
-def fct_order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fct_order_items(spark: SparkSession, sf_dir: Source) -> DataFrame:
     orders = order_core(spark, sf_dir, "placed_at").select("order_id", "placed_at", "order_date", "is_revenue")
     lines = order_lines(spark, sf_dir).join(orders, "order_id")
     priced = cdc.as_of(lines, dim_products(spark, sf_dir), "product_id", "placed_at", ["product_sk", "product_name", "category", "cost"], span=RANGE)
@@ -109,22 +110,22 @@ def fct_order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clicks.sessionize(adapters.clicks(spark, sf_dir, repeated=True))
+def sessions(spark: SparkSession, sf_dir: Source) -> DataFrame:
+    return clicks.sessionize(inputs.of(sf_dir).clicks(spark, repeated=True))
 
 
-def carts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clicks.abandoned_carts(adapters.clicks(spark, sf_dir))
+def carts(spark: SparkSession, sf_dir: Source) -> DataFrame:
+    return clicks.abandoned_carts(inputs.of(sf_dir).clicks(spark))
 
 
-def fct_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fct_sessions(spark: SparkSession, sf_dir: Source) -> DataFrame:
     left = carts(spark, sf_dir).select("session_id", F.col("cart_value").alias("abandoned_value"), F.lit(True).alias("_cart"))
     orders = order_core(spark, sf_dir, "session_id", "order_total").where("session_id is not null").select("session_id", "order_id", "order_total")
     joined = sessions(spark, sf_dir).join(left, "session_id", "left").join(orders, "session_id", "left")
     return joined.withColumns({"converted": F.col("purchases") > 0, "added_to_cart": F.col("add_to_carts") > 0, "cart_abandoned": F.col("_cart").isNotNull()}).drop("_cart")
 
 
-def sales_daily(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) -> DataFrame:
+def sales_daily(spark: SparkSession, sf_dir: Source, as_of: str = AS_OF) -> DataFrame:
     """Orders are summed by day before they meet the calendar, which keeps days without any."""
     units = item_rollup(spark, sf_dir).select("order_id", "units")
     orders = order_core(spark, sf_dir, "order_total", "customer_id").select("order_id", "order_date", "is_revenue", "status", "order_total", "customer_id").join(units, "order_id", "left")
@@ -145,7 +146,7 @@ def sales_daily(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) -> DataFra
     )
 
 
-def funnel_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+def funnel_daily(spark: SparkSession, sf_dir: Source) -> DataFrame:
     s = fct_sessions(spark, sf_dir)
     some = lambda c, name: F.count_if(F.col(c) > 0).alias(name)
     summed = s.groupBy("session_date", "traffic_source").agg(
@@ -155,8 +156,8 @@ def funnel_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summed.withColumns({"conversion_rate": ratio(F.col("purchased"), F.col("sessions")), "avg_duration_s": ratio(F.col("_d"), F.col("sessions"), 0)}).drop("_d")
 
 
-def delivery_sla(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = cdc.live(cdc.changes(adapters.order_changes(spark, sf_dir)), "order_id", keep=["ship_province"])
+def delivery_sla(spark: SparkSession, sf_dir: Source) -> DataFrame:
+    log = cdc.live(cdc.changes(inputs.of(sf_dir).order_changes(spark)), "order_id", keep=["ship_province"])
     found = delivery_latest(spark, sf_dir).where("delivery_status = 'DELIVERED' and delivered_at is not null").join(log, "order_id")
     hours = rounded(F.timestamp_diff("SECOND", F.col("collected_at"), F.col("delivered_at")) / 3600, 1)
     timed = found.withColumn("hours", hours).withColumn("within", F.col("hours") <= F.when(F.col("ship_province").isin(*REMOTE), REMOTE_HOURS).otherwise(USUAL_HOURS))
@@ -167,7 +168,7 @@ def delivery_sla(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summed.select("courier", "ship_province", "deliveries", ratio(F.col("_h"), n, 1).alias("avg_hours"), rounded(F.col("_p"), 1).alias("p90_hours"), ratio(F.col("_w"), n).alias("sla_rate"), ratio(F.col("_r"), n).alias("repeat_attempt_rate"))
 
 
-def rfm(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) -> DataFrame:
+def rfm(spark: SparkSession, sf_dir: Source, as_of: str = AS_OF) -> DataFrame:
     base = order_core(spark, sf_dir, "order_total", "customer_id").where("is_revenue").groupBy("customer_id").agg(F.datediff(F.lit(as_of).cast("date"), F.max("order_date")).alias("recency_days"), F.count("*").alias("frequency"), F.sum("order_total").alias("monetary"))
     tiled = with_tiles(base, 5, "customer_id", _r="recency_days", f_score="frequency", m_score="monetary").withColumn("r_score", 6 - F.col("_r"))
     r, f = F.col("r_score"), F.col("f_score")
@@ -183,12 +184,12 @@ def rfm(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) -> DataFrame:
     return tiled.join(current, "customer_id", "left").select("customer_id", "first_name", "province", "recency_days", "frequency", F.col("monetary").cast("double").alias("monetary"), "r_score", "f_score", "m_score", segment.alias("segment"))
 
 
-def carts_recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    purchases = adapters.clicks(spark, sf_dir).where("event_type = 'purchase'")
+def carts_recovered(spark: SparkSession, sf_dir: Source) -> DataFrame:
+    purchases = inputs.of(sf_dir).clicks(spark).where("event_type = 'purchase'")
     return clicks.recovered(carts(spark, sf_dir), purchases)
 
 
-def abandoned_carts_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+def abandoned_carts_daily(spark: SparkSession, sf_dir: Source) -> DataFrame:
     c = carts_recovered(spark, sf_dir).withColumn("cart_date", business_date(F.col("last_activity_at")))
     return c.groupBy("cart_date").agg(
         F.count("*").alias("abandoned_carts"), F.sum(F.col("cart_value").cast("decimal(18,2)")).cast("double").alias("abandoned_value"), F.count_if(F.col("customer_id").isNull()).alias("guest_carts"),
@@ -196,13 +197,13 @@ def abandoned_carts_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def dq_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dq_results(spark: SparkSession, sf_dir: Source) -> DataFrame:
     """Rule results by run; each courier's rows are one run, a day apart."""
-    rows = quality.standardise(adapters.deliveries_raw(spark, sf_dir))
+    rows = quality.standardise(inputs.of(sf_dir).deliveries_raw(spark))
     by_run = quality.rule_results(rows, quality.delivery_rules(), ["waybill", "status"], ["courier"])
     back = F.when(F.col("courier") == "CourierA", 1).when(F.col("courier") == "CourierB", 3).otherwise(9)
     return by_run.select(F.col("courier").alias("run_id"), F.lit("deliveries").alias("dataset"), F.col("rule").alias("rule_name"), "dimension", F.col("checked").alias("checked_rows"), F.col("failed").alias("failed_rows"), (F.lit(AS_OF).cast("timestamp_ntz") - F.make_dt_interval(days=back)).alias("run_at"))
 
 
-def dq_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dq_scorecard(spark: SparkSession, sf_dir: Source) -> DataFrame:
     return quality.scorecard(dq_results(spark, sf_dir), F.lit(AS_OF).cast("timestamp_ntz") - F.expr("interval 7 days"))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from storelens.functions.scalars import OPEN_FROM, OPEN_TO, ratio, timestamp_ntz
 from storelens.operators import clicks
 from storelens.plans import live, marts
-from storelens.sources import adapters
+from storelens.sources import inputs
+from storelens.sources.inputs import Source
 
 
 def bounded(value: int, low: int, high: int) -> int:
@@ -21,22 +22,22 @@ def _recent(df: DataFrame, column: str, days: int, as_of: str) -> DataFrame:
     return df.where(F.col(column) > F.date_sub(F.lit(as_of).cast("date"), days))
 
 
-def sales_daily(spark: SparkSession, sf_dir: str, days: int = 30, as_of: str = marts.AS_OF) -> DataFrame:
+def sales_daily(spark: SparkSession, sf_dir: Source, days: int = 30, as_of: str = marts.AS_OF) -> DataFrame:
     return _recent(marts.sales_daily(spark, sf_dir, as_of), "order_date", bounded(days, 1, 365), as_of).orderBy("order_date")
 
 
-def funnel_by_day(spark: SparkSession, sf_dir: str, days: int = 30, as_of: str = "2024-01-31") -> DataFrame:
+def funnel_by_day(spark: SparkSession, sf_dir: Source, days: int = 30, as_of: str = "2024-01-31") -> DataFrame:
     found = _recent(marts.funnel_daily(spark, sf_dir), "session_date", bounded(days, 1, 90), as_of)
     return found.groupBy("session_date").agg(*(F.sum(c).alias(c) for c in ("sessions", "viewed_product", "added_to_cart", "reached_checkout", "purchased", "abandoned_carts"))).orderBy("session_date")
 
 
-def funnel_by_source(spark: SparkSession, sf_dir: str, days: int = 90, as_of: str = "2024-01-31") -> DataFrame:
+def funnel_by_source(spark: SparkSession, sf_dir: Source, days: int = 90, as_of: str = "2024-01-31") -> DataFrame:
     found = _recent(marts.funnel_daily(spark, sf_dir), "session_date", bounded(days, 1, 90), as_of)
     summed = found.groupBy("traffic_source").agg(F.sum("sessions").alias("sessions"), F.sum("purchased").alias("purchased"))
     return summed.withColumn("conversion_rate", ratio(F.col("purchased"), F.col("sessions"))).orderBy(F.desc_nulls_last("conversion_rate"))
 
 
-def delivery_sla_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+def delivery_sla_weighted(spark: SparkSession, sf_dir: Source) -> DataFrame:
     """By courier; the averages are those of rounded averages, as the service reported them."""
     d = marts.delivery_sla(spark, sf_dir)
     n = F.sum("deliveries")
@@ -44,7 +45,7 @@ def delivery_sla_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("courier").agg(n.alias("deliveries"), ratio(weigh("avg_hours"), n, 1).alias("avg_hours"), ratio(weigh("sla_rate"), n).alias("sla_rate")).orderBy(F.desc("sla_rate"))
 
 
-def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def segments(spark: SparkSession, sf_dir: Source) -> DataFrame:
     r = marts.rfm(spark, sf_dir)
     return r.groupBy("segment").agg(F.count("*").alias("customers"), F.sum(F.col("monetary").cast("decimal(18,2)")).cast("double").alias("revenue"), ratio(F.sum("recency_days"), F.count("*"), 1).alias("avg_recency_days")).orderBy(F.desc("revenue"))
 
@@ -54,50 +55,50 @@ def open_ended(df: DataFrame) -> DataFrame:
     return df.withColumns({"valid_from": F.nullif("valid_from", timestamp_ntz(OPEN_FROM)), "valid_to": F.nullif("valid_to", timestamp_ntz(OPEN_TO))})
 
 
-def customer_profile(spark: SparkSession, sf_dir: str, customer_id: int) -> DataFrame:
+def customer_profile(spark: SparkSession, sf_dir: Source, customer_id: int) -> DataFrame:
     """No row for an unknown customer."""
     own = marts.dim_customers(spark, sf_dir).where((F.col("customer_id") == customer_id) & F.col("is_current"))
     scores = marts.rfm(spark, sf_dir).select("customer_id", "segment", "recency_days", "frequency", "monetary")
     return own.select("customer_id", "first_name", "last_initial", "email_masked", "province", "city", "marketing_opt_in", "version").join(scores, "customer_id", "left")
 
 
-def customer_history(spark: SparkSession, sf_dir: str, customer_id: int) -> DataFrame:
+def customer_history(spark: SparkSession, sf_dir: Source, customer_id: int) -> DataFrame:
     own = marts.dim_customers(spark, sf_dir).where(F.col("customer_id") == customer_id)
     return open_ended(own).select("version", "province", "city", "marketing_opt_in", "valid_from", "valid_to").orderBy("version")
 
 
-def customer_recent_orders(spark: SparkSession, sf_dir: str, customer_id: int, limit: int = 10) -> DataFrame:
+def customer_recent_orders(spark: SparkSession, sf_dir: Source, customer_id: int, limit: int = 10) -> DataFrame:
     own = marts.fct_orders(spark, sf_dir).where(F.col("customer_id") == customer_id)
     return own.orderBy(F.desc("placed_at"), F.desc("order_id")).limit(limit).select("order_id", "placed_at", "status", F.col("order_total").cast("double").alias("order_total"), "courier", "delivery_hours")
 
 
-def price_history(spark: SparkSession, sf_dir: str, product_id: int) -> DataFrame:
+def price_history(spark: SparkSession, sf_dir: Source, product_id: int) -> DataFrame:
     own = marts.dim_products(spark, sf_dir).where(F.col("product_id") == product_id)
     doubles = [F.col(c).cast("double").alias(c) for c in ("price", "cost")]
     return open_ended(own).select("version", "product_name", *doubles, "margin_pct", "is_current", "valid_from", "valid_to").orderBy("version")
 
 
-def abandoned_daily(spark: SparkSession, sf_dir: str, days: int = 30, as_of: str = "2024-01-31") -> DataFrame:
+def abandoned_daily(spark: SparkSession, sf_dir: Source, days: int = 30, as_of: str = "2024-01-31") -> DataFrame:
     return _recent(marts.abandoned_carts_daily(spark, sf_dir), "cart_date", bounded(days, 1, 90), as_of).orderBy("cart_date")
 
 
-def data_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+def data_quality(spark: SparkSession, sf_dir: Source) -> DataFrame:
     return marts.dq_scorecard(spark, sf_dir).orderBy("pass_rate", "dataset", "rule_name")
 
 
-def _named(df: DataFrame, spark: SparkSession, sf_dir: str, kind: str, key: str) -> DataFrame:
+def _named(df: DataFrame, spark: SparkSession, sf_dir: Source, kind: str, key: str) -> DataFrame:
     names = live.display_names(spark, sf_dir).where(F.col("kind") == kind).select(F.col("id").alias("_id"), "name")
     return df.join(names, F.col(key) == F.col("_id"), "left").drop("_id")
 
 
-def recent_alerts(spark: SparkSession, sf_dir: str, limit: int = 20) -> DataFrame:
+def recent_alerts(spark: SparkSession, sf_dir: Source, limit: int = 20) -> DataFrame:
     """The abandoned carts of last activity, latest first; unknown customers are guests."""
     last = marts.carts(spark, sf_dir).orderBy(F.desc("last_activity_at"), "session_id").limit(bounded(limit, 1, 100))
     named = _named(last, spark, sf_dir, "customer", "customer_id")
     return named.withColumn("name", F.coalesce("name", F.lit("Guest"))).select("session_id", "name", "cart_value", "items", "last_activity_at")
 
 
-def best_sellers(spark: SparkSession, sf_dir: str, day: str, by: str = "revenue", limit: int = 10) -> DataFrame:
+def best_sellers(spark: SparkSession, sf_dir: Source, day: str, by: str = "revenue", limit: int = 10) -> DataFrame:
     """A day's products by revenue or units with their names; ties go to the larger id as text."""
     if by not in ("revenue", "units"):
         raise ValueError(f"products are ranked by revenue or units, not {by}")
@@ -106,13 +107,13 @@ def best_sellers(spark: SparkSession, sf_dir: str, day: str, by: str = "revenue"
     return _named(top, spark, sf_dir, "product", "product_id").select("product_id", "name", "units", "revenue")
 
 
-def lowest_stock(spark: SparkSession, sf_dir: str, limit: int = 20) -> DataFrame:
+def lowest_stock(spark: SparkSession, sf_dir: Source, limit: int = 20) -> DataFrame:
     """Products under the threshold, least stock first; ties go to the smaller id as text."""
     low = live.low_stock(spark, sf_dir).orderBy("stock_on_hand", F.col("product_id").cast("string")).limit(bounded(limit, 1, 100))
     return _named(low, spark, sf_dir, "product", "product_id").select("product_id", "name", "stock_on_hand")
 
 
-def overview(spark: SparkSession, sf_dir: str, day: str, until: str | None = None) -> DataFrame:
+def overview(spark: SparkSession, sf_dir: Source, day: str, until: str | None = None) -> DataFrame:
     """One row: a day's orders, revenue, average, items, cancellations and abandoned carts; sessions of the minute ``until``, and orders by status now."""
     zero = lambda c: F.coalesce(c, F.lit(0))
     that = F.lit(day).cast("date")
@@ -121,7 +122,7 @@ def overview(spark: SparkSession, sf_dir: str, day: str, until: str | None = Non
     items = live.product_days(spark, sf_dir).where(F.col("day") == that).agg(zero(F.sum("units")).alias("items_sold"))
     alerts = live.alerts_by_day(marts.carts(spark, sf_dir)).where(F.col("day") == that).agg(zero(F.sum("alerts")).alias("abandoned_carts"), F.coalesce(F.sum("value"), F.lit(0.0)).alias("abandoned_value"))
     minute = F.date_trunc("minute", timestamp_ntz(until or f"{day} 23:59:00")).cast("timestamp_ntz")
-    active = clicks.funnel_windows(adapters.clicks(spark, sf_dir).where((F.col("event_time") >= minute) & (F.col("event_time") < minute + F.expr("interval 1 minute")))).where("stage = 'any'")
+    active = clicks.funnel_windows(inputs.of(sf_dir).clicks(spark).where((F.col("event_time") >= minute) & (F.col("event_time") < minute + F.expr("interval 1 minute")))).where("stage = 'any'")
     sessions = active.agg(zero(F.sum("sessions")).alias("active_sessions_last_min"))
     is_open = F.col("status").isin("PLACED", "PAID", "SHIPPED")
     states = F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "status", "orders"))), ",")  # of six states at most
@@ -132,7 +133,7 @@ def overview(spark: SparkSession, sf_dir: str, day: str, until: str | None = Non
     return out.withColumn("avg_order_value", F.coalesce(ratio(F.col("revenue"), F.col("orders"), 2), F.lit(0.0)))
 
 
-def live_funnel(spark: SparkSession, sf_dir: str, until: str, minutes: int = 15) -> DataFrame:
-    cells = clicks.funnel_windows(adapters.clicks(spark, sf_dir))
+def live_funnel(spark: SparkSession, sf_dir: Source, until: str, minutes: int = 15) -> DataFrame:
+    cells = clicks.funnel_windows(inputs.of(sf_dir).clicks(spark))
     return clicks.dense_series(cells, timestamp_ntz(until), bounded(minutes, 1, 360))
 

@@ -99,9 +99,15 @@ def _change_folders(spark: SparkSession, path: str, fold_every: int = FOLD_EVERY
 
 
 def cdc_query(messages: DataFrame, path: str, checkpoint: str, every: str | None = "5 seconds", fold_every: int = FOLD_EVERY) -> StreamingQuery:
-    """Changes to Parquet by table and day, and counts by table and operation."""
-    parsed = cdc.parse_envelopes(messages)
+    """Changes to Parquet by table and day, and counts by table and operation.
+
+    Messages with a place are landed once each; others are told apart on reading.
+    """
     spark = messages.sparkSession
+    placed = set(PLACE) <= set(messages.columns)
+    if placed:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    parsed = cdc.parse_envelopes(guarded(messages) if placed else messages)
     bronze, counts = _change_folders(spark, path, fold_every), BatchFolders(spark, f"{path}/counts", fold_every)
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -146,6 +152,14 @@ def live_query(messages: DataFrame, path: str, checkpoint: str, every: str | Non
     return _start(parsed.writeStream.foreachBatch(write), checkpoint, every)
 
 
+def landed_changes(spark: SparkSession, path: str) -> DataFrame:
+    """Parsed changes as the stream landed them; of messages with places each is there once."""
+    landed = _change_folders(spark, path).read()
+    if landed is None:
+        raise FileNotFoundError(f"no batch has been written to {path}")
+    return landed.drop("batch", "ingest_date")
+
+
 def new_changes(spark: SparkSession, path: str, seen: DataFrame | None = None, since: Column | None = None) -> DataFrame:
     """Landed changes once each, without those seen before.
 

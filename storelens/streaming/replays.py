@@ -19,6 +19,7 @@ from storelens.operators import clicks
 from storelens.plans import live
 from storelens.session import shared_folder
 from storelens.sources import adapters
+from storelens.sources.inputs import Landed
 from storelens.streaming import jobs, sources, views
 
 DELIVERIES = 3
@@ -43,10 +44,8 @@ def log(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return made.select(F.lit(f"shop.{table}").alias("topic"), F.pmod(F.col(key), F.lit(4)).cast("int").alias("kafka_partition"), F.col("_offset").alias("kafka_offset"), F.lit("2024-01-01").cast("timestamp").alias("timestamp"), "value")
 
 
-def live_view(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
-    """Views kept over three deliveries in which changes come out of order and every tenth one twice."""
-    root = folder(spark, "live")
-    tables = {t for n in names for t in views.VIEWS[n].tables}
+def _deliver(spark: SparkSession, sf_dir: str, root: str, tables: set[str], start: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Three deliveries of tables' changes, which come out of order and every tenth one twice."""
     for table in sorted(tables):
         first = log(spark, sf_dir, table).withColumn("delivery", F.pmod(F.xxhash64("kafka_offset"), F.lit(DELIVERIES - 1)).cast("int"))
         again = first.where(F.pmod(F.hash("kafka_offset"), F.lit(10)) == 0).withColumn("delivery", F.col("delivery") + 1)
@@ -54,7 +53,21 @@ def live_view(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     for n in range(DELIVERIES):
         for table in sorted(tables):
             spark.read.parquet(f"{root}/{table}").where(F.col("delivery") == n).drop("delivery").write.mode("append").parquet(f"{root}/log")
-        jobs.live_query(sources.log_folder(spark, f"{root}/log", 10_000), f"{root}/views", f"{root}/state", every=None, names=names).awaitTermination()
+        start(sources.log_folder(spark, f"{root}/log", 10_000)).awaitTermination()
+
+
+def landed(spark: SparkSession, sf_dir: str, *tables: str) -> Landed:
+    """Inputs of which the tables' changes have come through the stream."""
+    root = folder(spark, "landed")
+    _deliver(spark, sf_dir, root, set(tables), lambda m: jobs.cdc_query(m, f"{root}/cdc", f"{root}/state", every=None, fold_every=2))
+    return Landed(lambda s: jobs.landed_changes(s, f"{root}/cdc"), sf_dir)
+
+
+def live_view(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
+    """Views kept over the deliveries of the tables that they take."""
+    root = folder(spark, "live")
+    tables = {t for n in names for t in views.VIEWS[n].tables}
+    _deliver(spark, sf_dir, root, tables, lambda m: jobs.live_query(m, f"{root}/views", f"{root}/state", every=None, names=names))
     return [views.read(spark, f"{root}/views", n) for n in names]
 
 
