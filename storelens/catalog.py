@@ -109,6 +109,36 @@ def _approx_errors(s: SparkSession, d: str) -> DataFrame:
     return exact.join(close, keys).where("abs(approx - sessions) > greatest(1, 0.15 * sessions)")
 
 
+def _error_classes(s: SparkSession, d: str) -> DataFrame:
+    """Cells by the error of their approximate sessions; those of full hours are made wrong on purpose, and must be found."""
+    keys = ["window_start", "stage"]
+    exact, close = (clicks.funnel_windows(adapters.clicks(s, d), exact=e).select(*keys, F.col("sessions").alias(n)) for e, n in ((True, "sessions"), (False, "approx")))
+    planted = F.when(F.minute("window_start") == 0, F.col("approx") * 2 + 10).otherwise(F.col("approx"))
+    error = F.when(F.abs(planted - F.col("sessions")) > F.greatest(F.lit(1), 0.15 * F.col("sessions")), "off").otherwise("within")
+    return exact.join(close, keys).groupBy(error.alias("error")).agg(F.count("*").alias("cells"))
+
+
+def _folder_or_missing(s: SparkSession, d: str) -> DataFrame:
+    """Events of a landed folder, and of one that no stream has written yet."""
+    root = replays.folder(s, "landed")
+    table(s, d, "events").select("event_id", F.col("ts").cast("date").alias("day")).write.parquet(f"{root}/events")
+    found = s.read.parquet(f"{root}/events")
+    both = parquet_or_empty(s, f"{root}/events", found.schema).unionByName(parquet_or_empty(s, f"{root}/late_events", found.schema))
+    return both.groupBy("day").agg(F.count("*").alias("events"))
+
+
+def _several_current(s: SparkSession, d: str) -> DataFrame:
+    """Customers of whom every version but a deletion is marked current."""
+    marked = cdc.versions(cdc.changes(adapters.customer_changes(s, d)), "customer_id").withColumn("is_current", ~F.col("is_deleted"))
+    return quality.several_current(customer=(marked, "customer_id"))
+
+
+def _unmasked(s: SparkSession, d: str) -> DataFrame:
+    """Customers whose address was put in unmasked: those who opted in."""
+    dims = marts.dim_customers(s, d)
+    return quality.unmasked(dims.withColumn("email_masked", F.when(F.col("marketing_opt_in"), F.regexp_replace("email_masked", r"\*", "x")).otherwise(F.col("email_masked")))).select("customer_sk")
+
+
 def _freshness(s: SparkSession, d: str) -> DataFrame:
     """The age of the click source by its last arrival, at three moments after it."""
     loaded = adapters.clicks(s, d)
@@ -280,7 +310,12 @@ QUERIES: dict[str, Query] = {
     "assert_between": lambda s, d: quality.outside(marts.dim_products(s, d), "margin_pct", 0.4, 1.0).select("product_sk", "margin_pct"),
     "assert_one_current": lambda s, d: quality.several_current(customer=(marts.dim_customers(s, d), "customer_id"), product=(marts.dim_products(s, d), "product_id")),
     "assert_totals_match": lambda s, d: _fct_orders(s, d).where("lines > 0 and abs(order_total - (items_value + shipping_fee)) > 0.01").select("order_id", "order_total", "items_value", "shipping_fee"),
-    "assert_no_pii": lambda s, d: marts.dim_customers(s, d).where("email_masked not like '%***@%' or not phone_masked rlike '[*]{5}'").select("customer_sk"),
+    "assert_no_pii": lambda s, d: quality.unmasked(marts.dim_customers(s, d)).select("customer_sk"),
+    "assert_price_between": lambda s, d: _doubles(quality.outside(marts.dim_products(s, d), "price", 1000, 90000).select("product_sk", "price"), "price"),
+    "assert_several_current": _several_current,
+    "assert_unmasked_pii": _unmasked,
+    "approx_error_classes": _error_classes,
+    "source_folder_or_missing": _folder_or_missing,
     "assert_funnel_monotonic": lambda s, d: marts.funnel_daily(s, d).where("not (added_to_cart >= reached_checkout and reached_checkout >= purchased)"),
     "cdc_order_items_typed": lambda s, d: _doubles(_typed(s, adapters.order_item_changes(s, d), "order_items"), "unit_price"),
     "cdc_customers_typed": lambda s, d: _typed(s, adapters.customer_changes(s, d), "customers"),

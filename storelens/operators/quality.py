@@ -100,6 +100,11 @@ def not_accepted(df: DataFrame, column: str, values: tuple[str, ...]) -> DataFra
     return df.where(F.col(column).isNotNull() & ~F.col(column).isin(*values))
 
 
+def unmasked(customers: DataFrame) -> DataFrame:
+    """Rows in which an address or a number is not hidden; nulls pass."""
+    return customers.where("email_masked not like '%***@%' or not phone_masked rlike '[*]{5}'")
+
+
 def several_current(**dimensions: tuple[DataFrame, str]) -> DataFrame:
     """(dim, id) of keys with more than one current version."""
     out = None

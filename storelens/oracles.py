@@ -189,6 +189,8 @@ def _overview(day: str, until: str) -> str:
       (SELECT count(*) FROM carts WHERE CAST(last_activity_at + INTERVAL 2 HOUR AS DATE) = DATE '{day}') AS abandoned_carts,
       (SELECT CAST(coalesce(sum(CAST(cart_value AS DECIMAL(18,2))), 0) AS DOUBLE) FROM carts WHERE CAST(last_activity_at + INTERVAL 2 HOUR AS DATE) = DATE '{day}') AS abandoned_value,
       (SELECT coalesce(sum(sessions), 0)::BIGINT FROM funnel_windows WHERE stage = 'any' AND window_start = TIMESTAMP '{until}') AS active_sessions_last_min,
+      (SELECT CASE WHEN sum(events) FILTER (stage = 'page_view') > 0 THEN floor(CAST(coalesce(sum(events) FILTER (stage = 'purchase'), 0) AS DOUBLE) / CAST(greatest(sum(sessions) FILTER (stage = 'any'), 1) AS DOUBLE) * 10000.0 + 0.5) / 10000.0 END
+        FROM funnel_windows WHERE window_start BETWEEN TIMESTAMP '{until}' - INTERVAL 14 MINUTE AND TIMESTAMP '{until}') AS purchases_per_session,
       (SELECT count(*) FROM order_core WHERE status IN ('PLACED','PAID','SHIPPED')) AS open_orders,
       (SELECT string_agg(status || '=' || n, ',' ORDER BY status) FROM (SELECT status, count(*) AS n FROM order_core GROUP BY 1)) AS order_status,
       coalesce(floor(revenue / CAST(nullif(orders, 0) AS DOUBLE) * 100.0 + 0.5) / 100.0, 0.0) AS avg_order_value
@@ -299,6 +301,13 @@ _SELECT: dict[str, str] = {
 _SELECT["live_product_cards"] = "SELECT product_id, product_name, category, CAST(price AS DOUBLE) AS price, epoch_ms(changed_at) AS ts_ms FROM product_log QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY changed_at DESC, kafka_offset DESC, price DESC) = 1"
 _SELECT["live_customer_cards"] = "SELECT customer_id, first_name, province, city FROM customer_log WHERE op <> 'd' QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY seq DESC) = 1"
 
+#: The checks over inputs in which some rows fail.
+_SELECT["assert_price_between"] = "SELECT product_sk, CAST(price AS DOUBLE) AS price FROM dim_products WHERE price < 1000 OR price > 90000"
+_SELECT["assert_several_current"] = "SELECT 'customer' AS dim, customer_id AS id FROM customer_log WHERE op <> 'd' GROUP BY 2 HAVING count(*) > 1"
+_SELECT["assert_unmasked_pii"] = "SELECT md5(customer_id || '-' || version) AS customer_sk FROM customer_versions WHERE marketing_opt_in"
+_SELECT["approx_error_classes"] = "SELECT CASE WHEN minute(window_start) = 0 THEN 'off' ELSE 'within' END AS error, count(*) AS cells FROM funnel_windows GROUP BY 1"
+_SELECT["source_folder_or_missing"] = "SELECT CAST(ts AS DATE) AS day, count(*) AS events FROM events GROUP BY 1"
+
 _SELECT["stream_fct_orders"] = _SELECT["fct_orders"]
 
 #: Views that the stream keeps hold what the same views over the whole log hold.

@@ -124,11 +124,16 @@ def overview(spark: SparkSession, sf_dir: Source, day: str, until: str | None =
     minute = F.date_trunc("minute", timestamp_ntz(until or f"{day} 23:59:00")).cast("timestamp_ntz")
     active = clicks.funnel_windows(inputs.of(sf_dir).clicks(spark).where((F.col("event_time") >= minute) & (F.col("event_time") < minute + F.expr("interval 1 minute")))).where("stage = 'any'")
     sessions = active.agg(zero(F.sum("sessions")).alias("active_sessions_last_min"))
+    # The live page's ratio: purchases over the summed sessions of each minute, of the quarter of an hour that ends with this one.
+    quarter = inputs.of(sf_dir).clicks(spark).where((F.col("event_time") >= minute - F.expr("interval 14 minutes")) & (F.col("event_time") < minute + F.expr("interval 1 minute")))
+    stage = lambda name, value: F.sum(F.when(F.col("stage") == name, F.col(value)))
+    sums = clicks.funnel_windows(quarter).agg(stage("purchase", "events").alias("_bought"), stage("any", "sessions").alias("_sessions"), stage("page_view", "events").alias("_viewed"))
+    per_session = sums.select(F.when(F.col("_viewed") > 0, ratio(zero("_bought"), F.greatest("_sessions", F.lit(1)))).alias("purchases_per_session"))
     is_open = F.col("status").isin("PLACED", "PAID", "SHIPPED")
     states = F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "status", "orders"))), ",")  # of six states at most
     board = live.status_board(spark, sf_dir).agg(zero(F.sum(F.when(is_open, F.col("orders")))).alias("open_orders"), states.alias("order_status"))
     out = summed
-    for row in (items, alerts, sessions, board):  # one row each
+    for row in (items, alerts, sessions, per_session, board):  # one row each
         out = out.crossJoin(F.broadcast(row))
     return out.withColumn("avg_order_value", F.coalesce(ratio(F.col("revenue"), F.col("orders"), 2), F.lit(0.0)))
 
