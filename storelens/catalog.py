@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storelens.operators import cdc, clicks, quality, sinks
+from storelens.operators import cdc, clicks, quality, sinks, snapshots
 from storelens.oracles import ORACLE_SQL
 from storelens.plans import build, live, marts, serve
 from storelens.sources import adapters
@@ -205,6 +205,19 @@ def _rebuilt(s: SparkSession, d: str) -> DataFrame:
     return rows
 
 
+def _snapshots(s: SparkSession, d: str) -> DataFrame:
+    """Three tables committed together, then one of them alone: what a reader of the last snapshot has."""
+    root = replays.folder(s, "snapshots")
+    first = build.commit(s, d, root, ("dim_customers", "fct_orders", "sales_daily"))
+    build.commit(s, d, root, ("sales_daily",), base=first)
+    seen = snapshots.Snapshot(s, root)
+    rows = None
+    for name in seen.tables:
+        one = seen.read(name).agg(F.lit(name).alias("name"), F.count("*").alias("n_rows"), F.lit(seen.number).alias("snapshot"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
 def _appended_results(s: SparkSession, d: str) -> DataFrame:
     """Rule results of two runs appended, the second one twice, and their scorecard."""
     root = replays.folder(s, "dq")
@@ -334,6 +347,7 @@ QUERIES: dict[str, Query] = {
     "sink_upsert_table": _upserted_table,
     "sink_published_mart": _published,
     "sink_rebuilt_warehouse": _rebuilt,
+    "sink_snapshots": _snapshots,
     "sink_dq_results": _appended_results,
     "sink_ingest_inbox": _ingested,
     "sink_rejected_rows": _quarantined,

@@ -301,6 +301,8 @@ _SELECT: dict[str, str] = {
 _SELECT["live_product_cards"] = "SELECT product_id, product_name, category, CAST(price AS DOUBLE) AS price, epoch_ms(changed_at) AS ts_ms FROM product_log QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY changed_at DESC, kafka_offset DESC, price DESC) = 1"
 _SELECT["live_customer_cards"] = "SELECT customer_id, first_name, province, city FROM customer_log WHERE op <> 'd' QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY seq DESC) = 1"
 
+_SELECT["sink_snapshots"] = " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n_rows, 2 AS snapshot FROM {t}" for t in ("dim_customers", "fct_orders", "sales_daily"))
+
 #: The checks over inputs in which some rows fail.
 _SELECT["assert_price_between"] = "SELECT product_sk, CAST(price AS DOUBLE) AS price FROM dim_products WHERE price < 1000 OR price > 90000"
 _SELECT["assert_several_current"] = "SELECT 'customer' AS dim, customer_id AS id FROM customer_log WHERE op <> 'd' GROUP BY 2 HAVING count(*) > 1"

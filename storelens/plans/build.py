@@ -6,11 +6,12 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storelens.operators import sinks
+from storelens.operators import sinks, snapshots
 from storelens.plans import marts
+from storelens.sources.inputs import Source
 
 #: Dimensions first, then facts, then marts, as their readers depend on one another.
-TABLES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+TABLES: dict[str, Callable[[SparkSession, Source], DataFrame]] = {
     "dim_customers": marts.dim_customers,
     "dim_products": marts.dim_products,
     "dim_date": marts.dim_date,
@@ -26,11 +27,16 @@ TABLES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
-def rebuild(spark: SparkSession, sf_dir: str, warehouse: str, names: Iterable[str] = tuple(TABLES)) -> dict[str, int]:
+def rebuild(spark: SparkSession, sf_dir: Source, warehouse: str, names: Iterable[str] = tuple(TABLES)) -> dict[str, int]:
     """Publishes the next version of each table and returns the versions; readers of a table never see half of one."""
     return {name: sinks.publish(TABLES[name](spark, sf_dir), f"{warehouse}/{name}") for name in names}
 
 
+def commit(spark: SparkSession, source: Source, warehouse: str, names: Iterable[str] = tuple(TABLES), base: int | None = None) -> int:
+    """Rebuilds tables and makes them visible in one snapshot, so that no reader sees a new fact beside an old dimension."""
+    return snapshots.commit(spark, warehouse, {name: TABLES[name](spark, source) for name in names}, base)
+
+
 def read(spark: SparkSession, warehouse: str, name: str) -> DataFrame:
     """The newest whole version of a published table."""
     return sinks.current(spark, f"{warehouse}/{name}")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -43,3 +44,30 @@ def move(spark: SparkSession, path: str, folder: str) -> None:
 def inbox(spark: SparkSession, folder: str) -> list[str]:
     """Names of the delivered CSV files that wait in a folder; hidden ones are still being written."""
     return [name for name in names(spark, folder) if name.endswith(".csv") and not name.startswith(".")]
+
+
+def create(spark: SparkSession, path: str, content: str) -> bool:
+    """Writes a small file if there is none; says whether it did."""
+    files, target = _at(spark, path)
+    files.mkdirs(target.getParent())
+    try:
+        out = files.create(target, False)
+    except Py4JJavaError as refused:
+        if "FileAlreadyExists" in str(refused.java_exception.getClass().getName()) or files.exists(target):
+            return False
+        raise
+    try:
+        out.write(bytearray(content.encode()))
+    finally:
+        out.close()
+    return True
+
+
+def text(spark: SparkSession, path: str) -> str:
+    """A small file whole."""
+    files, target = _at(spark, path)
+    source = files.open(target)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+    finally:
+        source.close()

@@ -11,10 +11,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from storelens.functions import scalars
-from storelens.operators import cdc, clicks, quality, ranking, sinks
+from storelens.operators import cdc, clicks, quality, ranking, sinks, snapshots
 from storelens.plans import serve
 from storelens.session import shared_folder
-from storelens.sources import holidays, tables
+from storelens.sources import files, holidays, tables
 
 
 def deliveries(spark, *rows):
@@ -317,3 +317,69 @@ def test_one_product_with_very_many_rows_is_several_tasks(spark, tmp_path):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert sum(by_task) == 200_000 and len(by_task) >= 20 and max(by_task) < 30_000
+
+
+# Snapshots of several tables
+
+
+def _pair(spark, n):
+    return {"facts": spark.range(n), "dims": spark.range(10 * n).withColumnRenamed("id", "key")}
+
+
+def _seen(spark, root):
+    s = snapshots.Snapshot(spark, root)
+    return s.number, s.read("facts").count(), s.read("dims").count()
+
+
+def test_tables_become_visible_together(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    assert snapshots.commit(spark, root, _pair(spark, 1)) == 1 and _seen(spark, root) == (1, 1, 10)
+    reader = snapshots.Snapshot(spark, root)
+    assert snapshots.commit(spark, root, {"facts": spark.range(2)}, base=1) == 2 and _seen(spark, root) == (2, 2, 10)
+    assert (reader.read("facts").count(), reader.read("dims").count()) == (1, 10)
+    for n in range(3, 6):
+        snapshots.commit(spark, root, _pair(spark, n))
+    assert _seen(spark, root) == (5, 5, 50) and len(list(tmp_path.glob("facts/run=*"))) == 2
+    with pytest.raises(FileNotFoundError):
+        snapshots.Snapshot(spark, root).read("other")
+
+
+@pytest.mark.parametrize("step", ["second table", "manifest", "half a manifest", "expiry"])
+def test_a_crash_leaves_a_whole_snapshot(spark, tmp_path, monkeypatch, step):
+    root = f"file://{tmp_path}"
+    for n in (1, 2):
+        snapshots.commit(spark, root, _pair(spark, n))
+    tables = _pair(spark, 3)
+    if step == "second table":
+        tables["dims"] = spark.range(3).select(F.raise_error(F.lit("lost")).cast("long").alias("key"))
+    elif step == "manifest":
+        monkeypatch.setattr(snapshots.files, "create", lambda *a: 1 / 0)
+    elif step == "half a manifest":
+        whole = files.create
+        monkeypatch.setattr(snapshots.files, "create", lambda s, path, content: whole(s, path, content[:9]) and 1 / 0)
+    else:
+        monkeypatch.setattr(snapshots, "_expire", lambda *a: 1 / 0)
+    with pytest.raises(Exception, match="lost|division"):
+        snapshots.commit(spark, root, tables)
+    monkeypatch.undo()
+    assert _seen(spark, root) == ((3, 3, 30) if step == "expiry" else (2, 2, 20))
+    number = snapshots.commit(spark, root, _pair(spark, 4))
+    assert _seen(spark, root) == (number, 4, 40)
+
+
+def test_of_two_writers_one_loses(spark, tmp_path, monkeypatch):
+    root = f"file://{tmp_path}"
+    snapshots.commit(spark, root, _pair(spark, 1))
+    whole = files.create
+
+    def late(s, path, content):  # the other one commits between this one's tables and its manifest
+        monkeypatch.undo()
+        snapshots.commit(s, root, _pair(s, 2), base=1)
+        return whole(s, path, content)
+
+    monkeypatch.setattr(snapshots.files, "create", late)
+    with pytest.raises(snapshots.Conflict):
+        snapshots.commit(spark, root, _pair(spark, 3), base=1)
+    assert _seen(spark, root) == (2, 2, 20) and len(list(tmp_path.glob("facts/run=*"))) == 2
+    with pytest.raises(snapshots.Conflict):
+        snapshots.commit(spark, root, _pair(spark, 4), base=1)
