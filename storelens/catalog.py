@@ -252,7 +252,7 @@ def _ingested(s: SparkSession, d: str) -> DataFrame:
 def _quarantined(s: SparkSession, d: str) -> DataFrame:
     """Rejected rows as they lie in quarantine."""
     tables, _ = _inbox(s, d)
-    return s.read.option("header", True).csv(f"{tables}/quarantine/*").select("waybill", "courier", "status", "failed_rules")
+    return s.read.option("header", True).csv(f"{tables}/quarantine").select("waybill", "courier", "status", "failed_rules")
 
 
 QUERIES: dict[str, Query] = {

@@ -167,22 +167,49 @@ def loaded_files(spark: SparkSession, tables: str) -> set[str]:
     return {r[0] for r in spark.read.parquet(f"{tables}/ledger").select("file_name").collect()} if files.exists(spark, f"{tables}/ledger") else set()
 
 
-def ingest_inbox(spark: SparkSession, inbox: str, archive: str, tables: str, run_at: Column) -> dict[str, int]:
-    """Loads the partner files that wait in a folder, each with its rule results, and moves them to the archive.
+def unloaded(spark: SparkSession, names: list[str], tables: str) -> list[str]:
+    """Those of the waiting files that the ledger does not know; only these come to the driver."""
+    if not names or not files.exists(spark, f"{tables}/ledger"):
+        return names
+    waiting = spark.createDataFrame([(n,) for n in names], "file_name string")
+    return sorted(r[0] for r in waiting.join(spark.read.parquet(f"{tables}/ledger").select("file_name"), "file_name", "left_anti").collect())
+
 
-    A file that the ledger knows was loaded before a crash and is only moved.
-    Returns the rows loaded from each.
+def ingest_inbox(spark: SparkSession, inbox: str, archive: str, tables: str, run_at: Column) -> dict[str, int]:
+    """Loads the partner files that wait in a folder in one pass, and moves them to the archive.
+
+    All files are parsed together, and rule results, quarantine and ledger are
+    written for all of them, so the number of jobs does not depend on the number
+    of files.  Of equal keys the first by file name is kept.  The ledger makes the
+    pass final: a crash before it repeats the pass, whose merge adds only what is
+    missing and counts what a file has in the table, and replaces its own results
+    and quarantine.  A file that the ledger knows was loaded before a crash and is
+    only moved.  Returns the rows loaded from each.
     """
-    loaded: dict[str, int] = {}
-    done = loaded_files(spark, tables)
-    key = ["waybill", "status"]
-    for name in files.inbox(spark, inbox):
-        if name not in done:
-            rows = quality.standardise(csv_strings(spark, f"{inbox}/{name}", list(quality.DELIVERY_COLUMNS)))
-            rules = quality.delivery_rules()
-            order = ["collected_at", "delivered_at", "attempts", "order_id", "courier", "province"]
-            good, rejected = quality.split(rows, rules, key, order)
-            append_results(quality.rule_results(rows, rules, key), f"{tables}/dq_results", name, "deliveries", run_at)
-            loaded[name] = ingest_file(good.drop("delivered_raw"), rejected.drop("delivered_raw"), name, tables, key, order)
+    waiting = files.inbox(spark, inbox)
+    new = unloaded(spark, waiting, tables)
+    key, by = ["waybill", "status"], "source_file"
+    counts: dict[str, int] = {}
+    if new:
+        rows = quality.standardise(csv_strings(spark, [f"{inbox}/{name}" for name in new], list(quality.DELIVERY_COLUMNS))).persist()
+        rules = quality.delivery_rules()
+        good, rejected = quality.split(rows, rules, key, [by, "collected_at", "delivered_at", "attempts", "order_id", "courier", "province"])
+        try:
+            results = quality.rule_results(rows, rules, key, [by])
+            named = results.select(F.col("rule").alias("rule_name"), "dimension", F.col("checked").alias("checked_rows"), F.col("failed").alias("failed_rows"), run_at.alias("run_at"), F.lit("deliveries").alias("dataset"), F.col(by).alias("run_id"))
+            _overwrite(named, f"{tables}/dq_results", "run_id")
+            upsert(good.drop("delivered_raw"), f"{tables}/deliveries", key, [by])
+            rejected.drop("delivered_raw").withColumn("file", F.col(by)).hint("rebalance", "file").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file").option("header", True).csv(f"{tables}/quarantine")
+            names = spark.createDataFrame([(n,) for n in new], f"{by} string")
+            loaded = keyed(spark, f"{tables}/deliveries").join(F.broadcast(names), by, "left_semi").groupBy(by).agg(F.count("*").alias("rows_loaded"))
+            bad = rejected.groupBy(by).agg(F.count("*").alias("rows_rejected"))
+            zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+            entries = names.join(loaded, by, "left").join(bad, by, "left").select(F.col(by).alias("file_name"), zero("rows_loaded"), zero("rows_rejected"), F.current_timestamp().alias("ingested_at")).persist()
+            entries.coalesce(1).write.mode("append").parquet(f"{tables}/ledger")  # a row for each waiting file
+            counts = {r["file_name"]: r["rows_loaded"] for r in entries.select("file_name", "rows_loaded").collect()}
+            entries.unpersist()
+        finally:
+            rows.unpersist()
+    for name in waiting:
         files.move(spark, f"{inbox}/{name}", archive)
-    return loaded
+    return counts

@@ -113,7 +113,7 @@ def test_an_inbox_is_loaded_once_and_emptied(spark, tmp_path):
     (tmp_path / "archive" / "b.csv").rename(tmp_path / "in" / "b.csv")  # crashed before the move
     assert sinks.ingest_inbox(spark, *paths, now) == {} and (tmp_path / "archive" / "b.csv").exists()
     assert {r.waybill for r in sinks.keyed(spark, f"{paths[2]}/deliveries").collect()} == {"W1", "W3"}
-    [bad] = spark.read.option("header", True).csv(f"{paths[2]}/quarantine/a.rejected").collect()
+    [bad] = spark.read.option("header", True).csv(f"{paths[2]}/quarantine/file=a.csv").collect()
     assert (bad.waybill, bad.failed_rules, bad.source_file) == ("W2", "order_id_present", "a.csv")
     runs = spark.read.parquet(f"{paths[2]}/dq_results")
     assert runs.groupBy("run_id").count().count() == 2 and runs.where("failed_rows > 0").count() == 1
@@ -383,3 +383,58 @@ def test_of_two_writers_one_loses(spark, tmp_path, monkeypatch):
     assert _seen(spark, root) == (2, 2, 20) and len(list(tmp_path.glob("facts/run=*"))) == 2
     with pytest.raises(snapshots.Conflict):
         snapshots.commit(spark, root, _pair(spark, 4), base=1)
+
+
+# Inbox
+
+
+def _fill(inbox, files_, rows=3):
+    inbox.mkdir(parents=True, exist_ok=True)
+    for n in files_:
+        lines = [",".join(quality.DELIVERY_COLUMNS)]
+        lines += [f"W{n}-{i},{i + 1},A,Gauteng,2024-01-01 10:00:00,2024-01-02 10:00:00,DELIVERED,{9 if i == 2 else 1}" for i in range(rows)]
+        (inbox / f"f{n:03d}.csv").write_text("\n".join([*lines, f"SHARED,7,A,Gauteng,2024-01-01 10:00:00,2024-01-02 10:00:00,DELIVERED,{n % 5}"]) + "\n")
+
+
+def _ingest(spark, root, group="inbox"):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        loaded = sinks.ingest_inbox(spark, f"file://{root}/in", f"file://{root}/archive", f"file://{root}/tables", F.lit("2024-02-01").cast("timestamp_ntz"))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    return loaded, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_many_files_take_as_many_jobs_as_few(spark, tmp_path):
+    _fill(tmp_path / "few" / "in", range(2))
+    _fill(tmp_path / "many" / "in", range(60))
+    few, jobs_of_few = _ingest(spark, tmp_path / "few", "few")
+    many, jobs_of_many = _ingest(spark, tmp_path / "many", "many")
+    assert few == {"f000.csv": 3, "f001.csv": 2} and sum(many.values()) == 121 and len(many) == 60
+    assert jobs_of_many <= jobs_of_few + 6
+    ledger = spark.read.parquet(f"file://{tmp_path}/many/tables/ledger")
+    assert ledger.count() == 60 and ledger.agg(F.sum("rows_rejected")).first()[0] == 60
+    [kept] = sinks.keyed(spark, f"file://{tmp_path}/many/tables/deliveries").where("waybill = 'SHARED'").collect()
+    assert kept["source_file"] == "f000.csv"
+
+
+@pytest.mark.parametrize("step", ["_overwrite", "upsert", "keyed"])
+def test_a_pass_that_crashes_is_repeated_whole(spark, tmp_path, monkeypatch, step):
+    """After a crash at a step the next pass ends as one without a crash; a further one finds nothing to do."""
+    _fill(tmp_path / "in", range(3))
+    right = getattr(sinks, step)
+
+    def fails(*args, **more):
+        out = right(*args, **more)
+        monkeypatch.undo()
+        raise RuntimeError("lost" + str(out)[:0])
+
+    monkeypatch.setattr(sinks, step, fails)
+    with pytest.raises(RuntimeError, match="lost"):
+        _ingest(spark, tmp_path)
+    loaded, _ = _ingest(spark, tmp_path)
+    assert loaded == {"f000.csv": 3, "f001.csv": 2, "f002.csv": 2} and _ingest(spark, tmp_path)[0] == {}
+    assert sinks.keyed(spark, f"file://{tmp_path}/tables/deliveries").count() == 7
+    assert spark.read.option("header", True).csv(f"file://{tmp_path}/tables/quarantine").count() == 3
+    assert spark.read.parquet(f"file://{tmp_path}/tables/dq_results").count() == 3 * 9
+    assert len(list((tmp_path / "archive").glob("*.csv"))) == 3
