@@ -41,15 +41,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storelens.llm import storage
-from storelens.llm.blocks import U64, mix, text_bytes
+from storelens.llm.blocks import U64, blocks, mix, text_bytes
 
 LONGEST = 5
 REACH = LONGEST - 1
 DICTIONARY = 300_000
 #: Occurrences of a word from which its fragments are dealt over several tasks.
-BLOCK = 50_000
+BLOCK = 250_000
 #: Words that a worker rewrites, and fragments that it mines, at a time.
-WORDS_AT_ONCE, FRAGMENTS_AT_ONCE = 400_000, 200_000
+WORDS_AT_ONCE, FRAGMENTS_AT_ONCE = 500_000, 200_000
 #: Characters between pieces, and between words.
 PIECE_ENDS, WORD_ENDS = b".,;:!?\n\x0b\x0c\r", b" \t"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -57,7 +57,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _PIECES = bytes(10 if c in PIECE_ENDS else 32 if c in WORD_ENDS else _LOWER[c] for c in range(256))
 _WORDS = bytes(32 if c in PIECE_ENDS + WORD_ENDS else _LOWER[c] for c in range(256))
-_FRAGMENT = "pivot long, part long, codes binary, n long"
+#: Parts that a pivot can have at most; a fragment's key is its pivot and its part.
+PARTS = 1 << 20
+_FRAGMENT = "key long, sizes binary, codes binary"
+#: The largest number that an entry of a fragment carries; a larger one takes several entries.
+MOST = 255
 Batches = Iterator[pa.RecordBatch]
 
 
@@ -123,7 +127,8 @@ def _ids_by_join(named: DataFrame, words: DataFrame) -> DataFrame:
 
 def _windows(ids: np.ndarray) -> np.ndarray:
     """A fragment for every occurrence that has one: nine ids with the pivot in the middle, -1 beyond its ends."""
-    padded = np.concatenate([np.full(REACH, -1), ids, np.full(REACH, -1)])
+    ends = np.full(REACH, -1, dtype=ids.dtype)
+    padded = np.concatenate([ends, ids, ends])
     n = len(ids)
     columns = [ids]
     on_left = on_right = ids >= 0
@@ -169,19 +174,74 @@ def _parts(pivot: np.ndarray, limits: list[int]) -> np.ndarray:
     return 1 << sum((pivot <= limit for limit in limits), np.zeros(len(pivot), dtype=np.int64))
 
 
-def _fragments(rows: Iterator[np.ndarray], limits: list[int]) -> Batches:
-    """Rewritten fragments of texts, equal ones of a chunk once with their number."""
+def _binary(data: np.ndarray, starts: np.ndarray) -> pa.BinaryArray:
+    """Values that lie end to end."""
+    return pa.BinaryArray.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _places(entries: np.ndarray, ids: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where in the codes of rows that lie end to end each entry's number is and each id's lowest byte, and how far apart its bytes are.
+
+    entries and ids: where each row's begin.  A row has its numbers, then the
+    lowest bytes of its ids, then the next ones: bytes that are alike lie together.
+    """
+    m, k = np.diff(entries), np.diff(ids)
+    number = np.arange(entries[-1] - entries[0]) + np.repeat(width * (ids[:-1] - ids[0]), m)
+    low = np.arange(ids[-1] - ids[0]) + np.repeat(entries[1:] - entries[0] + (width - 1) * (ids[:-1] - ids[0]), k)
+    return number, low, np.repeat(k, k)
+
+
+def _packed(key: np.ndarray, cut: np.ndarray, n: np.ndarray, width: int) -> pa.RecordBatch:
+    """A row for each key of fragments that lie by key: their sizes, numbers and ids, ``width`` bytes each and without the pivot's."""
+    times = -(-n // MOST)
+    if (times > 1).any():
+        first = np.cumsum(times) - times
+        key, cut, rest = np.repeat(key, times), np.repeat(cut, times, axis=0), np.repeat(n, times)
+        n = np.minimum(rest - MOST * (np.arange(len(rest)) - np.repeat(first, times)), MOST)
+    held = cut >= 0
+    left, right = held[:, :REACH].sum(axis=1), held[:, REACH + 1 :].sum(axis=1)
+    held[:, REACH] = False
+    ids = cut[held]
+    entries = np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key)) if len(key) else np.zeros(1, np.int64)
+    begins = np.concatenate([[0], np.cumsum(left + right)])[entries]
+    number, low, apart = _places(entries, begins, width)
+    codes = np.empty(len(key) + width * len(ids), dtype=np.uint8)
+    codes[number] = n
+    for i in range(width):
+        codes[low + i * apart] = ids >> 8 * i & 255
+    columns = [(left | right << 4).astype(np.uint8), codes]
+    binary = [pa.BinaryArray.from_buffers(pa.binary(), len(entries) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)]) for data, at in zip(columns, (entries, entries + width * begins), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(key[entries[:-1]]), *binary], names=["key", "sizes", "codes"])
+
+
+def _unpacked(batch: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(key, fragments as rows of nine ids, numbers), some rows of a batch at a time."""
+    keys = batch.column(0).to_numpy()
+    (sizes, entries), (codes, starts) = (text_bytes(batch.column(i)) for i in (1, 2))
+    offsets = np.arange(-REACH, REACH + 1)
+    for a, b in blocks(entries, FRAGMENTS_AT_ONCE):
+        own = sizes[entries[a] : entries[b]].astype(np.int64)
+        left, right, key = own & 15, own >> 4, np.repeat(keys[a:b], np.diff(entries[a : b + 1]))
+        packed = codes[starts[a] : starts[b]]
+        number, low, apart = _places(entries[a : b + 1], (starts[a : b + 1] - entries[a : b + 1]) // width, width)
+        ids = sum(packed[low + i * apart].astype(np.int64) << 8 * i for i in range(width))
+        rows = np.full((len(own), len(offsets)), -1, dtype=np.int64)
+        rows[(offsets >= -left[:, None]) & (offsets <= right[:, None]) & (offsets != 0)] = ids
+        rows[:, REACH] = key // PARTS
+        yield key, rows, packed[number].astype(np.int64)
+
+
+def _fragments(rows: Iterator[np.ndarray], limits: list[int], width: int) -> Batches:
+    """Rewritten fragments of texts, equal ones of a chunk once with their number, by pivot."""
 
     def out(chunk: np.ndarray) -> pa.RecordBatch:
-        cut = _windows(chunk)
+        cut = _windows(chunk.astype(np.int32) if width < 4 else chunk)
         order, starts = _runs(cut, exact=False)
         n = np.diff([*starts, len(cut)])
-        cut = np.ascontiguousarray(cut[order[starts]], dtype="<i8")
-        pivot = cut[:, REACH]
-        part = (_mixed(cut) >> U64(20)).astype(np.int64) % _parts(pivot, limits)
-        ends = np.arange(len(cut) + 1, dtype=np.int32) * (8 * (LONGEST + REACH))
-        codes = pa.BinaryArray.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(ends), pa.py_buffer(cut)])
-        return pa.RecordBatch.from_arrays([pa.array(pivot), pa.array(part), codes, pa.array(n)], names=["pivot", "part", "codes", "n"])
+        cut = cut[order[starts]]
+        key = cut[:, REACH].astype(np.int64) * PARTS + (_mixed(cut) >> U64(20)).astype(np.int64) % _parts(cut[:, REACH], limits)
+        order = np.argsort(key, kind="stable")
+        return _packed(key[order], cut[order], n[order], width)
 
     held: list[np.ndarray] = []
     size = 0
@@ -195,15 +255,15 @@ def _fragments(rows: Iterator[np.ndarray], limits: list[int]) -> Batches:
         yield out(np.concatenate(held))
 
 
-def fragments(named: DataFrame, words: DataFrame, limits: list[int], dictionary: int) -> DataFrame:
-    """(pivot, part, codes, n) of all texts."""
+def fragments(named: DataFrame, words: DataFrame, limits: list[int], width: int, dictionary: int) -> DataFrame:
+    """(key, sizes, codes) of all texts, a row for each key of a chunk; width: bytes of an id."""
     if words.count() > dictionary:
-        return _ids_by_join(named, words).mapInArrow(lambda batches: _fragments(_listed(batches), limits), _FRAGMENT)
+        return _ids_by_join(named, words).mapInArrow(lambda batches: _fragments(_listed(batches), limits, width), _FRAGMENT)
     held: dict[str, dict[bytes, int]] = {}
     for row in words.select("lang", "word", "id").collect():  # dictionary rows at most
         held.setdefault(row["lang"], {})[row["word"].encode()] = row["id"]
     shared = named.sparkSession.sparkContext.broadcast(held)
-    return named.mapInArrow(lambda batches: _fragments(_look_up(shared, batches), limits), _FRAGMENT)
+    return named.mapInArrow(lambda batches: _fragments(_look_up(shared, batches), limits, width), _FRAGMENT)
 
 
 def _mine(rows: np.ndarray, weight: np.ndarray, whole: np.ndarray, support: int) -> Batches:
@@ -235,28 +295,37 @@ def _mine(rows: np.ndarray, weight: np.ndarray, whole: np.ndarray, support: int)
             ended[a, b] = gone
 
 
-def mined(routed: DataFrame, limits: list[int], support: int) -> DataFrame:
-    """(gram, n) of fragments that lie by pivot and part; a pivot in one part has its phrases' whole counts."""
+def mined(routed: DataFrame, limits: list[int], width: int, support: int) -> DataFrame:
+    """(gram, n) of fragments that lie by key; a pivot in one part has its phrases' whole counts."""
 
     def run(batches: Batches) -> Batches:
         def out(rows: np.ndarray, n: np.ndarray) -> Batches:
             yield from _mine(rows, n, _parts(rows[:, REACH], limits) == 1, support)
 
-        codes = np.zeros((0, LONGEST + REACH), dtype=np.int64)
-        parts, weights = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size, last = 0, None
         for batch in batches:
-            data, _ = text_bytes(batch.column(1))
-            codes = np.concatenate([codes, data.view("<i8").reshape(-1, LONGEST + REACH)])
-            parts, weights = np.concatenate([parts, batch.column(0).to_numpy()]), np.concatenate([weights, batch.column(2).to_numpy()])
-            if len(codes) >= FRAGMENTS_AT_ONCE:
-                last = len(codes) - int(np.argmax(((codes[:, REACH] != codes[-1, REACH]) | (parts != parts[-1]))[::-1]))
-                if last < len(codes):  # the last group may go on
-                    yield from out(codes[:last], weights[:last])
-                    codes, parts, weights = codes[last:], parts[last:], weights[last:]
-        if len(codes):
-            yield from out(codes, weights)
+            for keys, rows, n in _unpacked(batch, width):
+                ends = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+                if size >= FRAGMENTS_AT_ONCE and (keys[0] != last or len(ends)):  # the last group goes on up to here
+                    first = 0 if keys[0] != last else ends[0]
+                    held.append((rows[:first], n[:first]))
+                    yield from out(*map(np.concatenate, zip(*held, strict=True)))
+                    held, size, rows, n = [], 0, rows[first:], n[first:]
+                held.append((rows, n))
+                size, last = size + len(rows), keys[-1]
+        if held:
+            yield from out(*map(np.concatenate, zip(*held, strict=True)))
+
+    return routed.mapInArrow(run, "gram array<long>, n long")
+
 
-    return routed.select("part", "codes", "n").mapInArrow(run, "gram array<long>, n long")
+def numbered(frequent: DataFrame, scratch: storage.Scratch) -> DataFrame:
+    """Words with ids from 0 on, the most frequent first: places in sorted partitions, and how many words lie before each."""
+    lined = scratch.written(frequent.orderBy(F.desc("f"), "lang", "word").withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()}), "sorted")
+    parts = lined.groupBy("part").agg(F.count("*").alias("n"), F.min("at").alias("first"))  # a row for each sorted partition
+    before = parts.select("part", "first", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    return scratch.written(lined.join(F.broadcast(before), "part").select("lang", "word", "f", (F.col("before") + F.col("at") - F.col("first")).alias("id")), "words")
 
 
 def _scored(grams: DataFrame, words: DataFrame, totals: DataFrame) -> DataFrame:
@@ -284,12 +353,12 @@ def collocations(docs: DataFrame, support: int = 100, top: int = 2000, text: str
         named = docs.select(F.coalesce(lang, F.lit("und")).alias("lang"), F.col(text).alias("text"))
         counts = scratch.written(word_counts(named), "counts")
         totals = counts.groupBy("lang").agg(F.sum("f").alias("n"))
-        words = scratch.written(counts.where(F.col("f") >= support).orderBy(F.desc("f"), "lang", "word").withColumn("id", F.monotonically_increasing_id()), "words")
+        words = numbered(counts.where(F.col("f") >= support), scratch)
         # A number for each doubling of block: bounded by the width of a count.
-        doubled = words.agg(*(F.max(F.when(F.col("f") > F.lit(block << j), F.col("id"))).alias(f"m{j}") for j in range(40))).first()
-        limits = [m for m in doubled if m is not None]
-        routed = fragments(named, words, limits, dictionary).repartition("pivot", "part").sortWithinPartitions("pivot", "part")
-        found = mined(routed, limits, support).groupBy("gram").agg(F.sum("n").alias("a")).where(F.col("a") >= support)
+        most, *doubled = words.agg(F.max("id"), *(F.max(F.when(F.col("f") > F.lit(block << j), F.col("id"))).alias(f"m{j}") for j in range(20))).first()
+        limits, width = [m for m in doubled if m is not None], max(1, -(-(most or 0).bit_length() // 8))
+        routed = fragments(named, words, limits, width, dictionary).repartition("key").sortWithinPartitions("key")
+        found = mined(routed, limits, width, support).groupBy("gram").agg(F.sum("n").alias("a")).where(F.col("a") >= support)
         grams = scratch.written(found, "grams")
         w = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
         ranked = _scored(grams, words, totals).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
