@@ -269,8 +269,13 @@ def test_languages_without_spaces_are_learned(spark, tongues, tongue_model):
 
 
 def test_predictions_equal_sums_over_all_segmentations(spark, tongue_model):
-    """Whole texts against a recursion over Python strings."""
-    share = {piece: tongue_model.probability[i] for i, piece in enumerate(tongue_model.pieces, 1)}
+    """Whole texts against a recursion over Python strings and the vocabulary file's own list."""
+    import public_tokenizers
+
+    pieces = langid.read_vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    number = {piece: i for i, piece in enumerate(tongue_model.pieces, 1)}
+    share = {piece: tongue_model.probability[number[piece]] for piece in pieces}  # every one of the file's
+    assert len(number) == len(share) + (b" " not in share) and np.allclose(tongue_model.probability.sum(axis=0), 1) and (tongue_model.probability[1:] > 0).all()
 
     def word(raw):
         sums = [np.ones(len(tongue_model.languages))] + [np.zeros(len(tongue_model.languages)) for _ in raw]
@@ -281,7 +286,7 @@ def test_predictions_equal_sums_over_all_segmentations(spark, tongue_model):
                 sums[end] = sums[end] + sums[begin] * tongue_model.unknown
         return np.log(sums[-1])
 
-    texts = ["the owner knew", "公园散步 the river", "Why it stood zq?", "ปผพฟ house"]
+    texts = ["the owner knew", "公园散步 the river", "Why it stood zq?", "ปผพฟ house", "quantum chromodynamics", "xylophone jazz", "guten tag", "привет мир"]
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tongue_model, ["doc_id"]).collect()}
     for i, text in enumerate(texts):
         total = sum(word(b" " + w.encode()) for w in text.lower().split())
