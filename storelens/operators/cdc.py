@@ -91,17 +91,17 @@ def versions(log: DataFrame, key: str, *tie_break: str, span: str | None = None)
     its first row.  Without one a key is one range, which is cheaper where no key
     has a large share of all changes.
     """
-    part = F.date_trunc(span, F.col("changed_at")).cast("timestamp_ntz") if span else F.lit(None).cast("timestamp_ntz")
-    rows = log.withColumns({"_part": part, "_before": F.lit(None).cast("long"), "_after": F.lit(None).cast("timestamp_ntz")})
-    if span:
+    if span is None:
+        w = Window.partitionBy(key).orderBy("ts_ms", "kafka_offset", *tie_break)
+        numbered = log.withColumns({"version": F.row_number().over(w), "_next": F.lead("changed_at").over(w)})
+    else:
+        rows = log.withColumns({"_part": F.date_trunc(span, F.col("changed_at")).cast("timestamp_ntz"), "_before": F.lit(None).cast("long"), "_after": F.lit(None).cast("timestamp_ntz")})
         ranges = rows.groupBy(key, "_part").agg(F.count("*").alias("_n"), F.min("changed_at").alias("_first"))
         by_key = Window.partitionBy(key).orderBy("_part")
         marks = ranges.withColumns({"_before": F.sum("_n").over(by_key) - F.col("_n"), "_after": F.lead("_first").over(by_key)}).select(key, "_part", "_before", "_after")
-        rows = rows.unionByName(marks, allowMissingColumns=True)
-    w = Window.partitionBy(key, "_part").orderBy(F.col("_before").isNull(), "ts_ms", "kafka_offset", *tie_break)
-    numbered = rows.withColumns({"version": F.row_number().over(w), "_next": F.lead("changed_at").over(w), "_start": F.first("_before").over(w), "_end": F.first("_after").over(w)})
-    if span:
-        numbered = numbered.where(F.col("_before").isNull()).withColumns({"version": (F.col("version") - 1 + F.col("_start")).cast("int"), "_next": F.coalesce("_next", "_end")})
+        w = Window.partitionBy(key, "_part").orderBy(F.col("_before").isNull(), "ts_ms", "kafka_offset", *tie_break)
+        both = rows.unionByName(marks, allowMissingColumns=True).withColumns({"version": F.row_number().over(w), "_next": F.lead("changed_at").over(w), "_start": F.first("_before").over(w), "_end": F.first("_after").over(w)})
+        numbered = both.where(F.col("_before").isNull()).withColumns({"version": (F.col("version") - 1 + F.col("_start")).cast("int"), "_next": F.coalesce("_next", "_end")})
     return numbered.withColumns(
         {
             "valid_from": F.when(F.col("version") == 1, timestamp_ntz(OPEN_FROM)).otherwise(F.col("changed_at")),
@@ -115,27 +115,29 @@ def versions(log: DataFrame, key: str, *tie_break: str, span: str | None = None)
 def as_of(facts: DataFrame, dimension: DataFrame, key: str, at: str, columns: list[str], span: str | None = None) -> DataFrame:
     """Adds to each fact the columns of the version that was valid at its time; none found gives nulls.
 
-    Versions of a key do not overlap.  Versions and facts are sorted together by
-    time and the last version is carried forward, so no fact meets more than one.
-    With a ``span`` the rows of a key are divided by time ranges, and the version
-    that is valid when a range begins goes into it as its first row; without one a
-    key is one range.  A fact without a key or time has no version; those without
-    a key lie apart by their time.
+    Versions of a key do not overlap.  With a ``span`` versions and facts are
+    sorted together by time and the last version is carried forward, so no fact
+    meets more than one.  The rows of a key are divided by time ranges, and the
+    version that is valid when a range begins goes into it as its first row.
+    Without a span facts join their key's versions, which is cheaper where a key
+    has a few.  A fact without a key or time has no version; those without a key
+    lie apart by their time.
     """
-    whole = lambda c: F.date_trunc(span, c).cast("timestamp_ntz") if span else F.lit(None).cast("timestamp_ntz")
+    if span is None:
+        right = dimension.select(F.col(key).alias("_key"), "valid_from", "valid_to", *columns)
+        return facts.join(right, (F.col(key) == F.col("_key")) & (F.col(at) >= F.col("valid_from")) & (F.col(at) < F.col("valid_to")), "left").drop("_key", "valid_from", "valid_to")
+    whole = lambda c: F.date_trunc(span, c).cast("timestamp_ntz")
     versioned = dimension.where((F.col("valid_from") < F.col("valid_to")) & F.col(key).isNotNull()).select(
         F.col(key).alias("_key"), whole(F.col("valid_from")).alias("_part"), F.col("valid_from").alias("_at"), F.lit(1).alias("_kind"), F.struct("valid_to", *columns).alias("_v")
     )
     part = F.when(F.col(key).isNull(), F.col(at).cast("timestamp_ntz")).otherwise(whole(F.col(at)))
     dated = facts.select(F.col(key).alias("_key"), part.alias("_part"), F.col(at).alias("_at"), F.lit(2).alias("_kind"), F.struct(*facts.columns).alias("_f"))
-    rows = dated.unionByName(versioned, allowMissingColumns=True)
-    if span:
-        asked = dated.where("_key is not null").select("_key", "_part", F.lit(True).alias("_asked"))
-        marks = versioned.select("_key", "_part", "_at", "_v").unionByName(asked, allowMissingColumns=True)
-        ranges = marks.groupBy("_key", "_part").agg(F.max_by("_v", "_at").alias("_v"), F.max("_asked").alias("_asked"))
-        before = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-        carried = ranges.withColumn("_v", F.last("_v", ignorenulls=True).over(before)).where("_asked and _v is not null")
-        rows = rows.unionByName(carried.select("_key", "_part", F.col("_part").alias("_at"), F.lit(0).alias("_kind"), "_v"), allowMissingColumns=True)
+    asked = dated.where("_key is not null").select("_key", "_part", F.lit(True).alias("_asked"))
+    marks = versioned.select("_key", "_part", "_at", "_v").unionByName(asked, allowMissingColumns=True)
+    ranges = marks.groupBy("_key", "_part").agg(F.max_by("_v", "_at").alias("_v"), F.max("_asked").alias("_asked"))
+    before = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ranges.withColumn("_v", F.last("_v", ignorenulls=True).over(before)).where("_asked and _v is not null")
+    rows = dated.unionByName(versioned, allowMissingColumns=True).unionByName(carried.select("_key", "_part", F.col("_part").alias("_at"), F.lit(0).alias("_kind"), "_v"), allowMissingColumns=True)
     found = rows.withColumn("_v", F.last("_v", ignorenulls=True).over(Window.partitionBy("_key", "_part").orderBy("_at", "_kind"))).where("_kind = 2")
     valid = F.col("_key").isNotNull() & (F.col("_at") < F.col("_v.valid_to"))
     return found.select("_f.*", *(F.when(valid, F.col(f"_v.{c}")).alias(c) for c in columns))
