@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from storelens.operators import cdc, clicks, quality, sinks, snapshots
 from storelens.oracles import ORACLE_SQL
-from storelens.plans import build, live, marts, serve
+from storelens.plans import build, live, marts, refresh, serve
 from storelens.sources import adapters
 from storelens.sources.files import inbox
-from storelens.sources.inputs import Source
+from storelens.sources.inputs import Arrived, Source
 from storelens.sources.tables import csv_strings, parquet_or_empty, partitioned_since, table
 from storelens.streaming import replays
 
@@ -218,6 +218,15 @@ def _snapshots(s: SparkSession, d: str) -> DataFrame:
     return rows
 
 
+def _refreshed(s: SparkSession, d: str, name: str) -> DataFrame:
+    """A published table after a delivery: every fortieth change and the rows of every fortieth waybill come late, of all times and keys."""
+    root = replays.folder(s, "refresh")
+    late, billed = (F.pmod(F.xxhash64(*c), F.lit(40)) == 0 for c in (("ts_ms", "kafka_offset"), ("waybill",)))
+    refresh.build(s, Arrived(d, ~late, ~billed), root, [name], by="month")
+    refresh.refresh(s, d, Arrived(d, late, billed), root, [name])
+    return snapshots.Snapshot(s, root).read(name)
+
+
 def _appended_results(s: SparkSession, d: str) -> DataFrame:
     """Rule results of two runs appended, the second one twice, and their scorecard."""
     root = replays.folder(s, "dq")
@@ -349,6 +358,11 @@ QUERIES: dict[str, Query] = {
     "sink_rebuilt_warehouse": _rebuilt,
     "sink_snapshots": _snapshots,
     "sink_dq_results": _appended_results,
+    "refreshed_fct_orders": lambda s, d: _doubles(_refreshed(s, d, "fct_orders"), "items_value", "shipping_fee", "order_total"),
+    "refreshed_fct_order_items": lambda s, d: _doubles(_refreshed(s, d, "fct_order_items"), "unit_price", "line_revenue", "unit_cost_at_sale", "line_margin"),
+    "refreshed_dim_products": lambda s, d: _texts(_doubles(_refreshed(s, d, "dim_products"), "price", "cost"), "valid_from", "valid_to"),
+    "refreshed_sales_daily": lambda s, d: _refreshed(s, d, "sales_daily"),
+    "refreshed_customer_rfm": lambda s, d: _refreshed(s, d, "customer_rfm"),
     "sink_ingest_inbox": _ingested,
     "sink_rejected_rows": _quarantined,
     "stream_bronze": replays.bronze,

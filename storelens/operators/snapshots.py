@@ -7,6 +7,9 @@ Until then, and after a crash at any step, readers have the snapshot before.  Of
 two writers that start from one snapshot one creates the manifest; the other
 loses, and its folders go.  Tables that a commit does not write are carried over.
 
+A table may be divided into parts, of which each is a folder that the manifest
+names.  A commit then replaces only some parts, and the others are carried over.
+
 A manifest that a crash left unfinished is no snapshot, and its number is not
 used again.  Folders are deleted with the last manifest that names them.
 """
@@ -15,10 +18,13 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
+from typing import Any, NamedTuple
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from storelens.sources import files
 
@@ -29,13 +35,52 @@ class Conflict(RuntimeError):
     """Another writer has committed since the snapshot that this one started from."""
 
 
+class Parts(NamedTuple):
+    """New rows of some parts of a table: all parts, or those in ``replaced``, of which those without rows go.
+
+    part names a row's part; what it gives as text must do as a folder's name.
+    """
+
+    rows: DataFrame
+    part: Column
+    replaced: Collection[str] | None = None
+
+
+#: How a manifest names a table: its folder, or its schema and the folder of each part.
+Entry = str | dict[str, Any]
+#: The part of rows whose part is null.
+NO_PART = "none"
+
+
+def part_name(part: Column) -> Column:
+    return F.coalesce(part.cast("string"), F.lit(NO_PART))
+
+
+def _folders(tables: Mapping[str, Entry]) -> set[str]:
+    return {path for entry in tables.values() for path in ([entry] if isinstance(entry, str) else entry["parts"].values())}
+
+
+def _written(spark: SparkSession, warehouse: str, folder: str, table: DataFrame | Parts, before: Entry | None) -> Entry:
+    """Writes a table or some parts of it, and returns how the manifest names it."""
+    if isinstance(table, DataFrame):
+        table.write.option("partitionOverwriteMode", "static").parquet(f"{warehouse}/{folder}")
+        return folder
+    rows = table.rows.withColumn("_part", part_name(table.part)).hint("rebalance", "_part")
+    rows.write.option("partitionOverwriteMode", "static").partitionBy("_part").parquet(f"{warehouse}/{folder}")
+    new = {n.removeprefix("_part="): f"{folder}/{n}" for n in files.names(spark, f"{warehouse}/{folder}") if n.startswith("_part=")}
+    kept = {} if table.replaced is None or not isinstance(before, dict) else {p: path for p, path in before["parts"].items() if p not in table.replaced}
+    if table.replaced is not None and not set(new) <= set(table.replaced):
+        raise ValueError(f"rows outside the parts that are replaced: {sorted(set(new) - set(table.replaced))[:5]}")
+    return {"schema": table.rows.schema.json(), "parts": kept | new}
+
+
 def _numbers(spark: SparkSession, warehouse: str) -> list[int]:
     found = (n.removesuffix(".json") for n in files.names(spark, f"{warehouse}/_snapshots"))
     return sorted(int(n) for n in found if n.isdigit())
 
 
-def manifest(spark: SparkSession, warehouse: str, number: int) -> dict[str, str] | None:
-    """Table -> folder, or nothing where the manifest is not whole."""
+def manifest(spark: SparkSession, warehouse: str, number: int) -> dict[str, Entry] | None:
+    """Table -> folder or parts, or nothing where the manifest is not whole."""
     text = files.text(spark, f"{warehouse}/_snapshots/{number}.json")
     try:
         return json.loads(text)["tables"]
@@ -43,7 +88,7 @@ def manifest(spark: SparkSession, warehouse: str, number: int) -> dict[str, str]
         return None
 
 
-def latest(spark: SparkSession, warehouse: str) -> tuple[int, dict[str, str]]:
+def latest(spark: SparkSession, warehouse: str) -> tuple[int, dict[str, Entry]]:
     """The number of the newest whole snapshot and its tables; 0 and none before the first."""
     for number in reversed(_numbers(spark, warehouse)):
         tables = manifest(spark, warehouse, number)
@@ -52,7 +97,7 @@ def latest(spark: SparkSession, warehouse: str) -> tuple[int, dict[str, str]]:
     return 0, {}
 
 
-def commit(spark: SparkSession, warehouse: str, tables: Mapping[str, DataFrame], base: int | None = None, keep: int = KEEP) -> int:
+def commit(spark: SparkSession, warehouse: str, tables: Mapping[str, DataFrame | Parts], base: int | None = None, keep: int = KEEP) -> int:
     """Writes tables and makes them visible together; returns the snapshot's number.
 
     base: the snapshot that the tables were made from, the newest if not given.
@@ -61,14 +106,13 @@ def commit(spark: SparkSession, warehouse: str, tables: Mapping[str, DataFrame],
     if base is not None and base != newest:
         raise Conflict(f"snapshot {newest} has been committed since {base}")
     number = max([newest, *_numbers(spark, warehouse)]) + 1
-    written = {name: f"{name}/run={uuid.uuid4().hex}" for name in tables}
+    runs = {name: f"{name}/run={uuid.uuid4().hex}" for name in tables}
     try:
-        for name, df in tables.items():
-            df.write.option("partitionOverwriteMode", "static").parquet(f"{warehouse}/{written[name]}")
+        written = {name: _written(spark, warehouse, runs[name], table, there.get(name)) for name, table in tables.items()}
         if not files.create(spark, f"{warehouse}/_snapshots/{number}.json", json.dumps({"tables": there | written})):
             raise Conflict(f"snapshot {number} has been committed by another writer")
-    except (Conflict, Py4JJavaError):
-        for path in written.values():
+    except (Conflict, ValueError, Py4JJavaError):
+        for path in runs.values():
             files.delete(spark, f"{warehouse}/{path}")
         raise
     _expire(spark, warehouse, keep)
@@ -79,9 +123,12 @@ def _expire(spark: SparkSession, warehouse: str, keep: int) -> None:
     """Deletes all but the last snapshots, and the folders that only they name."""
     found = {n: manifest(spark, warehouse, n) for n in _numbers(spark, warehouse)}
     whole = [n for n, tables in found.items() if tables is not None]
-    held = {path for n in whole[-keep:] for path in found[n].values()}
+    held = set().union(*(_folders(found[n]) for n in whole[-keep:]))
+    run = lambda path: "/".join(path.split("/")[:2])
+    runs = {run(path) for path in held}
     for n in whole[:-keep]:
-        for path in set(found[n].values()) - held:
+        gone = _folders(found[n]) - held
+        for path in {path if run(path) in runs else run(path) for path in gone}:
             files.delete(spark, f"{warehouse}/{path}")
         files.delete(spark, f"{warehouse}/_snapshots/{n}.json")
 
@@ -92,8 +139,27 @@ class Snapshot:
     def __init__(self, spark: SparkSession, warehouse: str):
         self.spark, self.warehouse = spark, warehouse
         self.number, self.tables = latest(spark, warehouse)
+        self._whole: dict[str, DataFrame] = {}  # whose folders are listed once
+
+    def parts(self, name: str) -> list[str]:
+        """Names of a divided table's parts."""
+        entry = self.tables[name]
+        if isinstance(entry, str):
+            raise ValueError(f"{name} is not divided into parts")
+        return sorted(entry["parts"])
 
-    def read(self, name: str) -> DataFrame:
+    def read(self, name: str, parts: Collection[str] | None = None) -> DataFrame:
+        """A table, or of a divided one some parts; no others are listed or opened."""
         if name not in self.tables:
             raise FileNotFoundError(f"{name} is not in snapshot {self.number} of {self.warehouse}")
-        return self.spark.read.parquet(f"{self.warehouse}/{self.tables[name]}")
+        entry = self.tables[name]
+        if isinstance(entry, str):
+            return self.spark.read.parquet(f"{self.warehouse}/{entry}")
+        if parts is None and name in self._whole:
+            return self._whole[name]
+        schema = T.StructType.fromJson(json.loads(entry["schema"]))
+        paths = [f"{self.warehouse}/{path}" for part, path in sorted(entry["parts"].items()) if parts is None or part in parts]
+        found = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        if parts is None:
+            self._whole[name] = found
+        return found

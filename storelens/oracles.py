@@ -316,6 +316,10 @@ _SELECT["stream_fct_orders"] = _SELECT["fct_orders"]
 for _kept in ("status_board", "day_kpis", "recent_orders", "top_products", "low_stock", "product_cards", "customer_cards"):
     _SELECT[f"stream_{_kept}"] = _SELECT[f"live_{_kept}"]
 
+#: Tables that are kept up to date hold what a rebuild over all changes holds.
+for _kept, _rebuilt in (("fct_orders", "fct_orders"), ("fct_order_items", "fct_order_items"), ("dim_products", "dim_products_scd2"), ("sales_daily", "sales_daily"), ("customer_rfm", "rfm_segments")):
+    _SELECT[f"refreshed_{_kept}"] = _SELECT[_rebuilt]
+
 #: Two runs of equal results.
 _SELECT["sink_dq_results"] = (
     "SELECT 'deliveries' AS dataset, rule AS rule_name, dimension, CAST(2 AS BIGINT) AS runs, CAST(2 * checked AS BIGINT) AS checked_rows, CAST(2 * failed AS BIGINT) AS failed_rows, "

@@ -126,9 +126,13 @@ def fct_sessions(spark: SparkSession, sf_dir: Source) -> DataFrame:
 
 
 def sales_daily(spark: SparkSession, sf_dir: Source, as_of: str = AS_OF) -> DataFrame:
-    """Orders are summed by day before they meet the calendar, which keeps days without any."""
     units = item_rollup(spark, sf_dir).select("order_id", "units")
     orders = order_core(spark, sf_dir, "order_total", "customer_id").select("order_id", "order_date", "is_revenue", "status", "order_total", "customer_id").join(units, "order_id", "left")
+    return sales_of(orders, dim_date(spark, sf_dir, as_of).where(F.col("date_day") <= F.lit(as_of).cast("date")))
+
+
+def sales_of(orders: DataFrame, days: DataFrame) -> DataFrame:
+    """Sales of calendar days; orders are summed by day before they meet the calendar, which keeps days without any."""
     revenue = F.col("is_revenue")
     # By day and customer first, so that counting customers needs no copies of the rows.
     by_customer = orders.groupBy("order_date", "customer_id").agg(
@@ -137,7 +141,7 @@ def sales_daily(spark: SparkSession, sf_dir: Source, as_of: str = AS_OF) -> Data
     )
     sums = (F.sum(c).alias(c) for c in ("orders", "cancelled_orders", "revenue", "units"))
     by_day = by_customer.groupBy("order_date").agg(*sums, F.count_if((F.col("orders") > 0) & F.col("customer_id").isNotNull()).alias("customers"))
-    calendar = dim_date(spark, sf_dir, as_of).where(F.col("date_day") <= F.lit(as_of).cast("date")).withColumnRenamed("date_day", "order_date")
+    calendar = days.withColumnRenamed("date_day", "order_date")
     zero = lambda c: F.coalesce(c, F.lit(0))
     return calendar.join(by_day, "order_date", "left").select(
         "order_date", "day_name", "is_weekend", "is_public_holiday", "holiday_name", "is_payday_period",
@@ -169,7 +173,12 @@ def delivery_sla(spark: SparkSession, sf_dir: Source) -> DataFrame:
 
 
 def rfm(spark: SparkSession, sf_dir: Source, as_of: str = AS_OF) -> DataFrame:
-    base = order_core(spark, sf_dir, "order_total", "customer_id").where("is_revenue").groupBy("customer_id").agg(F.datediff(F.lit(as_of).cast("date"), F.max("order_date")).alias("recency_days"), F.count("*").alias("frequency"), F.sum("order_total").alias("monetary"))
+    return rfm_of(order_core(spark, sf_dir, "order_total", "customer_id"), dim_customers(spark, sf_dir), as_of)
+
+
+def rfm_of(orders: DataFrame, customers: DataFrame, as_of: str = AS_OF) -> DataFrame:
+    """Scores and segments of customers from orders and the versions of customers."""
+    base = orders.where("is_revenue").groupBy("customer_id").agg(F.datediff(F.lit(as_of).cast("date"), F.max("order_date")).alias("recency_days"), F.count("*").alias("frequency"), F.sum("order_total").alias("monetary"))
     tiled = with_tiles(base, 5, "customer_id", _r="recency_days", f_score="frequency", m_score="monetary").withColumn("r_score", 6 - F.col("_r"))
     r, f = F.col("r_score"), F.col("f_score")
     segment = (
@@ -180,7 +189,7 @@ def rfm(spark: SparkSession, sf_dir: Source, as_of: str = AS_OF) -> DataFrame:
         .when(r <= 2, "Hibernating")
         .otherwise("Needs Attention")
     )
-    current = dim_customers(spark, sf_dir).where("is_current").select("customer_id", "first_name", "province")
+    current = customers.where("is_current").select("customer_id", "first_name", "province")
     return tiled.join(current, "customer_id", "left").select("customer_id", "first_name", "province", "recency_days", "frequency", F.col("monetary").cast("double").alias("monetary"), "r_score", "f_score", "m_score", segment.alias("segment"))
 
 

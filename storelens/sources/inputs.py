@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storelens.operators import cdc
@@ -83,6 +83,77 @@ class Landed(Tables):
         return self.order_changes(spark).agg(F.min("placed_at").cast("date").alias("first"))
 
 
+class Arrived(Tables):
+    """Other inputs' changes and deliveries as far as they have arrived, by a condition on each."""
+
+    def __init__(self, other: Source, changes: Column, deliveries: Column):
+        self.other, self.changes, self.deliveries = of(other), changes, deliveries
+
+    def clicks(self, spark: SparkSession, repeated: bool = False) -> DataFrame:
+        return self.other.clicks(spark, repeated)
+
+    def order_changes(self, spark: SparkSession) -> DataFrame:
+        return self.other.order_changes(spark).where(self.changes)
+
+    def order_item_changes(self, spark: SparkSession) -> DataFrame:
+        return self.other.order_item_changes(spark).where(self.changes)
+
+    def product_changes(self, spark: SparkSession) -> DataFrame:
+        return self.other.product_changes(spark).where(self.changes)
+
+    def customer_changes(self, spark: SparkSession) -> DataFrame:
+        return self.other.customer_changes(spark).where(self.changes)
+
+    def inventory_changes(self, spark: SparkSession) -> DataFrame:
+        return self.other.inventory_changes(spark).where(self.changes)
+
+    def deliveries_raw(self, spark: SparkSession) -> DataFrame:
+        return self.other.deliveries_raw(spark).where(self.deliveries)
+
+    def first_order(self, spark: SparkSession) -> DataFrame:
+        return self.order_changes(spark).agg(F.min("placed_at").cast("date").alias("first"))
+
+
+class Only(Tables):
+    """Other inputs cut to some keys: each a table with one row for each of its keys, or all keys where it is not given."""
+
+    def __init__(self, other: Source, orders: DataFrame | None = None, customers: DataFrame | None = None, products: DataFrame | None = None):
+        self.other, self.orders, self.customers, self.products = of(other), orders, customers, products
+
+    @staticmethod
+    def _cut(log: DataFrame, keys: DataFrame | None, key: str) -> DataFrame:
+        return log if keys is None else log.join(keys, key, "left_semi")
+
+    def clicks(self, spark: SparkSession, repeated: bool = False) -> DataFrame:
+        return self.other.clicks(spark, repeated)
+
+    def order_changes(self, spark: SparkSession) -> DataFrame:
+        return self._cut(self.other.order_changes(spark), self.orders, "order_id")
+
+    def order_item_changes(self, spark: SparkSession) -> DataFrame:
+        return self._cut(self.other.order_item_changes(spark), self.orders, "order_id")
+
+    def product_changes(self, spark: SparkSession) -> DataFrame:
+        return self._cut(self.other.product_changes(spark), self.products, "product_id")
+
+    def customer_changes(self, spark: SparkSession) -> DataFrame:
+        return self._cut(self.other.customer_changes(spark), self.customers, "customer_id")
+
+    def inventory_changes(self, spark: SparkSession) -> DataFrame:
+        return self._cut(self.other.inventory_changes(spark), self.products, "product_id")
+
+    def deliveries_raw(self, spark: SparkSession) -> DataFrame:
+        """All rows of the waybills that the orders have: rows of a waybill displace one another."""
+        raw = self.other.deliveries_raw(spark)
+        if self.orders is None:
+            return raw
+        of_orders = raw.select(F.trim("waybill").alias("_bill"), F.trim("order_id").try_cast("long").alias("order_id")).join(self.orders, "order_id", "left_semi")
+        return raw.join(of_orders.select("_bill").distinct(), F.trim("waybill") == F.col("_bill"), "left_semi")
+
+    def first_order(self, spark: SparkSession) -> DataFrame:
+        return self.other.first_order(spark)
+
+
 #: What a plan takes: a folder of tables, or inputs.
 Source = str | Tables
 
