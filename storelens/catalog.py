@@ -227,6 +227,13 @@ def _refreshed(s: SparkSession, d: str, name: str) -> DataFrame:
     return snapshots.Snapshot(s, root).read(name)
 
 
+def _snapshot(s: SparkSession, d: str, *names: str) -> snapshots.Snapshot:
+    """Published tables that lie by key."""
+    root = replays.folder(s, "published")
+    refresh.build(s, d, root, names, by="month")
+    return snapshots.Snapshot(s, root)
+
+
 def _appended_results(s: SparkSession, d: str) -> DataFrame:
     """Rule results of two runs appended, the second one twice, and their scorecard."""
     root = replays.folder(s, "dq")
@@ -358,6 +365,10 @@ QUERIES: dict[str, Query] = {
     "sink_rebuilt_warehouse": _rebuilt,
     "sink_snapshots": _snapshots,
     "sink_dq_results": _appended_results,
+    "published_profile": lambda s, d: serve.published_profile(_snapshot(s, d, "customer_rfm"), CUSTOMER),
+    "published_history": lambda s, d: serve.published_history(_snapshot(s, d, "dim_customers"), CUSTOMER),
+    "published_recent_orders": lambda s, d: serve.published_recent_orders(_snapshot(s, d, "customer_orders"), CUSTOMER),
+    "published_price_history": lambda s, d: serve.published_prices(_snapshot(s, d, "dim_products"), PRODUCT),
     "refreshed_fct_orders": lambda s, d: _doubles(_refreshed(s, d, "fct_orders"), "items_value", "shipping_fee", "order_total"),
     "refreshed_fct_order_items": lambda s, d: _doubles(_refreshed(s, d, "fct_order_items"), "unit_price", "line_revenue", "unit_cost_at_sale", "line_margin"),
     "refreshed_dim_products": lambda s, d: _texts(_doubles(_refreshed(s, d, "dim_products"), "price", "cost"), "valid_from", "valid_to"),

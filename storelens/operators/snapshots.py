@@ -39,11 +39,13 @@ class Parts(NamedTuple):
     """New rows of some parts of a table: all parts, or those in ``replaced``, of which those without rows go.
 
     part names a row's part; what it gives as text must do as a folder's name.
+    sort: a column by which files are sorted, so that reads of few of its values skip most of a file.
     """
 
     rows: DataFrame
     part: Column
     replaced: Collection[str] | None = None
+    sort: str | None = None
 
 
 #: How a manifest names a table: its folder, or its schema and the folder of each part.
@@ -66,6 +68,8 @@ def _written(spark: SparkSession, warehouse: str, folder: str, table: DataFrame
         table.write.option("partitionOverwriteMode", "static").parquet(f"{warehouse}/{folder}")
         return folder
     rows = table.rows.withColumn("_part", part_name(table.part)).hint("rebalance", "_part")
+    if table.sort is not None:
+        rows = rows.sortWithinPartitions("_part", table.sort)
     rows.write.option("partitionOverwriteMode", "static").partitionBy("_part").parquet(f"{warehouse}/{folder}")
     new = {n.removeprefix("_part="): f"{folder}/{n}" for n in files.names(spark, f"{warehouse}/{folder}") if n.startswith("_part=")}
     kept = {} if table.replaced is None or not isinstance(before, dict) else {p: path for p, path in before["parts"].items() if p not in table.replaced}

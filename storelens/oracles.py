@@ -320,6 +320,10 @@ for _kept in ("status_board", "day_kpis", "recent_orders", "top_products", "low_
 for _kept, _rebuilt in (("fct_orders", "fct_orders"), ("fct_order_items", "fct_order_items"), ("dim_products", "dim_products_scd2"), ("sales_daily", "sales_daily"), ("customer_rfm", "rfm_segments")):
     _SELECT[f"refreshed_{_kept}"] = _SELECT[_rebuilt]
 
+#: Reads of published tables give what the same reads of the plans give.
+for _kept, _read in (("profile", "customer_profile"), ("history", "customer_history"), ("recent_orders", "customer_recent_orders"), ("price_history", "price_history")):
+    _SELECT[f"published_{_kept}"] = _SELECT[_read]
+
 #: Two runs of equal results.
 _SELECT["sink_dq_results"] = (
     "SELECT 'deliveries' AS dataset, rule AS rule_name, dimension, CAST(2 AS BIGINT) AS runs, CAST(2 * checked AS BIGINT) AS checked_rows, CAST(2 * failed AS BIGINT) AS failed_rows, "

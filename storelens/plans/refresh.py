@@ -1,7 +1,8 @@
 """Keeps published order tables up to date by what a delivery brings, instead of rebuilding them.
 
 The tables are divided: dimensions by a hash of their key, facts by day (or by
-month, where days are small), sales by month.  A delivery of changes and partner rows touches keys: orders that it names
+month, where days are small), sales by month.  Tables that are read by key lie by a
+hash of it, in sorted files, so a read by key opens one bucket and no log.  A delivery of changes and partner rows touches keys: orders that it names
 or whose waybills it names, and orders of customers and products of which it brings
 a version, from that version's time on.  The rows of these orders are computed
 anew, from the logs cut to them, and replace theirs in the parts that they lie in
@@ -35,7 +36,7 @@ from storelens.sources.inputs import Only, Source
 BUCKETS = 64
 
 
-def _bucket(key: str) -> Column:
+def _bucket(key: str | Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(BUCKETS))
 
 
@@ -46,13 +47,24 @@ FORMATS = {"day": "yyyy-MM-dd", "month": "yyyy-MM"}
 def layout(by: str = "day") -> dict[str, Column]:
     """How each table is divided."""
     day = F.date_format("order_date", FORMATS[by])
-    return {"dim_customers": _bucket("customer_id"), "dim_products": _bucket("product_id"), "fct_orders": day, "fct_order_items": day, "sales_daily": F.date_format("order_date", FORMATS["month"])}
+    return {"dim_customers": _bucket("customer_id"), "dim_products": _bucket("product_id"), "fct_orders": day, "fct_order_items": day, "customer_orders": _bucket("customer_id"), "customer_rfm": _bucket("customer_id"), "sales_daily": F.date_format("order_date", FORMATS["month"])}
 
 
-MAKERS = {"dim_customers": marts.dim_customers, "dim_products": marts.dim_products, "fct_orders": marts.fct_orders, "fct_order_items": marts.fct_order_items, "sales_daily": marts.sales_daily}
+def customer_orders(spark: SparkSession, source: Source) -> DataFrame:
+    return _orders_of(marts.fct_orders(spark, source))
+
+
+def _orders_of(facts: DataFrame) -> DataFrame:
+    """What is shown of a customer's orders; a copy of these columns that lies by customer."""
+    return facts.select("order_id", "customer_id", "placed_at", "status", "order_total", "courier", "delivery_hours")
+
+
+#: By what the files of tables that are read by key are sorted.
+SORTED = {"dim_customers": "customer_id", "dim_products": "product_id", "customer_orders": "customer_id", "customer_rfm": "customer_id"}
+MAKERS = {"dim_customers": marts.dim_customers, "dim_products": marts.dim_products, "fct_orders": marts.fct_orders, "fct_order_items": marts.fct_order_items, "customer_orders": customer_orders, "sales_daily": marts.sales_daily}
 TABLES = (*MAKERS, "customer_rfm")
 #: Tables from whose parts another one is made.
-NEEDS = {"sales_daily": {"fct_orders"}, "customer_rfm": {"fct_orders", "dim_customers"}}
+NEEDS = {"customer_orders": {"fct_orders"}, "sales_daily": {"fct_orders"}, "customer_rfm": {"fct_orders", "dim_customers"}}
 
 
 def _wanted(names: Collection[str]) -> set[str]:
@@ -64,10 +76,17 @@ def build(spark: SparkSession, source: Source, warehouse: str, names: Collection
     parts = layout(by)
     made: dict[str, DataFrame | Parts] = {}
     for name in sorted(_wanted(names)):
-        made[name] = marts.rfm(spark, source, as_of) if name == "customer_rfm" else Parts(MAKERS[name](spark, source), parts[name])
+        rows = marts.rfm(spark, source, as_of) if name == "customer_rfm" else MAKERS[name](spark, source)
+        made[name] = Parts(rows, parts[name], sort=SORTED.get(name))
     return snapshots.commit(spark, warehouse, made)
 
 
+def of_key(snapshot: Snapshot, name: str, key: int) -> DataFrame:
+    """A key's rows of a table that lies by key: one bucket is listed and opened."""
+    (bucket,) = snapshot.spark.range(1).select(_bucket(F.lit(key).cast("long"))).first()
+    return snapshot.read(name, [str(bucket)]).where(F.col(SORTED[name]) == key)
+
+
 def _since(log: DataFrame, delivered: DataFrame, key: str) -> DataFrame:
     """(key, since): from when on a key's versions differ; null where no older change is there and all of them do."""
     new = cdc.changes(delivered).groupBy(key).agg(F.min("changed_at").alias("_new"))
@@ -94,7 +113,7 @@ def _replaced(old: Snapshot, name: str, rows: DataFrame, keys: DataFrame, key: s
     touched = sorted(r[0] for r in names(old.read(name).join(keys, key, "left_semi")).unionByName(names(rows)).distinct().collect())
     if not touched:
         return None
-    return Parts(old.read(name, touched).join(keys, key, "left_anti").unionByName(rows), part, touched)
+    return Parts(old.read(name, touched).join(keys, key, "left_anti").unionByName(rows), part, touched, SORTED.get(name))
 
 
 def _after(old: Snapshot, name: str, new: Parts | None, chosen: Callable[[str], bool] = lambda part: True) -> DataFrame:
@@ -154,6 +173,8 @@ def refresh(spark: SparkSession, source: Source, delivered: Source, warehouse: s
             buyers = kept("buyers", Only(whole, orders=orders).order_changes(spark).select("customer_id").distinct())
             rows = kept("fct_orders", marts.fct_orders(spark, Only(whole, orders=orders, customers=buyers)))
             made["fct_orders"] = _replaced(old, "fct_orders", rows, orders, "order_id")
+            if "customer_orders" in wanted:
+                made["customer_orders"] = _replaced(old, "customer_orders", _orders_of(rows), orders, "order_id")
         if "fct_order_items" in wanted:
             # A day earlier, as a business day and the instant's own may differ by one.
             sold = old.read("fct_order_items").select("order_id", "product_id", "order_date").join(products, "product_id").where("since is null or order_date >= date_sub(cast(since as date), 1)")
@@ -164,7 +185,8 @@ def refresh(spark: SparkSession, source: Source, delivered: Source, warehouse: s
         if "sales_daily" in wanted:
             made["sales_daily"] = _sales(spark, whole, old, made["fct_orders"], as_of)
         if "customer_rfm" in wanted:
-            made["customer_rfm"] = marts.rfm_of(_after(old, "fct_orders", made["fct_orders"]), _after(old, "dim_customers", made["dim_customers"]), as_of)
+            scores = marts.rfm_of(_after(old, "fct_orders", made["fct_orders"]), _after(old, "dim_customers", made["dim_customers"]), as_of)
+            made["customer_rfm"] = Parts(scores, layout()["customer_rfm"], sort=SORTED["customer_rfm"])
         return snapshots.commit(spark, warehouse, {name: table for name, table in made.items() if table is not None}, base=old.number)
     finally:
         files.delete(spark, work)

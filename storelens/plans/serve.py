@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from storelens.functions.scalars import OPEN_FROM, OPEN_TO, ratio, timestamp_ntz
 from storelens.operators import clicks
-from storelens.plans import live, marts
+from storelens.operators.snapshots import Snapshot
+from storelens.plans import live, marts, refresh
 from storelens.sources import inputs
 from storelens.sources.inputs import Source
 
@@ -55,27 +56,59 @@ def open_ended(df: DataFrame) -> DataFrame:
     return df.withColumns({"valid_from": F.nullif("valid_from", timestamp_ntz(OPEN_FROM)), "valid_to": F.nullif("valid_to", timestamp_ntz(OPEN_TO))})
 
 
+def _profile(versions: DataFrame, scores: DataFrame) -> DataFrame:
+    own = versions.where("is_current").select("customer_id", "first_name", "last_initial", "email_masked", "province", "city", "marketing_opt_in", "version")
+    return own.join(scores.select("customer_id", "segment", "recency_days", "frequency", "monetary"), "customer_id", "left")
+
+
+def _history(versions: DataFrame) -> DataFrame:
+    return open_ended(versions).select("version", "province", "city", "marketing_opt_in", "valid_from", "valid_to").orderBy("version")
+
+
+def _recent_orders(orders: DataFrame, limit: int) -> DataFrame:
+    return orders.orderBy(F.desc("placed_at"), F.desc("order_id")).limit(limit).select("order_id", "placed_at", "status", F.col("order_total").cast("double").alias("order_total"), "courier", "delivery_hours")
+
+
+def _prices(versions: DataFrame) -> DataFrame:
+    doubles = [F.col(c).cast("double").alias(c) for c in ("price", "cost")]
+    return open_ended(versions).select("version", "product_name", *doubles, "margin_pct", "is_current", "valid_from", "valid_to").orderBy("version")
+
+
 def customer_profile(spark: SparkSession, sf_dir: Source, customer_id: int) -> DataFrame:
     """No row for an unknown customer."""
-    own = marts.dim_customers(spark, sf_dir).where((F.col("customer_id") == customer_id) & F.col("is_current"))
-    scores = marts.rfm(spark, sf_dir).select("customer_id", "segment", "recency_days", "frequency", "monetary")
-    return own.select("customer_id", "first_name", "last_initial", "email_masked", "province", "city", "marketing_opt_in", "version").join(scores, "customer_id", "left")
+    return _profile(marts.dim_customers(spark, sf_dir).where(F.col("customer_id") == customer_id), marts.rfm(spark, sf_dir))
 
 
 def customer_history(spark: SparkSession, sf_dir: Source, customer_id: int) -> DataFrame:
-    own = marts.dim_customers(spark, sf_dir).where(F.col("customer_id") == customer_id)
-    return open_ended(own).select("version", "province", "city", "marketing_opt_in", "valid_from", "valid_to").orderBy("version")
+    return _history(marts.dim_customers(spark, sf_dir).where(F.col("customer_id") == customer_id))
 
 
 def customer_recent_orders(spark: SparkSession, sf_dir: Source, customer_id: int, limit: int = 10) -> DataFrame:
-    own = marts.fct_orders(spark, sf_dir).where(F.col("customer_id") == customer_id)
-    return own.orderBy(F.desc("placed_at"), F.desc("order_id")).limit(limit).select("order_id", "placed_at", "status", F.col("order_total").cast("double").alias("order_total"), "courier", "delivery_hours")
+    return _recent_orders(marts.fct_orders(spark, sf_dir).where(F.col("customer_id") == customer_id), limit)
 
 
 def price_history(spark: SparkSession, sf_dir: Source, product_id: int) -> DataFrame:
-    own = marts.dim_products(spark, sf_dir).where(F.col("product_id") == product_id)
-    doubles = [F.col(c).cast("double").alias(c) for c in ("price", "cost")]
-    return open_ended(own).select("version", "product_name", *doubles, "margin_pct", "is_current", "valid_from", "valid_to").orderBy("version")
+    return _prices(marts.dim_products(spark, sf_dir).where(F.col("product_id") == product_id))
+
+
+# The same reads of published tables: one bucket of each, and no log.
+
+
+def published_profile(snapshot: Snapshot, customer_id: int) -> DataFrame:
+    """No row for an unknown customer."""
+    return _profile(refresh.of_key(snapshot, "dim_customers", customer_id), refresh.of_key(snapshot, "customer_rfm", customer_id))
+
+
+def published_history(snapshot: Snapshot, customer_id: int) -> DataFrame:
+    return _history(refresh.of_key(snapshot, "dim_customers", customer_id))
+
+
+def published_recent_orders(snapshot: Snapshot, customer_id: int, limit: int = 10) -> DataFrame:
+    return _recent_orders(refresh.of_key(snapshot, "customer_orders", customer_id), limit)
+
+
+def published_prices(snapshot: Snapshot, product_id: int) -> DataFrame:
+    return _prices(refresh.of_key(snapshot, "dim_products", product_id))
 
 
 def abandoned_daily(spark: SparkSession, sf_dir: Source, days: int = 30, as_of: str = "2024-01-31") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from storelens.operators import snapshots
 from storelens.operators.snapshots import Parts, Snapshot
-from storelens.plans import marts, refresh
+from storelens.plans import marts, refresh, serve
 from storelens.sources import files
 from storelens.sources.inputs import Arrived
 
@@ -58,7 +58,7 @@ def held_back(spark, sf_dir):
     return _Orders(sf_dir, ~late, True), _Orders(sf_dir, late, False)
 
 
-TABLES = ("dim_customers", "fct_orders", "fct_order_items", "sales_daily")
+TABLES = ("dim_customers", "fct_orders", "fct_order_items", "customer_orders", "sales_daily")
 
 
 def test_a_small_delivery_rewrites_only_its_days(spark, sf_dir, held_back, tmp_path):
@@ -101,3 +101,16 @@ def test_a_delivery_of_nothing_changes_nothing(spark, sf_dir, tmp_path):
     old = Snapshot(spark, root)
     refresh.refresh(spark, sf_dir, Arrived(sf_dir, F.lit(False), F.lit(False)), root, ["fct_orders"])
     assert Snapshot(spark, root).tables == old.tables
+
+
+def test_a_read_by_key_opens_one_bucket(spark, sf_dir, tmp_path):
+    root = f"file://{tmp_path}"
+    refresh.build(spark, sf_dir, root, ["dim_customers", "dim_products"])
+    old = Snapshot(spark, root)
+    for name, key in (("dim_customers", 42), ("dim_products", 42), ("dim_customers", -1)):
+        rows = refresh.of_key(old, name, key)
+        assert len({path.split("/")[-2] for path in rows.inputFiles()}) <= 1 < len(old.parts(name))
+        whole = old.read(name).where(F.col(refresh.SORTED[name]) == key)
+        assert _rows(rows) == _rows(whole) and (rows.count() > 0) == (key > 0)
+    assert serve.published_history(old, -1).count() == 0
+    assert _rows(serve.published_prices(old, 42)) == _rows(serve.price_history(spark, sf_dir, 42))
