@@ -1,27 +1,31 @@
-"""Abandoned carts as keyed state with an event-time timer.
+"""Abandoned carts from a stream of clicks, by event time.
 
 A session's cart is folded from its events in the order of their times, also
 across micro-batches: each product keeps its adds and the time of its last
 removal, so a late add never brings back what was removed after it.  A purchase
-marks the session as converted until its timer fires, and no late add revives
-the cart.  When a session has been idle for the timeout, its cart is reported if
-it is not converted and not empty, and the state goes; a session that returns
-later starts a new cart.
-
-The state keeps times in milliseconds and no event ids: an add in the instant of
-a removal counts as removed, and of two prices of one instant the larger is the
-last.
+marks the session as converted until it is idle, and no late add revives the
+cart.  When the watermark is the timeout after a session's last activity, its
+cart is reported if it is not converted and not empty, and its rows go; a
+session that returns later starts a new cart.
+
+``Cart`` says what a cart is, event by event; the stream does the same with
+grouped rows, as a call of Python for each session costs ten milliseconds.
+
+Times are milliseconds and events have no ids: an add in the instant of a
+removal counts as removed, and of two prices of one instant the larger is the
+last, after the larger quantity.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from storelens.sources import files
 
 IDLE_MINUTES = 5
 WATERMARK = "2 minutes"
@@ -70,65 +74,87 @@ def timer_at(last_ms: int, watermark_ms: int, idle_minutes: int = IDLE_MINUTES)
     return max(last_ms + idle_minutes * 60_000, watermark_ms + 1)
 
 
-class CartProcessor(StatefulProcessor):
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.session = handle.getValueState("session", "customer_id long, last_ms long, converted boolean")
-        self.products = handle.getMapState("products", "product_id long", "ms array<long>, quantity array<long>, price array<double>, removed_ms long")
-
-    def _load(self) -> Cart:
-        cart = Cart()
-        if self.session.exists():
-            cart.customer_id, cart.last_ms, cart.converted = self.session.get()
-            for (product,), (ms, quantity, price, removed) in self.products.iterator():
-                cart.adds[product] = list(zip(ms, quantity, price, strict=True))
-                if removed is not None:
-                    cart.removed[product] = removed
-        return cart
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        cart = self._load()
-        touched = set()
-        some = lambda x: None if pd.isna(x) else x
-        for frame in rows:
-            for r in frame.itertuples(index=False):
-                product = some(r.product_id)
-                product = None if product is None else int(product)
-                customer, quantity = some(r.customer_id), some(r.quantity)
-                cart.apply(r.event_type, int(r.event_ms), product, None if quantity is None else int(quantity), some(r.price), None if customer is None else int(customer))
-                touched.add(product)
-        self.session.update((cart.customer_id, cart.last_ms, cart.converted))
-        for product in touched - {None}:
-            adds = cart.adds.get(product, [])
-            if adds or product in cart.removed:
-                self.products.updateValue((product,), ([a[0] for a in adds], [a[1] for a in adds], [a[2] for a in adds], cart.removed.get(product)))
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer(timer_at(cart.last_ms, timerValues.getCurrentWatermarkInMs()))
-        yield pd.DataFrame()
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        cart = self._load()
-        self.session.clear()
-        self.products.clear()
-        value, items = cart.value()
-        if items:
-            at = pd.Timestamp(cart.last_ms, unit="ms")
-            now = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")
-            row = {"session_id": [key[0]], "customer_id": pd.array([cart.customer_id], dtype="Int64"), "cart_value": [value], "items": [items], "last_activity_at": [at], "detected_at": [now]}
-            yield pd.DataFrame(row)
-        else:
-            yield pd.DataFrame()
-
-    def close(self) -> None:
-        pass
-
-
-def abandoned(clicks: DataFrame) -> DataFrame:
-    """A stream of alerts from a stream of parsed clicks; only the columns needed go to the state."""
-    timed = clicks.withColumn("event_time", F.col("event_time").cast("timestamp")).withWatermark("event_time", WATERMARK)
-    slim = timed.select("session_id", "event_time", F.unix_millis("event_time").alias("event_ms"), "event_type", "customer_id", "product_id", "quantity", F.col("price").cast("double").alias("price"))
-    return slim.groupBy("session_id").transformWithStateInPandas(statefulProcessor=CartProcessor(), outputStructType=ALERT, outputMode="Append", timeMode="EventTime")
+#: Rows of open carts: adds and removals as they came, and for each session one row of its last activity.
+OPEN = "session_id string, event_ms long, event_type string, customer_id long, product_id long, quantity long, price double"
+
+
+def slim(clicks: DataFrame) -> DataFrame:
+    """The columns of parsed clicks that carts need."""
+    at = F.unix_millis(F.col("event_time").cast("timestamp"))
+    return clicks.select("session_id", at.alias("event_ms"), "event_type", "customer_id", "product_id", F.col("quantity").cast("long").alias("quantity"), F.col("price").cast("double").alias("price"))
+
+
+def _lines() -> Column:
+    """Rows of which a cart's lines are made."""
+    return F.col("event_type").isin("add_to_cart", "remove_from_cart") & F.col("product_id").isNotNull()
+
+
+def compact(rows: DataFrame) -> DataFrame:
+    """Rows of the same carts, in which one row of a session stands for all that changes no line."""
+    seen = rows.groupBy("session_id").agg(F.max("event_ms").alias("event_ms"), F.max("customer_id").alias("customer_id"), F.max(F.col("event_type") == "purchase").alias("_bought"))
+    marks = seen.withColumn("event_type", F.when(F.col("_bought"), "purchase").otherwise("seen")).drop("_bought")
+    return rows.where(_lines()).unionByName(marks, allowMissingColumns=True)
+
+
+def with_last(rows: DataFrame) -> DataFrame:
+    """Adds the session's last activity."""
+    return rows.withColumn("last_ms", F.max("event_ms").over(Window.partitionBy("session_id")))
+
+
+def folded(rows: DataFrame) -> DataFrame:
+    """(session_id, customer_id, cart_value, items, last_ms) of carts that are not converted and not empty, as ``Cart`` has them."""
+    removed = F.max(F.when(F.col("event_type") == "remove_from_cart", F.col("event_ms"))).over(Window.partitionBy("session_id", "product_id"))
+    held = _lines() & (F.col("event_type") == "add_to_cart") & (F.col("_removed").isNull() | (F.col("event_ms") > F.col("_removed")))
+    quantity = F.coalesce("quantity", F.lit(1))
+    add = F.when(held, F.struct(F.col("event_ms").alias("at"), quantity.alias("quantity"), F.coalesce("price", F.lit(0.0)).alias("price")))
+    lines = rows.repartition("session_id").withColumn("_removed", removed).groupBy("session_id", "product_id").agg(
+        F.max("event_ms").alias("last_ms"), F.max("customer_id").alias("customer_id"), F.max(F.col("event_type") == "purchase").alias("_bought"), F.sum(F.when(held, quantity)).alias("_n"), F.max(add).alias("_last")
+    )
+    value = F.sum(F.col("_n") * F.col("_last.price"))
+    carts = lines.groupBy("session_id").agg(F.max("customer_id").alias("customer_id"), F.round(value, 2).alias("cart_value"), F.sum("_n").alias("items"), F.max("last_ms").alias("last_ms"), F.max("_bought").alias("_bought"))
+    return carts.where("not _bought and items <> 0").drop("_bought")
+
+
+class OpenCarts:
+    """Carts of sessions that are not yet idle, as a table that each micro-batch writes anew.
+
+    A batch's folder holds the open carts after it and the largest time seen, from
+    which the next batch has its watermark.  It is final with its success mark; a
+    batch that is repeated starts from the one before it, of which two are kept.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, idle_minutes: int = IDLE_MINUTES):
+        self.spark, self.path, self.idle_ms = spark, path, idle_minutes * 60_000
+
+    def _before(self, batch_id: int) -> list[int]:
+        found = (int(n.removeprefix("batch=")) for n in files.names(self.spark, self.path) if n.startswith("batch="))
+        return sorted(n for n in found if n < batch_id and files.exists(self.spark, f"{self.path}/batch={n}/_SUCCESS"))
+
+    def apply(self, clicks: DataFrame, batch_id: int, write: Callable[[DataFrame], None]) -> None:
+        """Adds a batch of parsed clicks, gives write the alerts of carts that are idle after it, and keeps the others."""
+        before = self._before(batch_id)
+        stored = self.spark.read.schema(OPEN).parquet(f"{self.path}/batch={before[-1]}") if before else self.spark.createDataFrame([], OPEN)
+        newest = lambda rows: rows.agg(F.max("event_ms")).first()[0]
+        passed = newest(stored.where("session_id is null"))
+        new = slim(clicks)
+        now = max((x for x in (passed, newest(new)) if x is not None), default=None)
+        if now is None:
+            return
+        behind = pd.Timedelta(WATERMARK) // pd.Timedelta(milliseconds=1)
+        if passed is not None:  # what the watermark has passed comes too late
+            new = new.where(F.col("event_ms") > passed - behind)
+        rows = with_last(compact(stored.where("session_id is not null").unionByName(new))).persist()
+        try:
+            idle = F.col("last_ms") + self.idle_ms <= now - behind
+            at = lambda ms: F.timestamp_millis(ms)
+            write(folded(rows.where(idle).drop("last_ms")).select("session_id", "customer_id", "cart_value", "items", at(F.col("last_ms")).alias("last_activity_at"), at(F.lit(now - behind)).alias("detected_at")))
+            mark = self.spark.range(1).select(F.lit(None).cast("string").alias("session_id"), F.lit(now).cast("long").alias("event_ms"))
+            kept = rows.where(~idle).drop("last_ms").unionByName(mark, allowMissingColumns=True)
+            kept.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{self.path}/batch={batch_id}")
+        finally:
+            rows.unpersist()
+        for old in before[:-1]:
+            files.delete(self.spark, f"{self.path}/batch={old}")
 
 
 def fold(events: Iterable[dict[str, Any]]) -> Cart:

@@ -74,19 +74,17 @@ def funnel_cells(spark: SparkSession, path: str) -> DataFrame:
 
 
 def carts_query(messages: DataFrame, path: str, checkpoint: str, every: str | None = "10 seconds", fold_every: int = FOLD_EVERY) -> StreamingQuery:
-    """Alerts of abandoned carts; a batch that is repeated overwrites its own folder."""
-    spark = messages.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    alerts = cart_state.abandoned(clicks.parse_messages(messages))
-    folders = BatchFolders(spark, path, fold_every)
+    """Alerts of abandoned carts; a batch that is repeated overwrites its own folders."""
+    folders, carts = BatchFolders(messages.sparkSession, path, fold_every), cart_state.OpenCarts(messages.sparkSession, f"{path}/_open")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
-        if not batch.isEmpty():
-            folders.write(batch, batch_id)
-        batch.unpersist()
+        try:
+            carts.apply(batch, batch_id, lambda alerts: folders.write(alerts, batch_id))
+        finally:
+            batch.unpersist()
 
-    return _start(alerts.writeStream.outputMode("append").foreachBatch(write), checkpoint, every)
+    return _start(clicks.parse_messages(messages).writeStream.foreachBatch(write), checkpoint, every)
 
 
 def cart_alerts(spark: SparkSession, path: str) -> DataFrame:
