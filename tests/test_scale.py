@@ -40,3 +40,13 @@ def test_open_carts_fold_as_events_do_and_a_repeated_batch_gives_the_same(carts)
     assert carts(rows[:300], 0) == set() and carts(rows[300:], 1) == set()
     assert carts(wake, 2) == carts(wake, 2) == want and len(want) > 10
     assert carts(wake, 3) == set()
+
+
+def test_approximate_sessions_stay_within_the_tolerance_in_cells_of_all_sizes(spark):
+    """Of many cells with 13 sessions each, a coarse sketch is off by two in some."""
+    rows = spark.range(4000 * 13).select((F.col("id") / 13).cast("long").alias("cell"), "id").unionByName(spark.range(60_000).select(((F.col("id") / 20_000).cast("long") + 5000).alias("cell"), (F.col("id") + 1_000_000).alias("id")))
+    made = rows.select(F.timestamp_seconds(F.col("cell") * 60).cast("timestamp_ntz").alias("event_time"), F.concat(F.lit("s"), "id").alias("session_id"), F.lit("page_view").alias("event_type"))
+    exact, close = (clicks.funnel_windows(made, exact=e).select("window_start", "stage", F.col("sessions").alias(n)) for e, n in ((True, "sessions"), (False, "approx")))
+    both = exact.join(close, ["window_start", "stage"])
+    assert both.count() == 2 * 4003
+    assert both.where("abs(approx - sessions) > greatest(1, 0.15 * sessions)").count() == 0
