@@ -133,7 +133,7 @@ class KeyedView:
             merged = rows.drop("bucket") if stored is None else self.view.combine(stored.unionByName(rows.drop("bucket")))
             if self.keep_days is not None and any(touched.values()):
                 merged = merged.where(F.col(self.view.day) > F.lit(max(d for d in touched.values() if d)) - F.make_dt_interval(days=F.lit(self.keep_days)))
-            merged.withColumn("bucket", bucket).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(f"{self.path}/batch={batch_id}")
+            merged.withColumn("bucket", bucket).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").option("compression", "zstd").parquet(f"{self.path}/batch={batch_id}")
         finally:
             rows.unpersist()
         for b in touched:
