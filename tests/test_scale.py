@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from storelens.operators import clicks
-from storelens.streaming import cart_state
+from storelens.streaming import cart_state, replays
 
 EVENT = "session_id string, event_time timestamp, event_type string, customer_id long, product_id long, quantity int, price double"
 
@@ -50,3 +50,14 @@ def test_approximate_sessions_stay_within_the_tolerance_in_cells_of_all_sizes(sp
     both = exact.join(close, ["window_start", "stage"])
     assert both.count() == 2 * 4003
     assert both.where("abs(approx - sessions) > greatest(1, 0.15 * sessions)").count() == 0
+
+
+def test_messages_are_written_once_and_compressed(spark, sf_dir, tmp_path):
+    class Done:
+        def awaitTermination(self) -> None:
+            pass
+
+    replays._deliver(spark, sf_dir, f"file://{tmp_path}/feed", {"inventory"}, lambda messages: Done())
+    landed = [p for p in (tmp_path / "feed").rglob("*.parquet") if p.is_file()]
+    assert landed and all(".zstd." in p.name and "log" in p.parts for p in landed)
+    assert spark.read.parquet(*{str(p.parent) for p in landed}).select("kafka_offset").distinct().count() == replays.log(spark, sf_dir, "inventory").count()
