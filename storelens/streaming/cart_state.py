@@ -9,7 +9,7 @@ cart is reported if it is not converted and not empty, and its rows go; a
 session that returns later starts a new cart.
 
 ``Cart`` says what a cart is, event by event; the stream does the same with
-grouped rows, as a call of Python for each session costs ten milliseconds.
+grouped rows, without a call of Python for each session.
 
 Times are milliseconds and events have no ids: an add in the instant of a
 removal counts as removed, and of two prices of one instant the larger is the
