@@ -3,7 +3,7 @@
 Documents and benchmark items are cut into overlapping passages of ``window``
 words.  Passages are TF-IDF vectors over the benchmark's vocabulary, with
 document frequencies counted over all documents.  A randomised SVD (subspace
-iteration) of the items' passages and a bounded sample of document passages
+iteration) of the items' passages and the passages of all different documents
 gives the latent space; every passage of every document is compared with the
 items by cosine there.  Passages that score are checked on the words themselves:
 the longest common subsequence of the item and the text around the passage, and
@@ -11,14 +11,14 @@ the share of the item's answer words found there, which finds paraphrases.  Both
 are taken over windows of twice the item's length, so that words scattered over
 a long text prove nothing.
 
-The items are the query set.  Frequencies and sample are taken once for all of
+The items are the query set.  Frequencies and passages are taken once for all of
 them.  They are searched in blocks of at most ``block`` passages, each with a
 latent space of its own, which has more dimensions than the block has passages;
 in the fit each of these weighs as much as the documents together, so that the
 space holds the items whole however many they are.  As many blocks as fit
 ``space_bytes`` are searched in one pass over all documents, so that what is
-broadcast is bounded.  The basis is fitted on the items and about ``sample``
-different documents; everything else covers all rows.  Candidates are checked in
+broadcast is bounded.  The basis is fitted on the items and all passages of two
+features and more, equal documents once.  Candidates are checked in
 the task that holds the text, so nothing is shuffled by item and a passage that
 very many documents share makes no hot group.
 
@@ -33,6 +33,7 @@ columns are read, so further columns may have any name.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -57,7 +58,6 @@ class Settings(NamedTuple):
     window: int = 40
     #: Least rank; a block with more passages has as many dimensions and SPARE.
     rank: int = 256
-    sample: int = 2000
     block: int = 512
     #: Latent spaces that one pass over the documents takes along.
     space_bytes: int = 256 << 20
@@ -227,55 +227,117 @@ def document_frequencies(docs: DataFrame, features: np.ndarray) -> tuple[int, np
     return int(found.loc[found["feature"] < 0, "n"].sum()), counts
 
 
-def _sample_passages(docs: DataFrame, features: np.ndarray, weight: np.ndarray, share: float, window: int) -> DataFrame:
-    """(features, weights) of the passages of a sample of different texts chosen by their hash."""
-    shared = docs.sparkSession.sparkContext.broadcast((features, _presence(features), weight))
+def _passages(docs: DataFrame, features: np.ndarray, window: int) -> DataFrame:
+    """(features, sizes) of every different text: the features of its passages that hold two of them, passage after passage, and how many each has."""
+    shared = docs.sparkSession.sparkContext.broadcast((features, _presence(features)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, present, weight = shared.value
+        features, present = shared.value
         for batch in batches:
-            data, starts = text_bytes(batch.column(0))
+            data, starts = text_bytes(batch.column(1))
             for lo, hi in blocks(starts):
                 t = _featured(_words(data[starts[lo] : starts[hi]], starts[lo : hi + 1] - starts[lo]), features, present)
-                passage = t.owner[t.at] << 32 | (t.at - np.searchsorted(t.owner, t.owner[t.at])) // window
+                owner = t.owner[t.at]
+                passage = owner << 32 | (t.at - np.searchsorted(t.owner, owner)) // window
                 cut = np.flatnonzero(np.diff(passage, prepend=-1))
-                rows = [np.unique(f, return_counts=True) for f in np.split(t.feature, cut[1:])] if len(passage) else []
-                rows = [r for r in rows if len(r[0]) > 1]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([weight[r[0]] * r[1] for r in rows], pa.list_(pa.float64()))], names=["features", "weights"])
+                number = np.cumsum(np.diff(passage, prepend=-1) != 0) - 1
+                kinds = np.bincount(np.unique(number * len(features) + t.feature) // len(features), minlength=len(cut))
+                several = kinds > 1
+                kept = several[number] if len(number) else np.zeros(0, bool)
+                sizes = np.bincount(number, minlength=len(cut))[several]
+                of_text = np.arange(hi - lo + 1)
+                lists = [
+                    pa.ListArray.from_arrays(pa.array(np.searchsorted(texts, of_text), pa.int32()), pa.array(values, pa.int32()))
+                    for texts, values in ((owner[kept], t.feature[kept]), (owner[cut][several], sizes))
+                ]
+                held = pa.array(np.diff(lists[1].offsets.to_numpy()) > 0)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *lists], names=["h", "features", "sizes"]).filter(held)
 
-    chosen = docs.withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.lit(1_000_003)) < F.lit(int(share * 1_000_003) + 1))
-    return chosen.dropDuplicates(["h"]).select("text").mapInArrow(run, "features array<long>, weights array<double>")
+    found = docs.select(F.xxhash64("text").alias("h"), "text").mapInArrow(run, "h long, features array<int>, sizes array<int>")
+    return found.dropDuplicates(["h"]).drop("h")
 
 
-#: Tasks that multiply the sample, and so partial sums of each slice.
-SUMS, SLICES = 8, 16
+#: Tasks that sum a Gram matrix, at least, slices of its rows, and bytes of it that a task holds.
+SUMS, SLICES, GRAM_BYTES = 8, 16, 256 << 20
 
 
-def _times(rows: DataFrame, own: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """A'A V for the sparse rows A in the features of a block, summed over SUMS tasks in slices of the features.
+def _edges(kinds: int) -> np.ndarray:
+    """Where the slices of a Gram matrix begin and end: SLICES for each band of it that a task can hold."""
+    bands = max(1, -(-8 * kinds * kinds // GRAM_BYTES))
+    return np.linspace(0, kinds, SLICES * bands + 1).astype(np.int64)
 
-    own: the block's number of each feature of the rows, or -1.
+
+def _gram(passages: DataFrame, own: np.ndarray, weight: np.ndarray) -> DataFrame:
+    """(slice, at, value): A'A of all passages A, of length 1 each in the features of a block, in slices of its rows.
+
+    own: the block's number of each feature of the passages, or -1; weight: of the
+    block's features.  A passage has fewer features than a latent space dimensions,
+    so its pairs are summed once instead of multiplying it in each step.  A task
+    holds at most GRAM_BYTES of the sums; a matrix beyond that takes more passes.
     """
-    shared = rows.sparkSession.sparkContext.broadcast((own, basis))  # vocabulary of a block x rank
+    spark, kinds = passages.sparkSession, len(weight)
+    edges = _edges(kinds)
+    bands = (len(edges) - 1) // SLICES
+    shared = spark.sparkContext.broadcast((own, weight, edges))
+    tasks = max(SUMS, spark.sparkContext.defaultParallelism)
+
+    def summing(band: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, weight, edges = shared.value
+            first, last = edges[SLICES * band], edges[SLICES * (band + 1)]
+            total = np.zeros((last - first) * len(weight))
+            for batch in batches:
+                of_block = own[batch.column(0).flatten().to_numpy()]
+                sizes = batch.column(1).flatten().to_numpy()
+                passage = np.repeat(np.arange(len(sizes)), sizes)[of_block >= 0]
+                pairs, n = np.unique(passage * len(weight) + of_block[of_block >= 0], return_counts=True)
+                passage, feature = pairs // len(weight), pairs % len(weight)
+                x = n * weight[feature]
+                x /= np.maximum(1e-12, np.sqrt(np.bincount(passage, x * x, minlength=len(sizes))))[passage]
+                for apart in range(len(pairs)):  # pairs of features of one passage, so many places apart
+                    same = np.flatnonzero(passage[apart:] == passage[: len(pairs) - apart])
+                    if not len(same):
+                        break
+                    for a, b in ((same, same + apart), (same + apart, same))[: 2 if apart else 1]:
+                        held = (feature[a] >= first) & (feature[a] < last)
+                        np.add.at(total, (feature[a][held] - first) * len(weight) + feature[b][held], x[a][held] * x[b][held])
+            for k in range(SLICES * band, SLICES * (band + 1)):
+                part = total[(edges[k] - first) * len(weight) : (edges[k + 1] - first) * len(weight)]
+                some = np.flatnonzero(part)
+                yield pa.RecordBatch.from_arrays([pa.array([k]), *(pa.array([x.tobytes()], pa.binary()) for x in (some.astype(np.int32), part[some].astype(np.float32)))], names=["slice", "at", "value"])
+
+        return passages.coalesce(tasks).mapInArrow(run, "slice long, at binary, value binary")
+
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        k = int(frame["slice"].iloc[0])
+        total = np.zeros((edges[k + 1] - edges[k]) * kinds)
+        for at, value in zip(frame["at"], frame["value"], strict=True):
+            total[np.frombuffer(at, np.int32)] += np.frombuffer(value, np.float32)
+        some = np.flatnonzero(total)
+        return pd.DataFrame({"slice": [k], "at": [some.astype(np.int32).tobytes()], "value": [total[some].astype(np.float32).tobytes()]})
+
+    parts = reduce(DataFrame.unionByName, map(summing, range(bands)))
+    return parts.groupBy("slice").applyInPandas(add, "slice long, at binary, value binary")
+
+
+def _times(gram: DataFrame, basis: np.ndarray) -> np.ndarray:
+    """The Gram matrix times a basis, slice by slice."""
+    shared = gram.sparkSession.sparkContext.broadcast(basis)  # vocabulary of a block x rank
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, v = shared.value
-        out = np.zeros_like(v)
+        v = shared.value
         for batch in batches:
-            for f, w in zip(batch.column(0), batch.column(1), strict=True):
-                at, x = own[f.values.to_numpy()], w.values.to_numpy()
-                at, x = at[at >= 0], x[at >= 0]
-                x = x / max(1e-12, np.sqrt(x @ x))
-                out[at] += np.outer(x, x @ v[at])
-        parts = np.array_split(out, SLICES)
-        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES)), pa.array([p.tobytes() for p in parts], pa.binary())], names=["slice", "part"])
-
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(p) for p in frame["part"])
-        return pd.DataFrame({"slice": frame["slice"].iloc[:1], "part": [total.tobytes()]})
+            for k, at, value in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                at = np.frombuffer(at, np.int32)
+                rows, inverse = np.unique(at // len(v), return_inverse=True)
+                dense = np.zeros((len(rows), len(v)))
+                dense[inverse, at % len(v)] = np.frombuffer(value, np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array([k]), *(pa.array([x.tobytes()], pa.binary()) for x in (rows, dense @ v))], names=["slice", "rows", "product"])
 
-    done = rows.coalesce(SUMS).mapInArrow(run, "slice long, part binary").groupBy("slice").applyInPandas(add, "slice long, part binary").toPandas().sort_values("slice")
-    return np.concatenate([np.frombuffer(p) for p in done["part"]]).reshape(basis.shape) if len(done) else np.zeros_like(basis)
+    out, edges = np.zeros_like(basis), _edges(len(basis))
+    for row in gram.mapInArrow(run, "slice long, rows binary, product binary").collect():  # as large as the basis
+        out[edges[row["slice"]] + np.frombuffer(row["rows"], np.int32)] = np.frombuffer(row["product"]).reshape(-1, basis.shape[1])
+    return out
 
 
 def _item_rows(items: Items, features: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -293,19 +355,20 @@ class Statistics(NamedTuple):
 
     features: np.ndarray  # sorted hashes of all items' words
     weight: np.ndarray  # inverse document frequency over all documents
-    sample: DataFrame  # passages of the sample
-    rows: int  # in it
+    passages: DataFrame  # of all different documents
+    rows: int  # passages in it
     path: str
 
 
 def statistics(docs: DataFrame, items: list[Items], settings: Settings) -> Statistics:
-    """Document frequencies over all documents, and the sample; docs has the column text."""
+    """Document frequencies and passages over all documents; docs has the column text."""
     features = np.unique(np.concatenate([b.features for b in items]))
     n, counts = document_frequencies(docs, features)
     weight = np.log1p(max(1, n) / np.maximum(counts, 1))
     path = storage.new_path(docs.sparkSession, "passages")
-    sample = storage.written(_sample_passages(docs, features, weight, min(1.0, settings.sample / max(1, n)), settings.window), "passages", path)
-    return Statistics(features, weight, sample, sample.count(), path)
+    passages = storage.written(_passages(docs, features, settings.window), "passages", path)
+    (rows,) = passages.agg(F.coalesce(F.sum(F.size("sizes")), F.lit(0))).first()
+    return Statistics(features, weight, passages, rows, path)
 
 
 def _rank(items: Items, settings: Settings) -> int:
@@ -326,9 +389,12 @@ def fit_space(known: Statistics, items: Items, settings: Settings) -> Space:
     uniform = (random_words(23, len(features) * wide) >> np.uint64(11)).astype(np.float64).reshape(len(features), wide) / 2**53 - 0.5
     share = 1 / max(1, known.rows)  # an item's passage weighs as much as all of these
     v = np.linalg.qr(uniform)[0]
+    path = storage.new_path(known.passages.sparkSession, "gram")
+    gram = storage.written(_gram(known.passages, own, weight), "gram", path)
     for _ in range(2):  # subspace iteration
-        v = np.linalg.qr(share * _times(known.sample, own, v) + unit.T @ (unit @ v))[0]
-    small = v.T @ (share * _times(known.sample, own, v) + unit.T @ (unit @ v))
+        v = np.linalg.qr(share * _times(gram, v) + unit.T @ (unit @ v))[0]
+    small = v.T @ (share * _times(gram, v) + unit.T @ (unit @ v))
+    storage.drop(known.passages.sparkSession, path)
     _, rotation = np.linalg.eigh((small + small.T) / 2)
     basis = v @ rotation[:, ::-1][:, :rank]
     latent = unit @ basis

@@ -397,6 +397,31 @@ def test_a_text_with_very_many_copies_is_sampled_once(spark):
     assert decontam.statistics(docs, [block], decontam.Settings()).rows <= 51
 
 
+def test_the_basis_is_fitted_on_all_passages(spark, monkeypatch):
+    """Far more documents than were sampled; the Gram matrix against dense products, in one band and in several."""
+    rng = random.Random(4)
+    kinds = [f"w{i}" for i in range(40)]
+    texts = sorted({" ".join(rng.choices(kinds, k=rng.randint(1, 90))) for _ in range(3000)})
+    docs = spark.createDataFrame([(t,) for t in [*texts, *texts[:50]]], "text string").repartition(3)
+    settings_ = decontam.Settings()
+    [block] = decontam.item_blocks(spark.createDataFrame([(0, " ".join(kinds[:30])), (1, " ".join(kinds[20:35]))], "item_id long, text string"), settings_)
+    known = decontam.statistics(docs, [block], settings_)
+    number = {h: i for i, h in enumerate(known.features.tolist())}
+    rows = []
+    for t in texts:
+        hashes = decontam._hashes([t])[0].tolist()
+        for a in range(0, len(hashes), settings_.window):
+            own = [number[h] for h in hashes[a : a + settings_.window] if h in number]
+            if len(set(own)) > 1:
+                rows.append(np.bincount(own, minlength=len(number)) * known.weight)
+    dense = np.array(rows) / np.linalg.norm(rows, axis=1)[:, None]
+    v = np.random.default_rng(1).random((len(number), 3))
+    assert known.rows == len(rows) > 3000
+    for limit in (decontam.GRAM_BYTES, 8 * len(number) ** 2 // 3):
+        monkeypatch.setattr(decontam, "GRAM_BYTES", limit)
+        assert np.allclose(decontam._times(decontam._gram(known.passages, np.arange(len(number)), known.weight), v), dense.T @ (dense @ v), rtol=1e-4)
+
+
 def test_decontamination_in_several_blocks(spark, sf_dir, docs):
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     whole, cut = ({(r.doc_id, r.item_id) for r in decontam.contaminated(docs, benchmark, x).collect()} for x in (decontam.Settings(block=1024), decontam.Settings(block=20, space_bytes=1 << 20)))
