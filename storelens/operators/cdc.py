@@ -39,15 +39,16 @@ def to_envelopes(changes: DataFrame, table: str, *keep: str) -> DataFrame:
 
 def parse_envelopes(stream: DataFrame) -> DataFrame:
     """(table_name, op, ts_ms, kafka_offset, before_json, after_json) of change messages, each read once; junk is dropped."""
-    message = F.from_json("value", "before string, after string, op string, source struct<table: string, ts_ms: string>").alias("m")
-    read = stream.where(F.col("value").isNotNull()).select(message, "kafka_offset").select(
+    message = F.from_json("value", "before string, after string, op string, source struct<table: string, ts_ms: string>")
+    # Junk goes inside the generator: a filter behind it would be moved before it, and build and read each message once more for each of its terms.
+    sound = F.filter(F.array(message), lambda m: m["source"]["table"].isNotNull() & m["op"].isNotNull())
+    return stream.select(F.explode(sound).alias("m"), "kafka_offset").select(
         F.col("m.source.table").alias("table_name"),
         F.col("m.op").alias("op"),
         F.col("m.source.ts_ms").try_cast("long").alias("ts_ms"),
         "kafka_offset",
         *(F.when(F.col(f"m.{side}") != "null", F.col(f"m.{side}")).alias(f"{side}_json") for side in ("before", "after")),
     )
-    return read.where("table_name is not null and op is not null")
 
 
 def typed(parsed: DataFrame, table: str) -> DataFrame:

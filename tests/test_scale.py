@@ -61,3 +61,16 @@ def test_messages_are_written_once_and_compressed(spark, sf_dir, tmp_path):
     landed = [p for p in (tmp_path / "feed").rglob("*.parquet") if p.is_file()]
     assert landed and all(".zstd." in p.name and "log" in p.parts for p in landed)
     assert spark.read.parquet(*{str(p.parent) for p in landed}).select("kafka_offset").distinct().count() == replays.log(spark, sf_dir, "inventory").count()
+
+
+def test_messages_are_built_and_read_once(spark, sf_dir):
+    """No filter builds or reads a message a second time; junk is dropped all the same."""
+    from storelens.operators import cdc
+    from storelens.sources import adapters
+
+    typed = cdc.typed(cdc.parse_envelopes(cdc.to_envelopes(adapters.order_changes(spark, sf_dir), "orders")), "orders")
+    plan = typed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("StructsToJsonEvaluator") == 1
+    assert plan.count("from_json(") == 2  # the message, and the image in it
+    junk = spark.createDataFrame([(None, 1), ("no json", 2), ('{"op": "c"}', 3), ('{"source": {"table": "orders"}}', 4), ('{"op": "c", "source": {"table": "orders", "ts_ms": "5"}}', 5)], "value string, kafka_offset long")
+    assert [(r.table_name, r.op, r.ts_ms, r.kafka_offset) for r in cdc.parse_envelopes(junk).collect()] == [("orders", "c", 5, 5)]
