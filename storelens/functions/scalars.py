@@ -26,7 +26,7 @@ def epoch_millis(at: Column) -> Column:
 
 def from_millis(ms: Column) -> Column:
     """The zone-less UTC time of epoch milliseconds."""
-    return timestamp_ntz("1970-01-01 00:00:00") + F.make_dt_interval(secs=(ms / F.lit(1000)).cast("decimal(18,6)"))
+    return F.timestamp_add("MILLISECOND", ms, timestamp_ntz("1970-01-01 00:00:00"))
 
 
 def seconds_between(a: Column, b: Column) -> Column:

@@ -113,17 +113,28 @@ def versions(log: DataFrame, key: str, *tie_break: str, span: str | None = None)
     ).drop("_next", "_part", "_before", "_after", "_start", "_end")
 
 
-def as_of(facts: DataFrame, dimension: DataFrame, key: str, at: str, columns: list[str], span: str | None = None) -> DataFrame:
+def as_of(facts: DataFrame, dimension: DataFrame, key: str, at: str, columns: list[str], span: str | None = None, carry: str | None = None) -> DataFrame:
     """Adds to each fact the columns of the version that was valid at its time; none found gives nulls.
 
     Versions of a key do not overlap.  With a ``span`` versions and facts are
     sorted together by time and the last version is carried forward, so no fact
     meets more than one.  The rows of a key are divided by time ranges, and the
     version that is valid when a range begins goes into it as its first row.
-    Without a span facts join their key's versions, which is cheaper where a key
+    With ``carry`` and no span a key is one range: versions that lie by key already
+    stay where they are, and each fact is moved once; ``carry`` names one more
+    column, the key by which facts then lie, or any number where they have none.
+    Without both facts join their key's versions, which is cheaper where a key
     has a few.  A fact without a key or time has no version; those without a key
     lie apart by their time.
     """
+    if span is None and carry is not None:
+        versioned = dimension.where((F.col("valid_from") < F.col("valid_to")) & F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col("valid_from").alias("_at"), F.lit(1).alias("_kind"), F.struct("valid_to", *columns).alias("_v"))
+        apart = F.xxhash64(at).cast(facts.schema[key].dataType)
+        dated = facts.select(F.coalesce(key, apart).alias("_key"), F.col(at).alias("_at"), F.lit(2).alias("_kind"), F.struct(*facts.columns).alias("_f")).repartition("_key")
+        rows = dated.unionByName(versioned, allowMissingColumns=True)
+        found = rows.withColumn("_v", F.last("_v", ignorenulls=True).over(Window.partitionBy("_key").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0))).where("_kind = 2")
+        valid = F.col(f"_f.{key}").isNotNull() & (F.col("_at") < F.col("_v.valid_to"))
+        return found.select("_f.*", *(F.when(valid, F.col(f"_v.{c}")).alias(c) for c in columns), F.col("_key").alias(carry))
     if span is None:
         right = dimension.select(F.col(key).alias("_key"), "valid_from", "valid_to", *columns)
         return facts.join(right, (F.col(key) == F.col("_key")) & (F.col(at) >= F.col("valid_from")) & (F.col(at) < F.col("valid_to")), "left").drop("_key", "valid_from", "valid_to")
@@ -141,7 +152,8 @@ def as_of(facts: DataFrame, dimension: DataFrame, key: str, at: str, columns: li
     rows = dated.unionByName(versioned, allowMissingColumns=True).unionByName(carried.select("_key", "_part", F.col("_part").alias("_at"), F.lit(0).alias("_kind"), "_v"), allowMissingColumns=True)
     found = rows.withColumn("_v", F.last("_v", ignorenulls=True).over(Window.partitionBy("_key", "_part").orderBy("_at", "_kind"))).where("_kind = 2")
     valid = F.col("_key").isNotNull() & (F.col("_at") < F.col("_v.valid_to"))
-    return found.select("_f.*", *(F.when(valid, F.col(f"_v.{c}")).alias(c) for c in columns))
+    lies_by = [] if carry is None else [F.col("_key").alias(carry)]
+    return found.select("_f.*", *(F.when(valid, F.col(f"_v.{c}")).alias(c) for c in columns), *lies_by)
 
 
 def _milestones() -> list[Column]:

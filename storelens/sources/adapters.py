@@ -89,7 +89,8 @@ def order_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_item_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The change log of order lines, one line for each order and part."""
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"))
+    # Dealt out by order, as all readers need them: hardly any two lines of an order have one part, and so the lines move once.
+    lines = table(spark, sf_dir, "lineitem").repartition("l_orderkey").groupBy(F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"))
     keyed = lines.agg(F.sum("l_quantity").cast("int").alias("quantity"), F.max("l_extendedprice").cast(MONEY).alias("unit_price"), F.min("l_shipdate").cast("timestamp_ntz").alias("at"))
     both = F.col("order_id") + F.col("product_id")
     step = lambda op, more, hours: F.struct(F.lit(op).alias("op"), F.lit(more).alias("more"), F.lit(hours).alias("hours"))
@@ -105,9 +106,13 @@ def order_item_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def product_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The change log of products: every price at which a part was sold."""
-    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("product_name"), F.col("p_type").alias("category"))
+def product_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What never changes of a product."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), F.concat(F.lit("SKU-"), F.col("p_partkey").cast("string")).alias("sku"), F.col("p_name").alias("product_name"), F.col("p_type").alias("category"))
+
+
+def price_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change log of products without their names: every price at which a part was sold."""
     sold = table(spark, sf_dir, "lineitem").select(
         F.lit("u").alias("op"),
         epoch_millis(F.col("l_shipdate").cast("timestamp_ntz")).alias("ts_ms"),
@@ -117,7 +122,18 @@ def product_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").cast("int").alias("_quantity"),
         F.col("l_suppkey").alias("_supplier"),
     )
-    return sold.join(parts, "product_id").withColumns({"sku": F.concat(F.lit("SKU-"), F.col("product_id").cast("string")), "cost": (F.col("price") * F.lit("0.6").cast("decimal(2,1)")).cast("decimal(14,3)").cast(MONEY)})
+    known = sold.join(product_names(spark, sf_dir).select("product_id"), "product_id", "left_semi")
+    return known.withColumn("cost", (F.col("price") * F.lit("0.6").cast("decimal(2,1)")).cast("decimal(14,3)").cast(MONEY))
+
+
+def product_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change log of products with their names."""
+    return price_changes(spark, sf_dir).join(product_names(spark, sf_dir), "product_id")
+
+
+def busy_products(spark: SparkSession, sf_dir: str, more_than: int) -> DataFrame:
+    """Products with more sales than so many."""
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("product_id")).count().where(F.col("count") > more_than).select("product_id")
 
 
 def customer_changes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,6 +34,18 @@ class Tables:
     def product_changes(self, spark: SparkSession) -> DataFrame:
         return adapters.product_changes(spark, self.sf_dir)
 
+    def price_changes(self, spark: SparkSession) -> DataFrame:
+        """Changes of products, without what product_names holds."""
+        return adapters.price_changes(spark, self.sf_dir)
+
+    def product_names(self, spark: SparkSession) -> DataFrame | None:
+        """What never changes of a product, a row for each; None where changes hold all of it."""
+        return adapters.product_names(spark, self.sf_dir)
+
+    def busy_products(self, spark: SparkSession, more_than: int) -> DataFrame:
+        """Products with more changes than so many; more may be named."""
+        return adapters.busy_products(spark, self.sf_dir, more_than)
+
     def customer_changes(self, spark: SparkSession) -> DataFrame:
         return adapters.customer_changes(spark, self.sf_dir)
 
@@ -67,6 +79,15 @@ class Landed(Tables):
         """Places order a product's changes whole, so nothing else breaks ties."""
         return self._typed(spark, "products").withColumns({"_quantity": F.lit(0), "_supplier": F.lit(0)})
 
+    def price_changes(self, spark: SparkSession) -> DataFrame:
+        return self.product_changes(spark)
+
+    def product_names(self, spark: SparkSession) -> None:
+        return None
+
+    def busy_products(self, spark: SparkSession, more_than: int) -> DataFrame:
+        return self.product_changes(spark).groupBy("product_id").count().where((F.col("count") > more_than) & F.col("product_id").isNotNull()).select("product_id")
+
     def customer_changes(self, spark: SparkSession) -> DataFrame:
         return self._typed(spark, "customers")
 
@@ -101,6 +122,15 @@ class Arrived(Tables):
     def product_changes(self, spark: SparkSession) -> DataFrame:
         return self.other.product_changes(spark).where(self.changes)
 
+    def price_changes(self, spark: SparkSession) -> DataFrame:
+        return self.other.price_changes(spark).where(self.changes)
+
+    def product_names(self, spark: SparkSession) -> DataFrame | None:
+        return self.other.product_names(spark)
+
+    def busy_products(self, spark: SparkSession, more_than: int) -> DataFrame:
+        return self.other.busy_products(spark, more_than)
+
     def customer_changes(self, spark: SparkSession) -> DataFrame:
         return self.other.customer_changes(spark).where(self.changes)
 
@@ -136,6 +166,15 @@ class Only(Tables):
     def product_changes(self, spark: SparkSession) -> DataFrame:
         return self._cut(self.other.product_changes(spark), self.products, "product_id")
 
+    def price_changes(self, spark: SparkSession) -> DataFrame:
+        return self._cut(self.other.price_changes(spark), self.products, "product_id")
+
+    def product_names(self, spark: SparkSession) -> DataFrame | None:
+        return self.other.product_names(spark)
+
+    def busy_products(self, spark: SparkSession, more_than: int) -> DataFrame:
+        return self.other.busy_products(spark, more_than)
+
     def customer_changes(self, spark: SparkSession) -> DataFrame:
         return self._cut(self.other.customer_changes(spark), self.customers, "customer_id")
 

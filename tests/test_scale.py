@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from storelens.operators import clicks
+from storelens.plans import marts
+from storelens.sources import inputs
 from storelens.streaming import cart_state, replays
 
 EVENT = "session_id string, event_time timestamp, event_type string, customer_id long, product_id long, quantity int, price double"
@@ -74,3 +76,30 @@ def test_messages_are_built_and_read_once(spark, sf_dir):
     assert plan.count("from_json(") == 2  # the message, and the image in it
     junk = spark.createDataFrame([(None, 1), ("no json", 2), ('{"op": "c"}', 3), ('{"source": {"table": "orders"}}', 4), ('{"op": "c", "source": {"table": "orders", "ts_ms": "5"}}', 5)], "value string, kafka_offset long")
     assert [(r.table_name, r.op, r.ts_ms, r.kafka_offset) for r in cdc.parse_envelopes(junk).collect()] == [("orders", "c", 5, 5)]
+
+
+def test_lines_and_sales_move_once_on_their_way_to_the_facts(spark, sf_dir):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = {name: make(spark, sf_dir)._jdf.queryExecution().executedPlan().toString() for name, make in (("facts", marts.fct_order_items), ("rollup", marts.item_rollup), ("products", marts.dim_products))}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Lines by order and by product, the order log, sales, ids and names of parts; lines; sales, ids and names of parts, stock.
+    assert {name: plan.count("Exchange hashpartitioning") for name, plan in plans.items()} == {"facts": 6, "rollup": 1, "products": 4}
+
+
+def test_busy_products_are_divided_with_the_same_result(spark, sf_dir, monkeypatch):
+    found = {}
+    for busy in (marts.BUSY, 30):
+        monkeypatch.setattr(marts, "BUSY", busy)
+        found[busy] = [sorted(map(str, make(spark, sf_dir).collect())) for make in (marts.dim_products, marts.fct_order_items)]
+    some = inputs.of(sf_dir).busy_products(spark, 30).count()
+    assert 0 < some < spark.read.parquet(f"{sf_dir}/part.parquet").count()
+    assert found[30] == found[1_000_000]
+
+
+def test_a_line_without_a_known_product_has_no_version(spark, sf_dir):
+    lines = spark.createDataFrame([(1, None, 2), (2, -7, 3), (3, 42, 4)], "order_id long, product_id long, quantity int").selectExpr("*", "cast(10 as decimal(12,2)) as unit_price", "timestamp_ntz'1998-01-01 00:00:00' as placed_at", "true as is_revenue")
+    rows = {r.order_id: r for r in marts.priced(spark, sf_dir, lines).collect()}
+    assert len(rows) == 3 and rows[3].product_sk is not None and rows[3].product_name is not None
+    assert all(rows[n][c] is None for n in (1, 2) for c in ("product_sk", "product_name", "category", "unit_cost_at_sale", "line_margin"))
