@@ -18,10 +18,11 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Collection, Mapping
+from collections.abc import Callable, Collection, Mapping
 from typing import Any, NamedTuple
 
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,12 +41,14 @@ class Parts(NamedTuple):
 
     part names a row's part; what it gives as text must do as a folder's name.
     sort: a column by which files are sorted, so that reads of few of its values skip most of a file.
+    derived: columns of rows that follow from others; they are made where they are written, and not moved.
     """
 
     rows: DataFrame
     part: Column
     replaced: Collection[str] | None = None
     sort: str | None = None
+    derived: Mapping[str, Column] = {}
 
 
 #: How a manifest names a table: its folder, or its schema and the folder of each part.
@@ -65,12 +68,12 @@ def _folders(tables: Mapping[str, Entry]) -> set[str]:
 def _written(spark: SparkSession, warehouse: str, folder: str, table: DataFrame | Parts, before: Entry | None) -> Entry:
     """Writes a table or some parts of it, and returns how the manifest names it."""
     if isinstance(table, DataFrame):
-        table.write.option("partitionOverwriteMode", "static").parquet(f"{warehouse}/{folder}")
+        table.write.option("partitionOverwriteMode", "static").option("compression", "zstd").parquet(f"{warehouse}/{folder}")
         return folder
-    rows = table.rows.withColumn("_part", part_name(table.part)).hint("rebalance", "_part")
+    rows = table.rows.drop(*table.derived).withColumn("_part", part_name(table.part)).hint("rebalance", "_part").withColumns(table.derived).select(*table.rows.columns, "_part")
     if table.sort is not None:
         rows = rows.sortWithinPartitions("_part", table.sort)
-    rows.write.option("partitionOverwriteMode", "static").partitionBy("_part").parquet(f"{warehouse}/{folder}")
+    rows.write.option("partitionOverwriteMode", "static").option("compression", "zstd").partitionBy("_part").parquet(f"{warehouse}/{folder}")
     new = {n.removeprefix("_part="): f"{folder}/{n}" for n in files.names(spark, f"{warehouse}/{folder}") if n.startswith("_part=")}
     kept = {} if table.replaced is None or not isinstance(before, dict) else {p: path for p, path in before["parts"].items() if p not in table.replaced}
     if table.replaced is not None and not set(new) <= set(table.replaced):
@@ -101,9 +104,15 @@ def latest(spark: SparkSession, warehouse: str) -> tuple[int, dict[str, Entry]]:
     return 0, {}
 
 
-def commit(spark: SparkSession, warehouse: str, tables: Mapping[str, DataFrame | Parts], base: int | None = None, keep: int = KEEP) -> int:
-    """Writes tables and makes them visible together; returns the snapshot's number.
+#: A table, or what makes it (or nothing) from the tables that are written before it in the same commit.
+Made = "DataFrame | Parts | Callable[[Snapshot], DataFrame | Parts | None]"
 
+
+def commit(spark: SparkSession, warehouse: str, tables: Mapping[str, Made], base: int | None = None, keep: int = KEEP) -> int:
+    """Writes tables in their order and makes them visible together; returns the snapshot's number.
+
+    A table may be made from those before it: it is then given as a function of
+    the snapshot as it will be, and what they hold is not computed again.
     base: the snapshot that the tables were made from, the newest if not given.
     """
     newest, there = latest(spark, warehouse)
@@ -112,10 +121,14 @@ def commit(spark: SparkSession, warehouse: str, tables: Mapping[str, DataFrame |
     number = max([newest, *_numbers(spark, warehouse)]) + 1
     runs = {name: f"{name}/run={uuid.uuid4().hex}" for name in tables}
     try:
-        written = {name: _written(spark, warehouse, runs[name], table, there.get(name)) for name, table in tables.items()}
+        written: dict[str, Entry] = {}
+        for name, table in tables.items():
+            found = table(Snapshot(spark, warehouse, (number, there | written))) if callable(table) else table
+            if found is not None:
+                written[name] = _written(spark, warehouse, runs[name], found, there.get(name))
         if not files.create(spark, f"{warehouse}/_snapshots/{number}.json", json.dumps({"tables": there | written})):
             raise Conflict(f"snapshot {number} has been committed by another writer")
-    except (Conflict, ValueError, Py4JJavaError):
+    except (Conflict, ValueError, Py4JJavaError, PySparkException):
         for path in runs.values():
             files.delete(spark, f"{warehouse}/{path}")
         raise
@@ -140,9 +153,10 @@ def _expire(spark: SparkSession, warehouse: str, keep: int) -> None:
 class Snapshot:
     """All tables as of one commit, whatever is committed meanwhile."""
 
-    def __init__(self, spark: SparkSession, warehouse: str):
+    def __init__(self, spark: SparkSession, warehouse: str, at: tuple[int, dict[str, Entry]] | None = None):
+        """at: a number and its tables, if not the newest ones."""
         self.spark, self.warehouse = spark, warehouse
-        self.number, self.tables = latest(spark, warehouse)
+        self.number, self.tables = latest(spark, warehouse) if at is None else at
         self._whole: dict[str, DataFrame] = {}  # whose folders are listed once
 
     def parts(self, name: str) -> list[str]:

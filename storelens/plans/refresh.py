@@ -15,6 +15,10 @@ repaired by a repetition.  Touched keys are written before they are joined, so t
 planner knows their size and broadcasts them only where it is small.  To the driver
 come the names of touched parts: buckets, days and months.
 
+Where a delivery touches more than one key in eight, cutting the logs to them
+would move as much as the logs hold; the table is then made anew instead, with
+the same result.  Tables that are made from facts are read from the new facts.
+
 Scores of customers are ranks among all of them, so their table is made anew from
 the published facts.
 """
@@ -22,11 +26,12 @@ the published facts.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Collection
+from collections.abc import Collection
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storelens.functions.scalars import surrogate_key
 from storelens.operators import cdc, snapshots
 from storelens.operators.snapshots import NO_PART, Parts, Snapshot, part_name
 from storelens.plans import marts
@@ -34,6 +39,8 @@ from storelens.sources import files, inputs
 from storelens.sources.inputs import Only, Source
 
 BUCKETS = 64
+#: A delivery that touches more than one in so many keys has the table made anew.
+REBUILT_FROM = 8
 
 
 def _bucket(key: str | Column) -> Column:
@@ -50,6 +57,12 @@ def layout(by: str = "day") -> dict[str, Column]:
     return {"dim_customers": _bucket("customer_id"), "dim_products": _bucket("product_id"), "fct_orders": day, "fct_order_items": day, "customer_orders": _bucket("customer_id"), "customer_rfm": _bucket("customer_id"), "sales_daily": F.date_format("order_date", FORMATS["month"])}
 
 
+def _derived(name: str) -> dict[str, Column]:
+    """Surrogate keys of dimensions: they do not compress, and follow from key and version."""
+    key = {"dim_customers": "customer", "dim_products": "product"}.get(name)
+    return {f"{key}_sk": surrogate_key(F.col(f"{key}_id"), F.col("version"))} if key else {}
+
+
 def customer_orders(spark: SparkSession, source: Source) -> DataFrame:
     return _orders_of(marts.fct_orders(spark, source))
 
@@ -73,14 +86,21 @@ def _wanted(names: Collection[str]) -> set[str]:
 
 def build(spark: SparkSession, source: Source, warehouse: str, names: Collection[str] = TABLES, as_of: str = marts.AS_OF, by: str = "day") -> int:
     """The first snapshot: all parts of the tables, and of those that they are made from; a refresh divides facts likewise."""
-    parts = layout(by)
-    made: dict[str, DataFrame | Parts] = {}
-    for name in sorted(_wanted(names)):
-        rows = marts.rfm(spark, source, as_of) if name == "customer_rfm" else MAKERS[name](spark, source)
-        made[name] = Parts(rows, parts[name], sort=SORTED.get(name))
+    parts, wanted = layout(by), _wanted(names)
+    made: dict[str, snapshots.Made] = {name: Parts(MAKERS[name](spark, source), parts[name], sort=SORTED.get(name), derived=_derived(name)) for name in sorted(wanted) if name not in NEEDS}
+    if "customer_orders" in wanted:
+        made["customer_orders"] = lambda new: Parts(_orders_of(new.read("fct_orders")), parts["customer_orders"], sort=SORTED["customer_orders"])
+    if "sales_daily" in wanted:
+        made["sales_daily"] = lambda new: Parts(marts.sales_of(new.read("fct_orders"), marts.sales_days(spark, source, as_of)), parts["sales_daily"])
+    if "customer_rfm" in wanted:
+        made["customer_rfm"] = lambda new: _scores(new, as_of)
     return snapshots.commit(spark, warehouse, made)
 
 
+def _scores(new: Snapshot, as_of: str) -> Parts:
+    return Parts(marts.rfm_of(new.read("fct_orders"), new.read("dim_customers"), as_of), layout()["customer_rfm"], sort=SORTED["customer_rfm"])
+
+
 def of_key(snapshot: Snapshot, name: str, key: int) -> DataFrame:
     """A key's rows of a table that lies by key: one bucket is listed and opened."""
     (bucket,) = snapshot.spark.range(1).select(_bucket(F.lit(key).cast("long"))).first()
@@ -90,7 +110,7 @@ def of_key(snapshot: Snapshot, name: str, key: int) -> DataFrame:
 def _since(log: DataFrame, delivered: DataFrame, key: str) -> DataFrame:
     """(key, since): from when on a key's versions differ; null where no older change is there and all of them do."""
     new = cdc.changes(delivered).groupBy(key).agg(F.min("changed_at").alias("_new"))
-    first = cdc.changes(log.join(new.select(key), key, "left_semi")).groupBy(key).agg(F.min("changed_at").alias("_first"))
+    first = cdc.changes(log).groupBy(key).agg(F.min("changed_at").alias("_first"))
     return new.join(first, key).select(key, F.when(F.col("_first") < F.col("_new"), F.col("_new")).alias("since"))
 
 
@@ -116,25 +136,23 @@ def _replaced(old: Snapshot, name: str, rows: DataFrame, keys: DataFrame, key: s
     return Parts(old.read(name, touched).join(keys, key, "left_anti").unionByName(rows), part, touched, SORTED.get(name))
 
 
-def _after(old: Snapshot, name: str, new: Parts | None, chosen: Callable[[str], bool] = lambda part: True) -> DataFrame:
-    """A divided table as it will be, or the parts of it that are chosen."""
-    if new is None:
-        return old.read(name, [p for p in old.parts(name) if chosen(p)])
-    left = old.read(name, [p for p in old.parts(name) if chosen(p) and p not in new.replaced])
-    picked = [p for p in new.replaced if chosen(p)]
-    return left.unionByName(new.rows.where(part_name(new.part).isin(picked)))
+def _most(keys: DataFrame, table: DataFrame, key: str) -> bool:
+    """Whether keys, one row each, are so many of a table's that it is made anew."""
+    return keys.count() * REBUILT_FROM > table.agg(F.approx_count_distinct(key)).first()[0]
 
 
-def _sales(spark: SparkSession, source: Source, old: Snapshot, orders: Parts | None, as_of: str) -> Parts | None:
+def _sales(spark: SparkSession, source: Source, old: Snapshot, new: Snapshot, orders: Parts | None, as_of: str) -> Parts | None:
     """Months with touched days, or whose days the calendar has now and the table has not, or the other way."""
-    calendar = marts.dim_date(spark, source, as_of).where(F.col("date_day") <= F.lit(as_of).cast("date"))
+    calendar = marts.sales_days(spark, source, as_of)
+    if orders is not None and orders.replaced is None:
+        return Parts(marts.sales_of(new.read("fct_orders"), calendar), layout()["sales_daily"])
     there = old.read("sales_daily").select(F.col("order_date").alias("date_day"), F.lit(True).alias("_there"))
     other = calendar.select("date_day", F.lit(True).alias("_now")).join(there, "date_day", "full").where("_now is null or _there is null")
     months = {r[0] for r in other.select(F.date_format("date_day", "yyyy-MM")).distinct().collect()}
     months |= {day[:7] for day in (orders.replaced if orders else ()) if day != NO_PART}
     if not months:
         return None
-    facts = _after(old, "fct_orders", orders, lambda day: day[:7] in months)
+    facts = new.read("fct_orders", [day for day in new.parts("fct_orders") if day[:7] in months])
     days = calendar.where(F.date_format("date_day", "yyyy-MM").isin(sorted(months)))
     return Parts(marts.sales_of(facts, days), layout()["sales_daily"], sorted(months))
 
@@ -150,24 +168,39 @@ def refresh(spark: SparkSession, source: Source, delivered: Source, warehouse: s
     work = f"{warehouse}/_work/{uuid.uuid4().hex}"
 
     def kept(name: str, rows: DataFrame) -> DataFrame:
-        rows.write.parquet(f"{work}/{name}")
+        rows.write.option("compression", "zstd").parquet(f"{work}/{name}")
         return spark.read.parquet(f"{work}/{name}")
 
-    made: dict[str, DataFrame | Parts | None] = {}
+    made: dict[str, snapshots.Made | None] = {}
+    parts = layout(_divided_by(old))
+
+    def anew(name: str, rows: DataFrame) -> Parts:
+        return Parts(rows, parts[name], sort=SORTED.get(name), derived=_derived(name))
+
     try:
-        named = kept("named", new.order_changes(spark).select("order_id").unionByName(new.order_item_changes(spark).select("order_id")).distinct())
+        if wanted & {"fct_orders", "fct_order_items"}:
+            named = kept("named", new.order_changes(spark).select("order_id").unionByName(new.order_item_changes(spark).select("order_id")).distinct())
         if wanted & {"dim_customers", "fct_orders"}:
             customers = kept("customers", _since(whole.customer_changes(spark), new.customer_changes(spark), "customer_id"))
         if wanted & {"dim_products", "fct_order_items"}:
-            products = kept("products", _since(whole.product_changes(spark), new.product_changes(spark), "product_id"))
+            changed = kept("changed", new.price_changes(spark).select("product_id").distinct())
+            most = {t: _most(changed, old.read(t), "product_id") for t in ("dim_products", "fct_order_items") if t in wanted}
+            if not all(most.values()):
+                products = kept("products", _since(whole.price_changes(spark), new.price_changes(spark), "product_id"))
         if "dim_customers" in wanted:
             rows = kept("dim_customers", marts.dim_customers(spark, Only(whole, customers=customers)))
             made["dim_customers"] = _replaced(old, "dim_customers", rows, customers, "customer_id")
-        if "dim_products" in wanted:
+        if "dim_products" in wanted and most["dim_products"]:
+            made["dim_products"] = anew("dim_products", marts.dim_products(spark, whole))
+        elif "dim_products" in wanted:
             ids = kept("stocked", products.select("product_id").unionByName(new.inventory_changes(spark).select("product_id")).distinct())
             rows = kept("dim_products", marts.dim_products(spark, Only(whole, products=ids)))
             made["dim_products"] = _replaced(old, "dim_products", rows, ids, "product_id")
-        if "fct_orders" in wanted:
+        if "fct_orders" in wanted and _most(named, old.read("fct_orders"), "order_id"):
+            made["fct_orders"] = anew("fct_orders", marts.fct_orders(spark, whole))
+            if "customer_orders" in wanted:
+                made["customer_orders"] = lambda s: anew("customer_orders", _orders_of(s.read("fct_orders")))
+        elif "fct_orders" in wanted:
             dated = old.read("fct_orders").select("order_id", "customer_id", "placed_at").join(customers, "customer_id").where("since is null or placed_at >= since")
             orders = kept("orders", named.unionByName(_billed(whole.deliveries_raw(spark), new.deliveries_raw(spark))).unionByName(dated.select("order_id")).distinct())
             buyers = kept("buyers", Only(whole, orders=orders).order_changes(spark).select("customer_id").distinct())
@@ -175,18 +208,20 @@ def refresh(spark: SparkSession, source: Source, delivered: Source, warehouse: s
             made["fct_orders"] = _replaced(old, "fct_orders", rows, orders, "order_id")
             if "customer_orders" in wanted:
                 made["customer_orders"] = _replaced(old, "customer_orders", _orders_of(rows), orders, "order_id")
-        if "fct_order_items" in wanted:
+        if "fct_order_items" in wanted and (most["fct_order_items"] or _most(named, old.read("fct_order_items"), "order_id")):
+            made["fct_order_items"] = anew("fct_order_items", marts.fct_order_items(spark, whole))
+        elif "fct_order_items" in wanted:
             # A day earlier, as a business day and the instant's own may differ by one.
             sold = old.read("fct_order_items").select("order_id", "product_id", "order_date").join(products, "product_id").where("since is null or order_date >= date_sub(cast(since as date), 1)")
             orders = kept("lined", named.unionByName(sold.select("order_id")).distinct())
-            goods = kept("goods", Only(whole, orders=orders).order_item_changes(spark).select("product_id").distinct())
-            rows = kept("fct_order_items", marts.fct_order_items(spark, Only(whole, orders=orders, products=goods)))
+            lines = kept("lines", marts.dated_lines(spark, Only(whole, orders=orders)))
+            goods = kept("goods", lines.select("product_id").distinct())
+            rows = kept("fct_order_items", marts.priced(spark, Only(whole, products=goods), lines))
             made["fct_order_items"] = _replaced(old, "fct_order_items", rows, orders, "order_id")
         if "sales_daily" in wanted:
-            made["sales_daily"] = _sales(spark, whole, old, made["fct_orders"], as_of)
+            made["sales_daily"] = lambda s: _sales(spark, whole, old, s, made["fct_orders"], as_of)
         if "customer_rfm" in wanted:
-            scores = marts.rfm_of(_after(old, "fct_orders", made["fct_orders"]), _after(old, "dim_customers", made["dim_customers"]), as_of)
-            made["customer_rfm"] = Parts(scores, layout()["customer_rfm"], sort=SORTED["customer_rfm"])
+            made["customer_rfm"] = lambda s: _scores(s, as_of)
         return snapshots.commit(spark, warehouse, {name: table for name, table in made.items() if table is not None}, base=old.number)
     finally:
         files.delete(spark, work)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from storelens.operators import snapshots
 from storelens.operators.snapshots import Parts, Snapshot
-from storelens.plans import marts, refresh, serve
-from storelens.sources import files
+from storelens.plans import build, marts, refresh, serve
+from storelens.sources import files, inputs
 from storelens.sources.inputs import Arrived
 
 
@@ -114,3 +114,25 @@ def test_a_read_by_key_opens_one_bucket(spark, sf_dir, tmp_path):
         assert _rows(rows) == _rows(whole) and (rows.count() > 0) == (key > 0)
     assert serve.published_history(old, -1).count() == 0
     assert _rows(serve.published_prices(old, 42)) == _rows(serve.price_history(spark, sf_dir, 42))
+
+
+def test_a_large_delivery_has_tables_made_anew_with_the_same_rows(spark, sf_dir, tmp_path, monkeypatch):
+    """Every fortieth change touches most products; the logs are then not cut to them, and the old rows are not read."""
+    late, billed = (F.pmod(F.xxhash64(*c), F.lit(40)) == 0 for c in (("ts_ms", "kafka_offset"), ("waybill",)))
+    names, found = ("dim_products",), {}
+    for from_ in (8, 0):  # 0: never
+        monkeypatch.setattr(refresh, "REBUILT_FROM", from_)
+        root, cuts = f"file://{tmp_path}/{from_}", []
+        refresh.build(spark, Arrived(sf_dir, ~late, ~billed), root, names, by="month")
+        monkeypatch.setattr(refresh, "Only", lambda *a, **b: cuts.append(b) or inputs.Only(*a, **b))
+        refresh.refresh(spark, sf_dir, Arrived(sf_dir, late, billed), root, names)
+        assert len(cuts) == (0 if from_ else 1)
+        found[from_] = {name: _rows(Snapshot(spark, root).read(name)) for name in names}
+    assert found[8] == found[0]
+
+
+def test_tables_made_from_facts_do_not_read_the_logs_again(spark, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setitem(build.TABLES, "sales_daily", lambda *a: pytest.fail("computed from the logs"))
+    root = f"file://{tmp_path}"
+    build.commit(spark, sf_dir, root, ("fct_orders", "sales_daily"))
+    assert _rows(Snapshot(spark, root).read("sales_daily")) == _rows(marts.sales_daily(spark, sf_dir))
