@@ -6,7 +6,10 @@ within one partition, as a key has.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Mapping
+from functools import reduce
+from operator import or_
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,9 +28,13 @@ CASTS = {"shipping_fee": "decimal(10,2)", "order_total": "decimal(12,2)", "unit_
 KEYS = {"orders": ["order_id"], "order_items": ["order_id", "product_id"], "customers": ["customer_id"], "products": ["product_id"], "inventory": ["product_id"]}
 
 
+def _names(table: str) -> list[str]:
+    return [c.strip().split(" ")[0] for c in IMAGES[table].split(",")]
+
+
 def to_envelopes(changes: DataFrame, table: str, *keep: str) -> DataFrame:
     """(value, kafka_offset) and the columns in keep: changes as the JSON a change stream carries, images before and after."""
-    names = [x.strip().split(" ")[0] for x in IMAGES[table].split(",")]
+    names = _names(table)
     texts = [F.col(c).cast("string").alias(c) if c in CASTS else F.col(c) for c in names]
     image = F.struct(*texts)
     w = Window.partitionBy(*KEYS[table]).orderBy("ts_ms", "kafka_offset")
@@ -55,12 +62,43 @@ def typed(parsed: DataFrame, table: str) -> DataFrame:
     """One table's changes: op, is_deleted, times and the image's columns, read from the JSON once."""
     image = F.from_json(F.coalesce("after_json", "before_json"), IMAGES[table])
     own = parsed.where(F.col("table_name") == table).select("op", "ts_ms", "kafka_offset", image.alias("i"), F.get_json_object("before_json", "$.status").alias("previous_status"))
-    names = [x.strip().split(" ")[0] for x in IMAGES[table].split(",")]
+    names = _names(table)
     columns = [F.col(f"i.{c}").try_cast(CASTS[c]).alias(c) if c in CASTS else F.col(f"i.{c}") for c in names]
     previous = ["previous_status"] if table == "orders" else []
     return changes(own.select("op", "ts_ms", "kafka_offset", *columns, *previous))
 
 
+class Wanted(NamedTuple):
+    """What readers take of a table's changes: columns of its images, and those changes for whose op ``when`` holds."""
+
+    columns: Iterable[str]
+    when: Callable[[Column], Column]
+
+
+def images(stream: DataFrame, wanted: Mapping[str, Wanted], *keep: str) -> DataFrame:
+    """(table_name, op, ts_ms, kafka_offset, image, previous_status) of the wanted tables' changes, and the columns in keep.
+
+    A message is read once, and of its images only what is wanted; all else of it is
+    dropped here, before anything moves the rows.
+    """
+    types = {name: kind for t in wanted for name, kind in (c.strip().split(" ") for c in IMAGES[t].split(","))}
+    names = dict.fromkeys(c for t, w in wanted.items() for c in types if c in w.columns and c in _names(t))
+    image = ", ".join(f"{c}: {types[c]}" for c in names)
+    before = image if "status" in names else ", ".join([image, "status: string"])
+    message = F.from_json("value", f"before struct<{before}>, after struct<{image}>, op string, source struct<table: string, ts_ms: string>")
+    taken = lambda m: reduce(or_, ((m["source"]["table"] == t) & F.coalesce(w.when(m["op"]), F.lit(False)) for t, w in wanted.items()))
+    # Inside the generator, as in parse_envelopes: a filter behind it would read each message again.
+    m = stream.select(F.explode(F.filter(F.array(message), lambda m: m["op"].isNotNull() & taken(m))).alias("m"), "kafka_offset", *keep)
+    last = F.struct(*(F.when(F.col("m.after").isNotNull(), F.col(f"m.after.{c}")).otherwise(F.col(f"m.before.{c}")).alias(c) for c in names))
+    return m.select(F.col("m.source.table").alias("table_name"), F.col("m.op").alias("op"), F.col("m.source.ts_ms").try_cast("long").alias("ts_ms"), "kafka_offset", *keep, last.alias("image"), F.col("m.before.status").alias("previous_status"))
+
+
+def typed_images(read: DataFrame, table: str, columns: Iterable[str]) -> DataFrame:
+    """One table's changes from what ``images`` gives, with some of its columns, as ``typed`` has them."""
+    values = (F.col(f"image.{c}").try_cast(CASTS[c]).alias(c) if c in CASTS else F.col(f"image.{c}").alias(c) for c in columns)
+    return changes(read.where(F.col("table_name") == table).select("op", "ts_ms", "kafka_offset", *values, *(["previous_status"] if table == "orders" else [])))
+
+
 def changes(log: DataFrame) -> DataFrame:
     """Adds is_deleted and changed_at."""
     return log.withColumns({"is_deleted": F.col("op") == "d", "changed_at": from_millis(F.col("ts_ms"))})

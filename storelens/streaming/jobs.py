@@ -138,9 +138,14 @@ def guarded(messages: DataFrame, keys: tuple[str, ...] = PLACE, keep: str = GUAR
 def live_query(messages: DataFrame, path: str, checkpoint: str, every: str | None = "5 seconds", names: Iterable[str] = tuple(views.VIEWS), buckets: int = views.BUCKETS, keep_days: int | None = None, at: str | None = None) -> StreamingQuery:
     """Live views from the change stream; messages carry their topic, partition and offset."""
     messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    parsed = cdc.parse_envelopes(guarded(messages, at=at))
+    names = tuple(names)
+    # Read before the guard, so that places and what the views take are moved, and no messages.
+    read = guarded(cdc.images(messages, views.wanted(names), *(c for c in (*PLACE, at) if c not in (None, "kafka_offset"))), at=at)
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        if len(names) == 1:  # which takes it once
+            views.apply_all(batch, batch_id, path, names, buckets, keep_days)
+            return
         batch.persist()
         try:
             views.apply_all(batch, batch_id, path, names, buckets, keep_days)

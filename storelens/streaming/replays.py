@@ -74,7 +74,7 @@ def landed(spark: SparkSession, sf_dir: str, *tables: str) -> Landed:
 def live_view(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     """Views kept over the deliveries of the tables that they take."""
     root = folder(spark, "live")
-    tables = {t for n in names for t in views.VIEWS[n].tables}
+    tables = set(views.wanted(names))
     _deliver(spark, sf_dir, root, tables, lambda m: jobs.live_query(m, f"{root}/views", f"{root}/state", every=None, names=names))
     return [views.read(spark, f"{root}/views", n) for n in names]
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storelens.functions.scalars import business_date
@@ -35,11 +35,13 @@ ORDER = ("ts_ms", "kafka_offset")
 
 
 class View(NamedTuple):
-    tables: tuple[str, ...]
+    table: str
+    columns: tuple[str, ...]  # of the table's images, those that its steps read
     keys: tuple[str, ...]
     steps: Callable[[DataFrame], DataFrame]  # changes of one table -> rows
     combine: Callable[[DataFrame], DataFrame]  # rows -> one row a key, of the same columns
     day: str | None = None  # a column of days by which rows expire
+    when: Callable[[Column], Column] = Column.isNotNull  # of an op: whether its changes give any row
 
 
 def _summed(*keys: str) -> Callable[[DataFrame], DataFrame]:
@@ -82,15 +84,23 @@ def _kept(kind: str, *columns: str) -> Callable[[DataFrame], DataFrame]:
     return lambda changes: changes.where("op <> 'd'").select(f"{kind}_id", *columns, *ORDER)
 
 
+def _created(op: Column) -> Column:
+    return op == "c"
+
+
+def _there(op: Column) -> Column:
+    return op != "d"
+
+
 #: The views by name.
 VIEWS = {
-    "status_board": View(("orders",), ("status",), cdc.signed_board, _summed("status")),
-    "day_kpis": View(("orders",), ("day",), _day_steps, _summed("day"), "day"),
-    "recent_orders": View(("orders",), (), _recent, _newest),
-    "product_days": View(("order_items",), ("day", "product_id"), _sold, _summed("day", "product_id"), "day"),
-    "stock": View(("inventory",), ("product_id",), _kept("product", "stock_on_hand"), _last("product_id")),
-    "product_cards": View(("products",), ("product_id",), _kept("product", "product_name", "category", "price"), _last("product_id")),
-    "customer_cards": View(("customers",), ("customer_id",), _kept("customer", "first_name", "province", "city"), _last("customer_id")),
+    "status_board": View("orders", ("status",), ("status",), cdc.signed_board, _summed("status")),
+    "day_kpis": View("orders", ("status", "order_total"), ("day",), _day_steps, _summed("day"), "day", lambda op: op.isin("c", "u")),
+    "recent_orders": View("orders", ("order_id", "customer_id", "order_total", "ship_province", "payment_method", "placed_at"), (), _recent, _newest, when=_created),
+    "product_days": View("order_items", ("product_id", "quantity", "unit_price"), ("day", "product_id"), _sold, _summed("day", "product_id"), "day", _created),
+    "stock": View("inventory", ("product_id", "stock_on_hand"), ("product_id",), _kept("product", "stock_on_hand"), _last("product_id"), when=_there),
+    "product_cards": View("products", ("product_id", "product_name", "category", "price"), ("product_id",), _kept("product", "product_name", "category", "price"), _last("product_id"), when=_there),
+    "customer_cards": View("customers", ("customer_id", "first_name", "province", "city"), ("customer_id",), _kept("customer", "first_name", "province", "city"), _last("customer_id"), when=_there),
 }
 
 
@@ -156,11 +166,10 @@ class KeyedView:
 
 
 def apply_all(batch: DataFrame, batch_id: int, path: str, names: Iterable[str], buckets: int = BUCKETS, keep_days: int | None = None) -> None:
-    """One micro-batch of parsed changes to every view of a table it may hold; each view is final by itself."""
+    """One micro-batch of changes, as ``cdc.images`` reads them, to every view; each view is final by itself."""
     for name in names:
         view = VIEWS[name]
-        for table in view.tables:
-            KeyedView(batch.sparkSession, f"{path}/{name}", view, buckets, keep_days if view.day else None).apply(cdc.typed(batch, table), batch_id)
+        KeyedView(batch.sparkSession, f"{path}/{name}", view, buckets, keep_days if view.day else None).apply(cdc.typed_images(batch, view.table, view.columns), batch_id)
 
 
 def read(spark: SparkSession, path: str, name: str) -> DataFrame:

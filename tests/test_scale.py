@@ -7,10 +7,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from storelens.operators import clicks
+from storelens.operators import cdc, clicks
 from storelens.plans import marts
-from storelens.sources import inputs
-from storelens.streaming import cart_state, replays
+from storelens.sources import files, inputs
+from storelens.streaming import cart_state, jobs, replays, sources, views
+from storelens.streaming.folders import BatchFolders
 
 EVENT = "session_id string, event_time timestamp, event_type string, customer_id long, product_id long, quantity int, price double"
 
@@ -103,3 +104,32 @@ def test_a_line_without_a_known_product_has_no_version(spark, sf_dir):
     rows = {r.order_id: r for r in marts.priced(spark, sf_dir, lines).collect()}
     assert len(rows) == 3 and rows[3].product_sk is not None and rows[3].product_name is not None
     assert all(rows[n][c] is None for n in (1, 2) for c in ("product_sk", "product_name", "category", "unit_cost_at_sale", "line_margin"))
+
+
+def _plan(made) -> str:
+    return made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_message_moves_as_the_columns_that_its_view_takes(spark, sf_dir, tmp_path):
+    """The guard's state gets places and those columns; changes that give a view no row are not remembered."""
+    root = f"file://{tmp_path}"
+    log = replays.log(spark, sf_dir, "orders")
+    log.write.parquet(f"{root}/log")
+    query = jobs.live_query(sources.log_folder(spark, f"{root}/log"), f"{root}/views", f"{root}/state", every=None, names=["recent_orders"])
+    query.awaitTermination()
+    created = spark.read.parquet(f"{root}/log").where("value like '%\"op\":\"c\"%'").count()
+    assert 0 < created < log.count() and query.recentProgress[0]["stateOperators"][0]["numRowsTotal"] == created
+    read = cdc.images(log, views.wanted(["status_board", "day_kpis", "product_days"]), "topic")
+    assert read.columns == ["table_name", "op", "ts_ms", "kafka_offset", "topic", "image", "previous_status"]
+    assert read.schema["image"].dataType.fieldNames() == ["status", "order_total", "product_id", "quantity", "unit_price"]
+    assert _plan(read).count("from_json(") == 1
+
+
+@pytest.mark.parametrize("table", ["orders", "order_items", "products", "customers", "inventory"])
+def test_wanted_images_equal_whole_ones(spark, sf_dir, table):
+    log = replays.log(spark, sf_dir, table).unionByName(spark.createDataFrame([("t", 0, 1, None, None), ("t", 0, 2, None, "no json"), ("t", 0, 3, None, '{"op": "c"}')], sources.LOG))
+    names = [n for n, v in views.VIEWS.items() if v.table == table]
+    columns = views.wanted(names)[table].columns
+    whole, some = cdc.typed(cdc.parse_envelopes(log), table), cdc.typed_images(cdc.images(log, {table: cdc.Wanted(columns, lambda op: op.isNotNull())}), table, columns)
+    assert some.count() == whole.count() > 0 and set(columns) < set(whole.columns)
+    assert some.exceptAll(whole.select(some.columns)).count() == 0
