@@ -104,6 +104,19 @@ VIEWS = {
 }
 
 
+def wanted(names: Iterable[str]) -> dict[str, cdc.Wanted]:
+    """What views take of each table's changes."""
+    out: dict[str, cdc.Wanted] = {}
+    for view in (VIEWS[n] for n in names):
+        there = out.get(view.table)
+        out[view.table] = cdc.Wanted(view.columns, view.when) if there is None else cdc.Wanted(tuple(dict.fromkeys((*there.columns, *view.columns))), _either(there.when, view.when))
+    return out
+
+
+def _either(one: Callable[[Column], Column], other: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda op: one(op) | other(op)
+
+
 class KeyedView:
     def __init__(self, spark: SparkSession, path: str, view: View, buckets: int = BUCKETS, keep_days: int | None = None):
         """keep_days: rows of days so long before a batch's newest day go when their bucket is written."""
@@ -143,7 +156,8 @@ class KeyedView:
             merged = rows.drop("bucket") if stored is None else self.view.combine(stored.unionByName(rows.drop("bucket")))
             if self.keep_days is not None and any(touched.values()):
                 merged = merged.where(F.col(self.view.day) > F.lit(max(d for d in touched.values() if d)) - F.make_dt_interval(days=F.lit(self.keep_days)))
-            merged.withColumn("bucket", bucket).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").option("compression", "zstd").parquet(f"{self.path}/batch={batch_id}")
+            with files.few_folders(merged.sparkSession):
+                merged.withColumn("bucket", bucket).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").option("compression", "zstd").parquet(f"{self.path}/batch={batch_id}")
         finally:
             rows.unpersist()
         for b in touched:

@@ -133,3 +133,15 @@ def test_wanted_images_equal_whole_ones(spark, sf_dir, table):
     whole, some = cdc.typed(cdc.parse_envelopes(log), table), cdc.typed_images(cdc.images(log, {table: cdc.Wanted(columns, lambda op: op.isNotNull())}), table, columns)
     assert some.count() == whole.count() > 0 and set(columns) < set(whole.columns)
     assert some.exceptAll(whole.select(some.columns)).count() == 0
+
+
+def test_writes_into_few_folders_sort_nothing(spark, tmp_path):
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    rows = spark.range(5000).withColumn("part", F.col("id") % 3)
+    folders = BatchFolders(spark, f"file://{tmp_path}/t", partition_by=("part",))
+    with files.few_folders(spark):
+        assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "16"
+        rows.write.partitionBy("part").parquet(f"file://{tmp_path}/plain")
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+    written = folders.save(rows, 0)
+    assert written.groupBy("part").count().count() == 3 and written.count() == 5000 == spark.read.parquet(f"file://{tmp_path}/plain").count()
