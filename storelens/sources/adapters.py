@@ -50,8 +50,11 @@ def clicks(spark: SparkSession, sf_dir: str, repeated: bool = False) -> DataFram
     return out.unionByName(out.where("event_id % 50 = 0")) if repeated else out
 
 
-def order_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The change log of orders: one row a change, with the row's image in columns."""
+def order_changes(spark: SparkSession, sf_dir: str, together: bool = False) -> DataFrame:
+    """The change log of orders: one row a change, with the row's image in columns.
+
+    together: an order's changes lie in one partition; the order is moved there, and not each change.
+    """
     k = F.col("o_orderkey")
     state = F.col("o_orderstatus")
     steps = F.array(
@@ -64,7 +67,8 @@ def order_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     final = F.when(k % 17 == 0, "CANCELLED").when(state == "F", "DELIVERED").when(state == "O", "SHIPPED").when(k % 2 == 1, "PAID").otherwise("PLACED")
     gone = F.when(k % 97 == 0, F.struct(F.lit(9).alias("seq"), F.lit("d").alias("op"), final.alias("status"), F.lit(30).alias("day")))
-    log = table(spark, sf_dir, "orders").withColumn("step", F.explode(F.array_compact(F.concat(steps, F.array(gone)))))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+    log = (orders.repartition("o_orderkey") if together else orders).withColumn("step", F.explode(F.array_compact(F.concat(steps, F.array(gone)))))
     at = F.col("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(days=F.col("step.day"))
     customer = F.col("o_custkey")
     return log.select(
@@ -125,9 +129,13 @@ def price_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return known.withColumn("cost", (F.col("price") * F.lit("0.6").cast("decimal(2,1)")).cast("decimal(14,3)").cast(MONEY))
 
 
-def product_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The change log of products with their names."""
-    return price_changes(spark, sf_dir).join(product_names(spark, sf_dir), "product_id")
+def product_changes(spark: SparkSession, sf_dir: str, together: bool = False) -> DataFrame:
+    """The change log of products with their names.
+
+    together: a product's changes lie in one partition; they are moved there before they have their names.
+    """
+    prices = price_changes(spark, sf_dir)
+    return (prices.repartition("product_id") if together else prices).join(product_names(spark, sf_dir), "product_id")
 
 
 def busy_products(spark: SparkSession, sf_dir: str, more_than: int) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +35,8 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-LOGS = {"orders": adapters.order_changes, "order_items": adapters.order_item_changes, "products": adapters.product_changes, "customers": adapters.customer_changes, "inventory": adapters.inventory_changes}
+#: Messages carry the image before, so a key's changes have to meet; here they lie together from the start.
+LOGS = {"orders": partial(adapters.order_changes, together=True), "order_items": adapters.order_item_changes, "products": partial(adapters.product_changes, together=True), "customers": adapters.customer_changes, "inventory": adapters.inventory_changes}
 
 
 def log(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -135,6 +135,15 @@ def test_wanted_images_equal_whole_ones(spark, sf_dir, table):
     assert some.exceptAll(whole.select(some.columns)).count() == 0
 
 
+def test_changes_move_once_to_become_messages(spark, sf_dir):
+    """Orders move before they are divided into changes, and products before they have their names."""
+    for table in ("orders", "products"):
+        plan = _plan(replays.log(spark, sf_dir, table))
+        assert plan.count("Exchange hashpartitioning") == 1
+        above = plan[: plan.index("Exchange hashpartitioning")]
+        assert ("Generate explode" if table == "orders" else "Join") in above
+
+
 def test_writes_into_few_folders_sort_nothing(spark, tmp_path):
     before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
     rows = spark.range(5000).withColumn("part", F.col("id") % 3)
