@@ -154,3 +154,16 @@ def test_writes_into_few_folders_sort_nothing(spark, tmp_path):
     assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
     written = folders.save(rows, 0)
     assert written.groupBy("part").count().count() == 3 and written.count() == 5000 == spark.read.parquet(f"file://{tmp_path}/plain").count()
+
+
+def test_batches_without_rows_leave_nothing_to_fold(spark, tmp_path):
+    folders = BatchFolders(spark, f"file://{tmp_path}/t", fold_every=2, partition_by=("part",))
+    rows = spark.range(10).withColumn("part", F.lit(1))
+    assert folders.save(rows, 0).count() == 10
+    for batch in range(1, 5):
+        assert folders.save(rows.where("id < 0"), batch) is None
+        folders.fold_if_due()
+    assert [p.name for p in (tmp_path / "t").iterdir()] == ["batch=0"]
+    folders.save(rows, 5)
+    folders.fold_if_due()
+    assert [p.name for p in (tmp_path / "t").iterdir()] == ["upto=5"] and folders.read().count() == 20
