@@ -180,7 +180,8 @@ def refresh(spark: SparkSession, source: Source, delivered: Source, warehouse: s
     try:
         if wanted & {"fct_orders", "fct_order_items"}:
             named = kept("named", new.order_changes(spark).select("order_id").unionByName(new.order_item_changes(spark).select("order_id")).distinct())
-        if wanted & {"dim_customers", "fct_orders"}:
+        most_orders = "fct_orders" in wanted and _most(named, old.read("fct_orders"), "order_id")
+        if "dim_customers" in wanted or ("fct_orders" in wanted and not most_orders):
             customers = kept("customers", _since(whole.customer_changes(spark), new.customer_changes(spark), "customer_id"))
         if wanted & {"dim_products", "fct_order_items"}:
             changed = kept("changed", new.price_changes(spark).select("product_id").distinct())
@@ -196,7 +197,7 @@ def refresh(spark: SparkSession, source: Source, delivered: Source, warehouse: s
             ids = kept("stocked", products.select("product_id").unionByName(new.inventory_changes(spark).select("product_id")).distinct())
             rows = kept("dim_products", marts.dim_products(spark, Only(whole, products=ids)))
             made["dim_products"] = _replaced(old, "dim_products", rows, ids, "product_id")
-        if "fct_orders" in wanted and _most(named, old.read("fct_orders"), "order_id"):
+        if most_orders:
             made["fct_orders"] = anew("fct_orders", marts.fct_orders(spark, whole))
             if "customer_orders" in wanted:
                 made["customer_orders"] = lambda s: anew("customer_orders", _orders_of(s.read("fct_orders")))

@@ -167,3 +167,15 @@ def test_batches_without_rows_leave_nothing_to_fold(spark, tmp_path):
     folders.save(rows, 5)
     folders.fold_if_due()
     assert [p.name for p in (tmp_path / "t").iterdir()] == ["upto=5"] and folders.read().count() == 20
+
+
+def test_orders_made_anew_ask_for_no_changed_customers(spark, sf_dir, monkeypatch):
+    from storelens import catalog
+    from storelens.plans import refresh
+
+    def asked(*_):
+        raise AssertionError("customers are read for nothing")
+
+    monkeypatch.setattr(refresh, "_since", asked)
+    facts = catalog.QUERIES["refreshed_fct_orders"](spark, sf_dir)
+    assert facts.count() == marts.order_core(spark, sf_dir).count() > 0
