@@ -59,7 +59,8 @@ def publish(df: DataFrame, path: str, keep: int = 2) -> int:
     spark = df.sparkSession
     done = _versions(spark, path)
     version = done[-1] + 1 if done else 1
-    df.write.mode("overwrite").option("partitionOverwriteMode", "static").option("compression", "zstd").parquet(f"{path}/v={version}")
+    with files.shuffles_end_with_writes(spark):
+        df.write.mode("overwrite").option("partitionOverwriteMode", "static").option("compression", "zstd").parquet(f"{path}/v={version}")
     for old in [*done, version][:-keep]:
         files.delete(spark, f"{path}/v={old}")
     return version

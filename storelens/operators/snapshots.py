@@ -42,6 +42,7 @@ class Parts(NamedTuple):
     part names a row's part; what it gives as text must do as a folder's name.
     sort: a column by which files are sorted, so that reads of few of its values skip most of a file.
     derived: columns of rows that follow from others; they are made where they are written, and not moved.
+    columns: the table's, if rows have others too, from which derived ones follow; all, if not given.
     """
 
     rows: DataFrame
@@ -49,6 +50,7 @@ class Parts(NamedTuple):
     replaced: Collection[str] | None = None
     sort: str | None = None
     derived: Mapping[str, Column] = {}
+    columns: Collection[str] | None = None
 
 
 #: How a manifest names a table: its folder, or its schema and the folder of each part.
@@ -68,17 +70,22 @@ def _folders(tables: Mapping[str, Entry]) -> set[str]:
 def _written(spark: SparkSession, warehouse: str, folder: str, table: DataFrame | Parts, before: Entry | None) -> Entry:
     """Writes a table or some parts of it, and returns how the manifest names it."""
     if isinstance(table, DataFrame):
-        table.write.option("partitionOverwriteMode", "static").option("compression", "zstd").parquet(f"{warehouse}/{folder}")
+        with files.shuffles_end_with_writes(spark):
+            table.write.option("partitionOverwriteMode", "static").option("compression", "zstd").parquet(f"{warehouse}/{folder}")
         return folder
-    rows = table.rows.drop(*table.derived).withColumn("_part", part_name(table.part)).hint("rebalance", "_part").withColumns(table.derived).select(*table.rows.columns, "_part")
+    columns = list(table.columns or table.rows.columns)
+    rows = table.rows.drop(*table.derived).withColumn("_part", part_name(table.part)).hint("rebalance", "_part").withColumns(table.derived).select(*columns, "_part")
+    schema = rows.drop("_part").schema
     if table.sort is not None:
         rows = rows.sortWithinPartitions("_part", table.sort)
-    rows.write.option("partitionOverwriteMode", "static").option("compression", "zstd").partitionBy("_part").parquet(f"{warehouse}/{folder}")
+    # A task has few parts, as rows are dealt out by them.
+    with files.shuffles_end_with_writes(spark), files.few_folders(spark):
+        rows.write.option("partitionOverwriteMode", "static").option("compression", "zstd").partitionBy("_part").parquet(f"{warehouse}/{folder}")
     new = {n.removeprefix("_part="): f"{folder}/{n}" for n in files.names(spark, f"{warehouse}/{folder}") if n.startswith("_part=")}
     kept = {} if table.replaced is None or not isinstance(before, dict) else {p: path for p, path in before["parts"].items() if p not in table.replaced}
     if table.replaced is not None and not set(new) <= set(table.replaced):
         raise ValueError(f"rows outside the parts that are replaced: {sorted(set(new) - set(table.replaced))[:5]}")
-    return {"schema": table.rows.schema.json(), "parts": kept | new}
+    return {"schema": schema.json(), "parts": kept | new}
 
 
 def _numbers(spark: SparkSession, warehouse: str) -> list[int]:

@@ -63,6 +63,18 @@ def _derived(name: str) -> dict[str, Column]:
     return {f"{key}_sk": surrogate_key(F.col(f"{key}_id"), F.col("version"))} if key else {}
 
 
+#: Facts that move as what they are made from: the rows, the columns that follow from them, and the table's columns.
+FROM_VERSIONS = {"fct_orders": (marts.versioned_orders, marts.order_keys, marts.ORDER_COLUMNS), "fct_order_items": (marts.versioned_items, marts.item_keys, marts.ITEM_COLUMNS)}
+
+
+def _anew(spark: SparkSession, source: Source, name: str, part: Column) -> Parts:
+    """All parts of a table that is made from the inputs."""
+    if name not in FROM_VERSIONS:
+        return Parts(MAKERS[name](spark, source), part, sort=SORTED.get(name), derived=_derived(name))
+    rows, derived, columns = FROM_VERSIONS[name]
+    return Parts(rows(spark, source), part, derived=derived(), columns=columns)
+
+
 def customer_orders(spark: SparkSession, source: Source) -> DataFrame:
     return _orders_of(marts.fct_orders(spark, source))
 
@@ -87,7 +99,7 @@ def _wanted(names: Collection[str]) -> set[str]:
 def build(spark: SparkSession, source: Source, warehouse: str, names: Collection[str] = TABLES, as_of: str = marts.AS_OF, by: str = "day") -> int:
     """The first snapshot: all parts of the tables, and of those that they are made from; a refresh divides facts likewise."""
     parts, wanted = layout(by), _wanted(names)
-    made: dict[str, snapshots.Made] = {name: Parts(MAKERS[name](spark, source), parts[name], sort=SORTED.get(name), derived=_derived(name)) for name in sorted(wanted) if name not in NEEDS}
+    made: dict[str, snapshots.Made] = {name: _anew(spark, source, name, parts[name]) for name in sorted(wanted) if name not in NEEDS}
     if "customer_orders" in wanted:
         made["customer_orders"] = lambda new: Parts(_orders_of(new.read("fct_orders")), parts["customer_orders"], sort=SORTED["customer_orders"])
     if "sales_daily" in wanted:
@@ -168,15 +180,13 @@ def refresh(spark: SparkSession, source: Source, delivered: Source, warehouse: s
     work = f"{warehouse}/_work/{uuid.uuid4().hex}"
 
     def kept(name: str, rows: DataFrame) -> DataFrame:
-        rows.write.option("compression", "zstd").parquet(f"{work}/{name}")
+        with files.shuffles_end_with_writes(spark):
+            rows.write.option("compression", "zstd").parquet(f"{work}/{name}")
         return spark.read.parquet(f"{work}/{name}")
 
     made: dict[str, snapshots.Made | None] = {}
     parts = layout(_divided_by(old))
 
-    def anew(name: str, rows: DataFrame) -> Parts:
-        return Parts(rows, parts[name], sort=SORTED.get(name), derived=_derived(name))
-
     try:
         if wanted & {"fct_orders", "fct_order_items"}:
             named = kept("named", new.order_changes(spark).select("order_id").unionByName(new.order_item_changes(spark).select("order_id")).distinct())
@@ -192,15 +202,15 @@ def refresh(spark: SparkSession, source: Source, delivered: Source, warehouse: s
             rows = kept("dim_customers", marts.dim_customers(spark, Only(whole, customers=customers)))
             made["dim_customers"] = _replaced(old, "dim_customers", rows, customers, "customer_id")
         if "dim_products" in wanted and most["dim_products"]:
-            made["dim_products"] = anew("dim_products", marts.dim_products(spark, whole))
+            made["dim_products"] = _anew(spark, whole, "dim_products", parts["dim_products"])
         elif "dim_products" in wanted:
             ids = kept("stocked", products.select("product_id").unionByName(new.inventory_changes(spark).select("product_id")).distinct())
             rows = kept("dim_products", marts.dim_products(spark, Only(whole, products=ids)))
             made["dim_products"] = _replaced(old, "dim_products", rows, ids, "product_id")
         if most_orders:
-            made["fct_orders"] = anew("fct_orders", marts.fct_orders(spark, whole))
+            made["fct_orders"] = _anew(spark, whole, "fct_orders", parts["fct_orders"])
             if "customer_orders" in wanted:
-                made["customer_orders"] = lambda s: anew("customer_orders", _orders_of(s.read("fct_orders")))
+                made["customer_orders"] = lambda s: Parts(_orders_of(s.read("fct_orders")), parts["customer_orders"], sort=SORTED["customer_orders"])
         elif "fct_orders" in wanted:
             dated = old.read("fct_orders").select("order_id", "customer_id", "placed_at").join(customers, "customer_id").where("since is null or placed_at >= since")
             orders = kept("orders", named.unionByName(_billed(whole.deliveries_raw(spark), new.deliveries_raw(spark))).unionByName(dated.select("order_id")).distinct())
@@ -210,7 +220,7 @@ def refresh(spark: SparkSession, source: Source, delivered: Source, warehouse: s
             if "customer_orders" in wanted:
                 made["customer_orders"] = _replaced(old, "customer_orders", _orders_of(rows), orders, "order_id")
         if "fct_order_items" in wanted and (most["fct_order_items"] or _most(named, old.read("fct_order_items"), "order_id")):
-            made["fct_order_items"] = anew("fct_order_items", marts.fct_order_items(spark, whole))
+            made["fct_order_items"] = _anew(spark, whole, "fct_order_items", parts["fct_order_items"])
         elif "fct_order_items" in wanted:
             # A day earlier, as a business day and the instant's own may differ by one.
             sold = old.read("fct_order_items").select("order_id", "product_id", "order_date").join(products, "product_id").where("since is null or order_date >= date_sub(cast(since as date), 1)")

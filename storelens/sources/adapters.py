@@ -68,7 +68,8 @@ def order_changes(spark: SparkSession, sf_dir: str, together: bool = False) -> D
     final = F.when(k % 17 == 0, "CANCELLED").when(state == "F", "DELIVERED").when(state == "O", "SHIPPED").when(k % 2 == 1, "PAID").otherwise("PLACED")
     gone = F.when(k % 97 == 0, F.struct(F.lit(9).alias("seq"), F.lit("d").alias("op"), final.alias("status"), F.lit(30).alias("day")))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
-    log = (orders.repartition("o_orderkey") if together else orders).withColumn("step", F.explode(F.array_compact(F.concat(steps, F.array(gone)))))
+    # A number, as orders are small and their changes are not: fewer tasks would each have many changes.
+    log = (orders.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey") if together else orders).withColumn("step", F.explode(F.array_compact(F.concat(steps, F.array(gone)))))
     at = F.col("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(days=F.col("step.day"))
     customer = F.col("o_custkey")
     return log.select(
@@ -91,10 +92,14 @@ def order_changes(spark: SparkSession, sf_dir: str, together: bool = False) -> D
     )
 
 
-def order_item_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The change log of order lines, one line for each order and part."""
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"))
-    keyed = lines.agg(F.sum("l_quantity").cast("int").alias("quantity"), F.max("l_extendedprice").cast(MONEY).alias("unit_price"), F.min("l_shipdate").cast("timestamp_ntz").alias("at"))
+def order_item_changes(spark: SparkSession, sf_dir: str, together: bool = False) -> DataFrame:
+    """The change log of order lines, one line for each order and part.
+
+    together: all lines of an order lie in one partition; they are moved there before they are changes.
+    """
+    sold = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", F.col("l_extendedprice").cast(MONEY).alias("_price"), "l_shipdate")
+    lines = (sold.repartition("l_orderkey") if together else sold).groupBy(F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"))
+    keyed = lines.agg(F.sum("l_quantity").cast("int").alias("quantity"), F.max("_price").alias("unit_price"), F.min("l_shipdate").cast("timestamp_ntz").alias("at"))
     both = F.col("order_id") + F.col("product_id")
     step = lambda op, more, hours: F.struct(F.lit(op).alias("op"), F.lit(more).alias("more"), F.lit(hours).alias("hours"))
     log = keyed.withColumn("step", F.explode(F.array_compact(F.array(step("c", 0, 0), F.when(both % 13 == 0, step("u", 1, 1)), F.when(both % 29 == 0, step("d", 1, 2))))))

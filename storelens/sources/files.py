@@ -59,6 +59,18 @@ def few_folders(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(option, before)
 
 
+@contextmanager
+def shuffles_end_with_writes(spark: SparkSession) -> Iterator[None]:
+    """Within it a write's shuffle files are deleted when the write is done, and not when the driver next collects garbage."""
+    option = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(option, "false")
+    spark.conf.set(option, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(option, before)
+
+
 def inbox(spark: SparkSession, folder: str) -> list[str]:
     """Names of the delivered CSV files that wait in a folder; hidden ones are still being written."""
     return [name for name in names(spark, folder) if name.endswith(".csv") and not name.startswith(".")]

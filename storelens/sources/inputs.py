@@ -26,10 +26,12 @@ class Tables:
         return adapters.clicks(spark, self.sf_dir, repeated)
 
     def order_changes(self, spark: SparkSession) -> DataFrame:
-        return adapters.order_changes(spark, self.sf_dir)
+        """An order's changes lie together, so what is made of them by order is not moved again."""
+        return adapters.order_changes(spark, self.sf_dir, together=True)
 
-    def order_item_changes(self, spark: SparkSession) -> DataFrame:
-        return adapters.order_item_changes(spark, self.sf_dir)
+    def order_item_changes(self, spark: SparkSession, together: bool = False) -> DataFrame:
+        """together: all changes of an order's lines are to lie in one partition, where inputs can have them so."""
+        return adapters.order_item_changes(spark, self.sf_dir, together)
 
     def product_changes(self, spark: SparkSession) -> DataFrame:
         return adapters.product_changes(spark, self.sf_dir)
@@ -72,7 +74,7 @@ class Landed(Tables):
     def order_changes(self, spark: SparkSession) -> DataFrame:
         return self._typed(spark, "orders")
 
-    def order_item_changes(self, spark: SparkSession) -> DataFrame:
+    def order_item_changes(self, spark: SparkSession, together: bool = False) -> DataFrame:
         return self._typed(spark, "order_items")
 
     def product_changes(self, spark: SparkSession) -> DataFrame:
@@ -116,8 +118,8 @@ class Arrived(Tables):
     def order_changes(self, spark: SparkSession) -> DataFrame:
         return self.other.order_changes(spark).where(self.changes)
 
-    def order_item_changes(self, spark: SparkSession) -> DataFrame:
-        return self.other.order_item_changes(spark).where(self.changes)
+    def order_item_changes(self, spark: SparkSession, together: bool = False) -> DataFrame:
+        return self.other.order_item_changes(spark, together).where(self.changes)
 
     def product_changes(self, spark: SparkSession) -> DataFrame:
         return self.other.product_changes(spark).where(self.changes)
@@ -160,8 +162,8 @@ class Only(Tables):
     def order_changes(self, spark: SparkSession) -> DataFrame:
         return self._cut(self.other.order_changes(spark), self.orders, "order_id")
 
-    def order_item_changes(self, spark: SparkSession) -> DataFrame:
-        return self._cut(self.other.order_item_changes(spark), self.orders, "order_id")
+    def order_item_changes(self, spark: SparkSession, together: bool = False) -> DataFrame:
+        return self._cut(self.other.order_item_changes(spark, together), self.orders, "order_id")
 
     def product_changes(self, spark: SparkSession) -> DataFrame:
         return self._cut(self.other.product_changes(spark), self.products, "product_id")

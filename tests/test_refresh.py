@@ -136,3 +136,29 @@ def test_tables_made_from_facts_do_not_read_the_logs_again(spark, sf_dir, tmp_pa
     root = f"file://{tmp_path}"
     build.commit(spark, sf_dir, root, ("fct_orders", "sales_daily"))
     assert _rows(Snapshot(spark, root).read("sales_daily")) == _rows(marts.sales_daily(spark, sf_dir))
+
+
+def test_facts_made_anew_move_an_order_once_and_no_keys(spark, sf_dir, tmp_path):
+    """Raw orders and lines move to their order, not each change; surrogate keys are made behind the last move."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name, key, most in (("fct_orders", "customer_sk", 10), ("fct_order_items", "product_sk", 6)):
+            table = refresh._anew(spark, inputs.of(sf_dir), name, refresh.layout("month")[name])
+            assert key not in table.rows.columns and key in table.columns and key in table.derived
+            plan = table.rows._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") == most
+            root = f"file://{tmp_path}/{name}"
+            snapshots.commit(spark, root, {name: table})
+            made, whole = Snapshot(spark, root).read(name), refresh.MAKERS[name](spark, sf_dir)
+            assert made.columns == whole.columns and _rows(made) == _rows(whole)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_shuffle_files_end_with_the_writes_of_a_commit(spark, sf_dir, tmp_path):
+    option = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(option, "false")
+    left = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().length()
+    there = left()
+    refresh.build(spark, sf_dir, f"file://{tmp_path}", ["dim_customers"], by="month")
+    assert left() <= there and spark.conf.get(option) == before
