@@ -16,7 +16,7 @@ TABLES: dict[str, Callable[[SparkSession, Source], DataFrame]] = {
     "dim_products": marts.dim_products,
     "dim_date": marts.dim_date,
     "fct_orders": marts.fct_orders,
-    "fct_order_items": marts.fct_order_items,
+    "fct_order_items": lambda spark, source: marts.priced(spark, source, marts.dated_lines(spark, source, together=True)),
     "fct_sessions": marts.fct_sessions,
     "sales_daily": marts.sales_daily,
     "funnel_daily": marts.funnel_daily,

@@ -179,3 +179,12 @@ def test_orders_made_anew_ask_for_no_changed_customers(spark, sf_dir, monkeypatc
     monkeypatch.setattr(refresh, "_since", asked)
     facts = catalog.QUERIES["refreshed_fct_orders"](spark, sf_dir)
     assert facts.count() == marts.order_core(spark, sf_dir).count() > 0
+
+
+def test_a_published_version_leaves_no_shuffle_files(spark, tmp_path):
+    from storelens.operators import sinks
+
+    left = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().length()
+    there = left()
+    sinks.publish(spark.range(1000).groupBy(F.col("id") % 7).count(), f"file://{tmp_path}/t")
+    assert left() <= there and sinks.current(spark, f"file://{tmp_path}/t").count() == 7
