@@ -188,3 +188,14 @@ def test_a_published_version_leaves_no_shuffle_files(spark, tmp_path):
     there = left()
     sinks.publish(spark.range(1000).groupBy(F.col("id") % 7).count(), f"file://{tmp_path}/t")
     assert left() <= there and sinks.current(spark, f"file://{tmp_path}/t").count() == 7
+
+
+def test_landing_does_not_count_the_rows_of_its_state_and_drops_copies_all_the_same(spark, sf_dir, tmp_path):
+    root, option = f"file://{tmp_path}", "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows"
+    before = spark.conf.get(option, "true")
+    log = replays.log(spark, sf_dir, "customers")
+    log.unionByName(log.where("kafka_offset % 3 = 0")).write.parquet(f"{root}/log")
+    query = jobs.cdc_query(sources.log_folder(spark, f"{root}/log"), f"{root}/cdc", f"{root}/state", every=None)
+    query.awaitTermination()
+    assert query.recentProgress[0]["stateOperators"][0]["numRowsTotal"] == 0 and spark.conf.get(option, "true") == before
+    assert jobs.landed_changes(spark, f"{root}/cdc").count() == log.count() > 0
